@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontamination, mixing
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,11 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_decontamination": decontamination.query,
         "op9_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontamination": sql.DECONTAMINATION,
         "op9_mixing": sql.MIXING,
     }

@@ -24,3 +24,23 @@ SELECT doc_id, size, source_size, target,
        whole * size + greatest(0, least(size, round(target)::BIGINT - whole * source_size - before)) AS taken
 FROM r
 """
+
+DECONTAMINATION = r"""
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ilow AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(w[k : k + 9], ' ') AS win, least(10, len(w)) AS n
+  FROM ilow, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS u(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+dwin AS (
+  SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win
+  FROM low, sizes, unnest(range(1, len(w) - n + 2)) AS u(k) WHERE len(w) >= n),
+hit AS (SELECT d.doc_id, d.k, d.n, i.item_id FROM dwin d JOIN win i ON d.win = i.win AND d.n = i.n),
+hw AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM hit, unnest(range(0, n)) AS u(j) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
