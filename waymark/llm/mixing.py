@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Sources that are broadcast at most; each takes a name and four numbers.
+BROADCAST_ROWS = 50_000
 #: Rows of one hash range, as a mean.
 RANGE_ROWS = 4000
 
@@ -65,10 +67,11 @@ def plan(docs: DataFrame, seed: str = SEED, row: str | None = None) -> DataFrame
     number = F.monotonically_increasing_id() if row is None else F.col(row)
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sizes = work.written(sized(docs).select("doc_id", "source", "size", draw.alias("draw"), number.alias("row")), "sizes")
-    # One row per source. Sources name corpora, so the table is small, but nothing proves it: no broadcast.
     goal = work.written(targets(sizes), "targets")
+    # One row per source: sent to all tasks while it is small, which is checked; else the rows are dealt by source.
+    how = "broadcast" if goal.count() <= BROADCAST_ROWS else "shuffle_hash"
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = sizes.withColumn("key", key).join(goal.withColumn("key", key).drop("source").hint("shuffle_hash"), "key")
+    rows = sizes.withColumn("key", key).join(goal.withColumn("key", key).drop("source").hint(how), "key")
     ranges = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / RANGE_ROWS))
     spot = F.conv(F.substring("draw", 1, 7), 16, 10).cast("double") / float(16**7)
     rows = rows.withColumn("range", F.floor(spot * ranges).cast("long")).drop("source_rows")
