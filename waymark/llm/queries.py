@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing
+from . import decontamination, mixing, token_counts, token_files
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": token_counts.query,
+        "op3_token_files": token_files.query,
         "op6_decontamination": decontamination.query,
         "op9_mixing": mixing.query,
     }
