@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, token_counts, token_files
+from . import decontamination, mixing, near_duplicates, token_counts, token_files
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": token_counts.query,
         "op3_token_files": token_files.query,
         "op6_decontamination": decontamination.query,
+        "op7_near_duplicates": near_duplicates.query,
         "op9_mixing": mixing.query,
     }
 
