@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_duplicates, token_counts, token_files
+from . import decontamination, mixing, near_duplicates, token_counts, token_files, toxicity
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_token_files": token_files.query,
         "op6_decontamination": decontamination.query,
         "op7_near_duplicates": near_duplicates.query,
+        "op8_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
     }
 
