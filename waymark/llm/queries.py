@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_duplicates, quality, token_counts, token_files, toxicity
+from . import decontamination, mixing, near_duplicates, quality, secrets, token_counts, token_files, toxicity
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": token_counts.query,
         "op3_token_files": token_files.query,
+        "op4_secrets": secrets.query,
         "op5_quality": quality.query,
         "op6_decontamination": decontamination.query,
         "op7_near_duplicates": near_duplicates.query,
