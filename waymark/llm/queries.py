@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_duplicates, quality, secrets, token_counts, token_files, toxicity
+from . import decontamination, mixing, near_duplicates, nearest, quality, secrets, token_counts, token_files, toxicity
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op7_near_duplicates": near_duplicates.query,
         "op8_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
+        "op10_nearest": nearest.query,
     }
 
 
