@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_duplicates, nearest, quality, secrets, token_counts, token_files, toxicity
+from . import decontamination, mixing, near_duplicates, nearest, quality, secrets, substrings, token_counts, token_files, toxicity
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": token_counts.query,
+        "op2_substrings": substrings.query,
         "op3_token_files": token_files.query,
         "op4_secrets": secrets.query,
         "op5_quality": quality.query,
