@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("spatial",)
+
+
+def _all() -> dict:
+    found: dict = {}
+    for name in MODULES:
+        found |= importlib.import_module(f"waymark.plans.{name}").QUERIES
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {k: v[0] if isinstance(v, tuple) else v for k, v in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v[1] for k, v in _all().items() if isinstance(v, tuple)}
