@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spatial",)
+MODULES = ("spatial", "places")
 
 
 def _all() -> dict:
