@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spatial", "places")
+MODULES = ("spatial", "places", "text")
 
 
 def _all() -> dict:
