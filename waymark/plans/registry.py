@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spatial", "places", "text")
+MODULES = ("spatial", "places", "text", "search")
 
 
 def _all() -> dict:
