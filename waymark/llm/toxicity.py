@@ -193,13 +193,26 @@ def _first_tags(feats: np.ndarray, first: np.ndarray, label: np.ndarray, use: np
     return (strong[feats].any(0) & (label[doc] == 1)).astype(np.int64)
 
 
+def _in_parts(field: Field, feats: np.ndarray, first: np.ndarray, docs: int = 256) -> np.ndarray:
+    """Marginals of all documents, some of them at a time."""
+    out = np.empty(feats.shape[1])
+    for lo in range(0, len(first) - 1, docs):
+        own = first[lo : lo + docs + 1]
+        out[own[0] : own[-1]] = marginals(field.emissions(feats[:, own[0] : own[-1]]), own - own[0], field.transitions)
+    return out
+
+
 def fit(sample: pd.DataFrame) -> Field:
     """Fit on the driver, on the bounded sample of labelled.sample."""
     label = sample["label"].to_numpy(np.int64)
     n = np.bincount(label, minlength=2)[:2]
     if n.min() < 5:
         return Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), np.zeros(4), float((n[1] + 0.5) / (n.sum() + 1)))
-    feats, first, _, _ = features(*texts.buffer(pa.array(sample["text"], pa.string())))
+    buf, off = texts.buffer(pa.array(sample["text"], pa.string()))
+    parts = [features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[:2] for lo, hi in texts.slices(off)]
+    feats = np.concatenate([f for f, _ in parts], 1)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts]))])
+    del parts, buf
     docs = np.arange(len(label))
     use = docs[docs % 4 != 3]
     tags = _first_tags(feats, first, label, use)
@@ -208,7 +221,7 @@ def fit(sample: pd.DataFrame) -> Field:
     for _ in range(2):
         has = np.bincount(doc, tags, len(docs)) > 0
         field = _fit_field(feats, first, tags, use[(label[use] == 0) | has[use]], field)
-        p = marginals(field.emissions(feats), first, field.transitions)
+        p = _in_parts(field, feats, first)
         tags = ((p >= 0.5) & (label[doc] == 1)).astype(np.int64)
     x = summary(p, first)
     rest = docs[docs % 4 == 3]
