@@ -10,9 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..ship import ship
 
 
+#: Rows of an Arrow batch: whole texts go to Python tasks, and a batch of Spark's default 10,000 is tens of MB.
+BATCH_ROWS = "2000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package; make Arrow batches smaller unless the session sets their size itself."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def base(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of our own only where it is unset (tests, local mode)."""
-    ship(spark)
+    prepare(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="waymark-")
@@ -40,5 +51,5 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
