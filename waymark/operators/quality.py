@@ -145,3 +145,9 @@ def validated(queries: DataFrame, op: str = "search", size: int = 40, text_most:
 
 def clean_parameters(parameters: Column, allowed: list[str]) -> Column:
     return F.map_filter(parameters, lambda k, v: k.isin(*allowed) & v.isNotNull() & (v != ""))
+
+
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """One folder of JSON lines for each section of a report."""
+    for name, df in sections.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spatial", "places", "text", "search", "quality", "streams")
+MODULES = ("spatial", "places", "text", "search", "quality", "streams", "stores")
 
 
 def _all() -> dict:

@@ -1,20 +1,24 @@
-"""Where iterative operators keep their tables between rounds: the folder that all executors share."""
+"""Where operators keep tables between steps: the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table under spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/waymark/round-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/waymark/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table there and read it back."""
+    path = place(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
