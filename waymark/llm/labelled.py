@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the sample on which classifiers are fitted: rows, and bytes of text.
-MAX_ROWS, MAX_BYTES = 5_000, 16 << 20
+MAX_ROWS, MAX_BYTES = 3_000, 10 << 20
 
 
 def held_out() -> Column:
