@@ -17,26 +17,36 @@ LATER_TERMS = 0.65
 MAX_TERMS, MAX_PREFIX = 32, 20
 
 
-def postings(docs: DataFrame, fields: dict[str, Column], id_: str = "_id") -> DataFrame:
-    """_id, field, token, tf, length: one row for each distinct token of a field; fields are arrays of tokens."""
+#: Distinct query tokens that are sent to all tasks at most; more are joined by shuffle.
+BROADCAST_TOKENS = 200_000
+
+
+def postings(docs: DataFrame, fields: dict[str, Column], id_: str = "_id", only: DataFrame | None = None) -> DataFrame:
+    """_id, field, token, tf, length: one row for each distinct token of a field; fields are arrays of tokens.
+
+    With `only` (a table with a column token) other tokens are left out before they are counted.
+    """
     out = None
     for name, tokens in fields.items():
         one = docs.select(id_, F.lit(name).alias("field"), F.size(tokens).alias("length"), F.explode(tokens).alias("token"))
         out = one if out is None else out.unionByName(one)
+    if only is not None:
+        wanted = only.select("token").distinct()
+        out = out.join(wanted.hint("broadcast" if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else "merge"), "token", "left_semi")
     return out.groupBy(id_, "field", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def statistics(post: DataFrame, id_: str = "_id") -> tuple[DataFrame, DataFrame]:
-    """Per field: documents and mean length; per field and token: documents that have it."""
-    per = post.groupBy(id_, "field").agg(F.first("length").alias("length"))
-    fields = per.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
-    return fields, post.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+def field_statistics(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """field, docs, mean_length of the documents that have tokens there: one pass, nothing exploded."""
+    every = F.array(*[F.struct(F.lit(name).alias("field"), F.size(tokens).alias("length")) for name, tokens in fields.items()])
+    each = docs.select(F.explode(every).alias("f")).select("f.*").where("length > 0")
+    return each.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length"))
 
 
-def weighted(post: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
+def weighted(post: DataFrame, stats: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
     """Postings with `weight`: BM25 of the token in the field, times the field's boost."""
-    fields, df = statistics(post)
-    out = post.join(df, ["field", "token"]).join(F.broadcast(fields), "field")  # a row for each field
+    df = post.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+    out = post.join(df, ["field", "token"]).join(F.broadcast(stats), "field")  # a row for each field
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     boost = F.lit(1.0)

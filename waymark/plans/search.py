@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import features, intent, rank, search
 from ..operators.spatial import top_k
+from ..sources.store import written
 from . import base
 
 R6 = lambda x: F.round(x, 6)
@@ -43,8 +44,10 @@ def asked(spark, d):
 
 
 def weights(spark, d, fields=("name", "kind", "locality")):
+    """The index: weights of all tokens, written once as a search index would be."""
     names = {"kind": "category_terms"}
-    return search.weighted(search.postings(docs(spark, d), {names.get(f, f): text.tokenize(F.col(f)) for f in fields}), BOOSTS)
+    columns = {names.get(f, f): text.tokenize(F.col(f)) for f in fields}
+    return written(search.weighted(search.postings(docs(spark, d), columns), search.field_statistics(docs(spark, d), columns), BOOSTS))
 
 
 def _terms(spark, d):
@@ -52,14 +55,15 @@ def _terms(spark, d):
 
 
 def a19(spark, d):
-    fields, _ = search.statistics(search.postings(base.read(spark, d, "documents").withColumnRenamed("doc_id", "_id"), {"text": text.tokenize(F.lower("text"))}))
-    return fields.select("field", "docs", R6("mean_length").alias("mean_length"))
+    return search.field_statistics(base.read(spark, d, "documents"), {"text": text.tokenize(F.lower("text"))}).select("field", "docs", R6("mean_length").alias("mean_length"))
 
 
 def j7(spark, d):
     q = base.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.slice(text.tokenize(F.lower("text")), 1, 3)).alias("tt"))
-    post = search.postings(base.read(spark, d, "documents").withColumnRenamed("doc_id", "_id"), {"text": text.tokenize(F.lower("text"))})
-    hits = search.text_match(search.terms(q, "tt"), search.weighted(post))
+    corpus, columns = base.read(spark, d, "documents").withColumnRenamed("doc_id", "_id"), {"text": text.tokenize(F.lower("text"))}
+    asked_terms = search.terms(q, "tt")
+    post = written(search.postings(corpus, columns, only=asked_terms))
+    hits = search.text_match(asked_terms, search.weighted(post, search.field_statistics(corpus, columns)))
     return top_k(hits, 10, F.desc(F.round("score", 9)), F.col("_id")).select("query_id", "rank", F.col("_id").alias("doc_id"), R6("score").alias("score"))
 
 
@@ -178,12 +182,12 @@ def f14(spark, d):
 
 def scored(spark, d):
     """Search: all tokens that name no category must be in the text; category and place clauses where there are any."""
-    q = resolved(spark, d).join(asked(spark, d).select("query_id", "q_lon", "q_lat", "focused"), "query_id")
-    t = docs(spark, d)
+    q = written(resolved(spark, d).join(asked(spark, d).select("query_id", "q_lon", "q_lat", "focused"), "query_id"))
+    t, w = docs(spark, d), weights(spark, d)
     cats = search.any_match(q, t.select("_id", F.array("category").alias("c"), F.array("grp").alias("g")), [("category_ids", "c", 8), ("intent_groups", "g", 3)])
     place = q.withColumn("tt", F.transform("place_terms", lambda p: F.split(p, " ")))
-    places = search.text_match(search.terms(place, "tt"), weights(spark, d, ("locality",)), "and")
-    rest = search.text_match(search.terms(q.withColumn("tt", F.array(text.tokenize(F.col("unmatched")))), "tt"), weights(spark, d), "and")
+    places = search.text_match(search.terms(place, "tt"), w.where("field = 'locality'"), "and")
+    rest = search.text_match(search.terms(q.withColumn("tt", F.array(text.tokenize(F.col("unmatched")))), "tt"), w, "and")
     hits = search.conjunction(q, [((F.size("category_ids") > 0) | (F.size("intent_groups") > 0), cats), (F.size("place_terms") > 0, places), (F.col("unmatched") != "", rest)])
     hits = hits.join(q.select("query_id", "category_ids", "intent_groups", "q_lon", "q_lat", "focused"), "query_id").join(t, "_id")
     distance = F.when(F.col("focused"), geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")))
