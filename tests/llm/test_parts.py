@@ -19,6 +19,11 @@ def test_suffixes_are_sorted_to_the_depth(symbols, times):
     keys = [padded[i : i + 50] for i in order]
     assert sorted(order.tolist()) == list(range(len(s)))
     assert keys == sorted(keys)
+    some = np.arange(len(s)) % 3 == 1
+    part = suffixes.order(s, word, wanted=some)
+    assert [i for i in part.tolist() if some[i]] == sorted(np.flatnonzero(some).tolist(), key=part.tolist().index)
+    assert [keys[order.tolist().index(i)] for i in part] == sorted(keys[order.tolist().index(i)] for i in part)
+    assert set(np.flatnonzero(some).tolist()) <= set(part.tolist())
     common = suffixes.prefixes(order, word)
     for a, b, n in zip(keys, keys[1:], common[1:].tolist()):
         assert n == next((k for k in range(50) if a[k] != b[k]), 50)

@@ -40,9 +40,9 @@ WINDOW, ANCHOR = suffixes.DEPTH, 24
 #: The sample that shows frequent anchors: documents, and the documents or different pieces that make one frequent.
 SAMPLE_ROWS, FREQUENT = 20_000, 20
 #: Bytes of text whose anchors one bucket takes; bytes of shared texts whose pieces one bucket takes.
-ASK_BYTES, SORT_BYTES, LEAST_BUCKETS = 48 << 20, 1 << 20, 24
+ASK_BYTES, SORT_BYTES, LEAST_BUCKETS = 48 << 20, 4 << 20, 24
 #: Bytes of texts in a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 3 << 20
 U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
@@ -86,7 +86,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     pieces there. The sample is bounded, so both lists are; they change how work is dealt, never results."""
     many = rows.count()
     share = max(1, -(-many // SAMPLE_ROWS))
-    some = rows.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(share)) == 0).limit(2 * SAMPLE_ROWS)
+    some = rows.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(share)) == 0)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,7 @@ def shared(rows: DataFrame, hot, buckets: int) -> DataFrame:
                 out = [(b, order[a:z]) for b, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a]
                 used = np.unique(doc[known])
                 if len(used):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), -1, np.int32)), *[pa.nulls(len(used), pa.binary())] * 5, pa.array(ids[lo + used])], names=[*_ASK, "row"])
+                    yield pa.RecordBatch.from_arrays([pa.array((-1 - ids[lo + used] % buckets).astype(np.int32)), *[pa.nulls(len(used), pa.binary())] * 5, pa.array(ids[lo + used])], names=[*_ASK, "row"])
                 for b, own in out:
                     docs = np.unique(doc[own])
                     # Places count within the documents named here.
@@ -142,6 +142,9 @@ def shared(rows: DataFrame, hot, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids[lo + docs].tobytes(), tags[lo + docs].tobytes(), count[docs].tobytes(), _deltas(place), (h[own] & U(0xFFFFFFFF)).astype("<u4").tobytes())), pa.nulls(1, pa.int64())], names=[*_ASK, "row"])
 
     def answer(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            n = table.num_rows
+            return pa.table({"row": table.column("row"), "places": pa.array([[]] * n, pa.list_(pa.int32()))})
         ids, tags, where, hs, docs = [], [], [], [], 0
         for k, (r, t, c, p, h) in enumerate(zip(*(table.column(n).to_pylist() for n in _ASK[1:]))):
             n = len(h) // 4
@@ -166,10 +169,8 @@ def shared(rows: DataFrame, hot, buckets: int) -> DataFrame:
         return pa.table({"row": ids[doc[cut]], "places": lists})
 
     asked = rows.select("row", "tag", "text").mapInArrow(ask, "bucket int, rows binary, tags binary, counts binary, places binary, hashes binary, row long")
-    asked = work.written(asked, "anchors", compression="zstd")
-    found = asked.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, "row long, places array<int>")
-    known = asked.where("bucket < 0").select("row", F.expr("cast(array() as array<int>)").alias("places"))
-    return found.unionByName(known).groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = asked.groupBy("bucket").applyInArrow(answer, "row long, places array<int>")
+    return found.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 _ASK = ["bucket", "rows", "tags", "counts", "places", "hashes"]
@@ -270,10 +271,11 @@ def repeats(cut: DataFrame, diverse, buckets: int) -> DataFrame:
         spot = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
         sym[spot] = data[np.repeat(begin[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].astype(np.uint16) + 1
         word = suffixes.words(sym)
-        at = suffixes.order(sym, word)
         # Windows alone: suffixes with 50 symbols before their piece's end.
         owner = np.repeat(np.arange(len(size)), size + 1)
-        at = at[at - start[owner[at]] + WINDOW <= size[owner[at]]]
+        is_window = np.arange(len(sym)) - start[owner] + WINDOW <= size[owner]
+        at = suffixes.order(sym, word, wanted=is_window)
+        at = at[is_window[at]]
         group = np.flatnonzero(suffixes.prefixes(at, word) < WINDOW)
         first = np.repeat(np.minimum.reduceat(small[owner[at]], group), np.diff(np.append(group, len(at))))
         earliest = np.full(len(sym), _LAST)

@@ -5,6 +5,9 @@ symbols. Stage two induces the others (type A): the buckets of first symbols are
 and each suffix scanned puts the one that begins a symbol before it, if that is of type A, at the next free
 place of its bucket. A bucket is scanned as a whole: what it induces is dealt to buckets by one stable sort,
 and what it induces into itself (runs of one symbol) follows level by level.
+
+Where only some suffixes are wanted, stage one takes those of type B among them, and those in which the wanted
+ones of type A end up: a suffix of type A needs its successor's place, and no more than that.
 """
 
 from __future__ import annotations
@@ -67,15 +70,28 @@ def direct(at: np.ndarray, word: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return at
 
 
-def order(sym: np.ndarray, word: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """All suffixes in the order of their first `depth` symbols. Symbols are below 512."""
+def closed(wanted: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The wanted positions, and after each one of type A those up to the next of type B."""
+    n = len(wanted)
+    at = np.flatnonzero(wanted & ~b)
+    if not len(at):
+        return wanted
+    ends = np.append(np.flatnonzero(b), n - 1)
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(ends[np.searchsorted(ends[:-1], at)] + 1, minlength=n + 1)
+    return wanted | (np.cumsum(edge[:n]) > 0)
+
+
+def order(sym: np.ndarray, word: np.ndarray, depth: int = DEPTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes (all, or the wanted ones and those that they need) in the order of their first `depth` symbols.
+    Symbols are below 512."""
     n = len(sym)
     small = sym.astype(np.uint16)
     b = is_b(sym)
-    sorted_b = direct(np.flatnonzero(b), word, depth)
+    need = np.ones(n, bool) if wanted is None else closed(wanted, b)
+    sorted_b = direct(np.flatnonzero(b & need), word, depth)
     edges_b = np.searchsorted(sym[sorted_b], np.arange(int(sym.max(initial=0)) + 2)) if n else [0, 0]
     pending: list[list[np.ndarray]] = [[] for _ in range(int(sym.max(initial=0)) + 1)]
-    if n:
+    if n and need[n - 1]:
         pending[sym[n - 1]].append(np.array([n - 1]))  # before the end there is nothing to scan
     out = []
     for c in range(len(pending)):
@@ -84,13 +100,13 @@ def order(sym: np.ndarray, word: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         bucket = [level]
         while len(level):
             level = level[level > 0] - 1
-            level = level[small[level] == c]
+            level = level[(small[level] == c) & need[level]]
             bucket.append(level)
         bucket.append(sorted_b[edges_b[c] : edges_b[c + 1]])
         whole = np.concatenate(bucket)
         out.append(whole)
         before = whole[whole > 0] - 1
-        before = before[small[before] > c]
+        before = before[(small[before] > c) & need[before]]
         if len(before):
             key = small[before]
             before = before[np.argsort(key, kind="stable")]
