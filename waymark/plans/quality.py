@@ -172,7 +172,7 @@ def _samples(spark, d):
 
 def a12(spark, d):
     out = quality.per_query(_samples(spark, d), ["endpoint", "country", "query"])
-    return out.select("endpoint", "country", "query", "requests", "failures", "top_label", "mismatches", F.size("first_mismatches").alias("shown"), F.element_at("first_mismatches", 1)["seq"].alias("first_seq"))
+    return out.select("endpoint", "country", "query", "requests", "failures", "top_label", "mismatches", F.size("first_mismatches").alias("shown"), F.try_element_at("first_mismatches", F.lit(1))["seq"].alias("first_seq"))
 
 
 def f19(spark, d):
