@@ -36,6 +36,8 @@ RECALL = 0.97
 #: Sample on which the tree is fitted, and queries on which the visits are calibrated.
 FIT_ROWS, CALIBRATION = 40_000, 256
 BRANCH, LEAF = 16, 24
+#: Leaves that a table has: about this times the root of its vectors, while the sample has LEAF vectors for each.
+LEAVES = 0.5
 #: Vectors of a pack and queries of a group.
 PACK, GROUP = 1024, 256
 FOUND = "query long, vec_id long, score double"
@@ -144,17 +146,20 @@ def _score(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,kj->ik", q, x, optimize=False)
 
 
-def _best(score: np.ndarray, uid: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest of each row, ties to the smaller uid."""
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest of each row, with all that tie with the last of them."""
     if score.shape[1] > k:
-        cut = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        return [np.flatnonzero(row >= c) for row, c in zip(score, cut[:, 0])]
-    return [np.arange(score.shape[1])] * len(score)
+        return np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
+    return np.nonzero(np.ones(score.shape, bool))
 
 
-def packs(index: DataFrame, size: int = PACK) -> DataFrame:
-    """leaf, pack, uids, data: the vectors of a leaf in packs of about `size`, dealt by a hash of the uid."""
-    many = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("packs"))
+def _rows(ids: np.ndarray, uid: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
+    row, at = _best(score, k)
+    return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(uid[at]), pa.array(score[row, at])], names=["query", "vec_id", "score"])
+
+
+def packs(index: DataFrame, many: DataFrame) -> DataFrame:
+    """leaf, pack, uids, data: the vectors of a leaf in packs of about PACK, dealt by a hash of the uid."""
     dealt = index.join(many.hint("shuffle_hash"), "leaf").withColumn("pack", F.pmod(F.xxhash64("uid"), "packs").cast("int"))
     return dealt.groupBy("leaf", "pack").agg(F.collect_list(F.struct("uid", "v")).alias("m")).select("leaf", "pack", F.col("m.uid").alias("uids"), F.flatten("m.v").alias("data"))
 
@@ -167,13 +172,7 @@ def exhaustive(unique: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         for batch in batches:
-            uid, x = batch.column("uid").to_numpy(), _matrix(batch.column("v"), width)
-            score = _score(q, x)
-            best = _best(score, uid, k)
-            count = [len(b) for b in best]
-            at = np.concatenate(best)
-            row = np.repeat(np.arange(len(ids)), count)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(uid[at]), pa.array(score[row, at])], names=["query", "vec_id", "score"])
+            yield _rows(ids, batch.column("uid").to_numpy(), _score(q, _matrix(batch.column("v"), width)), k)
 
     found = unique.select("uid", "v").mapInArrow(run, FOUND)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
@@ -199,18 +198,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     """query_id, rank, vec_id, score: the k largest inner products of each query with other rows, nearest first."""
     spark = vectors.sparkSession
     rows = work.written(usable(vectors), "vectors")
-    unique = work.written(distinct(rows, k), "vectors-distinct")
+    # Vectors are few bytes and much work: tasks are dealt by number, so that Spark does not merge them by size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = work.written(distinct(rows, k).repartition(tasks, "uid"), "vectors-distinct")
     asked = work.written(rows.where(is_query).distinct(), "queries")
     sources = asked.join(unique.select("uid", "v").hint("merge"), "v").select(F.col("vec_id").alias("query_id"), "uid")
     sources = work.written(sources, "query-vectors")
     wanted = work.written(unique.select("uid", "v").join(sources.select("uid").distinct().hint("merge"), "uid", "left_semi"), "query-distinct")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    top, width = unique.agg(F.max(square), F.max(F.size("v"))).first()
+    top, width, count = unique.agg(F.max(square), F.max(F.size("v")), F.count(F.lit(1))).first()
     if top is None:
         return sources.select("query_id", F.lit(1).alias("rank"), F.col("uid").alias("vec_id"), F.lit(0.0).alias("score")).where(F.lit(False))
     draw = F.xxhash64("uid", F.lit(11))
     fit = unique.orderBy(draw, "uid").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
-    tree = Tree(_extended(_matrix(fit, width), top))
+    leaf = max(LEAF, int(min(count, FIT_ROWS) / (LEAVES * count**0.5)))
+    tree = Tree(_extended(_matrix(fit, width), top), leaf=leaf)
     shared = spark.sparkContext.broadcast((tree, top))  # FIT_ROWS vectors at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,18 +243,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
                     own = batch.take(pa.array(lo + row[part]))
                     yield pa.RecordBatch.from_arrays([pa.array([each[part[0]]]), pa.array([own.column("uid").to_pylist()], pa.list_(pa.int64())), pa.array([own.column("v").flatten()], pa.list_(pa.float64()))], names=["leaf", "q_ids", "q"])
 
-    asked_leaves = wanted.repartition(F.col("uid")).mapInArrow(visit, "leaf long, q_ids array<long>, q array<double>")
-    met = asked_leaves.join(packs(index).hint("merge"), "leaf")
+    many = work.written(index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("packs")), "leaf-packs")
+    asked_leaves = wanted.repartition(tasks, "uid").mapInArrow(visit, "leaf long, q_ids array<long>, q array<double>")
+    asked_packs = asked_leaves.join(many.hint("shuffle_hash"), "leaf").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).drop("packs")
+    met = asked_packs.repartition(4 * tasks, "leaf", "pack").join(packs(index, many).repartition(4 * tasks, "leaf", "pack").hint("merge"), ["leaf", "pack"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 ids, uid = (batch.column(c)[n].values.to_numpy() for c in ("q_ids", "uids"))
                 q, x = (batch.column(c)[n].values.to_numpy().reshape(-1, width) for c in ("q", "data"))
-                score = _score(q, x)
-                best = _best(score, uid, k + 1)
-                at, row = np.concatenate(best), np.repeat(np.arange(len(ids)), [len(b) for b in best])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(uid[at]), pa.array(score[row, at])], names=["query", "vec_id", "score"])
+                yield _rows(ids, uid, _score(q, x), k + 1)
 
     found = met.mapInArrow(compare, FOUND)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
