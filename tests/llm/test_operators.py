@@ -183,6 +183,21 @@ def test_near_duplicates(docs, doubled):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_near_duplicates_behind_smaller_pages_of_their_template(spark):
+    """On each template two short pages, 0.83 alike, and thirty long ones before them that are alike to nothing."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    rows = []
+    for _ in range(6):
+        template = [word() for _ in range(250)]
+        for own in [66] * 30 + [20] * 2:
+            rows.append((len(rows), " ".join(template + [word() for _ in range(own)])))
+    want = brute_classes(rows)
+    assert len(set(want.values())) == len(rows) - 6
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(df).collect()} == want
+
+
 def test_mixing(docs, doubled):
     for df in (docs, doubled):
         out = mixing.plan(df).collect()

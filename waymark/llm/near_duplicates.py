@@ -8,12 +8,14 @@ component's value is its earliest point: two documents agree in it with the prob
 Jaccard similarity. Points are made in the order of time and only until every component is settled: a horizon
 is set from the document's total weight, and widened for the few documents that it leaves unsettled.
 
-Linking. Rows of one text count as one (its smallest doc_id). Band values meet in groups; a group is never
-expanded into pairs: each member is compared with the group's smallest and with the one before it in the
-order of whole signatures. Pairs are checked on the texts themselves: similarity of the multisets of shingles
-at least `threshold`. What the band agreements say is most alike is checked first; later rounds check the
-remaining pairs between different classes, and pairs of the smallest members of classes that still meet in a
-group, until no round joins classes. Links join classes by min-label propagation in Spark.
+Linking. Rows of one text count as one (its smallest doc_id). Band values meet in groups. Pairs are checked on
+the texts themselves: similarity of the multisets of shingles at least `threshold`. First each member is compared
+with the group's smallest, what the band agreements say is most alike before the rest, until no round joins
+classes. Groups that still hold several classes go on: some of their classes, drawn by hash, four times as many in
+each round, are centres that all others are compared with, through one member of each class, and classes are joined
+between rounds. In the end all pairs of members of different classes of a group that were not checked are checked.
+So every pair that meets in a band is compared or already joined; the pairs are few where groups are alike and
+quadratic only in members that are not. Links join classes by min-label propagation in Spark.
 
 Defined cases: a text without words (null, empty, marks only) is never linked; a text of one to four words is
 one shingle; repeated rows of one doc_id share its class; ties go to the smaller doc_id; null doc_ids are kept
@@ -198,36 +200,100 @@ def checked(pairs: DataFrame, texts_of: DataFrame, threshold: float) -> DataFram
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+#: Classes, or members of a class, of one group that one task compares others with, about.
+GROUP_ROWS = 4096
+
+
+def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """met with each node's class as `label`."""
+    if labels is None:
+        return met.withColumn("label", F.col("node"))
+    return met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that are not in `tried` in either order."""
+    if tried is None:
+        return pairs
+    each = [F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")]
+    return pairs.select("a", "b", *each).join(tried.select(*each).hint("merge"), ["u", "v"], "left_anti").select("a", "b")
+
+
+def _met_by_centres(per: DataFrame, centres: int) -> DataFrame:
+    """Pairs (a, b) of members of each group's classes, b of about `centres` classes drawn by hash and a of those
+    after it in the order of the hash; all pairs of classes if `centres` is at least n. A group's classes are dealt
+    by a salt, and centres go to each of them."""
+    draw = F.pmod(F.xxhash64("label"), F.lit(1 << 30))
+    rows = per.withColumn("draw", draw).withColumn("salts", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
+    left = rows.select("key", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a", F.struct("draw", "label").alias("place"))
+    right = rows.where(F.col("draw") * F.col("n") < F.lit(float(centres << 30)))
+    right = right.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.struct("draw", "label").alias("centre"))
+    return left.join(right.hint("merge"), ["key", "salt"]).where("place > centre").select("a", "b").distinct()
+
+
+def _met_by_members(per: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of members of different classes of a group, where one of the classes has more than one there."""
+    salts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
+    left = per.select("key", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"), "label", "size")
+    right = per.where("size > 1").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("label").alias("with"), F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("parts"))
+    # Of two such classes one is enough.
+    both = left.join(right.hint("merge"), ["key", "salt"]).where("label < with or (label > with and size = 1)")
+    both = both.join(members.select("key", "label", F.col("node").alias("a")).hint("merge"), ["key", "label"])
+    both = both.select("key", "with", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = per.select("key", "label", F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("parts")).join(members.select("key", "label", "node").hint("merge"), ["key", "label"])
+    own = own.select("key", F.col("label").alias("with"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.col("node").alias("b"))
+    return both.join(own.hint("merge"), ["key", "with", "part"]).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id for each row: the smallest doc_id that its text is linked to, directly or through others."""
     rows = work.written(signed(docs), "signed", compression="zstd")
     nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     nodes = work.written(nodes, "nodes", compression="zstd")
-    each = nodes.where("node is not null").select("node", F.explode("keys").alias("key"))
+    each = nodes.where("node is not null").select("node", F.posexplode("keys").alias("band", "key"))
     groups = each.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     met = work.written(each.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi"), "met")
     involved = met.select("node").distinct()
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(involved.hint("merge"), "node", "left_semi")
     own = work.written(own.groupBy("node").agg(F.min("text").alias("text")), "met-texts", compression="zstd")
     links = tried = labels = None
-    while True:
-        now = met.withColumn("label", F.col("node")) if labels is None else met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        per = now.groupBy("key", "label").agg(F.min("node").alias("a"))
-        least = per.groupBy("key").agg(F.min(F.struct("label", "a")).alias("least"))
-        pairs = per.join(least.hint("merge"), "key").where("label > least.label").select("a", F.col("least.a").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-        if tried is None:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
-        else:
-            pairs = pairs.select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti")
+
+    def joined(pairs: DataFrame) -> bool:
+        """Check pairs, and join the classes of those alike; False if there are no pairs."""
+        nonlocal links, tried, labels
         pairs = work.written(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
-            break
+            return False
         good = work.written(checked(pairs, own, threshold), "good")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             labels = components(links)
+        return True
+
+    while True:
+        per = _labelled(met, labels).groupBy("key", "label").agg(F.min("node").alias("a"))
+        least = per.groupBy("key").agg(F.min(F.struct("label", "a")).alias("least"))
+        pairs = per.join(least.hint("merge"), "key").where("label > least.label").select("a", F.col("least.a").alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+        if tried is None:
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
+        if not joined(_untried(pairs, tried)):
+            break
+    # A pair of bands says nothing that its bands don't.
+    centres, rest = 1, met.where(F.col("band") < BANDS).select("key", "node")
+    while True:
+        per = _labelled(rest, labels).groupBy("key", "label").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size"))
+        sizes = per.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        per = work.written(per.join(sizes.hint("merge"), "key"), "open")
+        most = per.agg(F.max("n")).first()[0]
+        if most is None or centres >= 4 * most:
+            break
+        rest = work.written(rest.join(per.select("key").distinct().hint("merge"), "key", "left_semi"), "open-nodes")
+        joined(_untried(_met_by_centres(per, centres), tried))
+        centres *= 4
+    if most is not None:
+        joined(_untried(_met_by_members(per, _labelled(rest, labels)), tried))
     keyed = nodes.select("text_key", "node", F.col("keys").isNotNull().alias("has_words"))
     out = rows.select("doc_id", "text_key").join(keyed.hint("merge"), "text_key")
     if labels is not None:
