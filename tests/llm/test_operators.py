@@ -104,6 +104,22 @@ def test_token_counts(docs):
         assert all(r.terminated for r in got)
 
 
+def test_token_counts_of_texts_with_the_separator(spark):
+    from tokenizers import Tokenizer
+
+    from waymark.llm import encoding
+
+    tok = Tokenizer.from_file(encoding.vocabulary())
+    text = {1: "one two", 2: "a <|endoftext|> b<|endoftext|>", 3: "three", 4: "<|endoftext|>", 5: "four and five"}
+    names = token_counts.write(spark.createDataFrame(list(text.items()), "doc_id long, text string").coalesce(1))
+    found = token_counts.scan(names)
+    token_counts.complete(names, found)
+    got = names.join(found, ["uri", "doc_no"]).select("doc_id", "n_tokens").collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in text.items()}
+    with pytest.raises(ValueError):
+        token_counts.complete(names.where("doc_id < 5"), found)
+
+
 def test_token_counts_of_an_unfinished_file(spark, tmp_path):
     f = tmp_path / "flat.bin"
     np.array([5, 9, 50256, 50256, 7, 7, 7], "<u2").tofile(f)

@@ -28,8 +28,9 @@ from pyspark.sql.window import Window
 
 from . import encoding, work
 
-#: The end-of-document id: none of the vocabulary's ids for ordinary text.
-SEPARATOR = 50256
+#: The end-of-document id. A text that holds the separator's own string has this id, too: it is written as ESCAPED,
+#: an id that no text has.
+SEPARATOR, ESCAPED = 50256, 65535
 WIDTH = np.dtype("<u2")
 #: Ids of a block.
 BLOCK = 1 << 20
@@ -49,8 +50,9 @@ def write(docs: DataFrame, vocabulary: str = encoding.VOCABULARY, separator: int
         system.create_dir(place.rpartition("/")[0], recursive=True)
         with system.open_output_stream(place) as out:
             for batch in batches:
-                for _, ids, count in encoding.encoded(batch.column("text"), path, separator):
-                    out.write(ids.astype(WIDTH).tobytes())
+                for _, ids, count in encoding.encoded(batch.column("text"), path):
+                    ids = np.where(ids == separator, ESCAPED, ids)
+                    out.write(np.insert(ids, np.cumsum(count), separator).astype(WIDTH).tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * n, pa.string()), pa.array(np.full(n, task.partitionId(), np.int32)), pa.array(np.arange(done, done + n)), batch.column("doc_id")], names=["uri", "file_no", "doc_no", "doc_id"])
                 done += n
@@ -98,7 +100,16 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: np.dtype = WIDTH,
     return found.select("uri", (F.col("docs_before") + F.col("k")).alias("doc_no"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("k") < F.col("n_ends")).alias("terminated"))
 
 
+def complete(names: DataFrame, found: DataFrame) -> None:
+    """Raise if the scan found more or fewer documents in a file than were written."""
+    counts = [df.groupBy("uri").agg(F.count(F.lit(1)).alias(n)) for df, n in ((names, "written"), (found, "found"))]
+    wrong = counts[0].join(counts[1], "uri", "full").where("not (written <=> found)").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong.uri}: {wrong.found} documents found, {wrong.written} written")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = write(work.documents(spark, sf_dir))
     found = work.written(scan(names), "flat-docs")
+    complete(names, found)
     return names.join(found.hint("merge"), ["uri", "doc_no"]).select("doc_id", "file_no", "doc_no", "start", "n_tokens", "terminated")
