@@ -287,6 +287,17 @@ def test_held_out_rows_teach_nothing(spark):
     assert not set(sample["text"]) & (held - own)
 
 
+def test_sample_passes_over_long_texts_and_keeps_rare_labels(spark):
+    rows = [(i, "rotten fish" if i % 1000 == 7 else BASE[: 20 + i % 90]) for i in range(20_000) if zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = df.select("doc_id", F.when(F.col("doc_id") % 1000 == 7, 1).otherwise(0).alias("toxic"))
+    rare = sum(i % 1000 == 7 for i, _ in rows)
+    assert labelled.sample(df, labels, "toxic")["label"].value_counts().to_dict() == {0: labelled.MAX_ROWS - rare, 1: rare}
+    first = df.orderBy(F.xxhash64("doc_id")).first().doc_id
+    df = df.withColumn("text", F.when(F.col("doc_id") == first, F.expr("repeat('long text here ', 900000)")).otherwise(F.col("text")))
+    assert labelled.sample(df, labels, "toxic")["label"].value_counts().to_dict() == {0: labelled.MAX_ROWS - rare, 1: rare}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 8))
