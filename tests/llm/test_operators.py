@@ -347,3 +347,39 @@ def test_pipeline(spark, tmp_path):
         now = work.written(stage(spark, now, str(tmp_path)), name)
         assert name == "token_files" or now.columns == docs.columns
     assert {tuple(r) for r in now.collect()} == {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+
+def test_near_duplicates_of_a_template_family(spark):
+    """Pages of one template about 0.74 alike, some pairs of them at or over the threshold; copies and null ids beside them."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    template = [word() for _ in range(300)]
+    page = lambda head, own: " ".join(head + template + [word() for _ in range(own)])
+    rows = []
+    for _ in range(60):
+        rows.append((len(rows), page([], int(rng.integers(48, 56)))))
+    for _ in range(11):
+        head = [word() for _ in range(40)]
+        rows += [(len(rows), page(head, 12)), (len(rows) + 1, page(head, 12))]
+    want = brute_classes(rows)
+    assert len(rows) - 11 - 20 < len(set(want.values())) <= len(rows) - 11
+    rows += [(i, t) for i, t in rows[5:9]] + [(1000 + i, t) for i, t in rows[40:44]] + [(None, rows[0][1]), (2000, None), (2001, ""), (2002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates.classes(df).collect()
+    assert len(got) == len(rows)
+    want |= {1000 + i: want[i] for i, _ in rows[40:44]} | {None: None, 2000: 2000, 2001: 2001, 2002: 2002}
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Groups of more members than a block: classes meet whatever blocks they are dealt to."""
+    rng = np.random.default_rng(6)
+    member = [(k, n, int(n // 3 if k == 1 else n % 2), bytes(rng.integers(0, 4, near_duplicates.SIZE, np.uint8))) for k in (1, 2, 3) for n in range(3 + 20 * (3 - k))]
+    least = near_duplicates.least_agreement(0.4)
+    want = {(b[1], a[1]) for a in member for b in member if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and sum(x == y for x, y in zip(a[3], b[3])) >= least}
+    assert len(want) > 20
+    df = spark.createDataFrame(member, "key long, node long, label long, digest binary")
+    for block in (2, 7, 1000):
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        got = [tuple(r) for r in near_duplicates.candidates(df, 0.4).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -9,13 +9,15 @@ Jaccard similarity. Points are made in the order of time and only until every co
 is set from the document's total weight, and widened for the few documents that it leaves unsettled.
 
 Linking. Rows of one text count as one (its smallest doc_id). Band values meet in groups. Pairs are checked on
-the texts themselves: similarity of the multisets of shingles at least `threshold`. First each member is compared
-with the group's smallest, what the band agreements say is most alike before the rest, until no round joins
-classes. Groups that still hold several classes go on: some of their classes, drawn by hash, four times as many in
-each round, are centres that all others are compared with, through one member of each class, and classes are joined
-between rounds. In the end all pairs of members of different classes of a group that were not checked are checked.
-So every pair that meets in a band is compared or already joined; the pairs are few where groups are alike and
-quadratic only in members that are not. Links join classes by min-label propagation in Spark.
+the texts themselves: similarity of the multisets of shingles at least `threshold`. First each text is compared
+with the smallest of its groups, in two rounds: the one with which it shares most bands, then the others. That
+joins large groups of near copies at a cost in proportion to them. Groups that still hold several classes are
+compared member by member, classes against classes: a group's largest class is one side, its other members are
+both sides, each side is dealt in blocks of BLOCK members by a hash, and a task gets two blocks of signatures.
+A pair is a candidate if it agrees in so many components that fewer have a chance under 1e-6 at the threshold;
+candidates go to the check on the texts. So no pair that meets in a band is left out but by that chance, no group
+is in one task, and no list of all its pairs is made; the work is quadratic only in members of different classes.
+Links join classes by min-label propagation in Spark.
 
 Defined cases: a text without words (null, empty, marks only) is never linked; a text of one to four words is
 one shingle; repeated rows of one doc_id share its class; ties go to the smaller doc_id; null doc_ids are kept
@@ -39,6 +41,10 @@ THRESHOLD = 0.8
 #: Bands of rows: a pair at the threshold misses all of them with probability under 1e-7.
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
+#: Standard deviations under the mean agreement at the threshold that a candidate may lie: a chance under 1e-6.
+DEVIATIONS = 4.9
+#: Members of a block; a task compares two.
+BLOCK = 2048
 U = np.uint64
 
 
@@ -117,20 +123,23 @@ def _multisets(column: pa.Array, most: int = 3 << 20):
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, keys for each row: keys is null for a text without words."""
+    """doc_id, text_key, keys, digest for each row: both are null for a text without words; digest has a byte of
+    each component of the signature."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, n, (doc, shingle, weight) in _multisets(batch.column("text")):
-                keys = band_keys(signatures(doc, shingle, weight, n))
+                names = signatures(doc, shingle, weight, n)
+                keys, digest = band_keys(names), (names >> U(40)).astype(np.uint8)
                 some = np.zeros(n, bool)
                 some[doc] = True
                 flat = pa.array(keys[some].reshape(-1).view(np.int64))
                 off = pa.array(np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32), mask=np.append(~some, False))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("text_key").slice(lo, n), pa.ListArray.from_arrays(off, flat)], names=["doc_id", "text_key", "keys"])
+                digests = pa.array([row.tobytes() if has else None for row, has in zip(digest, some)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("text_key").slice(lo, n), pa.ListArray.from_arrays(off, flat), digests], names=["doc_id", "text_key", "keys", "digest"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), "text")
-    return rows.mapInArrow(make, "doc_id long, text_key binary, keys array<long>")
+    return rows.mapInArrow(make, "doc_id long, text_key binary, keys array<long>, digest binary")
 
 
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -186,9 +195,12 @@ SALT_ROWS = 512
 def checked(pairs: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose similarity is at least `threshold`. b may be one document for many a: its pairs are
     dealt by a salt, and its text goes to each of them."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(salts.hint("merge"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int"))
-    right = texts_of.join(salts.withColumnRenamed("b", "node").hint("merge"), "node").select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    many = work.written(many.where("salts > 1"), "salts")
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(many.hint("merge"), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int"))
+    right = texts_of.join(many.withColumnRenamed("b", "node").hint("merge"), "node", "left")
+    right = right.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rows = salted.select("a", "b", "salt").join(right.hint("merge"), ["b", "salt"])
     rows = rows.join(texts_of.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
 
@@ -200,8 +212,60 @@ def checked(pairs: DataFrame, texts_of: DataFrame, threshold: float) -> DataFram
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-#: Classes, or members of a class, of one group that one task compares others with, about.
-GROUP_ROWS = 4096
+def least_agreement(threshold: float, size: int = SIZE) -> int:
+    """Components in which two texts at the threshold agree at least, but for DEVIATIONS; bytes agree by chance, too."""
+    p = threshold + (1 - threshold) / 256
+    return int(np.floor(size * p - DEVIATIONS * np.sqrt(size * p * (1 - p))))
+
+
+def alike(left: np.ndarray, right: np.ndarray, least: int, step: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two matrices of digests that agree in `least` components or more; `step` bytes are compared at once."""
+    found, rows = [], max(1, step // max(1, right.size))
+    for lo in range(0, len(left), rows):
+        same = (left[lo : lo + rows, None, :] == right[None, :, :]).sum(2, dtype=np.uint16)
+        i, j = np.nonzero(same >= least)
+        found.append((i + lo, j))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def candidates(open_: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of different classes of a group that may be alike, for rows (key, node, label, digest)
+    of groups that hold several classes."""
+    sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("key").agg(F.sum("size").alias("n"), F.max(F.struct("size", "label")).alias("top"))
+    sizes = sizes.select("key", F.col("top.label").alias("most"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("top.size")) / BLOCK).cast("int").alias("rest"))
+    sizes = work.written(sizes, "open-sizes")
+    rows = open_.join(sizes.hint("merge"), "key").withColumn("main", F.col("label") == F.col("most"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("wide")).otherwise(F.col("rest"))).cast("int"))
+    # Tasks of a group: (r, x) for two blocks of the rest, r <= x, and (r, rest + w) for one and a block of the largest class.
+    own = F.sequence(F.lit(0), F.col("rest") + F.col("wide") - 1)
+    from_rest = F.transform(own, lambda x: F.struct(F.least("block", x).alias("r"), F.greatest("block", x).alias("x")))
+    from_main = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda r: F.struct(r.alias("r"), (F.col("rest") + F.col("block")).alias("x")))
+    rows = rows.withColumn("task", F.explode(F.when(F.col("main"), from_main).otherwise(from_rest)))
+    # In a task of two blocks the second one is the right side; in one of a block with itself it is both.
+    right = F.when(F.col("main"), F.lit(True)).otherwise((F.col("block") == F.col("task.x")) & (F.col("task.r") != F.col("task.x")))
+    member = F.struct("node", "label", right.alias("right"), "digest")
+    tasks = rows.groupBy("key", "task").agg(F.collect_list(member).alias("m"))
+    tasks = tasks.select(F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.right").alias("rights"), F.col("m.digest").alias("digests"))
+    least = least_agreement(threshold)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros((2, 0), np.int64)]
+            for k in range(batch.num_rows):
+                node, label, right = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("nodes", "labels", "rights"))
+                digest = texts.buffer(batch.column("digests")[k].values)[0].reshape(-1, SIZE)
+                x = np.flatnonzero(~right)
+                y = np.flatnonzero(right) if right.any() else x
+                i, j = alike(digest[x], digest[y], least)
+                i, j = x[i], y[j]
+                ok = (label[i] != label[j]) & ((i < j) | bool(right.any()))
+                i, j = i[ok], j[ok]
+                out.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]))
+            a, b = np.concatenate(out, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return tasks.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -211,104 +275,60 @@ def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) that are not in `tried` in either order."""
-    if tried is None:
-        return pairs
-    each = [F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")]
-    return pairs.select("a", "b", *each).join(tried.select(*each).hint("merge"), ["u", "v"], "left_anti").select("a", "b")
-
-
-def _met_by_centres(per: DataFrame, centres: int) -> DataFrame:
-    """Pairs (a, b) of members of each group's classes, b of about `centres` classes drawn by hash and a of those
-    after it in the order of the hash; all pairs of classes if `centres` is at least n. A group's classes are dealt
-    by a salt, and centres go to each of them."""
-    draw = F.pmod(F.xxhash64("label"), F.lit(1 << 30))
-    rows = per.withColumn("draw", draw).withColumn("salts", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
-    left = rows.select("key", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a", F.struct("draw", "label").alias("place"))
-    right = rows.where(F.col("draw") * F.col("n") < F.lit(float(centres << 30)))
-    right = right.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"), F.struct("draw", "label").alias("centre"))
-    return left.join(right.hint("merge"), ["key", "salt"]).where("place > centre").select("a", "b").distinct()
-
-
-def _met_by_members(per: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of different classes of a group, where one of the classes has more than one there."""
-    salts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    left = per.select("key", F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"), "label", "size")
-    right = per.where("size > 1").select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("label").alias("with"), F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("parts"))
-    # Of two such classes one is enough.
-    both = left.join(right.hint("merge"), ["key", "salt"]).where("label < with or (label > with and size = 1)")
-    both = both.join(members.select("key", "label", F.col("node").alias("a")).hint("merge"), ["key", "label"])
-    both = both.select("key", "with", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    own = per.select("key", "label", F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("parts")).join(members.select("key", "label", "node").hint("merge"), ["key", "label"])
-    own = own.select("key", F.col("label").alias("with"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.col("node").alias("b"))
-    return both.join(own.hint("merge"), ["key", "with", "part"]).select("a", "b").distinct()
-
-
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id for each row: the smallest doc_id that its text is linked to, directly or through others."""
+    work.prepare(docs.sparkSession)
     rows = work.written(signed(docs), "signed", compression="zstd")
-    nodes = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    worded = rows.where("keys is not null and doc_id is not null")
+    nodes = worded.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("digest").alias("digest"))
     nodes = work.written(nodes, "nodes", compression="zstd")
-    each = nodes.where("node is not null").select("node", F.posexplode("keys").alias("band", "key"))
+    each = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     groups = each.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    met = work.written(each.join(groups.select("key").hint("shuffle_hash"), "key", "left_semi"), "met")
-    involved = met.select("node").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(involved.hint("merge"), "node", "left_semi")
+    groups = work.written(groups.select("key", "least"), "groups")
+    met = work.written(each.join(groups.hint("merge"), "key"), "met")
+    involved = work.written(met.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "involved")
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(involved.select("node").hint("merge"), "node", "left_semi")
     own = work.written(own.groupBy("node").agg(F.min("text").alias("text")), "met-texts", compression="zstd")
-    links = tried = labels = None
-
-    def joined(pairs: DataFrame) -> bool:
-        """Check pairs, and join the classes of those alike; False if there are no pairs."""
-        nonlocal links, tried, labels
-        pairs = work.written(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return False
-        good = work.written(checked(pairs, own, threshold), "good")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            labels = components(links)
-        return True
+    links = labels = None
 
-    while True:
-        per = _labelled(met, labels).groupBy("key", "label").agg(F.min("node").alias("a"))
-        least = per.groupBy("key").agg(F.min(F.struct("label", "a")).alias("least"))
-        pairs = per.join(least.hint("merge"), "key").where("label > least.label").select("a", F.col("least.a").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-        if tried is None:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
-        if not joined(_untried(pairs, tried)):
-            break
-    # A pair of bands says nothing that its bands don't.
-    centres, rest = 1, met.where(F.col("band") < BANDS).select("key", "node")
-    while True:
-        per = _labelled(rest, labels).groupBy("key", "label").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size"))
-        sizes = per.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        per = work.written(per.join(sizes.hint("merge"), "key"), "open")
-        most = per.agg(F.max("n")).first()[0]
-        if most is None or centres >= 4 * most:
-            break
-        rest = work.written(rest.join(per.select("key").distinct().hint("merge"), "key", "left_semi"), "open-nodes")
-        joined(_untried(_met_by_centres(per, centres), tried))
-        centres *= 4
-    if most is not None:
-        joined(_untried(_met_by_members(per, _labelled(rest, labels)), tried))
-    keyed = nodes.select("text_key", "node", F.col("keys").isNotNull().alias("has_words"))
-    out = rows.select("doc_id", "text_key").join(keyed.hint("merge"), "text_key")
-    if labels is not None:
-        out = out.join(labels.hint("merge"), "node", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    return out.select("doc_id", F.when(F.col("has_words") & F.col("doc_id").isNotNull(), F.coalesce("label", "node")).otherwise(F.col("doc_id")).alias("class_id"))
+    def joined(pairs: DataFrame) -> None:
+        """Check pairs, and join the classes of those alike."""
+        nonlocal links, labels
+        good = work.written(checked(pairs, own, threshold), "good")
+        links = good if links is None else links.unionByName(good)
+        labels = components(links)
+
+    # Each text with the smallest of the groups that it shares most of, then with those of its other groups.
+    votes = met.where("node > least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("votes"))
+    votes = work.written(votes, "votes")
+    first = votes.groupBy("node").agg(F.max_by("least", F.struct("votes", -F.col("least"))).alias("least"))
+    joined(work.written(first.select(F.col("node").alias("a"), F.col("least").alias("b")), "pairs"))
+    to = labels.select(F.col("node").alias("least"), F.col("label").alias("to"))
+    others = _labelled(votes.join(first.hint("merge"), ["node", "least"], "left_anti"), labels)
+    others = others.join(to.hint("merge"), "least", "left").where("label != coalesce(to, least)")
+    joined(work.written(others.select(F.col("node").alias("a"), F.col("least").alias("b")), "pairs"))
+    # What shares a pair of bands shares each of them.
+    rest = _labelled(met.where(F.col("band") < BANDS).select("key", "node"), labels)
+    rest = work.written(rest, "labelled")
+    mark = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    sets = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), mark.alias("mark"), F.count(F.lit(1)).alias("n")).where("low < high")
+    # Groups of the same members are compared once.
+    sets = work.written(sets.groupBy("mark", "n").agg(F.min("key").alias("key")).select("key"), "open")
+    rest = rest.join(sets.hint("merge"), "key").join(nodes.select("node", "digest").hint("merge"), "node")
+    rest = work.written(rest.select("key", "node", "label", "digest"), "open-members")
+    joined(work.written(candidates(rest, threshold), "pairs"))
+    named = nodes.select("text_key", "node").join(labels.hint("merge"), "node", "left").select("text_key", F.coalesce("label", "node").alias("class_id"))
+    out = worded.select("doc_id", "text_key").join(work.written(named, "named").hint("merge"), "text_key").select("doc_id", "class_id")
+    return out.unionByName(rows.where("keys is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the one with the smallest doc_id, with all columns; rows without doc_id stay."""
     found = work.written(classes(docs, threshold), "classes")
-    keep = found.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(keep.hint("merge"), F.col("doc_id") == F.col("__keep"), "left_semi")
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1").drop("__nth")
+    keep, nth = work.unused(docs, "keep"), work.unused(docs, "nth")
+    kept = work.written(found.where("doc_id = class_id").select(F.col("doc_id").alias(keep)).distinct(), "kept")
+    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col(keep), "left_semi")
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1).drop(nth)
     return rows.unionByName(docs.where("doc_id is null"))
 
 
