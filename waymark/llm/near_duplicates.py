@@ -10,14 +10,16 @@ is set from the document's total weight, and widened for the few documents that
 
 Linking. Rows of one text count as one (its smallest doc_id). Band values meet in groups. Pairs are checked on
 the texts themselves: similarity of the multisets of shingles at least `threshold`. First each text is compared
-with the smallest of its groups, in two rounds: the one with which it shares most bands, then the others. That
-joins large groups of near copies at a cost in proportion to them. Groups that still hold several classes are
-compared member by member, classes against classes: a group's largest class is one side, its other members are
-both sides, each side is dealt in blocks of BLOCK members by a hash, and a task gets two blocks of signatures.
-A pair is a candidate if it agrees in so many components that fewer have a chance under 1e-6 at the threshold;
-candidates go to the check on the texts. So no pair that meets in a band is left out but by that chance, no group
-is in one task, and no list of all its pairs is made; the work is quadratic only in members of different classes.
-Links join classes by min-label propagation in Spark.
+with the smallest of a group, the one with which it shares most bands. That joins many near copies at a cost in
+proportion to them. Groups that still hold several classes are compared member by member, classes against classes: a
+group's largest class is one side, its other members are both sides, each side is dealt in blocks by a hash, and a
+task gets two blocks of signatures. A pair is a candidate if one text is not much longer than the other and they agree
+in so many components that fewer have a chance under 1e-6 at the threshold. Where a task has few candidates for its
+members, it names them, and they are compared as in the first step. Where it has many (texts around one template),
+it names the members alone: their shingles go to a task that compares them in place and returns links that join what
+was not joined yet, less than one for each member. So no pair that meets in a band is left out but by that chance, no
+group is in one task, and no list of all its pairs is made; arithmetic alone is quadratic, in members of different
+classes. Links join classes by min-label propagation in Spark.
 
 Defined cases: a text without words (null, empty, marks only) is never linked; a text of one to four words is
 one shingle; repeated rows of one doc_id share its class; ties go to the smaller doc_id; null doc_ids are kept
@@ -43,8 +45,8 @@ BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 #: Standard deviations under the mean agreement at the threshold that a candidate may lie: a chance under 1e-6.
 DEVIATIONS = 4.9
-#: Members of a block; a task compares two.
-BLOCK = 2048
+#: Members of a block, and shingles that they have, about; a task compares two. Candidates for each member that it names.
+BLOCK, MASS, NAMED = 2048, 2 << 20, 4
 U = np.uint64
 
 
@@ -123,8 +125,8 @@ def _multisets(column: pa.Array, most: int = 3 << 20):
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, keys, digest for each row: both are null for a text without words; digest has a byte of
-    each component of the signature."""
+    """doc_id, text_key, keys, digest, mass for each row: keys and digest are null for a text without words; digest has
+    a byte of each component of the signature; mass is the number of shingles."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +138,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 flat = pa.array(keys[some].reshape(-1).view(np.int64))
                 off = pa.array(np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32), mask=np.append(~some, False))
                 digests = pa.array([row.tobytes() if has else None for row, has in zip(digest, some)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("text_key").slice(lo, n), pa.ListArray.from_arrays(off, flat), digests], names=["doc_id", "text_key", "keys", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("text_key").slice(lo, n), pa.ListArray.from_arrays(off, flat), digests, pa.array(np.bincount(doc, weight, n).astype(np.int64))], names=["doc_id", "text_key", "keys", "digest", "mass"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), "text")
-    return rows.mapInArrow(make, "doc_id long, text_key binary, keys array<long>, digest binary")
+    return rows.mapInArrow(make, "doc_id long, text_key binary, keys array<long>, digest binary, mass long")
 
 
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -228,12 +230,13 @@ def alike(left: np.ndarray, right: np.ndarray, least: int, step: int = 1 << 23)
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
 
-def candidates(open_: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members of different classes of a group that may be alike, for rows (key, node, label, digest)
-    of groups that hold several classes."""
-    sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.groupBy("key").agg(F.sum("size").alias("n"), F.max(F.struct("size", "label")).alias("top"))
-    sizes = sizes.select("key", F.col("top.label").alias("most"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("top.size")) / BLOCK).cast("int").alias("rest"))
+def candidates(open_: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For rows (key, node, label, digest, mass) of groups that hold several classes: pairs (a, b) of members of
+    different classes that may be alike, and rows (key, r, x, node, label, right) of tasks that have many of them."""
+    sizes = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("mass").alias("mass"))
+    sizes = sizes.groupBy("key").agg(F.sum("size").alias("n"), F.sum("mass").alias("mass"), F.max(F.struct("size", "label", "mass")).alias("top"))
+    parts = lambda n, mass: F.greatest(F.ceil(n / BLOCK), F.ceil(mass / MASS)).cast("int")
+    sizes = sizes.select("key", F.col("top.label").alias("most"), parts(F.col("top.size"), F.col("top.mass")).alias("wide"), parts(F.col("n") - F.col("top.size"), F.col("mass") - F.col("top.mass")).alias("rest"))
     sizes = work.written(sizes, "open-sizes")
     rows = open_.join(sizes.hint("merge"), "key").withColumn("main", F.col("label") == F.col("most"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("wide")).otherwise(F.col("rest"))).cast("int"))
@@ -244,34 +247,103 @@ def candidates(open_: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("task", F.explode(F.when(F.col("main"), from_main).otherwise(from_rest)))
     # In a task of two blocks the second one is the right side; in one of a block with itself it is both.
     right = F.when(F.col("main"), F.lit(True)).otherwise((F.col("block") == F.col("task.x")) & (F.col("task.r") != F.col("task.x")))
-    member = F.struct("node", "label", right.alias("right"), "digest")
+    member = F.struct("node", "label", right.alias("right"), "digest", "mass")
     tasks = rows.groupBy("key", "task").agg(F.collect_list(member).alias("m"))
-    tasks = tasks.select(F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.right").alias("rights"), F.col("m.digest").alias("digests"))
+    tasks = tasks.select("key", F.col("task.r").alias("r"), F.col("task.x").alias("x"), *[F.col(f"m.{c}").alias(c) for c in ("node", "label", "right", "digest", "mass")])
     least = least_agreement(threshold)
+    names = ["key", "r", "x", "node", "label", "right", "other"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.zeros((2, 0), np.int64)]
+            out = []
             for k in range(batch.num_rows):
-                node, label, right = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("nodes", "labels", "rights"))
-                digest = texts.buffer(batch.column("digests")[k].values)[0].reshape(-1, SIZE)
+                node, label, right, mass = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("node", "label", "right", "mass"))
+                digest = texts.buffer(batch.column("digest")[k].values)[0].reshape(-1, SIZE)
                 x = np.flatnonzero(~right)
                 y = np.flatnonzero(right) if right.any() else x
                 i, j = alike(digest[x], digest[y], least)
                 i, j = x[i], y[j]
-                ok = (label[i] != label[j]) & ((i < j) | bool(right.any()))
+                fits = np.minimum(mass[i], mass[j]) >= threshold * np.maximum(mass[i], mass[j]) - 1e-9
+                ok = (label[i] != label[j]) & fits & ((i < j) | bool(right.any()))
                 i, j = i[ok], j[ok]
-                out.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]))
-            a, b = np.concatenate(out, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                place = [batch.column(c)[k].as_py() for c in ("key", "r", "x")]
+                if len(i) <= NAMED * len(node):
+                    a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+                    out.append((a, b, np.zeros(len(a), np.int64), np.zeros(len(a), bool), *(np.full(len(a), v) for v in (0, 0, 0)), np.zeros(len(a), bool)))
+                else:
+                    own = np.unique(np.concatenate([i, j]))
+                    out.append((node[own], node[own], label[own], right[own], *(np.full(len(own), v) for v in place), np.ones(len(own), bool)))
+            if out:
+                a, b, label, right, key, r, x, many = (np.concatenate(c) for c in zip(*out))
+                columns = [pa.array(key.astype(np.int64)), pa.array(r.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(a), pa.array(label), pa.array(right), pa.array(b, mask=many)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = tasks.mapInArrow(compare, "key long, r int, x int, node long, label long, right boolean, other long")
+    found = work.written(found, "candidates")
+    pairs = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    return pairs, found.where("other is null").drop("other")
+
+
+def shingled(texts_of: DataFrame) -> DataFrame:
+    """node, shingles of (node, text): the multiset as a sorted set, each shingle hashed with its number among equal ones."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n, (doc, shingle, weight) in _multisets(batch.column("text")):
+                nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                own, where = texts.mixed(np.repeat(shingle, weight) + nth.astype(U) * U(0x9E3779B97F4A7C15)), np.repeat(doc, weight)
+                cut = np.searchsorted(where, np.arange(n + 1))
+                raw = pa.array([own[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, n), raw], names=["node", "shingles"])
+
+    return texts_of.select("node", "text").mapInArrow(make, "node long, shingles binary")
+
+
+def joins(node: np.ndarray, label: np.ndarray, right: np.ndarray, shingles: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) among members of one task that join classes which are not joined yet: members of the left side are
+    compared with all of the right side (with each other if there is none), similarity from counts of shared shingles."""
+    size = np.array([len(x) // 8 for x in shingles])
+    _, feature = np.unique(np.frombuffer(b"".join(shingles), U), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    x = np.flatnonzero(~right)
+    y = np.flatnonzero(right) if right.any() else x
+    flat = feature if len(y) == len(size) else np.concatenate([feature[begin[j] : begin[j + 1]] for j in y])
+    starts = np.concatenate([[0], np.cumsum(size[y])])[:-1]
+    mark = np.zeros(feature.max(initial=0) + 1, np.int32)
+    _, group = np.unique(label, return_inverse=True)
+    out = []
+    for i in x:
+        own = feature[begin[i] : begin[i + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[flat], starts)
+        mark[own] = 0
+        for j in y[shared >= threshold * (size[i] + size[y] - shared) - 1e-9]:
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                out.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+    return out
+
+
+def compared(dense: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of the tasks in `dense`."""
+    needed = work.written(dense.select("node").distinct(), "dense-nodes")
+    own = work.written(shingled(texts_of.join(needed.hint("merge"), "node", "left_semi")), "dense-shingles")
+    rows = dense.join(own.hint("merge"), "node")
+    tasks = rows.groupBy("key", "r", "x").agg(F.collect_list(F.struct("node", "label", "right", "shingles")).alias("m"))
+    tasks = tasks.select(*[F.col(f"m.{c}").alias(c) for c in ("node", "label", "right", "shingles")])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                node, label, right = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("node", "label", "right"))
+                found = joins(node, label, right, batch.column("shingles")[k].values.to_pylist(), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return tasks.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     """met with each node's class as `label`."""
-    if labels is None:
-        return met.withColumn("label", F.col("node"))
     return met.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -280,7 +352,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     work.prepare(docs.sparkSession)
     rows = work.written(signed(docs), "signed", compression="zstd")
     worded = rows.where("keys is not null and doc_id is not null")
-    nodes = worded.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("digest").alias("digest"))
+    nodes = worded.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("digest").alias("digest"), F.first("mass").alias("mass"))
     nodes = work.written(nodes, "nodes", compression="zstd")
     each = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     groups = each.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
@@ -289,34 +361,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     involved = work.written(met.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "involved")
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(involved.select("node").hint("merge"), "node", "left_semi")
     own = work.written(own.groupBy("node").agg(F.min("text").alias("text")), "met-texts", compression="zstd")
-    links = labels = None
-
-    def joined(pairs: DataFrame) -> None:
-        """Check pairs, and join the classes of those alike."""
-        nonlocal links, labels
-        good = work.written(checked(pairs, own, threshold), "good")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-
-    # Each text with the smallest of the groups that it shares most of, then with those of its other groups.
+    # Each text with the smallest of the groups that it shares most of.
     votes = met.where("node > least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("votes"))
-    votes = work.written(votes, "votes")
     first = votes.groupBy("node").agg(F.max_by("least", F.struct("votes", -F.col("least"))).alias("least"))
-    joined(work.written(first.select(F.col("node").alias("a"), F.col("least").alias("b")), "pairs"))
-    to = labels.select(F.col("node").alias("least"), F.col("label").alias("to"))
-    others = _labelled(votes.join(first.hint("merge"), ["node", "least"], "left_anti"), labels)
-    others = others.join(to.hint("merge"), "least", "left").where("label != coalesce(to, least)")
-    joined(work.written(others.select(F.col("node").alias("a"), F.col("least").alias("b")), "pairs"))
+    pairs = work.written(first.select(F.col("node").alias("a"), F.col("least").alias("b")), "pairs")
+    links = work.written(checked(pairs, own, threshold), "links")
+    labels = components(links)
     # What shares a pair of bands shares each of them.
-    rest = _labelled(met.where(F.col("band") < BANDS).select("key", "node"), labels)
-    rest = work.written(rest, "labelled")
+    rest = work.written(_labelled(met.where(F.col("band") < BANDS).select("key", "node"), labels), "labelled")
     mark = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
     sets = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), mark.alias("mark"), F.count(F.lit(1)).alias("n")).where("low < high")
     # Groups of the same members are compared once.
     sets = work.written(sets.groupBy("mark", "n").agg(F.min("key").alias("key")).select("key"), "open")
-    rest = rest.join(sets.hint("merge"), "key").join(nodes.select("node", "digest").hint("merge"), "node")
-    rest = work.written(rest.select("key", "node", "label", "digest"), "open-members")
-    joined(work.written(candidates(rest, threshold), "pairs"))
+    rest = rest.join(sets.hint("merge"), "key").join(nodes.select("node", "digest", "mass").hint("merge"), "node")
+    rest = work.written(rest.select("key", "node", "label", "digest", "mass"), "open-members")
+    pairs, dense = candidates(rest, threshold)
+    more = checked(work.written(pairs, "pairs"), own, threshold).unionByName(compared(dense, own, threshold))
+    labels = components(links.unionByName(work.written(more, "links")))
     named = nodes.select("text_key", "node").join(labels.hint("merge"), "node", "left").select("text_key", F.coalesce("label", "node").alias("class_id"))
     out = worded.select("doc_id", "text_key").join(work.written(named, "named").hint("merge"), "text_key").select("doc_id", "class_id")
     return out.unionByName(rows.where("keys is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
