@@ -220,14 +220,28 @@ def least_agreement(threshold: float, size: int = SIZE) -> int:
     return int(np.floor(size * p - DEVIATIONS * np.sqrt(size * p * (1 - p))))
 
 
-def alike(left: np.ndarray, right: np.ndarray, least: int, step: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two matrices of digests that agree in `least` components or more; `step` bytes are compared at once."""
-    found, rows = [], max(1, step // max(1, right.size))
-    for lo in range(0, len(left), rows):
-        same = (left[lo : lo + rows, None, :] == right[None, :, :]).sum(2, dtype=np.uint16)
-        i, j = np.nonzero(same >= least)
-        found.append((i + lo, j))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+def alike(digest: np.ndarray, label: np.ndarray, mass: np.ndarray, right: np.ndarray, threshold: float, most: int, step: int = 1 << 22) -> tuple[list, np.ndarray]:
+    """Members of one task that may be alike: pairs (rows of left and right side) while they are `most` at most, and all
+    members in such pairs. `step` bytes are compared at once, and no list of pairs outgrows `most`."""
+    least = least_agreement(threshold)
+    x = np.flatnonzero(~right)
+    y = np.flatnonzero(right) if right.any() else x
+    pairs, met, many = [], np.zeros(len(digest), bool), 0
+    rows = max(1, step // max(1, digest[y].size))
+    for lo in range(0, len(x), rows):
+        i = x[lo : lo + rows]
+        good = (digest[i][:, None, :] == digest[y][None, :, :]).sum(2, dtype=np.uint8) >= least
+        good &= label[i][:, None] != label[y][None, :]
+        good &= np.minimum(mass[i][:, None], mass[y][None, :]) >= threshold * np.maximum(mass[i][:, None], mass[y][None, :]) - 1e-9
+        if y is x:
+            good &= i[:, None] < y[None, :]
+        met[i] |= good.any(1)
+        met[y] |= good.any(0)
+        many += int(good.sum())
+        if many <= most:
+            a, b = np.nonzero(good)
+            pairs.append(np.stack([i[a], y[b]]))
+    return (pairs if many <= most else []), met
 
 
 def candidates(open_: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +264,6 @@ def candidates(open_: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     member = F.struct("node", "label", right.alias("right"), "digest", "mass")
     tasks = rows.groupBy("key", "task").agg(F.collect_list(member).alias("m"))
     tasks = tasks.select("key", F.col("task.r").alias("r"), F.col("task.x").alias("x"), *[F.col(f"m.{c}").alias(c) for c in ("node", "label", "right", "digest", "mass")])
-    least = least_agreement(threshold)
     names = ["key", "r", "x", "node", "label", "right", "other"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,19 +272,14 @@ def candidates(open_: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
             for k in range(batch.num_rows):
                 node, label, right, mass = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("node", "label", "right", "mass"))
                 digest = texts.buffer(batch.column("digest")[k].values)[0].reshape(-1, SIZE)
-                x = np.flatnonzero(~right)
-                y = np.flatnonzero(right) if right.any() else x
-                i, j = alike(digest[x], digest[y], least)
-                i, j = x[i], y[j]
-                fits = np.minimum(mass[i], mass[j]) >= threshold * np.maximum(mass[i], mass[j]) - 1e-9
-                ok = (label[i] != label[j]) & fits & ((i < j) | bool(right.any()))
-                i, j = i[ok], j[ok]
+                pairs, met = alike(digest, label, mass, right, threshold, NAMED * len(node))
                 place = [batch.column(c)[k].as_py() for c in ("key", "r", "x")]
-                if len(i) <= NAMED * len(node):
+                if pairs or not met.any():
+                    i, j = np.concatenate([np.zeros((2, 0), np.int64), *pairs], 1)
                     a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
                     out.append((a, b, np.zeros(len(a), np.int64), np.zeros(len(a), bool), *(np.full(len(a), v) for v in (0, 0, 0)), np.zeros(len(a), bool)))
                 else:
-                    own = np.unique(np.concatenate([i, j]))
+                    own = np.flatnonzero(met)
                     out.append((node[own], node[own], label[own], right[own], *(np.full(len(own), v) for v in place), np.ones(len(own), bool)))
             if out:
                 a, b, label, right, key, r, x, many = (np.concatenate(c) for c in zip(*out))
