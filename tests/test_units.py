@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
-from waymark.operators import dedupe, enrich, intent, places, quality, search, spatial, sync
+from waymark.operators import dedupe, enrich, geocode, intent, places, quality, rank, search, spatial, sync
 from waymark.sources.spec import SourceSpec
 from waymark.sources.store import written
 
@@ -130,6 +130,8 @@ def test_wikidata_labels(spark, tmp_path):
 
 def test_fuzzy_tokens_equal_all_pairs(spark):
     words = ["baghdad", "bagdad", "bagdda", "cafe", "caffe", "caf", "ab", "abc", "restaurant", "restorant", "x"]
+    long = ["internationale", "internationals", "nternational", "internatonals", "xinternationaley", "international" * 20, "international" * 19 + "internatonl", "twelveletter", "twelvelettersx", "elveletters"]
+    words += long
     known = spark.createDataFrame([(w,) for w in words], "token string")
     got = {(r.token, r.match, r.edits) for r in search.fuzzy_tokens(known, known).collect()}
     pairs = known.crossJoin(known.withColumnRenamed("token", "match")).withColumn("edits", F.levenshtein("token", "match"))
@@ -188,3 +190,92 @@ def test_nearest_rank_percentiles(spark):
 def test_validation(spark):
     q = spark.createDataFrame([(1, "cafe", None, None, None), (2, " ", None, None, None), (3, "x", "41", None, None), (4, "x", "5", "33", None), (5, "x" * 257, None, None, None), (6, "x", "1.5", None, None), (7, "x", "NaN", "95", "44")], "query_id int, text string, size string, `focus.lat` string, `focus.lon` string")
     assert {r.query_id: r.parameter for r in quality.validated(q).collect()} == {1: None, 2: "text", 3: "size", 4: "focus.point", 5: "text", 6: "size", 7: "focus.lat"}
+
+
+def test_radius_join_of_any_radius(spark):
+    docs = spark.createDataFrame([("a", 33.0, 44.0), ("b", 33.5, 44.0), ("c", 40.0, 60.0), ("d", -33.0, -136.0)], "_id string, lat double, lon double")
+    asks = spark.createDataFrame([(1, 33.0, 44.0, 1000.0), (2, 33.0, 44.0, 60_000.0), (3, 33.0, 44.0, 3_000_000.0), (4, 33.0, 44.0, 2.1e7), (5, 33.0, 44.0, 0.0)], "query_id int, q_lat double, q_lon double, radius double")
+    got = sorted((r.query_id, r._id) for r in spatial.radius_join(asks, docs).collect())
+    assert got == [(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (4, "a"), (4, "b"), (4, "c"), (4, "d"), (5, "a")]
+
+
+def test_nearby_by_categories(spark):
+    hits = spark.createDataFrame([(1, "a", "venue", 5.0, ["x", "y"]), (1, "b", "venue", 2.0, ["x"]), (1, "c", "venue", 1.0, ["z"]), (1, "d", "venue", 9.0, None)], "query_id int, _id string, layer string, distance double, category_ids array<string>")
+    wanted = F.array(F.lit("x"), F.lit("y"))
+    ids = lambda **k: [r._id for r in sorted(rank.nearby(hits, categories=wanted, **k).collect(), key=lambda r: r["rank"])]
+    assert ids() == ["b", "a"] and ids(mode="all") == ["a"] and ids(sort="relevance") == ["a", "b"]
+
+
+def test_terms_and_places_of_several_words(spark):
+    term = spark.createDataFrame([("category", "shop", "very old book and record shop of the town"), ("category", "hotel", "grand hotel"), ("category", "sea", "sea")], "type string, id string, term string")
+    place = spark.createDataFrame([("ny", "new york"), ("ny", "nyc"), ("er", "erbil")], "variant string, term string")
+    asked = ["hotel new york", "a very old book and record shop of the town here", "the grand hotels", "nyc", "newyork", "erbil"]
+    q = spark.createDataFrame([(i, t, t.split()) for i, t in enumerate(asked)], "query_id int, normalized string, tokens array<string>")
+    assert {(r.query_id, r.id) for r in intent.matched_terms(q, term).collect()} == {(1, "shop"), (2, "hotel")}
+    assert sorted((r.query_id, r.term) for r in intent.place_terms(q, place).collect()) == [(0, "new york"), (0, "nyc"), (3, "new york"), (3, "nyc"), (5, "erbil")]
+
+
+def test_prefixes_longer_than_the_join_key(spark):
+    known = spark.createDataFrame([("a" * 30,), ("a" * 25 + "b",), ("ab",)], "token string")
+    asked = spark.createDataFrame([("a" * 30,), ("a" * 22,), ("a",)], "token string")
+    assert sorted((len(r.token), len(r.match)) for r in search.prefix_tokens(asked, known).collect()) == [(1, 2), (1, 26), (1, 30), (22, 26), (22, 30), (30, 30)]
+
+
+@pytest.fixture(scope="module")
+def index(spark):
+    rows = [("a", "Baghdad Mall", "baghdad", "venue", "mall", 33.3, 44.4, 5.0), ("b", "Mansour Mall", "baghdad", "venue", "mall", 33.31, 44.35, 9.0), ("c", "Majidi Mall", "erbil", "venue", "mall", 36.2, 44.0, 1.0), ("d", "Mall Street", "erbil", "street", None, 36.2, 44.01, 0.0), ("e", "Central Pharmacy", "baghdad", "venue", "pharmacy", 33.32, 44.41, 2.0)]
+    docs = spark.createDataFrame(rows, "_id string, name string, locality string, layer string, category string, lat double, lon double, popularity double")
+    docs = docs.withColumns({"category_ids": F.when(F.col("category").isNotNull(), F.array("category")), "intent_groups": F.when(F.col("category") == "mall", F.array(F.lit("shopping"))), "country_a": F.lit("IQ"), "source": F.lit("osm"), "source_id": F.col("_id")})
+    words = lambda c: text.tokenize(F.lower(F.coalesce(c, F.lit(""))))
+    fields = {"name.default": words(F.col("name")), "label": words(F.concat_ws(" ", "name", "locality")), "locality": words(F.col("locality")), "parent.locality": words(F.col("locality")), "category": words(F.col("category")), "address_parts.street": words(F.when(F.col("layer") == "street", F.col("name")))}
+    return docs, geocode.build(docs, fields)
+
+
+@pytest.fixture(scope="module")
+def dims(spark):
+    term = spark.createDataFrame([("category", "pharmacy", "pharmacy"), ("category", "pharmacy", "chemist"), ("intent_group", "shopping", "shopping")], "type string, id string, term string")
+    cat = spark.createDataFrame([("pharmacy", ["health"], 0.5)], "category_id string, intent_groups array<string>, importance double")
+    return term, cat, spark.createDataFrame([("e", "erbil"), ("e", "arbil"), ("b", "baghdad"), ("b", "bagdad")], "variant string, term string")
+
+
+def _asked(spark, texts, schema="", more=()):
+    rows = [(i, t, t.split(), *(more[i] if more else ())) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, f"query_id int, normalized string, tokens array<string>{schema}")
+
+
+def _found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append(r._id)
+    return out
+
+
+def test_search_finds_misspelt_words_categories_and_places(spark, index, dims):
+    got = _found(geocode.find(_asked(spark, ["mansuor mall", "majidi mall arbil", "mall erbil", "chemist", "chemist arbil", "shopping bagdad", "nowhere", ""]), index[1], dims))
+    assert got[0] == ["b"] and got[1] == ["c"] and set(got[2]) == {"c", "d"} and got[3] == ["e"] and set(got[5]) == {"a", "b"}
+    assert set(got) == {0, 1, 2, 3, 5}
+
+
+def test_search_filters_and_focus(spark, index, dims):
+    more = [(36.2, 44.0, None, None, None), (None, None, ["street"], None, None), (None, None, None, "iq", (44.38, 33.2, 44.5, 33.4)), (None, None, None, "TR", None)]
+    q = _asked(spark, ["mall"] * 4, ", q_lat double, q_lon double, layers array<string>, country string, rect struct<min_lon: double, min_lat: double, max_lon: double, max_lat: double>", more)
+    got = _found(geocode.find(q, index[1], dims))
+    assert set(got[0][:2]) == {"c", "d"} and got[1] == ["d"] and got[2] == ["a"] and 3 not in got
+
+
+def test_autocomplete(spark, index, dims):
+    got = _found(geocode.complete(_asked(spark, ["mansour ma", "central ph", "erbil maj"]), index[1], dims))
+    assert got[0][0] == "b" and got[1][0] == "e" and got[2][0] == "c"
+
+
+def test_structured_and_batches(spark, index, dims):
+    q = spark.createDataFrame([(1, ["mall", "street"], None, None), (2, None, ["baghdad"], None), (3, None, None, ["pharmacy"])], "query_id int, street array<string>, locality array<string>, other array<string>")
+    got = geocode.structured(q, index[1]).collect()
+    assert {(r.query_id, r._id, r.match_type) for r in got} == {(1, "d", "street_only"), (2, "a", "locality_match"), (2, "b", "locality_match"), (2, "e", "locality_match"), (3, "e", "partial_match")}
+    raw = spark.createDataFrame([(1, "central pharmacy", None), (2, " ", None), (3, "mall", "99")], "query_id int, text string, size string")
+    run = lambda ok: geocode.find(text.normalize(ok, "text"), index[1], dims)
+    out, summary = geocode.batch(raw, "search", run)
+    assert {(r.query_id, r.status, r.parameter, tuple(r.ids)) for r in out.collect()} == {(1, "ok", None, ("e",)), (2, "error", "text", ()), (3, "error", "size", ())}
+    assert tuple(summary.first()) == (3, 1, 2)
+    near = geocode.reverse(spark.createDataFrame([(1, 33.3, 44.4, 500.0), (2, 0.0, 0.0, None)], "query_id int, q_lat double, q_lon double, radius double"), index[0])
+    assert [(r.query_id, r._id) for r in near.collect()] == [(1, "a")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
+from ..sources.store import written
 
 
 def is_duplicate(a: Column, b: Column, meters: float) -> Column:
@@ -29,17 +30,26 @@ def results(hits: DataFrame, meters: float = 30.0, by: str = "query_id") -> Data
 
 def pairs(docs: DataFrame, meters: float = 30.0) -> DataFrame:
     """a, b (a < b): duplicates over a table. Equal gids and source ids are linked to their group's smallest; similar
-    names meet in grid cells, of which each document has one and is looked for in nine."""
+    names meet in grid cells, of which each document has one and is looked for in nine. Documents of one name, layer,
+    source and place are one there: the smallest is compared, and the others are linked to it."""
     d = docs.withColumn("normal", text.clean(F.lower("name")))
     out = None
     for keys in (["gid"], ["source", "source_id"]):
         known = d.where(F.col(keys[0]).isNotNull() & F.col(keys[-1]).isNotNull())
         least = known.groupBy(*keys).agg(F.min("_id").alias("a"), F.max("_id").alias("most")).where("a < most").drop("most")
-        one = known.select("_id", *keys).join(least, keys).where("_id > a").select("a", F.col("_id").alias("b"))
+        one = known.select("_id", *keys).join(least.hint("merge"), keys).where("_id > a").select("a", F.col("_id").alias("b"))
         out = one if out is None else out.unionByName(one)
     size = geo.lat_rows(meters)
     cols = ("_id", "gid", "source", "source_id", "layer", "lat", "lon", "normal")
-    here = d.where(geo.valid_point(F.col("lat"), F.col("lon"))).select(F.struct(*cols).alias("r"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
+    same = ["normal", "layer", "lat", "lon"]
+    valid = d.where(geo.valid_point(F.col("lat"), F.col("lon")))
+    one = valid.groupBy(*same).agg(F.min(F.struct("_id", "gid", "source", "source_id")).alias("r"), F.max("_id").alias("last"))
+    firsts = written(one.select("r.*", *same, "last"))
+    # Equal places are duplicates whatever their ids; null and blank names are alike to nothing.
+    behind = firsts.where((F.col("_id") < F.col("last")) & F.coalesce(text.names_similar(F.col("normal"), F.col("normal")), F.lit(False))).select(F.col("_id").alias("a"), *same)
+    equal = valid.select("_id", *same).join(behind.hint("merge"), same).where("_id > a").select("a", F.col("_id").alias("b"))
+    out = out.unionByName(equal)
+    here = firsts.select(F.struct(*cols).alias("r"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     reach = geo.lon_cells(F.col("r.lat"), meters, size)
     near = here.select(F.col("r").alias("l"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx", reach.alias("reach")).withColumn("cx", F.explode(F.sequence(F.col("cx") - F.col("reach"), F.col("cx") + F.col("reach"))))
     met = near.join(here.hint("shuffle_hash"), ["cy", "cx"]).where(F.col("l._id") < F.col("r._id")).where(is_duplicate(F.col("l"), F.col("r"), meters))
@@ -52,11 +62,11 @@ def classes(links: DataFrame, write) -> DataFrame:
     both = write(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     labels = write(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(seen, "node").select("node", F.least("label", "near").alias("label"))
+        seen = both.join(labels.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(seen.hint("merge"), "node").select("node", F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = write(step.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "root"), "label").alias("label")))
-        if new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
+        new = write(step.join(jump.hint("merge"), "label", "left").select("node", F.coalesce(F.least("label", "root"), "label").alias("label")))
+        if new.join(labels.withColumnRenamed("label", "old").hint("merge"), "node").where("label <> old").isEmpty():
             return new
         labels = new
 
@@ -71,5 +81,5 @@ def better(by: list[str]) -> list[Column]:
 def table(docs: DataFrame, links: DataFrame, write, order: list[Column]) -> DataFrame:
     """One document for each class, the best; documents without links stay."""
     found = classes(links, write)
-    rows = docs.join(found.withColumnRenamed("node", "_id"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+    rows = docs.join(found.withColumnRenamed("node", "_id").hint("merge"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where("nth = 1").drop("nth")

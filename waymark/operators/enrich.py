@@ -79,5 +79,8 @@ def routable(docs: DataFrame, snapped: DataFrame | None, layers: tuple[str, ...]
     return out.drop("snap_lon", "snap_lat", "snap_distance")
 
 
-def snap_stats(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("routable_status").agg(F.count(F.lit(1)).alias("documents"), geo.round2(F.avg("routable_distance")).alias("avg_distance"), geo.round2(F.max("routable_distance")).alias("max_distance"))
+def snap_stats(docs: DataFrame, duration: str | None = None) -> DataFrame:
+    """Documents, mean and largest distance by status; with a column of lookup durations also their 95th percentile
+    by nearest rank."""
+    more = [F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{duration}`)").alias("p95_duration")] if duration else []
+    return docs.groupBy("routable_status").agg(F.count(F.lit(1)).alias("documents"), geo.round2(F.avg("routable_distance")).alias("avg_distance"), geo.round2(F.max("routable_distance")).alias("max_distance"), *more)

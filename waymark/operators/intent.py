@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
+from ..sources.store import sized, written
 
-# Words too broad to name a category.
+# Words too broad to name a category, as terms of a taxonomy and as aliases of labels.
 BROAD = ("place", "point", "service", "building", "office")
+BROAD_ALIASES = ("place", "point", "service", "services", "building", "business", "company", "organization", "location", "facility")
 LONGEST = 20
 
 
@@ -16,22 +18,24 @@ def safe_term(term: Column) -> Column:
     return (F.length(term) >= 2) & ~term.rlike(r"^q\d+$") & ~term.isin(*BROAD)
 
 
-def safe_aliases(aliases: DataFrame, manual: DataFrame, broad: tuple[str, ...] = BROAD) -> DataFrame:
+def safe_aliases(aliases: DataFrame, manual: DataFrame, broad: tuple[str, ...] = BROAD_ALIASES) -> DataFrame:
     """category_id, alias of a table with (category_id, alias): normalised, distinct, of 2 characters at least; broad
     words and entity ids only if they are in `manual` (category_id, alias: manual aliases, labels and the id)."""
     rows = aliases.select("category_id", text.alias_form(F.col("alias")).alias("alias")).where(F.length("alias") >= 2).distinct()
     doubtful = F.col("alias").isin(*broad) | F.col("alias").rlike(r"^q\d+$")
-    kept = rows.where(doubtful).join(manual.select("category_id", text.alias_form(F.col("alias")).alias("alias")).distinct(), ["category_id", "alias"], "left_semi")
+    named = manual.select("category_id", text.alias_form(F.col("alias")).alias("alias")).distinct()
+    kept = rows.where(doubtful).join(named.hint("merge"), ["category_id", "alias"], "left_semi")
     return rows.where(~doubtful).unionByName(kept)
 
 
-def load_taxonomy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def load_taxonomy(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
     """dim_category, dim_tag, dim_term, dim_place of a taxonomy file: {intent_groups: {id: {names, aliases}},
     categories: [{id, intent_groups, importance, names, aliases, osm_tags}], place_variants: [{id, terms}]}.
 
-    osm_tags may be a list of {key, value} or an object; maps are read as JSON, so keys need no schema.
+    osm_tags may be a list of {key, value} or an object; maps are read as JSON, so keys need no schema. With `lines`
+    each line is such an object, and they are taken together: a taxonomy of any size need not be one value.
     """
-    doc = spark.read.text(path, wholetext=True)
+    doc = spark.read.text(path, wholetext=not lines)
     cat = doc.select(F.explode(F.from_json(F.get_json_object("value", "$.categories"), "array<string>")).alias("c"))
     get = lambda f: F.get_json_object("c", f"$.{f}")
     groups = F.coalesce(F.from_json(get("intent_groups"), "array<string>"), F.array(get("parent")))
@@ -63,55 +67,73 @@ def wikidata_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def enrich_categories(docs: DataFrame, dim_tag: DataFrame, dim_category: DataFrame, tags: str = "source_tags", id_: str = "_id") -> DataFrame:
     """Adds category_ids, intent_groups, category_aliases, importance from a map of tags; a tag that the taxonomy
-    does not know gives its value as a category. The taxonomy is a small file of its user's: it is broadcast."""
+    does not know gives its value as a category."""
     each = docs.select(id_, F.explode(tags).alias("key", "value"))
-    known = dim_tag.join(dim_category.select("category_id", "intent_groups", "importance"), "category_id")
-    met = each.join(F.broadcast(known), ["key", "value"], "left")
+    known = sized(dim_tag.join(dim_category.select("category_id", "intent_groups", "importance"), "category_id"))
+    met = each.join(known, ["key", "value"], "left")
     arrays = met.groupBy(id_).agg(
         F.array_sort(F.collect_set(F.coalesce("category_id", "value"))).alias("category_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("intent_groups", F.array().cast("array<string>")))))).alias("intent_groups"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("key", "value", F.concat_ws(":", "key", "value")))))).alias("category_aliases"),
         F.max("importance").alias("importance"),
     )
-    return docs.join(arrays, id_, "left")
+    return docs.join(arrays.hint("merge"), id_, "left")
+
+
+def _held(queries: DataFrame, dim: DataFrame, normalized: str, tokens: str) -> DataFrame:
+    """query_id and the rows of dim (with a column term of several words) whose term is held in the text, wherever it
+    begins and ends. The second word of such a term begins a word of the text, and is one if the term goes on: text
+    and term meet on that word, or what a word of the text begins with, and are compared afterwards."""
+    several = dim.withColumn("second", F.split_part("term", F.lit(" "), F.lit(2))).where("instr(term, ' ') > 0")
+    longest = several.agg(F.max(F.length("second"))).first()[0]
+    if longest is None:
+        return queries.select("query_id").join(dim.limit(0), F.lit(False))
+    parts = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("t"))), lambda k: F.substring(F.col("t"), F.lit(1), k))
+    each = queries.select("query_id", F.col(normalized).alias("held_in"), F.explode(F.array_distinct(tokens)).alias("t")).where("t <> ''")
+    each = each.select("query_id", "held_in", F.explode(parts).alias("second")).distinct()
+    return each.join(sized(several), "second").where(F.contains("held_in", "term")).drop("second", "held_in").distinct()
 
 
 def matched_terms(queries: DataFrame, dim_term: DataFrame, normalized: str = "normalized", tokens: str = "tokens") -> DataFrame:
     """query_id, type, id, term: equal to the text, equal to a token, begun by a token of 3 characters or more, or of
-    several words and held in the text. The first three are equi-joins; the last looks up each run of words."""
-    dim = F.broadcast(dim_term)
+    several words and held in the text. All are equi-joins."""
+    dim = sized(dim_term)
     q = queries.select("query_id", F.col(normalized).alias("n"), F.col(tokens).alias("ts"))
     whole = q.select("query_id", F.col("n").alias("term")).join(dim, "term")
     one = q.select("query_id", F.explode("ts").alias("token")).distinct()
     equal = one.withColumnRenamed("token", "term").join(dim, "term")
     edges = dim_term.withColumn("token", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.lit(LONGEST), F.length("term")))), lambda k: F.substring(F.col("term"), F.lit(1), k))))
-    begun = one.where(F.length("token") >= 3).join(F.broadcast(edges), "token").drop("token")
-    most = 6
-    runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ts") - n + 1)), lambda k: F.array_join(F.slice(F.col("ts"), k, n), " "))))
-    several = q.select("query_id", F.explode(F.array_distinct(runs)).alias("term")).join(F.broadcast(dim_term.where(F.instr("term", " ") > 0)), "term")
+    begun = one.where(F.length("token") >= 3).join(sized(edges), "token").drop("token")
+    several = _held(q, dim_term, "n", "ts")
     columns = ["query_id", "type", "id", "term"]
     return whole.select(*columns).unionByName(equal.select(*columns)).unionByName(begun.select(*columns)).unionByName(several.select(*columns)).distinct()
 
 
-def place_terms(queries: DataFrame, dim_place: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """query_id, variant, term: all spellings of the places of which a query names one."""
-    one = queries.select("query_id", F.explode(tokens).alias("term")).distinct().join(F.broadcast(dim_place), "term")
-    return one.select("query_id", "variant").distinct().join(F.broadcast(dim_place), "variant")
+def place_terms(queries: DataFrame, dim_place: DataFrame, tokens: str = "tokens", normalized: str = "normalized") -> DataFrame:
+    """query_id, variant, term: all spellings of the places of which a query names one: a spelling of one word is a
+    token of the text, one of several words is held in the text, any is the text."""
+    dim = sized(dim_place)
+    named = [F.explode(F.array_union(F.coalesce(tokens, F.array().cast("array<string>")), F.array(normalized))).alias("term")]
+    one = queries.select("query_id", *named).join(dim, "term").select("query_id", "variant")
+    held = _held(queries, dim_place, normalized, tokens).select("query_id", "variant")
+    return one.unionByName(held).distinct().join(dim, "variant").select("query_id", "variant", "term").distinct()
 
 
-def resolve(queries: DataFrame, dim_term: DataFrame, dim_category: DataFrame, dim_place: DataFrame, autocomplete: bool = False) -> DataFrame:
-    """query_id, category_ids, intent_groups, query_terms, place_terms, unmatched, confidence: arrays are sorted."""
-    met = matched_terms(queries, dim_term)
-    places = place_terms(queries, dim_place)
+def resolve(queries: DataFrame, dim_term: DataFrame, dim_category: DataFrame, dim_place: DataFrame, autocomplete: bool = False, dim_tag: DataFrame | None = None) -> DataFrame:
+    """query_id, category_ids, intent_groups, query_terms, place_terms, source_tags (key:value), unmatched, confidence:
+    arrays are sorted; without dim_tag there are no tags."""
+    met = written(matched_terms(queries, dim_term))
+    places = written(place_terms(queries, dim_place))
     cats = met.where("type = 'category'").select("query_id", F.col("id").alias("category_id")).distinct()
-    groups = cats.join(F.broadcast(dim_category), "category_id").select("query_id", F.explode("intent_groups").alias("g")).unionByName(met.where("type = 'intent_group'").select("query_id", F.col("id").alias("g")))
+    groups = cats.join(sized(dim_category), "category_id").select("query_id", F.explode("intent_groups").alias("g")).unionByName(met.where("type = 'intent_group'").select("query_id", F.col("id").alias("g")))
     gather = lambda df, c, name: df.groupBy("query_id").agg(F.array_sort(F.collect_set(c)).alias(name))
     words = met.select("query_id", F.explode(F.split("term", " ")).alias("w")).unionByName(places.select("query_id", F.explode(F.split("term", " ")).alias("w")))
+    tags = cats.select("query_id", F.col("category_id").alias("t")).limit(0) if dim_tag is None else cats.join(sized(dim_tag), "category_id").select("query_id", F.concat_ws(":", "key", "value").alias("t"))
     out = queries.select("query_id", "normalized", "tokens")
-    for df in (gather(cats, "category_id", "category_ids"), gather(groups, "g", "intent_groups"), gather(met.select("query_id", F.explode(F.array("term", "id")).alias("t")), "t", "query_terms"), gather(places, "term", "place_terms"), gather(words, "w", "__words")):
-        out = out.join(df, "query_id", "left")
+    for df in (gather(tags, "t", "source_tags"), gather(cats, "category_id", "category_ids"), gather(groups, "g", "intent_groups"), gather(met.select("query_id", F.explode(F.array("term", "id")).alias("t")), "t", "query_terms"), gather(places, "term", "place_terms"), gather(words, "w", "__words")):
+        out = out.join(df.hint("merge"), "query_id", "left")
     none = F.array().cast("array<string>")
-    for c in ("category_ids", "intent_groups", "query_terms", "place_terms", "__words"):
+    for c in ("category_ids", "intent_groups", "query_terms", "place_terms", "source_tags", "__words"):
         out = out.withColumn(c, F.coalesce(c, none))
     rest = F.filter("tokens", lambda t: ~F.array_contains(F.col("__words"), t))
     sure = scalars.confidence(F.size("category_ids") > 0, F.size("intent_groups") > 0, F.size("query_terms") > 0, F.lit(autocomplete))
@@ -122,7 +144,7 @@ def category_filter(wanted: DataFrame, dim_term: DataFrame, dim_category: DataFr
     """query_id, category, resolved for (query_id, category): a category's id, else what the term names, else itself."""
     ids = dim_category.select(F.col("category_id").alias("category"), F.col("category_id").alias("direct"))
     named = dim_term.where("type = 'category'").groupBy(F.col("term").alias("key")).agg(F.min("id").alias("named"))
-    out = wanted.join(F.broadcast(ids), "category", "left").withColumn("key", text.clean(F.lower("category"))).join(F.broadcast(named), "key", "left")
+    out = wanted.join(sized(ids), "category", "left").withColumn("key", text.clean(F.lower("category"))).join(sized(named), "key", "left")
     return out.select("query_id", "category", F.coalesce("direct", "named", "category").alias("resolved"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scalars
+from ..functions import scalars, text
+from ..sources.store import sized, written
 
 
 def terms_count(docs: DataFrame, field: str, size: int = 20) -> DataFrame:
@@ -29,7 +30,7 @@ def breakdown(docs: DataFrame, fields: list[str]) -> DataFrame:
 def category_counts(docs: DataFrame, ids: DataFrame, category: str = "category_ids") -> DataFrame:
     """Documents of each id in ids.category_id, 0 if none: one pass for all."""
     n = docs.select(F.explode(F.array_distinct(category)).alias("category_id")).groupBy("category_id").agg(F.count(F.lit(1)).alias("count"))
-    return ids.select("category_id").join(n, "category_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return ids.select("category_id").join(n.hint("merge"), "category_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def status_counts(docs: DataFrame, field: str) -> DataFrame:
@@ -56,7 +57,9 @@ def phases(requests: DataFrame) -> DataFrame:
 
 
 def cold_start(requests: DataFrame, seq: str) -> DataFrame:
-    return requests.withColumn("cold_start", F.row_number().over(Window.partitionBy("endpoint").orderBy(seq)) == 1)
+    """Adds cold_start: the request is its endpoint's first. One row for each endpoint is joined back."""
+    first = requests.groupBy("endpoint").agg(F.min(seq).alias("__first"))
+    return requests.join(sized(first), "endpoint", "left").withColumn("cold_start", F.col(seq).eqNullSafe(F.col("__first"))).drop("__first")
 
 
 def slowest(requests: DataFrame, n: int = 10, id_: str = "event_id") -> DataFrame:
@@ -64,13 +67,17 @@ def slowest(requests: DataFrame, n: int = 10, id_: str = "event_id") -> DataFram
 
 
 def per_query(samples: DataFrame, by: list[str], most: int = 20) -> DataFrame:
-    """Requests, failures, first successful top hit and the first mismatches of each query."""
+    """Requests, failures, requests without results, first successful top hit and the first mismatches of each query.
+    Sums are taken in every task first; mismatches are ranked with a limit that Spark applies before the exchange."""
     ok = F.col("ok")
     bad = ok & ~F.col("top_country").eqNullSafe(F.col("country"))
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.when(bad, 0).otherwise(1), "seq"))
-    rows = samples.withColumn("bad", bad).withColumn("nth", first)
-    shown = F.array_sort(F.collect_list(F.when(F.col("bad") & (F.col("nth") <= most), F.struct("seq", "top_country"))))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), F.count_if(~ok).alias("failures"), F.min_by(F.when(ok, F.col("top_label")), F.when(ok, F.col("seq"))).alias("top_label"), F.count_if("bad").alias("mismatches"), shown.alias("first_mismatches"))
+    empty = ok & (F.col("result_count") == 0) if "result_count" in samples.columns else F.lit(False)
+    sums = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), F.count_if(~ok).alias("failures"), F.count_if(empty).alias("empty"), F.min_by(F.when(ok, F.col("top_label")), F.when(ok, F.col("seq"))).alias("top_label"), F.count_if(bad).alias("mismatches"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("seq"))
+    few = samples.where(bad).select(*by, "seq", "top_country").withColumn("nth", nth).where(F.col("nth") <= most)
+    shown = few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "top_country"))).alias("first_mismatches"))
+    none = F.array().cast("array<struct<seq:bigint,top_country:string>>")
+    return sums.join(shown.hint("merge"), by, "left").withColumn("first_mismatches", F.coalesce("first_mismatches", none))
 
 
 def missing_ratio(docs: DataFrame, field: str) -> DataFrame:
@@ -91,18 +98,54 @@ def tasks(countries: DataFrame) -> DataFrame:
     return out.select("*", F.explode(F.array(F.lit("search"), F.lit("autocomplete"))).alias("endpoint"))
 
 
-def failures(per: DataFrame, summary: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """code, endpoint, detail: failed requests, mismatches, and latencies over their limits."""
+def run_tasks(tasks: DataFrame, index, dims: tuple, size: int = 5) -> DataFrame:
+    """tasks (query_id, country, city, query, endpoint) with result_count, top_country and top_label of their searches:
+    each query is asked for in its city and filtered by its country, by search or by autocomplete."""
+    from . import geocode
+
+    words = text.normalize(tasks.select("query_id", "endpoint", "country", F.concat_ws(" ", "query", "city").alias("text")), "text")
+    asked = written(words.select("query_id", "endpoint", "normalized", "tokens", "country"))
+    found = None
+    for endpoint, run in (("search", geocode.find), ("autocomplete", geocode.complete)):
+        hits = run(asked.where(F.col("endpoint") == endpoint).drop("endpoint"), index, dims, size)
+        one = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"), F.min_by("country_a", "rank").alias("top_country"), F.min_by("name", "rank").alias("top_label"))
+        found = one if found is None else found.unionByName(one)
+    out = tasks.join(found.hint("merge"), "query_id", "left")
+    return out.withColumn("result_count", F.coalesce("result_count", F.lit(0)))
+
+
+def failures(per: DataFrame, summary: DataFrame, limits: dict[str, float], missing: DataFrame | None = None, most_missing: float = 0.05) -> DataFrame:
+    """code, endpoint, detail: failed requests, requests without results, mismatches, 95th percentiles over the
+    endpoints' limits (0 is none), and a share of documents without a country (missing_ratio) over its limit."""
     out = [
+        per.where("empty > 0 and failures < requests").select(F.lit("zero_results").alias("code"), "endpoint", F.col("empty").cast("double").alias("detail")),
         per.where("failures > 0").select(F.lit("request_failed").alias("code"), "endpoint", F.col("failures").cast("double").alias("detail")),
         per.where("mismatches > 0").select(F.lit("country_filter_mismatch").alias("code"), "endpoint", F.col("mismatches").cast("double").alias("detail")),
     ]
     for endpoint, most in limits.items():
         over = summary.where((F.col("endpoint") == endpoint) & (F.col("p95") > most) & F.lit(most > 0))
         out.append(over.select(F.lit(f"{endpoint}_p95_latency_exceeded").alias("code"), "endpoint", F.col("p95").cast("double").alias("detail")))
+    if missing is not None:
+        over = missing.where(F.col("ratio") > most_missing)
+        out.append(over.select(F.lit("missing_country_ratio_exceeded").alias("code"), F.lit("index-stats").alias("endpoint"), F.col("ratio").alias("detail")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def index_stats(docs: DataFrame, layers: tuple[str, ...], by: list[str], reason: str = "admin_enrichment_reason", indexed: str = "indexed_at") -> DataFrame:
+    """field, value, count: documents by layer (0 where a layer has none) and by each of `by`, the total, those with and
+    without a country, why these have none, and the time of the last one indexed (as seconds)."""
+    counts = breakdown(docs, ["layer", *by])
+    zero = docs.sparkSession.createDataFrame([(x,) for x in layers], "value string").select(F.lit("layer").alias("field"), "value", F.lit(0).cast("long").alias("count"))
+    counts = counts.unionByName(zero).groupBy("field", "value").agg(F.sum("count").alias("count"))
+    lacks = F.col("country_a").isNull()
+    last = F.unix_seconds(F.max(F.col(indexed).cast("timestamp"))) if indexed in docs.columns else F.lit(None).cast("long")
+    sums = docs.agg(F.count(F.lit(1)).alias("total"), F.count_if(~lacks).alias("with_country"), F.count_if(lacks).alias("missing_country"), last.alias("last_indexed"))
+    sums = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lit("all").alias("value"), F.col(c).alias("count")) for c in ("total", "with_country", "missing_country", "last_indexed")])).alias("x")).select("x.*")
+    why = docs.where(lacks).groupBy(F.coalesce(reason, F.lit("unknown")).alias("value")).agg(F.count(F.lit(1)).alias("count")) if reason in docs.columns else None
+    out = counts.unionByName(sums)
+    return out if why is None else out.unionByName(why.select(F.lit("missing_country_reason").alias("field"), "value", "count"))
+
+
 def validated(queries: DataFrame, op: str = "search", size: int = 40, text_most: int = 256, field_most: int = 128, radius_most: float = 50_000.0) -> DataFrame:
     """Adds error (invalid_request or null) and parameter, the first one that is wrong, for columns of raw strings."""
     raw = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")) if c in queries.columns else F.lit(None).cast("string")

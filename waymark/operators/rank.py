@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import search
 from .spatial import top_k
 
 # Weights of the published scoring formula.
@@ -48,8 +49,14 @@ def final_score(text: Column, parts: list[Column], distance: Column) -> Column:
     return F.when(distance.isNotNull(), text * total).otherwise(text + total)
 
 
-def nearby(hits: DataFrame, sort: str = "distance", layers: tuple[str, ...] | None = ("venue",), size: int = 10, relevance: Column | None = None) -> DataFrame:
-    """Hits of a radius join, ranked by distance, relevance, or relevance with a decay of distance."""
+def nearby(hits: DataFrame, sort: str = "distance", layers: tuple[str, ...] | None = ("venue",), size: int = 10, relevance: Column | None = None, categories: Column | None = None, mode: str = "any", held: str = "category_ids") -> DataFrame:
+    """Hits of a radius join, ranked by distance, relevance, or relevance with a decay of distance. `categories`, an
+    array, keeps hits that hold one or, with mode "all", all of them; none or null keeps all. Without a relevance of
+    its own a hit's is the number of wanted categories that it holds."""
+    if categories is not None:
+        wanted = F.coalesce(categories, F.array().cast("array<string>"))
+        hits = hits.where(search.in_categories(F.col(held), wanted, mode))
+        relevance = F.size(F.array_intersect(F.coalesce(held, F.array().cast("array<string>")), wanted)).cast("double") if relevance is None else relevance
     if layers:
         hits = hits.where(F.col("layer").isin(*layers))
     text = F.lit(0.0) if relevance is None else relevance
@@ -63,6 +70,6 @@ def nearby(hits: DataFrame, sort: str = "distance", layers: tuple[str, ...] | No
     raise ValueError(f"no sort {sort!r}")
 
 
-def reverse(hits: DataFrame, radius: float = 1000.0, size: int = 1, layers: tuple[str, ...] = ("venue", "address", "street")) -> DataFrame:
+def reverse(hits: DataFrame, radius: float = 1000.0, size: int | Column = 1, layers: tuple[str, ...] = ("venue", "address", "street")) -> DataFrame:
     near = hits.where((F.col("distance") <= radius) & F.col("layer").isin(*layers))
     return top_k(near, size, F.col("distance"), F.col("_id"))

@@ -15,6 +15,8 @@ from ..functions import geo
 K1, B = 1.2, 0.75
 LATER_TERMS = 0.65
 MAX_TERMS, MAX_PREFIX = 32, 20
+#: Characters of tokens that meet on what deletions leave.
+CUT = 12
 
 
 #: Distinct query tokens that are sent to all tasks at most; more are joined by shuffle.
@@ -46,7 +48,7 @@ def field_statistics(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
 def weighted(post: DataFrame, stats: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
     """Postings with `weight`: BM25 of the token in the field, times the field's boost."""
     df = post.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
-    out = post.join(df, ["field", "token"]).join(F.broadcast(stats), "field")  # a row for each field
+    out = post.join(df.hint("merge"), ["field", "token"]).join(F.broadcast(stats), "field")  # a row for each field
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     boost = F.lit(1.0)
@@ -66,7 +68,7 @@ def text_match(query_terms: DataFrame, weights: DataFrame, operator: str = "or",
 
     With "and" a field must hold all tokens of the term.
     """
-    met = query_terms.join(weights, "token")
+    met = query_terms.join(weights.hint("merge"), "token")
     per = met.groupBy("query_id", id_, "term", "n", "field").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("found"))
     if operator == "and":
         per = per.where(F.col("found") == F.col("n"))
@@ -84,7 +86,7 @@ def any_match(queries: DataFrame, docs: DataFrame, clauses: list[tuple[str, str,
     for q, d, weight in clauses:
         left = queries.select("query_id", F.explode(F.array_distinct(q)).alias("value"))
         right = docs.select(id_, F.explode(F.array_distinct(d)).alias("value"))
-        one = left.join(right, "value").select("query_id", id_, F.lit(float(weight)).alias("w"))
+        one = left.join(right.hint("merge"), "value").select("query_id", id_, F.lit(float(weight)).alias("w"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("query_id", id_).agg(F.sum("w").alias("score"))
 
@@ -104,12 +106,20 @@ def deletions(token: Column) -> Column:
 def fuzzy_tokens(asked: DataFrame, known: DataFrame) -> DataFrame:
     """token, match, edits: for each distinct asked token the known tokens within its allowed edits.
 
-    Both sides are dictionaries of distinct tokens; they meet on what deletions leave, not on each other.
+    Both sides are dictionaries of distinct tokens; they meet on what deletions leave, not on each other. Tokens of
+    more than CUT characters meet on parts instead: of three parts two edits leave one as it is, moved by two places
+    at most, so that the work follows the number of tokens and not the square of their length.
     """
-    left = asked.select("token").distinct().withColumn("key", F.explode(deletions(F.col("token"))))
+    some, every = asked.select("token").distinct(), known.select(F.col("token").alias("match")).distinct()
+    left = some.where(F.length("token") <= CUT).withColumn("key", F.explode(deletions(F.col("token"))))
     # A known token may be the longer one: it is always cut twice.
-    right = known.select(F.col("token").alias("match")).distinct().withColumn("key", F.explode(F.array_distinct(F.concat(F.array("match"), _cut_twice(F.col("match"))))))
-    met = left.join(right, "key").select("token", "match").distinct()
+    right = every.where(F.length("match") <= CUT + 2).withColumn("key", F.explode(F.array_distinct(F.concat(F.array("match"), _cut_twice(F.col("match"))))))
+    met = left.join(right.hint("merge"), "key").select("token", "match")
+    part = "substring(%s, n * k div 3 + 1 + s, n * (k + 1) div 3 - n * k div 3)"
+    long = some.where(F.length("token") > CUT).selectExpr("token", "length(token) AS n", "explode(sequence(0, 2)) AS k").selectExpr("token", "n", "k", (part % "token").replace(" + s", "") + " AS key")
+    other = every.where(F.length("match") > CUT - 2).selectExpr("match", f"explode(sequence(greatest({CUT + 1}, length(match) - 2), length(match) + 2)) AS n")
+    other = other.selectExpr("match", "n", "explode(sequence(0, 2)) AS k").selectExpr("match", "n", "k", "explode(sequence(-2, 2)) AS s").where("n * k div 3 + s >= 0").selectExpr("match", "n", "k", part % "match" + " AS key")
+    met = met.unionByName(long.join(other.hint("merge"), ["n", "k", "key"]).select("token", "match")).distinct()
     met = met.withColumn("edits", F.levenshtein("token", "match"))
     return met.where(F.col("edits") <= allowed_edits(F.col("token")))
 
@@ -120,10 +130,12 @@ def _cut_twice(t: Column) -> Column:
 
 
 def prefix_tokens(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """token, match: known tokens that begin with an asked one; a join on prefixes of 1 to MAX_PREFIX characters."""
+    """token, match: known tokens that begin with an asked one; a join on prefixes of 1 to MAX_PREFIX characters, of
+    which longer ones are compared afterwards."""
     edge = known.select(F.col("token").alias("match")).distinct()
-    edge = edge.withColumn("token", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PREFIX), F.length("match"))), lambda k: F.substring(F.col("match"), F.lit(1), k))))
-    return asked.select("token").distinct().join(edge, "token")
+    edge = edge.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PREFIX), F.length("match"))), lambda k: F.substring(F.col("match"), F.lit(1), k))))
+    some = asked.select("token").distinct().withColumn("key", F.substring("token", 1, MAX_PREFIX))
+    return some.join(edge.hint("merge"), "key").where(F.startswith("match", "token")).select("token", "match")
 
 
 def prefix_match(queries: DataFrame, weights: DataFrame, tokens: str = "tokens", id_: str = "_id") -> DataFrame:
@@ -131,11 +143,11 @@ def prefix_match(queries: DataFrame, weights: DataFrame, tokens: str = "tokens",
     q = queries.where(F.size(tokens) > 0)
     whole = q.select("query_id", F.explode(F.slice(F.col(tokens), 1, F.size(tokens) - 1)).alias("token")).distinct()
     last = q.select("query_id", F.element_at(tokens, -1).alias("token"))
-    last = last.join(prefix_tokens(last, weights), "token").select("query_id", F.col("match").alias("token"))
+    last = last.join(prefix_tokens(last, weights).hint("merge"), "token").select("query_id", F.col("match").alias("token"))
     need = q.select("query_id", F.size(F.array_distinct(F.slice(F.col(tokens), 1, F.size(tokens) - 1))).alias("n"))
-    ends = last.join(weights, "token").groupBy("query_id", id_, "field").agg(F.max("weight").alias("end"))
-    rest = whole.join(weights, "token").groupBy("query_id", id_, "field").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("found"))
-    both = ends.join(need, "query_id").join(rest, ["query_id", id_, "field"], "left").where(F.coalesce("found", F.lit(0)) == F.col("n"))
+    ends = last.join(weights.hint("merge"), "token").groupBy("query_id", id_, "field").agg(F.max("weight").alias("end"))
+    rest = whole.join(weights.hint("merge"), "token").groupBy("query_id", id_, "field").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("found"))
+    both = ends.join(need.hint("merge"), "query_id").join(rest.hint("merge"), ["query_id", id_, "field"], "left").where(F.coalesce("found", F.lit(0)) == F.col("n"))
     return both.groupBy("query_id", id_).agg(F.max(F.col("end") + F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
@@ -154,10 +166,10 @@ def conjunction(queries: DataFrame, musts: list[tuple[Column, DataFrame]], id_:
     need = queries.select("query_id", reduce(lambda a, b: a + b, flags).alias("need"), *[has.alias(f"has{k}") for k, (has, _) in enumerate(musts)])
     out = None
     for k, (_, scores) in enumerate(musts):
-        one = scores.join(need.where(F.col(f"has{k}")).select("query_id"), "query_id", "left_semi").select("query_id", id_, "score")
+        one = scores.join(need.where(F.col(f"has{k}")).select("query_id").hint("merge"), "query_id", "left_semi").select("query_id", id_, "score")
         out = one if out is None else out.unionByName(one)
     summed = out.groupBy("query_id", id_).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("met"))
-    return summed.join(need.select("query_id", "need"), "query_id").where(F.col("met") == F.col("need")).drop("met", "need")
+    return summed.join(need.select("query_id", "need").hint("merge"), "query_id").where(F.col("met") == F.col("need")).drop("met", "need")
 
 
 def list_filter(column: Column, values: str, is_array: bool = False) -> Column:
@@ -195,7 +207,7 @@ def by_ids(docs: DataFrame, ids: DataFrame, id_: str = "_id") -> DataFrame:
     own = F.col("id").startswith("postgis:") | (F.size(parts) < 3)
     first = ids.where(own).select("query_id", F.col("id").alias(id_)).join(docs, id_)
     triple = ids.where(~own).select("query_id", parts[0].alias("source"), parts[1].alias("layer"), F.array_join(F.slice(parts, 3, F.greatest(F.lit(1), F.size(parts) - 2)), ":").alias("source_id"))
-    return first.unionByName(triple.join(docs, ["source", "layer", "source_id"])).dropDuplicates(["query_id", id_])
+    return first.unionByName(triple.join(docs.hint("merge"), ["source", "layer", "source_id"])).dropDuplicates(["query_id", id_])
 
 
 def with_fallback(primary: DataFrame, other: DataFrame) -> DataFrame:

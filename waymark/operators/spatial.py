@@ -13,12 +13,31 @@ def radius_join(queries: DataFrame, places: DataFrame, most: float = 50_000.0, c
     """Places within `radius` metres of a query's (q_lat, q_lon), with distance.
 
     Queries are the side that is put into several cells: a place has one cell, so large place tables are not
-    multiplied. Cells span the largest radius; columns of both sides are kept. Invalid coordinates never match.
+    multiplied. Cells span `most`; queries with a larger radius are joined by themselves, on cells four, sixteen, ...
+    times as large. Columns of both sides are kept. Invalid coordinates never match.
     """
-    size = geo.lat_rows(cell_m or most)
-    q = queries.where(geo.valid_point(F.col("q_lat"), F.col("q_lon")) & (F.col("radius") <= most))
-    reach = geo.lon_cells(F.col("q_lat"), cell_m or most, size)
-    rows_of = F.ceil(F.col("radius") / 111000.0 / size).cast("long")
+    # Half of the earth's girth is 20,038 km: no more classes than up to there.
+    classes, bound = [], most
+    while bound < 20_100_000.0:
+        classes.append(bound)
+        bound *= 4
+    level = F.lit(len(classes))
+    for n, b in reversed(list(enumerate(classes))):
+        level = F.when(F.col("radius") <= b, n).otherwise(level)
+    q = queries.where(geo.valid_point(F.col("q_lat"), F.col("q_lon")) & (F.col("radius") >= 0))
+    there = sorted(r[0] for r in q.select(level.alias("level")).distinct().collect())  # a few numbers
+    out = None
+    for n in there or [0]:
+        cell = most * 4**n if n else cell_m or most
+        one = _radius_join(q.where(level == n), places, min(most * 4**n, 20_100_000.0), min(cell, 20_100_000.0))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _radius_join(q: DataFrame, places: DataFrame, most: float, cell_m: float) -> DataFrame:
+    size = geo.lat_rows(cell_m)
+    reach = geo.lon_cells(F.col("q_lat"), most, size)
+    rows_of = F.ceil(F.least(F.col("radius"), F.lit(most)) / 111000.0 / size).cast("long")
     around = int(360 / size) + 1
     q = q.withColumn("cy", F.explode(F.sequence(geo.cell(F.col("q_lat"), size) - rows_of, geo.cell(F.col("q_lat"), size) + rows_of)))
     q = q.withColumn("cx", F.explode(F.sequence(geo.cell(F.col("q_lon"), size) - reach, geo.cell(F.col("q_lon"), size) + reach)))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
+from ..sources.store import written
 
 HISTORY = 200
 
@@ -25,6 +27,24 @@ def upsert(target: DataFrame, new: DataFrame, order: Column, id_: str = "_id") -
     return target.join(last.select(id_), id_, "left_anti").unionByName(last.select(*target.columns))
 
 
+#: Parts of a table that upserts in place rewrite one by one.
+PARTS = 64
+
+
+def upsert_parts(new: DataFrame, path: str, order: Column, parts: int = PARTS, id_: str = "_id") -> None:
+    """As upsert, on a table stored in `parts` folders by a hash of the id (made at the first call): only the parts
+    that have new rows are read and written again. The target's rows take part in the order."""
+    spark = new.sparkSession
+    last = keep_last(new, order, id_).withColumn("part", F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int"))
+    touched = sorted(r[0] for r in last.select("part").distinct().collect())  # at most `parts`
+    try:
+        old = spark.read.schema(last.schema).parquet(path).where(F.col("part").isin(touched))
+        last = written(keep_last(last.unionByName(old), order, id_))  # before the folders it comes from are replaced
+    except AnalysisException:
+        pass
+    last.repartition(max(1, len(touched)), "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
 def delete(target: DataFrame, ids: DataFrame, source: str, id_: str = "_id") -> tuple[DataFrame, DataFrame]:
     """Target without the ids, and a report. Ids of other sources are refused; ids that are not there count as done."""
     own = F.col(id_).startswith(f"postgis:{source}:")
@@ -42,6 +62,44 @@ def write_seen(ids: DataFrame, path: str) -> None:
     ids.distinct().repartition("source_name").sortWithinPartitions("source_name", "document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_name").parquet(path)
 
 
+def read_seen(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("document_id string, source_name string").parquet(path).select("source_name", "document_id")
+
+
+RUN = "run_id string, source string, mode string, started_at timestamp, finished_at timestamp, status string, read long, indexed long, failed long, error string"
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Append rows of RUN to a history: a run's start with status "running", later its end. Columns not given are null."""
+    fields = [f.split(" ") for f in RUN.split(", ")]
+    runs.select(*[F.col(c).cast(t).alias(c) if c in runs.columns else F.lit(None).cast(t).alias(c) for c, t in fields]).write.mode("append").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, most: int = HISTORY) -> DataFrame:
+    """The newest runs of a history, each as it was told last: an end counts more than a start."""
+    told = spark.read.schema(RUN).parquet(path)
+    order = Window.partitionBy("run_id").orderBy(F.desc(F.col("finished_at").isNotNull()), F.desc("finished_at"))
+    last = told.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return last.orderBy(F.desc("started_at"), "run_id").limit(most)
+
+
+def write_state(state: DataFrame, path: str) -> None:
+    """Replace the state table of the sources (source, last_success, last_indexed_count)."""
+    state.write.mode("overwrite").parquet(path)
+
+
+STATE = "source string, last_success timestamp, last_indexed_count long"
+
+
+def read_state(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
+    """The state of each configured source (a row of `sources`); nulls where there is none, or no table at all."""
+    try:
+        found = spark.read.schema(STATE).parquet(path)
+    except AnalysisException:
+        found = spark.createDataFrame([], STATE)
+    return sources.join(found.hint("merge"), "source", "left")
+
+
 def newest(history: DataFrame, time: str, id_: str, most: int = HISTORY) -> DataFrame:
     """The newest rows of a history, one for each id."""
     one = history.withColumn("__n", F.row_number().over(Window.partitionBy(id_).orderBy(F.desc(time)))).where("__n = 1").drop("__n")
@@ -137,21 +195,30 @@ class Versions:
             self.read(number).createOrReplaceTempView(self.view)
         return report
 
-    def rollback(self, as_of: str, target: int | None = None, dry_run: bool = False) -> int | None:
-        """To the newest earlier version that passes validation; None if there is none."""
+    def rollback(self, as_of: str, target: int | None = None, dry_run: bool = False, sample: Column | None = None) -> int | None:
+        """To the newest earlier version that passes validation, a sample query included; None if there is none. A
+        version must hold something and find the sample: how many documents it should have is known of its own
+        publication, which is asked for again."""
         rows = self.switches()
         if rows is None:
             return None
         wanted = [r["target"] for r in rollback_candidates(rows).orderBy(F.desc("last_used")).limit(HISTORY).collect()]
         there = set(self.numbers())
         for number in [n for n in wanted if n in there and target in (None, n)]:
-            if not validate(self.read(number), 0, 0)["valid"]:
+            expected = self._expected(rows, number)
+            if not validate(self.read(number), expected, 0, sample)["valid"]:
                 continue
             if not dry_run:
-                self.publish(number, 0, 0, as_of, kind="rollback")
+                self.publish(number, expected, 0, as_of, sample, kind="rollback")
             return number
         return None
 
+    @staticmethod
+    def _expected(switches: DataFrame, number: int) -> int:
+        """Documents that the version had when it was published last."""
+        told = latest(switches.where(F.col("target_index") == number), status="success").first()
+        return int(json.loads(told["details_json"])["count"]) if told else 0
+
     def verify(self, docs: DataFrame, check) -> object:
         """Write to a throw-away place beside the versions, run a check on it, remove it."""
         fs, path = self._fs()

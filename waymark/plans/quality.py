@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import dedupe, places, quality, sync
 from . import base
+from . import search as search_plans
+from ..sources.store import place, written
 from .places import _docs as source_docs
 from .search import _S, docs
 
@@ -82,7 +84,12 @@ def a7(spark, d):
 
 
 def k4(spark, d):
-    return _orders(spark, d).select(F.col("source").alias("source_name"), F.col("_id").alias("document_id")).distinct().groupBy("source_name").agg(F.count(F.lit(1)).alias("ids"), F.min("document_id").alias("first"))
+    """The ids of all sources are written, then those of two sources again: only these are replaced."""
+    path = place(spark, "seen")
+    ids = _orders(spark, d).select(F.col("source").alias("source_name"), F.col("_id").alias("document_id"), "k")
+    sync.write_seen(ids.drop("k"), path)
+    sync.write_seen(ids.where("source_name < '3' and k % 3 = 0").drop("k"), path)
+    return sync.read_seen(spark, path).groupBy("source_name").agg(F.count(F.lit(1)).alias("ids"), F.min("document_id").alias("first"))
 
 
 def _runs(spark, d):
@@ -90,7 +97,13 @@ def _runs(spark, d):
 
 
 def k5(spark, d):
-    return sync.newest(_runs(spark, d), "started_at", "run_id").select("run_id", "source", "status")
+    """Runs are appended when they start and when they end; one in nine has not ended."""
+    path = place(spark, "runs")
+    runs = _runs(spark, d)
+    sync.append_runs(runs.withColumn("status", F.lit("running")), path)
+    ended = runs.where("cast(run_id as long) % 9 <> 0")
+    sync.append_runs(ended.withColumns({"finished_at": F.col("started_at"), "error": F.when(F.col("status") == "failed", "lost")}), path)
+    return sync.read_runs(spark, path).select("run_id", "source", "status", "error")
 
 
 def _switches(spark, d):
@@ -119,10 +132,9 @@ def a2(spark, d):
 
 
 def a3(spark, d):
-    p = base.places(spark, d)
-    zero = base.read(spark, d, "region").select(F.explode(F.array(*[F.lit(x) for x in ("venue", "street", "address", "locality", "country")])).alias("value")).distinct()
-    layers = zero.join(p.groupBy(F.col("layer").alias("value")).count(), "value", "left").select(F.lit("layer").alias("field"), "value", F.coalesce("count", F.lit(0)).alias("count"))
-    return layers.unionByName(quality.breakdown(p, ["segment", "country_a"]))
+    p = base.places(spark, d).withColumn("admin_enrichment_reason", F.when(F.col("country_a").isNull() & (F.col("key") % 2 == 0), "no_covering_admin_boundary"))
+    p = p.withColumn("indexed_at", F.timestamp_seconds(F.col("key")))
+    return quality.index_stats(p, ("venue", "street", "address", "locality", "country"), ["segment", "country_a", "source", "source_config"])
 
 
 def a4(spark, d):
@@ -167,7 +179,7 @@ def w6(spark, d):
 
 def _samples(spark, d):
     r = base.requests(spark, d)
-    return r.select("endpoint", F.concat(F.lit("R"), F.col("user_id") % 5).alias("country"), F.concat(F.lit("q"), F.col("k") % 7).alias("query"), (F.col("status") == 200).alias("ok"), F.when(F.col("k") % 6 != 0, F.concat(F.lit("R"), F.col("k") % 5)).alias("top_country"), F.concat(F.lit("label"), "event_id").alias("top_label"), F.col("event_id").alias("seq"), "latency_ms")
+    return r.select("endpoint", F.concat(F.lit("R"), F.col("user_id") % 5).alias("country"), F.concat(F.lit("q"), F.col("k") % 7).alias("query"), (F.col("status") == 200).alias("ok"), F.when(F.col("k") % 6 != 0, F.concat(F.lit("R"), F.col("k") % 5)).alias("top_country"), F.concat(F.lit("label"), "event_id").alias("top_label"), F.col("event_id").alias("seq"), "latency_ms", (F.col("event_id") % 4).alias("result_count"))
 
 
 def a12(spark, d):
@@ -180,7 +192,7 @@ def f19(spark, d):
 
 
 def f20(spark, d):
-    s = _samples(spark, d).withColumn("result_count", F.col("seq") % 4)
+    s = _samples(spark, d)
     return s.where(~F.col("ok") | (F.col("result_count") < 1)).groupBy("endpoint").agg(F.count(F.lit(1)).alias("rejected"))
 
 
@@ -213,7 +225,11 @@ def j12(spark, d):
 
 
 def s12(spark, d):
-    return _state(spark, d).select("source", "last_success", "last_indexed_count")
+    """State tables are written and read for all configured sources, one of which has none."""
+    path = place(spark, "state")
+    sync.write_state(_state(spark, d), path)
+    sources = base.requests(spark, d).select(F.explode(F.array(F.concat_ws("-", "endpoint", F.col("user_id") % 10), F.lit("nowhere"))).alias("source")).distinct()
+    return sync.read_state(spark, path, sources).select("source", "last_success", "last_indexed_count")
 
 
 def s11(spark, d):
@@ -242,12 +258,21 @@ def g7(spark, d):
 def g7_failures(spark, d):
     s = _samples(spark, d)
     per = quality.per_query(s, ["endpoint", "country", "query"])
-    return quality.failures(per, quality.latency(s, ["endpoint"]), {"view": 60.0, "click": 1e9}).select("code", "endpoint", "detail")
+    missing = quality.missing_ratio(base.places(spark, d), "country_a")
+    return quality.failures(per, quality.latency(s, ["endpoint"]), {"view": 60.0, "click": 1e9, "purchase": 0.0}, missing).select("code", "endpoint", R6("detail").alias("detail"))
+
+
+def g7_run(spark, d):
+    """The matrix itself: the searches of all tasks are run, their hits counted and held against their countries."""
+    c = docs(spark, d).groupBy(F.col("country_a").alias("country")).agg(F.array_sort(F.collect_set("locality")).alias("cities")).withColumn("queries", F.array(F.lit("bolt"), F.lit("red gear"), F.lit("nothing here")))
+    tasks = quality.tasks(c).withColumn("query_id", F.concat_ws("|", "country", "city", "query", "endpoint"))
+    out = quality.run_tasks(tasks, search_plans.index(spark, d), search_plans.dims(spark, d))
+    return out.select("endpoint", "country", "city", "query", "result_count", "top_country")
 
 
 def j6(spark, d):
     hits = base.requests(spark, d).select("event_id", F.col("user_id").alias("key"))
-    return hits.join(base.places(spark, d).select("key", "name", "locality"), "key", "left").select("event_id", F.coalesce("name", F.lit("unknown")).alias("name"), "locality")
+    return hits.join(base.places(spark, d).select("key", "name", "locality").hint("merge"), "key", "left").select("event_id", F.coalesce("name", F.lit("unknown")).alias("name"), "locality")
 
 
 def f15(spark, d):
@@ -289,13 +314,12 @@ def d2(spark, d):
 
 
 def d1(spark, d):
-    ranked = _dup_docs(spark, d).withColumn("query_id", F.col("k") % 97).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_id"))).where("rank <= 40")
+    """Result lists of some thirty documents, as many as there are documents for."""
+    ranked = _dup_docs(spark, d).withColumn("query_id", F.floor(F.col("k") / 30)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_id")))
     return dedupe.results(ranked)
 
 
 def d3(spark, d):
-    from ..sources.store import written
-
     t = _dup_docs(spark, d).withColumns({"confidence": F.lit(1.0), "has_routable": F.lit(False), "n_categories": F.lit(1), "distance": F.lit(0.0)})
     return dedupe.table(t, dedupe.pairs(t), written, dedupe.better(["name", "kind"])).select("_id", "label")
 
@@ -312,7 +336,7 @@ _CNT = "cnt AS (SELECT source, count(*) AS previous, count(*) FILTER (k % 5 < CA
 _DROP = "(previous - current) / previous::DOUBLE"
 _VIOL = f"CASE WHEN source NOT LIKE '3%' AND previous >= 100 AND {_DROP} > CASE WHEN source LIKE '2%' THEN 0.1 ELSE 0.5 END THEN 'unexpected_source_drop' END"
 _SM = "sm AS (SELECT endpoint, 'R' || (user_id % 5) AS country, 'q' || (k % 7) AS query, status = 200 AS ok, CASE WHEN k % 6 <> 0 THEN 'R' || (k % 5) END AS top_country, 'label' || event_id AS top_label, event_id AS seq, latency_ms FROM e)"
-_PQ = "pq AS (SELECT endpoint, country, query, count(*) AS requests, count(*) FILTER (NOT ok) AS failures, min_by(top_label, seq) FILTER (ok) AS top_label, count(*) FILTER (ok AND top_country IS DISTINCT FROM country) AS mismatches, min(seq) FILTER (ok AND top_country IS DISTINCT FROM country) AS first_seq FROM sm GROUP BY 1, 2, 3)"
+_PQ = "pq AS (SELECT endpoint, country, query, count(*) AS requests, count(*) FILTER (NOT ok) AS failures, min_by(top_label, seq) FILTER (ok) AS top_label, count(*) FILTER (ok AND seq % 4 = 0) AS empty, count(*) FILTER (ok AND top_country IS DISTINCT FROM country) AS mismatches, min(seq) FILTER (ok AND top_country IS DISTINCT FROM country) AS first_seq FROM sm GROUP BY 1, 2, 3)"
 _LAT = "count({v}) AS count, coalesce(quantile_disc({v}, 0.5), 0) AS p50, coalesce(quantile_disc({v}, 0.95), 0) AS p95, coalesce(quantile_disc({v}, 0.99), 0) AS p99, coalesce(max({v}), 0) AS max"
 _ST = "st AS (SELECT endpoint || '-' || (user_id % 10) AS source, max(ts) FILTER (k % 50 = 0) AS last_success, count(*) AS last_indexed_count FROM e GROUP BY 1)"
 _STALE = "sl AS (SELECT source, floor(epoch_us(TIMESTAMP '2024-01-31') / 1000000.0 - epoch_us(last_success) / 1000000.0)::BIGINT AS age_seconds, CASE WHEN source LIKE '%1' OR source LIKE '%2' THEN 400000 ELSE 86400 END AS threshold FROM st), sf AS (SELECT *, age_seconds IS NULL OR age_seconds > threshold AS stale FROM sl)"
@@ -337,14 +361,14 @@ QUERIES = {
     "g1_check_count_drop": (g1, _q(f"SELECT source, previous, current, round({_DROP}, 6) AS drop_ratio, {_VIOL} AS violation FROM cnt", _O, _CNT)),
     "g2_check_failure_ratio": (g2, _q("SELECT source, read, failed, round(failed / read::DOUBLE, 6) AS failed_ratio, CASE WHEN failed / read::DOUBLE > 0.01 THEN 'failure_ratio_exceeded' END AS violation FROM (SELECT source, count(*) AS read, count(*) FILTER (source LIKE '1%' AND k % 50 = 0) AS failed FROM o GROUP BY 1)", _O)),
     "a7_sync_totals": (a7, _q("SELECT sum(previous)::BIGINT AS read, sum(current)::BIGINT AS indexed, sum(current)::BIGINT AS unique_ids, sum(previous - current)::BIGINT AS failed, 0::BIGINT AS deleted FROM cnt", _O, _CNT)),
-    "k4_write_seen_ids": (k4, _q("SELECT source AS source_name, count(*) AS ids, min(_id) AS first FROM o GROUP BY 1", _O)),
-    "k5_append_run_history": (k5, _q("SELECT event_id::VARCHAR AS run_id, endpoint AS source, CASE WHEN k % 4 = 0 THEN 'failed' ELSE 'success' END AS status FROM e ORDER BY ts DESC, event_id::VARCHAR LIMIT 200", _E)),
+    "k4_write_seen_ids": (k4, _q("SELECT source AS source_name, count(*) AS ids, min(_id) AS first FROM o WHERE source >= '3' OR k % 3 = 0 GROUP BY 1", _O)),
+    "k5_append_run_history": (k5, _q("SELECT event_id::VARCHAR AS run_id, endpoint AS source, CASE WHEN event_id % 9 = 0 THEN 'running' WHEN k % 4 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN event_id % 9 <> 0 AND k % 4 = 0 THEN 'lost' END AS error FROM e ORDER BY ts DESC, event_id::VARCHAR LIMIT 200", _E)),
     "k6_publish_history": (k6, _q("SELECT switch_id, target_index FROM sw WHERE status = 'success' AND type = 'view' ORDER BY ts DESC, switch_id LIMIT 1", _E, _SW)),
     "k8_rollback_candidates": (k8, _q("SELECT previous_read_index AS target, max(rtrim(rtrim(ts::VARCHAR, '0'), '.')) AS last_used FROM sw WHERE status = 'success' AND previous_read_index IS NOT NULL AND previous_read_index <> (SELECT max_by(target_index, (ts, switch_id)) FROM sw WHERE status = 'success') GROUP BY 1", _E, _SW)),
     "w8_newest_n_history": (w8, _q("SELECT switch_id FROM sw ORDER BY ts DESC, switch_id LIMIT 200", _E, _SW)),
     "a1_terms_count": (a1, _q("SELECT category AS value, count(*) AS count FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", _S)),
     "a2_missing_country_breakdown": (a2, base.sql("SELECT * FROM (SELECT 'layer' AS field, layer AS value, count(*) AS count FROM places WHERE country_a IS NULL GROUP BY 2 UNION ALL SELECT 'source_config', source_config, count(*) FROM places WHERE country_a IS NULL GROUP BY 2 UNION ALL SELECT 'segment', segment, count(*) FROM places WHERE country_a IS NULL GROUP BY 2)", "places")),
-    "a3_index_stats": (a3, base.sql("SELECT * FROM (SELECT 'layer' AS field, v AS value, count(layer) AS count FROM (VALUES ('venue'), ('street'), ('address'), ('locality'), ('country')) AS l(v) LEFT JOIN places ON layer = v GROUP BY 2 UNION ALL SELECT 'segment', segment, count(*) FROM places GROUP BY 2 UNION ALL SELECT 'country_a', country_a, count(*) FROM places WHERE country_a IS NOT NULL GROUP BY 2)", "places")),
+    "a3_index_stats": (a3, base.sql("SELECT * FROM (SELECT 'layer' AS field, v AS value, count(layer) AS count FROM (VALUES ('venue'), ('street'), ('address'), ('locality'), ('country')) AS l(v) LEFT JOIN places ON layer = v GROUP BY 2 UNION ALL SELECT 'segment', segment, count(*) FROM places GROUP BY 2 UNION ALL SELECT 'country_a', country_a, count(*) FROM places WHERE country_a IS NOT NULL GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM places GROUP BY 2 UNION ALL SELECT 'source_config', source_config, count(*) FROM places GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM places UNION ALL SELECT 'with_country', 'all', count(country_a) FROM places UNION ALL SELECT 'missing_country', 'all', count(*) FROM places WHERE country_a IS NULL UNION ALL SELECT 'last_indexed', 'all', max(key) FROM places UNION ALL SELECT 'missing_country_reason', CASE key % 2 WHEN 0 THEN 'no_covering_admin_boundary' ELSE 'unknown' END, count(*) FROM places WHERE country_a IS NULL GROUP BY 2)", "places")),
     "a4_category_counts": (a4, _q("SELECT category AS category_id, count(*) AS count FROM s GROUP BY 1 UNION ALL SELECT r_name, 0 FROM region", _S)),
     "a5_status_counts_with_missing": (a5, base.sql("SELECT coalesce(country_a, 'missing') AS status, count(*) AS count FROM places GROUP BY 1", "places")),
     "w7_top_hits_sample": (w7, base.sql("SELECT segment, _id FROM places QUALIFY row_number() OVER (PARTITION BY segment ORDER BY _id) <= 3", "places")),
@@ -361,23 +385,29 @@ QUERIES = {
     "f16_stale_sources": (f16, _q("SELECT source, age_seconds, threshold, stale FROM sf", _E, _ST, _STALE)),
     "g6_freshness_report": (g6, _q(f"SELECT count(*) AS sources, count(*) FILTER (stale) AS stale_sources, count(*) FILTER (stale) = 0 AS fresh, (SELECT count({_VIOL}) > 0 FROM cnt) AS count_drop FROM sf", _E, _ST, _STALE, _O, _CNT)),
     "j12_source_stats_join": (j12, _q("SELECT source, last_indexed_count, (SELECT count(*) FROM e WHERE status = 200 AND endpoint || '-' || (user_id % 10) = st.source) AS documents FROM st", _E, _ST)),
-    "s12_read_sync_state": (s12, _q("SELECT * FROM st", _E, _ST)),
+    "s12_read_sync_state": (s12, _q("SELECT * FROM st UNION ALL SELECT 'nowhere', NULL, NULL", _E, _ST)),
     "s11_read_documents": (s11, _q("SELECT layer, count(*) AS n FROM s GROUP BY 1", _S)),
     "s13_query_batch": (s13, _q("SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS index FROM e", _E)),
-    "g3_validate_version": (g3, None),
     "g7_quality_matrix": (g7, "SELECT r_name AS country, n_name AS city, unnest(['restaurant', 'hotel', r_name]) AS query, endpoint FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('search'), ('autocomplete')) AS t(endpoint)"),
-    "g7_quality_failures": (g7_failures, _q("SELECT 'request_failed' AS code, endpoint, failures::DOUBLE AS detail FROM pq WHERE failures > 0 UNION ALL SELECT 'country_filter_mismatch', endpoint, mismatches::DOUBLE FROM pq WHERE mismatches > 0 UNION ALL SELECT 'view_p95_latency_exceeded', 'view', p FROM (SELECT quantile_disc(latency_ms, 0.95) AS p FROM sm WHERE endpoint = 'view') WHERE p > 60", _E, _SM, _PQ)),
+    "g7_quality_failures": (g7_failures, _q("SELECT 'request_failed' AS code, endpoint, failures::DOUBLE AS detail FROM pq WHERE failures > 0 UNION ALL SELECT 'country_filter_mismatch', endpoint, mismatches::DOUBLE FROM pq WHERE mismatches > 0 UNION ALL SELECT 'zero_results', endpoint, empty::DOUBLE FROM pq WHERE empty > 0 AND failures < requests UNION ALL SELECT 'missing_country_ratio_exceeded', 'index-stats', r FROM (SELECT round(count(*) FILTER (country_a IS NULL) / count(*)::DOUBLE, 6) AS r FROM places) WHERE r > 0.05 UNION ALL SELECT 'view_p95_latency_exceeded', 'view', p FROM (SELECT quantile_disc(latency_ms, 0.95) AS p FROM sm WHERE endpoint = 'view') WHERE p > 60", base.SQL["places"], _E, _SM, _PQ)),
     "j6_enrich_results": (j6, base.sql("SELECT event_id, coalesce(name, 'unknown') AS name, locality FROM events LEFT JOIN places ON user_id = key", "places")),
     "f15_clean_params": (f15, _q("SELECT event_id, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END::INT AS n, CASE WHEN k % 2 = 0 THEN 'en' END AS lang FROM e", _E)),
     "f17_validate_queries": (f17, f"SELECT event_id, CASE WHEN p IS NOT NULL THEN 'invalid_request' END AS error, p AS parameter FROM (SELECT event_id, {_VAL} AS p FROM (SELECT event_id, event_id AS k FROM events))"),
     "f17_validate_nearby": (f17_nearby, f"SELECT {_NVAL} AS parameter, count(*) AS n FROM (SELECT event_id AS k FROM events) GROUP BY 1"),
     "d2_duplicate_pairs": (d2, None),
-    "d1_dedupe_results": d1,
-    "d3_dedupe_table": d3,
     "d4_pick_better": (d4, _q("SELECT name, _id FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN k % 3 = 0 THEN 0.5 ELSE 0.9 END DESC, (k % 2 = 0) DESC, lat, _id) = 1", _S)),
 }
 _NEARD = base.sql_haversine("x.lat", "x.lon", "y.lat", "y.lon")
-QUERIES["d2_duplicate_pairs"] = (d2, _q(f"""SELECT a, b FROM (
+_SIMILAR = "(x.name = y.name OR (length(x.name) > 3 AND length(y.name) > 3 AND (contains(x.name, y.name) OR contains(y.name, x.name))))"
+_PAIRS = f"""pr AS (SELECT a, b FROM (
  SELECT min(_id) OVER (PARTITION BY layer, source_id) AS a, _id AS b FROM dd UNION SELECT min(_id) OVER (PARTITION BY source_id), _id FROM dd
- UNION SELECT x._id, y._id FROM dd x JOIN dd y ON x._id < y._id AND abs(x.lat - y.lat) < 0.001 AND abs(x.lon - y.lon) < 0.001 WHERE (x.name = y.name OR (length(x.name) > 3 AND length(y.name) > 3 AND (contains(x.name, y.name) OR contains(y.name, x.name)))) AND CASE WHEN x.layer = y.layer THEN {_NEARD} <= 30 ELSE {_NEARD} < 15 END) WHERE a < b""", _S, _DUP))
+ UNION SELECT x._id, y._id FROM dd x JOIN dd y ON x._id < y._id AND abs(x.lat - y.lat) < 0.001 AND abs(x.lon - y.lon) < 0.001 WHERE {_SIMILAR} AND CASE WHEN x.layer = y.layer THEN {_NEARD} <= 30 ELSE {_NEARD} < 15 END) WHERE a < b)"""
+QUERIES["d2_duplicate_pairs"] = (d2, _q("SELECT a, b FROM pr", _S, _DUP, _PAIRS))
+QUERIES["d3_dedupe_table"] = (d3, "WITH RECURSIVE " + ", ".join((_S, _DUP, _PAIRS)) + """, bo AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), re(node, label) AS (SELECT _id, _id FROM dd UNION SELECT bo.b, re.label FROM re JOIN bo ON bo.a = re.node WHERE re.label < bo.b)
+ SELECT node AS _id, node AS label FROM (SELECT node, min(label) AS label FROM re GROUP BY 1) WHERE node = label""")
+QUERIES["d1_dedupe_results"] = (d1, "WITH RECURSIVE " + ", ".join((_S, _DUP)) + f""", o AS (SELECT k // 30 AS query_id, row_number() OVER (PARTITION BY k // 30 ORDER BY _id) AS rank, _id, {{'_id': _id, 'gid': 'osm:' || layer || ':' || source_id, 'source_id': source_id, 'layer': layer, 'lat': lat, 'lon': lon, 'name': name}} AS x FROM dd),
+ st(query_id, rank, kept) AS (SELECT query_id, rank, [x] FROM o WHERE rank = 1 UNION ALL SELECT o.query_id, o.rank, CASE WHEN len(list_filter(kept, lambda y: y.gid = x.gid OR y.source_id = x.source_id OR ({_SIMILAR} AND CASE WHEN x.layer = y.layer THEN {_NEARD} <= 30 ELSE {_NEARD} < 15 END))) > 0 THEN kept ELSE list_append(kept, x) END FROM st JOIN o ON o.query_id = st.query_id AND o.rank = st.rank + 1),
+ last AS (SELECT query_id, kept, rank - len(kept) AS deduped_count FROM st QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1)
+ SELECT query_id, CAST(generate_subscripts(kept, 1) AS INT) AS rank, unnest(kept)._id AS _id, CAST(deduped_count AS INT) AS deduped_count FROM last""")
 QUERIES["g3_validate_version"] = g3
+QUERIES["g7_run_matrix"] = g7_run

@@ -1,11 +1,12 @@
-"""Queries over search, intent and scores: parts as documents, some parts' names as queries."""
+"""Queries over search, intent and scores: parts as documents; each supplier asks for the part of its number, by its
+name, with a place or a word that is nowhere, or misspelt."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import features, intent, rank, search
+from ..operators import features, geocode, intent, rank, search
 from ..operators.spatial import top_k
 from ..sources.store import written
 from . import base
@@ -16,7 +17,8 @@ BOOSTS = {"name": 5.0, "category_terms": 4.0, "locality": 2.0}
 _S = f"""s AS (SELECT 'postgis:part:' || p_partkey AS _id, p_partkey AS k, lower(p_name) AS name, lower(p_type) AS kind, split_part(lower(p_name), ' ', 2) AS category, 'g' || length(split_part(lower(p_name), ' ', 2)) AS grp,
  'nation_' || (p_partkey % 25) AS locality, 'R' || (p_partkey % 5) AS country_a, CASE p_partkey % 4 WHEN 0 THEN 'street' WHEN 1 THEN 'locality' ELSE 'venue' END AS layer, p_retailprice AS popularity, (p_partkey % 10) / 10.0::DOUBLE AS importance,
  {base.SQL_LON.format('p_partkey')} AS lon, {base.SQL_LAT.format('p_partkey')} AS lat FROM part)"""
-_QN = "q AS (SELECT k AS query_id, name || CASE k // 40 % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || locality ELSE ' zzz' END AS t, lon AS q_lon, lat AS q_lat, country_a AS code, k // 40 % 2 = 0 AS focused FROM s WHERE k % 40 = 0)"
+_T = "CASE k % 5 WHEN 0 THEN name WHEN 1 THEN name || ' ' || locality WHEN 2 THEN name || ' zzz' WHEN 3 THEN left(split_part(name, ' ', 1), length(split_part(name, ' ', 1)) - 1) || 'q ' || category || ' land of ' || locality ELSE split_part(name, ' ', 1) || 'x ' || category END"
+_QN = f"q AS (SELECT k AS query_id, {_T} AS t, lon AS q_lon, lat AS q_lat, country_a AS code, k % 2 = 0 AS focused FROM s JOIN supplier ON k = s_suppkey)"
 _FIELDS = "f AS (SELECT _id, 'name' AS field, name AS v, 5.0::DOUBLE AS boost FROM s UNION ALL SELECT _id, 'category_terms', kind, 4.0 FROM s UNION ALL SELECT _id, 'locality', locality, 2.0 FROM s)"
 _P = _FIELDS + """, tok AS (SELECT _id, field, boost, unnest(string_split(v, ' ')) AS token, len(string_split(v, ' ')) AS length FROM f),
  post AS (SELECT _id, field, boost, token, count(*) AS tf, any_value(length) AS length FROM tok GROUP BY ALL),
@@ -37,12 +39,24 @@ def docs(spark, d):
 
 
 def asked(spark, d):
-    part = F.floor(F.col("k") / 40) % 3
-    t = F.concat("name", F.when(part == 0, "").when(part == 1, F.concat(F.lit(" "), "locality")).otherwise(" zzz"))
-    out = docs(spark, d).where("k % 40 = 0").select(F.col("k").alias("query_id"), t.alias("t"), F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), F.col("country_a").alias("code"), (F.floor(F.col("k") / 40) % 2 == 0).alias("focused"))
+    k, first = F.col("k"), F.split_part("name", F.lit(" "), F.lit(1))
+    misspelt = F.concat(F.expr("left(split_part(name, ' ', 1), length(split_part(name, ' ', 1)) - 1)"), F.lit("q "), "category", F.lit(" land of "), "locality")
+    t = F.when(k % 5 == 0, F.col("name")).when(k % 5 == 1, F.concat_ws(" ", "name", "locality")).when(k % 5 == 2, F.concat("name", F.lit(" zzz"))).when(k % 5 == 3, misspelt).otherwise(F.concat(first, F.lit("x "), "category"))
+    rows = docs(spark, d).join(base.read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).hint("merge"), "k")
+    out = rows.select(k.alias("query_id"), t.alias("t"), F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), F.col("country_a").alias("code"), (k % 2 == 0).alias("focused"))
     return out.withColumn("tokens", text.tokenize(F.col("t"))).withColumn("normalized", F.col("t"))
 
 
+def index(spark, d):
+    """The index of the parts' documents: made once, it serves any number of query tables."""
+    t, tokens = docs(spark, d), lambda c: text.tokenize(c)
+    fields = {
+        "name.default": tokens(F.col("name")), "label": tokens(F.concat_ws(" ", "name", "locality")), "parent.locality": tokens(F.col("locality")), "locality": tokens(F.col("locality")), "region": tokens(F.lower("country_a")), "country": tokens(F.lower("country_a")),
+        "category": tokens(F.col("category")), "category_terms": tokens(F.col("kind")), "address_parts.street": tokens(F.col("name")), "address_parts.number": F.array((F.col("k") % 7).cast("string")),
+    }
+    return geocode.build(t.withColumns({"category_ids": F.array("category"), "intent_groups": F.array("grp")}), fields)
+
+
 def weights(spark, d, fields=("name", "kind", "locality")):
     """The index: weights of all tokens, written once as a search index would be."""
     names = {"kind": "category_terms"}
@@ -51,7 +65,7 @@ def weights(spark, d, fields=("name", "kind", "locality")):
 
 
 def _terms(spark, d):
-    return search.terms(asked(spark, d).withColumn("tt", F.array("tokens")), "tt")
+    return written(search.terms(asked(spark, d).withColumn("tt", F.array("tokens")), "tt"))
 
 
 def a19(spark, d):
@@ -59,31 +73,37 @@ def a19(spark, d):
 
 
 def j7(spark, d):
-    q = base.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.slice(text.tokenize(F.lower("text")), 1, 3)).alias("tt"))
+    q = base.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(text.tokenize(F.lower("text"))).alias("tt"))
     corpus, columns = base.read(spark, d, "documents").withColumnRenamed("doc_id", "_id"), {"text": text.tokenize(F.lower("text"))}
-    asked_terms = search.terms(q, "tt")
+    asked_terms = written(search.terms(q, "tt"))
     post = written(search.postings(corpus, columns, only=asked_terms))
     hits = search.text_match(asked_terms, search.weighted(post, search.field_statistics(corpus, columns)))
     return top_k(hits, 10, F.desc(F.round("score", 9)), F.col("_id")).select("query_id", "rank", F.col("_id").alias("doc_id"), R6("score").alias("score"))
 
 
 def r3(spark, d):
-    return search.text_match(_terms(spark, d), weights(spark, d)).select("query_id", "_id", R6("score").alias("score"))
+    q = asked(spark, d).withColumn("ts", F.array("tokens", F.slice("tokens", -1, 1)))
+    return geocode.text_clause(q, "ts", index(spark, d), geocode.SEARCH_FIELDS).select("query_id", "_id", R6("score").alias("score"))
 
 
 def j13(spark, d):
-    q = asked(spark, d).withColumn("tt", F.array(F.slice("tokens", -1, 1)))
-    return search.text_match(search.terms(q, "tt"), weights(spark, d, ("locality",)), "and").select("query_id", "_id", R6("score").alias("score"))
+    q = asked(spark, d).withColumn("ts", F.array(F.slice("tokens", -1, 1)))
+    return geocode.text_clause(q, "ts", index(spark, d), geocode.PLACE_FIELDS, "and", later=1.0).select("query_id", "_id", R6("score").alias("score"))
 
 
 def r3_and(spark, d):
-    return search.text_match(_terms(spark, d), weights(spark, d), "and").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    q = asked(spark, d).withColumn("ts", F.array("tokens"))
+    return geocode.text_clause(q, "ts", index(spark, d), geocode.SEARCH_FIELDS, "and").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), R6(F.max("score")).alias("best"))
 
 
 def r4(spark, d):
-    q = asked(spark, d).select("query_id", F.array(F.element_at("tokens", 2)).alias("ids"), F.array(F.concat(F.lit("g"), F.length(F.element_at("tokens", 2)))).alias("groups"))
-    t = docs(spark, d).select("_id", F.array("category").alias("category_ids"), F.array("grp").alias("intent_groups"))
-    return search.any_match(q, t, [("ids", "category_ids", 8), ("groups", "intent_groups", 3)]).select("query_id", "_id", "score")
+    q, i = resolved(spark, d), index(spark, d)
+    out = None
+    for mode in ("search", "autocomplete"):
+        hits = geocode.by_category(q, i, mode).join(i.docs.withColumnsRenamed(geocode._OF_DOCUMENT).hint("merge"), "_id").join(q.hint("merge"), "query_id")
+        one = hits.select("query_id", "_id", F.lit(mode).alias("mode"), geocode.category_score(mode).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def j8(spark, d):
@@ -110,24 +130,24 @@ def r6_phrase(spark, d):
     return search.phrase_prefix(hits, "tokens", "name_tokens").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def _dims(spark, d):
+def dims(spark, d):
     t = docs(spark, d)
     cat = t.groupBy(F.col("category").alias("category_id")).agg(F.array_sort(F.collect_set("grp")).alias("intent_groups"), F.max("importance").alias("importance"))
     term = cat.select(F.lit("category").alias("type"), F.col("category_id").alias("id"), F.col("category_id").alias("term")).unionByName(t.select(F.lit("intent_group").alias("type"), F.col("grp").alias("id"), F.col("name").alias("term")).where("term like 'red %'").distinct())
     place = t.select(F.col("locality").alias("variant"), F.explode(F.array("locality", F.concat(F.lit("land of "), "locality"))).alias("term")).distinct()
-    return term, cat, place
+    return tuple(written(dim) for dim in (term, cat, place))
 
 
 def j9(spark, d):
-    return intent.matched_terms(asked(spark, d), _dims(spark, d)[0])
+    return intent.matched_terms(asked(spark, d), dims(spark, d)[0])
 
 
 def j10(spark, d):
-    return intent.place_terms(asked(spark, d), _dims(spark, d)[2])
+    return intent.place_terms(asked(spark, d), dims(spark, d)[2])
 
 
 def resolved(spark, d):
-    return intent.resolve(asked(spark, d), *_dims(spark, d))
+    return intent.resolve(asked(spark, d), *dims(spark, d))
 
 
 def r1(spark, d):
@@ -136,7 +156,7 @@ def r1(spark, d):
 
 
 def r2(spark, d):
-    term, cat, _ = _dims(spark, d)
+    term, cat, _ = dims(spark, d)
     wanted = asked(spark, d).select("query_id", F.explode(F.array(F.element_at("tokens", 2), F.upper(F.element_at("tokens", 2)), F.lit("else"))).alias("category"))
     return intent.category_filter(wanted, term, cat)
 
@@ -147,13 +167,13 @@ def f12(spark, d):
 
 
 def f13(spark, d):
-    rows = base.read(spark, d, "part").select(F.col("p_type").alias("category_id"), F.explode(F.array("p_name", F.concat(F.lit("Q"), "p_partkey"), F.lit("Place"))).alias("alias"))
-    manual = rows.where("category_id = 'SMALL' and alias = 'Place'").distinct()
+    rows = base.read(spark, d, "part").select(F.col("p_type").alias("category_id"), F.explode(F.array("p_name", F.concat(F.lit("Q"), "p_partkey"), *[F.lit(w) for w in ("Place", "point", "Service", "services", "building", "business", "company", "organization", "location", "Facility", "office", "x")])).alias("alias"))
+    manual = rows.where("category_id = 'SMALL' and alias in ('Place', 'company')").distinct()
     return intent.safe_aliases(rows, manual)
 
 
 def p10(spark, d):
-    _, cat, _ = _dims(spark, d)
+    _, cat, _ = dims(spark, d)
     tag = cat.select("category_id", F.lit("noun").alias("key"), F.col("category_id").alias("value")).where("length(category_id) <> 5")
     t = docs(spark, d).select("_id", F.create_map(F.lit("noun"), F.col("category"), F.lit("kind"), F.col("kind")).alias("source_tags"))
     out = intent.enrich_categories(t, tag, cat)
@@ -161,73 +181,97 @@ def p10(spark, d):
 
 
 def j14(spark, d):
-    _, cat, _ = _dims(spark, d)
+    _, cat, _ = dims(spark, d)
     own = cat.select("category_id", F.create_map(F.lit("en"), F.array("category_id", F.lit("thing"))).alias("aliases_by_lang"))
     made = docs(spark, d).where("k % 3 = 0").groupBy(F.col("category").alias("category_id")).agg(F.collect_set("kind").alias("generated"))
     return intent.label_merge(own, made).select("category_id", F.array_join("all_aliases", "|").alias("aliases"))
 
 
 def p31(spark, d):
-    _, cat, _ = _dims(spark, d)
+    _, cat, _ = dims(spark, d)
     names = F.map_filter(F.create_map(F.lit("en"), F.when(F.length("category_id") > 4, F.initcap("category_id")), F.lit("ar"), F.col("category_id")), lambda _, v: v.isNotNull())
     counts = docs(spark, d).where("layer = 'venue'").groupBy(F.col("category").alias("category_id")).count()
     return intent.categories_report(cat.withColumn("names", names), counts)
 
 
 def f14(spark, d):
-    _, cat, _ = _dims(spark, d)
+    _, cat, _ = dims(spark, d)
     counts = docs(spark, d).groupBy(F.col("category").alias("category_id")).count()
     return intent.categories_report(cat.withColumn("names", F.create_map(F.lit("en"), F.col("category_id"))), counts, q="g6").select("category_id", "available_count")
 
 
-def scored(spark, d):
-    """Search: all tokens that name no category must be in the text; category and place clauses where there are any."""
-    q = written(resolved(spark, d).join(asked(spark, d).select("query_id", "q_lon", "q_lat", "focused"), "query_id"))
-    t, w = docs(spark, d), weights(spark, d)
-    cats = search.any_match(q, t.select("_id", F.array("category").alias("c"), F.array("grp").alias("g")), [("category_ids", "c", 8), ("intent_groups", "g", 3)])
-    place = q.withColumn("tt", F.transform("place_terms", lambda p: F.split(p, " ")))
-    places = search.text_match(search.terms(place, "tt"), w.where("field = 'locality'"), "and")
-    rest = search.text_match(search.terms(q.withColumn("tt", F.array(text.tokenize(F.col("unmatched")))), "tt"), w, "and")
-    hits = search.conjunction(q, [((F.size("category_ids") > 0) | (F.size("intent_groups") > 0), cats), (F.size("place_terms") > 0, places), (F.col("unmatched") != "", rest)])
-    hits = hits.join(q.select("query_id", "category_ids", "intent_groups", "q_lon", "q_lat", "focused"), "query_id").join(t, "_id")
-    distance = F.when(F.col("focused"), geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")))
-    hits = hits.withColumn("distance", distance)
-    parts = rank.components(F.col("distance"), F.col("popularity"), F.col("importance"), F.col("layer"), F.array_contains("category_ids", F.col("category")), F.array_contains("intent_groups", F.col("grp")))
-    hits = hits.withColumns(parts)
-    return hits.withColumn("text_score", F.col("score")).withColumn("score", rank.final_score(F.col("text_score"), [F.col(c) for c in parts], F.col("distance")))
-
-
-_ADJ = "split_part(t, ' ', 1)"
-_INTENT = """cats AS (SELECT DISTINCT category, grp FROM s), it AS (
- SELECT query_id, t, q_lon, q_lat, focused, code, split_part(t, ' ', 1) AS adj, split_part(t, ' ', 2) AS noun, split_part(t, ' ', 3) AS third FROM q),
- names AS (SELECT DISTINCT name, grp FROM s WHERE name LIKE 'red %'), nouns AS (SELECT DISTINCT category, grp FROM s),
- mt AS (SELECT DISTINCT query_id, 'category' AS type, category AS id, category AS term FROM it JOIN nouns ON list_contains(string_split(t, ' '), category) OR EXISTS (SELECT 1 FROM unnest(string_split(t, ' ')) AS u(x) WHERE length(x) >= 3 AND starts_with(category, x))
-   UNION SELECT query_id, 'intent_group', grp, name FROM it JOIN names ON (' ' || t || ' ') LIKE ('% ' || name || ' %') OR EXISTS (SELECT 1 FROM unnest(string_split(t, ' ')) AS u(x) WHERE length(x) >= 3 AND starts_with(name, x)))"""
+def _focused(spark, d):
+    on = lambda c: F.when(F.col("focused"), F.col(c)).alias(c)
+    return asked(spark, d).select("query_id", "normalized", "tokens", on("q_lat"), on("q_lon"))
+
+
+def scored(spark, d, made=None):
+    """All hits of a search of all queries, with the parts of their scores."""
+    return geocode.scored(_focused(spark, d), made or index(spark, d), *dims(spark, d))
+
+
+_B = """bs(field, clause, boost) AS (VALUES ('name.default', 'search', 5.0::DOUBLE), ('label', 'search', 4.0), ('parent.locality', 'search', 2.0), ('locality', 'search', 2.0), ('region', 'search', 1.5), ('country', 'search', 1.0), ('category', 'search', 2.0), ('category_terms', 'search', 4.0),
+ ('parent.locality', 'place', 4.0), ('locality', 'place', 4.0), ('region', 'place', 3.0), ('name.default', 'auto', 5.0), ('label', 'auto', 4.0), ('category_terms', 'auto', 5.0), ('parent.locality', 'auto', 2.0), ('locality', 'auto', 2.0), ('region', 'auto', 1.5))"""
+_I = """fi AS (SELECT _id, unnest([{'f': 'name.default', 'v': name}, {'f': 'label', 'v': name || ' ' || locality}, {'f': 'parent.locality', 'v': locality}, {'f': 'locality', 'v': locality}, {'f': 'region', 'v': lower(country_a)}, {'f': 'country', 'v': lower(country_a)}, {'f': 'category', 'v': category}, {'f': 'category_terms', 'v': kind}, {'f': 'address_parts.street', 'v': name}, {'f': 'address_parts.number', 'v': (k % 7)::VARCHAR}]) AS x FROM s),
+ tok AS (SELECT _id, x.f AS field, unnest(string_split(x.v, ' ')) AS token, len(string_split(x.v, ' ')) AS length FROM fi), post AS (SELECT _id, field, token, count(*) AS tf, any_value(length) AS length FROM tok GROUP BY ALL),
+ fs AS (SELECT field, count(*) AS docs, avg(length) AS mean_length FROM (SELECT DISTINCT _id, field, length FROM post) GROUP BY 1), dfs AS (SELECT field, token, count(*) AS df FROM post GROUP BY 1, 2),
+ w AS (SELECT _id, post.field, post.token, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) AS weight FROM post JOIN dfs USING (field, token) JOIN fs USING (field)), kt AS (SELECT DISTINCT token FROM w), """ + _B
+#: From tt (query_id, clause, term, token, n): m has the best spelling of each token in each field, cl the clauses' scores.
+_M = """fz AS (SELECT a.token, b.token AS match, 1 - levenshtein(a.token, b.token) / least(length(a.token), length(b.token))::DOUBLE AS sure FROM (SELECT DISTINCT token FROM tt) a, kt b WHERE levenshtein(a.token, b.token) <= CASE WHEN length(a.token) <= 2 THEN 0 WHEN length(a.token) <= 5 THEN 1 ELSE 2 END),
+ m AS (SELECT query_id, tt.clause, term, n, _id, w.field, tt.token, max(weight * sure * boost) AS wt FROM tt JOIN fz USING (token) JOIN w ON w.token = fz.match JOIN bs ON bs.field = w.field AND bs.clause = tt.clause WHERE sure > 0 GROUP BY ALL)"""
+_CL = _M + ", bst AS (SELECT query_id, clause, term, _id, max(s) AS s FROM (SELECT query_id, clause, term, _id, field, sum(wt) AS s, count(*) AS c, any_value(n) AS n FROM m GROUP BY ALL) WHERE c = n GROUP BY ALL), cl AS (SELECT query_id, clause, _id, sum(s) AS s FROM bst GROUP BY ALL)"
+_INTENT = """nouns AS (SELECT DISTINCT category, grp FROM s), names AS (SELECT DISTINCT name, grp FROM s WHERE name LIKE 'red %'), qk AS (SELECT query_id, t, unnest(string_split(t, ' ')) AS x FROM q),
+ mt AS (SELECT DISTINCT query_id, 'category' AS type, category AS id, category AS term FROM qk JOIN nouns ON x = category OR (length(x) >= 3 AND starts_with(category, x))
+   UNION SELECT DISTINCT query_id, 'intent_group', grp, name FROM qk JOIN names ON contains(t, name) OR (length(x) >= 3 AND starts_with(name, x))),
+ pl AS (SELECT DISTINCT query_id, locality AS variant FROM qk JOIN (SELECT DISTINCT locality FROM s) AS l ON x = locality OR contains(t, 'land of ' || locality)), pt AS (SELECT query_id, variant, unnest([variant, 'land of ' || variant]) AS term FROM pl)"""
 _RES = """, ci AS (SELECT query_id, list_sort(list(DISTINCT id)) AS category_ids FROM mt WHERE type = 'category' GROUP BY 1),
  gi AS (SELECT query_id, list_sort(list(DISTINCT g)) AS intent_groups FROM (SELECT query_id, grp AS g FROM mt JOIN nouns ON mt.id = nouns.category WHERE type = 'category' UNION SELECT query_id, id FROM mt WHERE type = 'intent_group') GROUP BY 1),
- wd AS (SELECT query_id, list(DISTINCT x) AS ws FROM (SELECT query_id, unnest(string_split(term, ' ')) AS x FROM mt UNION SELECT query_id, unnest(['land', 'of', third]) FROM it WHERE third LIKE 'nation%') GROUP BY 1),
- res AS (SELECT it.*, coalesce(category_ids, []) AS category_ids, coalesce(intent_groups, []) AS intent_groups, CASE WHEN third LIKE 'nation%' THEN ['land of ' || third, third] ELSE [] END AS place_terms,
-   array_to_string(list_filter(string_split(t, ' '), lambda x: NOT list_contains(coalesce(ws, []), x)), ' ') AS unmatched FROM it LEFT JOIN ci USING (query_id) LEFT JOIN gi USING (query_id) LEFT JOIN wd USING (query_id))"""
-_SCORED = f""", qt AS (SELECT DISTINCT query_id, unnest(string_split(unmatched, ' ')) AS token FROM res WHERE unmatched <> ''), qn AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1),
- tm AS (SELECT query_id, _id, max(sc) AS score FROM (SELECT query_id, _id, field, sum(weight) AS sc, count(*) AS c, any_value(n) AS n FROM qt JOIN w USING (token) JOIN qn USING (query_id) GROUP BY 1, 2, 3) WHERE c = n GROUP BY 1, 2),
- cm AS (SELECT query_id, _id, (8 * list_contains(category_ids, category)::INT + 3 * list_contains(intent_groups, grp)::INT)::DOUBLE AS score FROM res, s WHERE list_contains(category_ids, category) OR list_contains(intent_groups, grp)),
- lw AS (SELECT _id, token, weight FROM w WHERE field = 'locality'), pm AS (SELECT query_id, _id, 0.65 * weight AS score FROM res JOIN lw ON third = token WHERE len(place_terms) > 0),
- hit AS (SELECT res.query_id, s._id, coalesce(cm.score, 0) + coalesce(pm.score, 0) + coalesce(tm.score, 0) AS text_score FROM res CROSS JOIN s LEFT JOIN cm ON cm.query_id = res.query_id AND cm._id = s._id LEFT JOIN pm ON pm.query_id = res.query_id AND pm._id = s._id LEFT JOIN tm ON tm.query_id = res.query_id AND tm._id = s._id
-   WHERE (len(category_ids) + len(intent_groups) = 0 OR cm._id IS NOT NULL) AND (len(place_terms) = 0 OR pm._id IS NOT NULL) AND (unmatched = '' OR tm._id IS NOT NULL) AND len(category_ids) + len(intent_groups) + len(place_terms) + length(unmatched) > 0),
- c AS (SELECT hit.*, s.*, res.code, CASE WHEN focused THEN {base.sql_haversine('q_lat', 'q_lon', 'lat', 'lon')} END AS distance, 1.3 * list_contains(category_ids, category)::INT AS category_boost, 1.15 * list_contains(intent_groups, grp)::INT AS intent_boost FROM hit JOIN s USING (_id) JOIN res USING (query_id)),
+ qts AS (SELECT query_id, list_sort(list(DISTINCT y)) AS query_terms FROM (SELECT query_id, unnest([term, id]) AS y FROM mt) GROUP BY 1), pls AS (SELECT query_id, list_sort(list(DISTINCT term)) AS place_terms FROM pt GROUP BY 1),
+ wd AS (SELECT query_id, list(DISTINCT x) AS ws FROM (SELECT query_id, unnest(string_split(term, ' ')) AS x FROM mt UNION SELECT query_id, unnest(string_split(term, ' ')) FROM pt) GROUP BY 1),
+ res AS (SELECT q.*, coalesce(category_ids, []) AS category_ids, coalesce(intent_groups, []) AS intent_groups, coalesce(query_terms, []) AS query_terms, coalesce(place_terms, []) AS place_terms,
+   array_to_string(list_filter(string_split(t, ' '), lambda x: NOT list_contains(coalesce(ws, []), x)), ' ') AS unmatched FROM q LEFT JOIN ci USING (query_id) LEFT JOIN gi USING (query_id) LEFT JOIN qts USING (query_id) LEFT JOIN pls USING (query_id) LEFT JOIN wd USING (query_id))"""
+
+
+def _category(own: int, groups: int, terms: int, words: str) -> str:
+    """A document's categories are its noun, in category_ids and category, its group, and the words of its kind."""
+    return f"({own} * list_contains(category_ids, category)::INT + {groups} * list_contains(intent_groups, grp)::INT + {terms} * len(list_intersect(list_distinct(flatten(list_transform({words}, lambda x: string_split(x, ' ')))), string_split(kind, ' '))))::DOUBLE"
+
+
+_CAT = {"search": _category(15, 3, 4, "query_terms"), "autocomplete": _category(13, 4, 5, "query_terms[1:6]")}
+_TT = """, tt AS (SELECT query_id, 'search' AS clause, '' AS term, unnest(list_distinct(ts)) AS token, len(list_distinct(ts)) AS n FROM (SELECT query_id, string_split(unmatched, ' ') AS ts FROM res WHERE unmatched <> '')
+   UNION ALL SELECT query_id, 'place', p, unnest(list_distinct(string_split(p, ' '))), len(list_distinct(string_split(p, ' '))) FROM (SELECT query_id, unnest(place_terms) AS p FROM res)), """
+#: Autocomplete: the words that nothing explains, else all; the last one, as a prefix, is worth its field's boost.
+_AT = """, ax AS (SELECT query_id, 'auto' AS clause, CASE WHEN unmatched <> '' THEN unmatched ELSE t END AS term FROM res UNION ALL SELECT query_id, 'place', unnest(place_terms) FROM res), atx AS (SELECT *, string_split(term, ' ') AS ts FROM ax),
+ tt AS (SELECT query_id, clause, term, unnest(list_distinct(ts[1:len(ts) - 1])) AS token, 0 AS n FROM atx), """ + _M + """,
+ en AS (SELECT DISTINCT query_id, atx.clause, term, _id, w.field, boost AS wt FROM atx JOIN w ON starts_with(w.token, ts[-1]) JOIN bs ON bs.field = w.field AND bs.clause = atx.clause),
+ cl AS (SELECT query_id, clause, _id, sum(wt) AS s FROM (SELECT query_id, clause, _id, wt FROM m UNION ALL SELECT query_id, clause, _id, wt FROM en) GROUP BY ALL)"""
+_EXTRA = {
+    "search": "2 * (t = name)::INT + 3.3 * list_contains(category_ids, category)::INT + 1.3 * list_contains(intent_groups, grp)::INT",
+    "autocomplete": "4 * (contains(' ' || name, ' ' || at0) )::INT + 4 * (contains(' ' || name || ' ' || locality, ' ' || at0))::INT + 3 * len(list_filter(place_terms, lambda p: contains(' ' || name || ' ' || locality, ' ' || p)))",
+}
+
+
+def _scored(mode: str) -> str:
+    texts = "(unmatched <> '')::INT" if mode == "search" else "1"
+    return (_TT + _CL if mode == "search" else _AT) + f""", rs AS (SELECT *, CASE WHEN unmatched <> '' THEN unmatched ELSE t END AS at0, (len(place_terms) > 0)::INT + {texts} AS need, len(category_ids) + len(intent_groups) > 0 AS has_category FROM res),
+ bth AS (SELECT query_id, _id, sum(s) AS sc, count(*) AS c FROM cl GROUP BY 1, 2),
+ hit AS (SELECT rs.*, s.*, coalesce(sc, 0) AS sc, CASE WHEN has_category THEN {_CAT[mode]} ELSE 0 END AS cs FROM rs CROSS JOIN s LEFT JOIN bth ON bth.query_id = rs.query_id AND bth._id = s._id WHERE CASE WHEN need > 0 THEN coalesce(c, 0) = need ELSE has_category END),
+ c AS (SELECT *, sc + cs + {_EXTRA[mode]} AS text_score, CASE WHEN focused THEN {base.sql_haversine('q_lat', 'q_lon', 'lat', 'lon')} END AS distance, 1.3 * list_contains(category_ids, category)::INT AS category_boost, 1.15 * list_contains(intent_groups, grp)::INT AS intent_boost FROM hit WHERE NOT has_category OR cs > 0),
  fin AS (SELECT *, CASE WHEN distance IS NULL THEN 0 ELSE 15 * exp(-pow(greatest(0.0, distance - 200), 2) * ln(2) / pow(3000, 2)) END AS focus_decay, coalesce(CASE WHEN distance <= 5000 THEN 40 ELSE 0 END + CASE WHEN distance <= 25000 THEN 15 ELSE 0 END + CASE WHEN distance <= 100000 THEN 5 ELSE 0 END, 0) AS proximity,
    log10(1 + 0.1 * greatest(0, popularity)) AS popularity_boost, log10(1 + importance) AS importance_boost, CASE layer WHEN 'street' THEN 0.8 WHEN 'locality' THEN 0.6 ELSE 0.0 END AS layer_boost FROM c),
- sco AS (SELECT *, CASE WHEN distance IS NOT NULL THEN text_score * (focus_decay + proximity + popularity_boost + importance_boost + category_boost + intent_boost + layer_boost) ELSE text_score + focus_decay * 0 + popularity_boost + importance_boost + category_boost + intent_boost + layer_boost END AS score FROM fin)"""
+ sco AS (SELECT *, CASE WHEN distance IS NOT NULL THEN text_score * (focus_decay + proximity + popularity_boost + importance_boost + category_boost + intent_boost + layer_boost) ELSE text_score + popularity_boost + importance_boost + category_boost + intent_boost + layer_boost END AS score FROM fin)"""
+
 
+_SCORED = _scored("search")
 
-def r7(spark, d):
-    return top_k(scored(spark, d), 10, F.desc(F.round("score", 6)), F.col("_id")).select("query_id", "rank", "_id", F.round("score", 5).alias("score"))
+
+def r7(spark, d, made=None):
+    return top_k(scored(spark, d, made), 10, F.desc(F.round("score", 6)), F.col("_id")).select("query_id", "rank", "_id", F.round("score", 5).alias("score"))
 
 
 def r7_filtered(spark, d):
-    hits = scored(spark, d).join(asked(spark, d).select("query_id", "code"), "query_id")
-    kept = hits.where(search.in_country(F.col("country_a"), F.array().cast("array<string>"), F.col("code")) & F.col("layer").isin("venue", "street"))
-    return top_k(kept, 5, F.desc(F.round("score", 6)), F.col("_id")).select("query_id", "rank", "_id")
+    q = _focused(spark, d).join(asked(spark, d).select("query_id", F.col("code").alias("country")).hint("merge"), "query_id").withColumn("layers", F.array(F.lit("venue"), F.lit("street")))
+    return geocode.find(q, index(spark, d), dims(spark, d), 5).select("query_id", "rank", "_id")
 
 
 def p29(spark, d):
@@ -236,23 +280,38 @@ def p29(spark, d):
 
 
 def r21(spark, d):
-    hits = scored(spark, d).join(asked(spark, d).select("query_id", "code"), "query_id")
+    hits = scored(spark, d).join(asked(spark, d).select("query_id", "code").hint("merge"), "query_id")
     keep = F.col("country_a") == F.col("code")
     out = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after"), *[F.count_if(keep & (F.col("layer") == x)).alias(x) for x in ("venue", "street", "locality")])
     return out.withColumn("filter_removed_all", (F.col("before") > 0) & (F.col("after") == 0))
 
 
-def r8(spark, d):
-    hits = search.prefix_match(_typed(spark, d), weights(spark, d))
-    return top_k(hits, 5, F.desc(F.round("score", 9)), F.col("_id")).select("query_id", "rank", "_id", R6("score").alias("score"))
+def r8(spark, d, made=None):
+    q = _typed(spark, d).withColumn("normalized", F.array_join("tokens", " "))
+    q = q.select("query_id", "normalized", "tokens", F.when(F.col("focused"), F.col("q_lat")).alias("q_lat"), F.when(F.col("focused"), F.col("q_lon")).alias("q_lon"))
+    hits = geocode.scored(q, made or index(spark, d), *dims(spark, d), mode="autocomplete")
+    return top_k(hits, 5, F.desc(F.round("score", 6)), F.col("_id")).select("query_id", "rank", "_id", F.round("score", 5).alias("score"))
 
 
 def r9(spark, d):
-    q = asked(spark, d).select("query_id", F.array(F.slice("tokens", 1, 2)).alias("name_terms"), F.array(F.array(F.concat(F.lit("nation_"), F.col("query_id") % 25))).alias("locality_terms"))
-    w = weights(spark, d, ("name", "locality"))
-    parts = [search.text_match(search.terms(q, f"{f}_terms"), w.where(F.col("field") == f)) for f in ("name", "locality")]
-    both = parts[0].unionByName(parts[1]).groupBy("query_id", "_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("fields"))
-    return top_k(both, 5, F.desc(F.round("score", 9)), F.col("_id")).select("query_id", "rank", "_id", "fields", F.when(F.col("fields") == 2, "locality_match").otherwise("partial_match").alias("match_type"))
+    """Streets with house numbers and places, streets, places, addresses, and plain words."""
+    kind = F.col("query_id") % 5
+    when = lambda kinds, c: F.when(kind.isin(*kinds), c)
+    name, number = F.slice("tokens", 1, 2), F.array((F.col("query_id") % 7).cast("string"))
+    q = asked(spark, d).select("query_id", when((0,), number).alias("housenumber"), when((0, 1), name).alias("street"), when((0, 2), F.array(F.concat(F.lit("nation_"), F.col("query_id") % 25))).alias("locality"), when((3,), F.concat(number, name)).alias("address"), when((4,), name).alias("other"), F.when(F.col("focused"), F.col("q_lat")).alias("q_lat"), F.when(F.col("focused"), F.col("q_lon")).alias("q_lon"))
+    out = geocode.structured(q, index(spark, d), 5)
+    return out.select("query_id", "rank", "_id", "match_type", "confidence", F.round("score", 5).alias("score"))
+
+
+_STRUCTURED = f"""sq AS (SELECT query_id, q_lat, q_lon, focused, query_id % 5 AS kind, string_split(t, ' ')[1:2] AS nm, (query_id % 7)::VARCHAR AS no, 'nation_' || (query_id % 25) AS loc FROM q),
+ ft AS (SELECT query_id, 'address_parts.number' AS field, no AS token FROM sq WHERE kind = 0 UNION SELECT query_id, 'address_parts.street', unnest(nm) FROM sq WHERE kind IN (0, 1) UNION SELECT query_id, 'parent.locality', loc FROM sq WHERE kind IN (0, 2)),
+ fm AS (SELECT query_id, _id, 2 * sum(weight) AS s FROM ft JOIN w USING (field, token) GROUP BY 1, 2),
+ st AS (SELECT query_id, _id, max(s) AS s FROM (SELECT query_id, _id, field, sum(weight * CASE field WHEN 'name.default' THEN 2 ELSE 3 END) AS s FROM (SELECT query_id, unnest(list_distinct(nm)) AS token FROM sq WHERE kind IN (0, 1)) JOIN w USING (token) WHERE field IN ('name.default', 'address_parts.street') GROUP BY ALL) GROUP BY 1, 2),
+ ad AS (SELECT query_id, _id, sum(s) AS s FROM (SELECT query_id, _id, token, max(weight * CASE field WHEN 'name.default' THEN 3 WHEN 'address_parts.street' THEN 2 ELSE 1 END) AS s FROM (SELECT query_id, unnest(list_distinct(list_concat([no], nm))) AS token FROM sq WHERE kind = 3) JOIN w USING (token) WHERE field IN ('name.default', 'address_parts.street', 'address_parts.number') GROUP BY ALL) GROUP BY 1, 2),
+ ot AS (SELECT query_id, _id, 4 * sum(weight) AS s FROM (SELECT query_id, unnest(list_distinct(nm)) AS token FROM sq WHERE kind = 4) JOIN w USING (token) WHERE field = 'name.default' GROUP BY 1, 2),
+ sh AS (SELECT query_id, _id, sum(s) AS s, count(*) AS c FROM (SELECT * FROM fm UNION ALL SELECT * FROM st UNION ALL SELECT * FROM ad UNION ALL SELECT * FROM ot) GROUP BY 1, 2),
+ so AS (SELECT query_id, s._id, CASE sq.kind WHEN 0 THEN 'exact_address' WHEN 1 THEN 'street_only' WHEN 2 THEN 'locality_match' ELSE 'partial_match' END AS match_type, CASE sq.kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence,
+   sh.s * CASE WHEN focused THEN exp(-pow(greatest(0.0, {base.sql_haversine('q_lat', 'q_lon', 'lat', 'lon')} - 500), 2) * ln(2) / pow(5000, 2)) ELSE 1 END AS score FROM sh JOIN sq USING (query_id) JOIN s ON s._id = sh._id WHERE c = CASE WHEN sq.kind IN (0, 1) THEN 2 ELSE 1 END)"""
 
 
 def r14(spark, d):
@@ -261,20 +320,44 @@ def r14(spark, d):
     return search.by_ids(docs(spark, d), ids).select("query_id", "_id")
 
 
+def _requests(spark, d):
+    """Each query as a request of raw strings, some of them wrong."""
+    k, raw = F.col("query_id"), lambda c: c.cast("string")
+    return asked(spark, d).select("query_id", F.when(k % 7 == 0, " ").otherwise(F.col("t")).alias("text"), raw(F.when(k % 4 == 0, 41).when(k % 4 == 1, 2)).alias("size"), raw(F.when(k % 6 == 0, 91.0).otherwise(F.col("q_lat"))).alias("point.lat"), raw(F.col("q_lon")).alias("point.lon"), F.when(k % 9 == 0, "far").otherwise("3000").alias("radius"))
+
+
+def _batch(spark, d):
+    i, how = index(spark, d), dims(spark, d)
+
+    def run(ok):
+        q = ok.select("query_id", F.col("text").alias("normalized"), text.tokenize(F.col("text")).alias("tokens"), F.coalesce(F.col("size").cast("int"), F.lit(3)).alias("most"))
+        hits = geocode.find(q, i, how, 40).join(q.select("query_id", "most").hint("merge"), "query_id")
+        return hits.where(F.col("rank") <= F.col("most"))
+
+    return geocode.batch(_requests(spark, d).drop("point.lat", "point.lon", "radius"), "search", run)
+
+
 def r20(spark, d):
-    q = asked(spark, d).withColumn("error", F.when(F.col("query_id") % 3 == 0, "invalid_request"))
-    hits = search.text_match(search.terms(q.where("error is null").withColumn("tt", F.array("tokens")), "tt"), weights(spark, d))
-    best = top_k(hits, 1, F.desc(F.round("score", 9)), F.col("_id"))
-    return q.select("query_id", "error").join(best.select("query_id", "_id"), "query_id", "left").withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
+    return _batch(spark, d)[0].select("query_id", "status", "error", "parameter", F.array_join("ids", "|").alias("ids"))
+
+
+def r20_reverse(spark, d):
+    places = docs(spark, d)
+
+    def run(ok):
+        q = ok.select("query_id", F.col("`point.lat`").cast("double").alias("q_lat"), F.col("`point.lon`").cast("double").alias("q_lon"), F.col("radius").cast("double").alias("radius"))
+        return geocode.reverse(q, places, radius=3000.0, size=2)
+
+    return geocode.batch(_requests(spark, d).drop("text", "size"), "reverse", run)[0].select("query_id", "status", "parameter", F.array_join("ids", "|").alias("ids"))
 
 
 def a17(spark, d):
-    return r20(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("error"))
+    return _batch(spark, d)[1]
 
 
 def r23(spark, d):
-    primary = search.text_match(_terms(spark, d), weights(spark, d), "and")
-    other = search.text_match(_terms(spark, d), weights(spark, d), "or")
+    terms, w = _terms(spark, d), weights(spark, d)
+    primary, other = search.text_match(terms, w, "and"), search.text_match(terms, w, "or")
     return search.with_fallback(primary, other).groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -335,39 +418,41 @@ def _w(body: str, *ctes: str) -> str:
 _AND = "(SELECT query_id, _id, max(sc) AS score FROM (SELECT query_id, _id, field, sum(weight) AS sc, count(*) AS c, any_value(n) AS n FROM qt JOIN w USING (token) JOIN qn USING (query_id) GROUP BY 1, 2, 3) WHERE c = n GROUP BY 1, 2)"
 _PRE = "pre AS (SELECT query_id, split_part(t, ' ', 1) AS a, left(split_part(t, ' ', 2), 2) AS b FROM q), pm AS (SELECT query_id, _id, max(sc) AS score FROM (SELECT query_id, e._id, max(e.weight) + any_value(x.weight) AS sc FROM pre JOIN w e ON starts_with(e.token, b) JOIN w x ON x.token = a AND x._id = e._id AND x.field = e.field GROUP BY query_id, e._id, e.field) GROUP BY 1, 2)"
 _DOCS = "WITH f AS (SELECT doc_id AS _id, 'text' AS field, string_split(regexp_replace(lower(text), ' +', ' ', 'g'), ' ') AS ts FROM documents), f2 AS (SELECT _id, field, list_filter(ts, lambda x: x <> '') AS ts FROM f)"
+_BAD = "CASE WHEN query_id % 4 = 0 THEN 'size' WHEN query_id % 7 = 0 THEN 'text' END"
 QUERIES = {
     "a19_bm25_stats": (a19, _DOCS + " SELECT 'text' AS field, count(*) AS docs, round(avg(len(ts)), 6) AS mean_length FROM f2 WHERE len(ts) > 0"),
     "j7_postings_join": (j7, _DOCS + """, tok AS (SELECT _id, unnest(ts) AS token, len(ts) AS length FROM f2), post AS (SELECT _id, token, count(*) AS tf, any_value(length) AS length FROM tok GROUP BY 1, 2), fs AS (SELECT count(*) AS docs, avg(len(ts)) AS m FROM f2 WHERE len(ts) > 0),
- q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')[1:3]) AS token FROM benchmark), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS token FROM benchmark), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
  sc AS (SELECT query_id, _id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))) AS score FROM q JOIN post USING (token) JOIN dfs USING (token), fs GROUP BY 1, 2)
  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS INT) AS rank, _id AS doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10"""),
-    "r3_text_match": (r3, _w("SELECT query_id, _id, round(score, 6) AS score FROM tm", _QN, _P, _QT, _TEXT)),
-    "r3_text_match_and": (r3_and, _w(f"SELECT query_id, count(*) AS hits FROM {_AND} GROUP BY 1", _QN, _P, _QT)),
-    "j13_place_match": (j13, _w("SELECT query_id, _id, round(weight, 6) AS score FROM (SELECT query_id, string_split(t, ' ')[-1] AS token FROM q) JOIN w USING (token) WHERE field = 'locality'", _QN, _P)),
-    "r4_category_match": (r4, _w("SELECT query_id, _id, ((noun = category)::INT * 8 + (('g' || length(noun)) = grp)::INT * 3)::DOUBLE AS score FROM (SELECT query_id, split_part(t, ' ', 2) AS noun FROM q), s WHERE noun = category OR ('g' || length(noun)) = grp", _QN)),
+    "r3_text_match": (r3, _w("SELECT query_id, _id, round(score, 6) AS score FROM (SELECT query_id, _id, sum(CASE term WHEN '0' THEN s ELSE 0.65 * s END) AS score FROM (SELECT query_id, term, _id, max(s) AS s FROM (SELECT query_id, term, _id, field, sum(wt) AS s FROM m GROUP BY ALL) GROUP BY ALL) GROUP BY 1, 2)", _QN, _I, "tt AS (SELECT query_id, 'search' AS clause, '0' AS term, unnest(list_distinct(string_split(t, ' '))) AS token, 0 AS n FROM q UNION ALL SELECT query_id, 'search', '1', string_split(t, ' ')[-1], 0 FROM q)", _M)),
+    "r3_text_match_and": (r3_and, _w("SELECT query_id, count(*) AS hits, round(max(s), 6) AS best FROM cl GROUP BY 1", _QN, _I, "tt AS (SELECT query_id, 'search' AS clause, '' AS term, unnest(list_distinct(string_split(t, ' '))) AS token, len(list_distinct(string_split(t, ' '))) AS n FROM q)", _CL)),
+    "j13_place_match": (j13, _w("SELECT query_id, _id, round(s, 6) AS score FROM cl", _QN, _I, "tt AS (SELECT query_id, 'place' AS clause, '' AS term, string_split(t, ' ')[-1] AS token, 1 AS n FROM q)", _CL)),
+    "r4_category_match": (r4, _w(f"SELECT * FROM (SELECT query_id, _id, 'search' AS mode, {_CAT['search']} AS score FROM res, s UNION ALL SELECT query_id, _id, 'autocomplete', {_CAT['autocomplete']} FROM res, s) WHERE score > 0", _QN, _INTENT + _RES)),
     "j8_fuzzy_token_join": (j8, _w("SELECT * FROM (SELECT a.token, b.token AS match, levenshtein(a.token, b.token)::INT AS edits FROM (SELECT left(token, 2) || 'x' || substr(token, 4) AS token FROM k UNION SELECT substr(token, 2) FROM k) a, k b) WHERE edits <= CASE WHEN length(token) <= 2 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END", "k AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS token FROM s)")),
     "j9_prefix_tokens": (j9_prefix, _w("SELECT DISTINCT left(a.token, 2) AS token, b.token AS match FROM k a JOIN k b ON starts_with(b.token, left(a.token, 2))", "k AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS token FROM s)")),
     "r6_prefix_match": (r6, _w("SELECT query_id, _id, round(score, 6) AS score FROM pm", _QN, _P, _PRE)),
     "r6_phrase_prefix": (r6_phrase, _w("SELECT query_id, count(*) AS hits FROM pre JOIN s ON starts_with(name, a || ' ' || b) GROUP BY 1", _QN, _P, _PRE)),
     "j9_term_resolution": (j9, _w("SELECT * FROM mt", _QN, _INTENT)),
-    "j10_place_variants": (j10, _w("SELECT query_id, third AS variant, unnest([third, 'land of ' || third]) AS term FROM it WHERE third LIKE 'nation%'", _QN, _INTENT)),
+    "j10_place_variants": (j10, _w("SELECT query_id, variant, term FROM pt", _QN, _INTENT)),
     "r1_resolve_intent": (r1, _w("SELECT query_id, array_to_string(category_ids, '|') AS category_ids, array_to_string(intent_groups, '|') AS intent_groups, array_to_string(place_terms, '|') AS place_terms, unmatched, CASE WHEN len(category_ids) > 0 THEN 1.0 WHEN len(intent_groups) > 0 THEN 0.65 ELSE 0.0 END::DOUBLE AS confidence FROM res", _QN, _INTENT + _RES)),
     "r2_resolve_category_filter": (r2, _w("SELECT query_id, category, CASE category WHEN 'else' THEN 'else' ELSE lower(category) END AS resolved FROM (SELECT query_id, unnest([split_part(t, ' ', 2), upper(split_part(t, ' ', 2)), 'else']) AS category FROM q)", _QN)),
     "f12_safe_term": (f12, "SELECT p_name AS term, count(*) AS n FROM part GROUP BY 1"),
-    "f13_safe_alias": (f13, "SELECT DISTINCT p_type AS category_id, lower(p_name) AS alias FROM part UNION SELECT DISTINCT 'SMALL', 'place' FROM part WHERE p_type = 'SMALL'"),
+    "f13_safe_alias": (f13, "SELECT DISTINCT p_type AS category_id, unnest([lower(p_name), 'office']) AS alias FROM part UNION SELECT DISTINCT 'SMALL', unnest(['place', 'company']) FROM part WHERE p_type = 'SMALL'"),
     "p10_enrich_categories": (p10, _w("SELECT _id, array_to_string(list_sort([category, kind]), '|') AS category_ids, CASE WHEN length(category) <> 5 THEN grp ELSE '' END AS intent_groups, 6::INT AS n_aliases, CASE WHEN length(category) <> 5 THEN imp END AS importance FROM s JOIN (SELECT category, max(importance) AS imp FROM s GROUP BY 1) USING (category)")),
     "j14_label_merge": (j14, _w("SELECT category AS category_id, array_to_string(list_sort(list_distinct(list_concat([category, 'thing'], coalesce(list(DISTINCT kind) FILTER (k % 3 = 0), [])))), '|') AS aliases FROM s GROUP BY 1")),
     "p31_list_categories": (p31, _w("SELECT category AS category_id, CASE WHEN length(category) > 4 THEN upper(left(category, 1)) || substr(category, 2) ELSE category END AS name, any_value(grp) AS parent, count(*) FILTER (layer = 'venue') AS available_count FROM s GROUP BY 1, 2")),
     "f14_category_search": (f14, _w("SELECT category AS category_id, count(*) AS available_count FROM s WHERE grp = 'g6' GROUP BY 1")),
-    "r7_search": (r7, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, round(score, 5) AS score FROM sco QUALIFY rank <= 10", _QN, _P, _INTENT + _RES + _SCORED)),
-    "r7_search_filtered": (r7_filtered, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id FROM sco WHERE country_a = code AND layer IN ('venue', 'street') QUALIFY rank <= 5", _QN, _P, _INTENT + _RES + _SCORED)),
-    "p29_score_components": (p29, _w("SELECT query_id, _id, round(text_score, 5)::DOUBLE AS text_score, round(focus_decay, 5)::DOUBLE AS focus_decay, proximity::DOUBLE AS proximity, round(popularity_boost, 5) AS popularity_boost, round(importance_boost, 5) AS importance_boost, category_boost::DOUBLE AS category_boost, intent_boost::DOUBLE AS intent_boost, layer_boost::DOUBLE AS layer_boost FROM sco", _QN, _P, _INTENT + _RES + _SCORED)),
-    "r21_explain": (r21, _w("SELECT query_id, before, after, venue, street, locality, before > 0 AND after = 0 AS filter_removed_all FROM (SELECT query_id, count(*) AS before, count(*) FILTER (country_a = code) AS after, count(*) FILTER (country_a = code AND layer = 'venue') AS venue, count(*) FILTER (country_a = code AND layer = 'street') AS street, count(*) FILTER (country_a = code AND layer = 'locality') AS locality FROM sco GROUP BY 1)", _QN, _P, _INTENT + _RES + _SCORED)),
-    "r8_autocomplete": (r8, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS INT) AS rank, _id, round(score, 6) AS score FROM pm QUALIFY rank <= 5", _QN, _P, _PRE)),
-    "r9_structured_search": (r9, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS INT) AS rank, _id, fields, CASE WHEN fields = 2 THEN 'locality_match' ELSE 'partial_match' END AS match_type FROM (SELECT query_id, _id, sum(sc) AS score, count(*) AS fields FROM (SELECT query_id, _id, field, sum(weight) AS sc FROM ft JOIN w USING (token, field) GROUP BY 1, 2, 3) GROUP BY 1, 2) QUALIFY rank <= 5", _QN, _P, "ft AS (SELECT DISTINCT query_id, 'name' AS field, unnest(string_split(t, ' ')[1:2]) AS token FROM q UNION SELECT query_id, 'locality', 'nation_' || (query_id % 25) FROM q)")),
+    "r7_search": (r7, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, round(score, 5) AS score FROM sco QUALIFY rank <= 10", _QN, _I, _INTENT + _RES + _SCORED)),
+    "r7_search_filtered": (r7_filtered, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id FROM sco WHERE country_a = code AND layer IN ('venue', 'street') QUALIFY rank <= 5", _QN, _I, _INTENT + _RES + _SCORED)),
+    "p29_score_components": (p29, _w("SELECT query_id, _id, round(text_score, 5)::DOUBLE AS text_score, round(focus_decay, 5)::DOUBLE AS focus_decay, proximity::DOUBLE AS proximity, round(popularity_boost, 5) AS popularity_boost, round(importance_boost, 5) AS importance_boost, category_boost::DOUBLE AS category_boost, intent_boost::DOUBLE AS intent_boost, layer_boost::DOUBLE AS layer_boost FROM sco", _QN, _I, _INTENT + _RES + _SCORED)),
+    "r21_explain": (r21, _w("SELECT query_id, before, after, venue, street, locality, before > 0 AND after = 0 AS filter_removed_all FROM (SELECT query_id, count(*) AS before, count(*) FILTER (country_a = code) AS after, count(*) FILTER (country_a = code AND layer = 'venue') AS venue, count(*) FILTER (country_a = code AND layer = 'street') AS street, count(*) FILTER (country_a = code AND layer = 'locality') AS locality FROM sco GROUP BY 1)", _QN, _I, _INTENT + _RES + _SCORED)),
+    "r8_autocomplete": (r8, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, round(score, 5) AS score FROM sco QUALIFY rank <= 5", _QN.replace("q AS", "q0 AS", 1), "q AS (SELECT query_id, split_part(t, ' ', 1) || ' ' || left(split_part(t, ' ', 2), 2) AS t, q_lon, q_lat, code, focused FROM q0)", _I, _INTENT + _RES + _scored("autocomplete"))),
+    "r9_structured_search": (r9, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, match_type, confidence, round(score, 5) AS score FROM so QUALIFY rank <= 5", _QN, _I, _STRUCTURED)),
     "r14_place_lookup": (r14, _w("SELECT query_id, _id FROM q JOIN s ON k = query_id UNION SELECT query_id, _id FROM q JOIN s ON k = query_id + 2 AND layer = 'venue'", _QN)),
-    "r20_batch_search": (r20, _w("SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'invalid_request' END AS error, _id, CASE WHEN query_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status FROM q LEFT JOIN (SELECT query_id, _id FROM tm WHERE query_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) = 1) USING (query_id)", _QN, _P, _QT, _TEXT)),
-    "a17_batch_summary": (a17, _w("SELECT count(*) AS total, count(*) FILTER (query_id % 3 <> 0) AS ok, count(*) FILTER (query_id % 3 = 0) AS error FROM q", _QN)),
+    "r20_batch_search": (r20, _w(f"SELECT query_id, CASE WHEN p IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN p IS NOT NULL THEN 'invalid_request' END AS error, p AS parameter, CASE WHEN p IS NULL THEN coalesce(ids, '') ELSE '' END AS ids FROM (SELECT query_id, {_BAD} AS p FROM q) LEFT JOIN (SELECT query_id, string_agg(_id, '|' ORDER BY rank) AS ids FROM (SELECT query_id, _id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS rank FROM sco) WHERE rank <= CASE WHEN query_id % 4 = 1 THEN 2 ELSE 3 END GROUP BY 1) USING (query_id)", _QN.replace("k % 2 = 0 AS focused", "false AS focused"), _I, _INTENT + _RES + _SCORED)),
+    "r20_batch_reverse": (r20_reverse, _w(f"SELECT query_id, CASE WHEN p IS NULL THEN 'ok' ELSE 'error' END AS status, p AS parameter, CASE WHEN p IS NULL THEN coalesce(ids, '') ELSE '' END AS ids FROM (SELECT query_id, CASE WHEN query_id % 6 = 0 THEN 'point.lat' WHEN query_id % 9 = 0 THEN 'radius' END AS p FROM q) LEFT JOIN (SELECT query_id, string_agg(_id, '|' ORDER BY r) AS ids FROM (SELECT query_id, _id, row_number() OVER (PARTITION BY query_id ORDER BY dist, _id) AS r FROM (SELECT query_id, _id, layer, {base.sql_haversine('q_lat', 'q_lon', 'lat', 'lon')} AS dist FROM q, s) WHERE dist <= 3000 AND layer IN ('venue', 'address', 'street')) WHERE r <= 2 GROUP BY 1) USING (query_id)", _QN)),
+    "a17_batch_summary": (a17, _w(f"SELECT count(*) AS total, count(*) FILTER (p IS NULL) AS ok, count(*) FILTER (p IS NOT NULL) AS error FROM (SELECT {_BAD} AS p FROM q)", _QN)),
     "r23_reconcile_modes": (r23, _w(f"SELECT query_id, 'primary' AS mode, count(*) AS hits FROM a GROUP BY 1 UNION ALL SELECT query_id, 'fallback', count(*) FROM tm WHERE query_id NOT IN (SELECT query_id FROM a) GROUP BY 1", _QN, _P, _QT, _TEXT, f"a AS {_AND}")),
     "r24_distinct_queries": (r24, _w("SELECT k AS query_id, min(k) OVER (PARTITION BY name, layer) AS shared, count(*) OVER (PARTITION BY name) AS hits FROM s")),
     "f2_list_filter": (f2, _w("SELECT _id FROM s WHERE layer IN ('venue', 'street') AND (category IN ('bolt', 'small') OR kind IN ('bolt', 'small'))")),
@@ -378,5 +463,5 @@ QUERIES = {
     "w1_top_k": (w1, _w("SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY popularity DESC, _id) AS INT) AS rank, _id FROM s QUALIFY rank <= 3")),
     "w2_sort_distance": (w2, _w(f"SELECT layer, CAST(row_number() OVER (PARTITION BY layer ORDER BY round({base.sql_haversine('lat', 'lon', '33.5', '44.5')}, 3), importance DESC, _id) AS INT) AS rank, _id FROM s QUALIFY rank <= 4")),
     "w9_cap_array": (w9, _w("SELECT category, array_to_string(list_sort(list(DISTINCT name))[1:6], '|') AS first_six FROM s GROUP BY 1")),
-    "p21_feature_debug": (p21, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, round(score, 5) AS relevance_score, name || ', ' || locality AS label FROM sco QUALIFY rank <= 3", _QN, _P, _INTENT + _RES + _SCORED)),
+    "p21_feature_debug": (p21, _w("SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, round(score, 5) AS relevance_score, name || ', ' || locality AS label FROM sco QUALIFY rank <= 3", _QN, _I, _INTENT + _RES + _SCORED)),
 }

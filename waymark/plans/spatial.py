@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import enrich, features, rank, spatial
+from ..sources.store import place
 from . import base
 
 R6 = lambda x: F.round(x, 6)
@@ -41,9 +42,11 @@ def reverse(spark, d):
 
 
 def closest(spark, d):
-    segs = spatial.segments(base.roads(spark, d)).where("seg = 0").join(F.broadcast(base.asks(spark, d).where("query_id <= 20").select("query_id", "q_lon", "q_lat")))
-    x, y = spatial.closest_point(F.col("q_lon"), F.col("q_lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return segs.select("road_id", "query_id", R6(x).alias("x"), R6(y).alias("y"))
+    """The closest point of all segments of the road that each place is nearest to."""
+    roads = _snapped(spark, d).select("_id", "road_id").join(base.places(spark, d).select("_id", "lon", "lat").hint("merge"), "_id")
+    met = roads.join(spatial.segments(base.roads(spark, d)).hint("merge"), "road_id")
+    x, y = spatial.closest_point(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    return met.select("_id", "road_id", "seg", R6(x).alias("x"), R6(y).alias("y"))
 
 
 _T = "least(1.0, greatest(0.0, (({px} - x1) * (x2 - x1) + ({py} - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))"
@@ -76,7 +79,7 @@ def snap_eligible(spark, d):
 
 def snap_stats(spark, d):
     out = enrich.routable(base.places(spark, d), _snapped(spark, d), layers=("venue", "address"))
-    return enrich.snap_stats(out)
+    return enrich.snap_stats(out.withColumn("took", (F.substring_index("_id", ":", -1).cast("long") * 37 % 1009).cast("double")), "took")
 
 
 # Boundaries: a 5 x 5 grid of squares at level 4, five bands at level 2, and a triangle and a square with a hole at level 8.
@@ -141,8 +144,12 @@ def feature_standard(spark, d):
 
 
 def collections(spark, d):
+    """FeatureCollections are written as text, one line for each query, and read back."""
     hits = features.standard(rank.nearby(_near(spark, d), "distance", layers=("venue",), size=5))
-    return features.collections(hits).select("query_id", F.size(F.from_json("geojson", "features array<struct<type:string>>")["features"]).alias("n_features"))
+    path = place(spark, "features")
+    features.export(hits, path)
+    told = spark.read.text(path).select(F.from_json("value", "type string, features array<struct<type:string,properties:struct<gid:string>>>").alias("c"))
+    return told.select("c.type", F.size("c.features").alias("n_features"), F.col("c.features")[0]["properties"]["gid"].alias("first"))
 
 
 QUERIES = {
@@ -151,7 +158,7 @@ QUERIES = {
     "r12_nearby_relevance": (nearby_relevance, base.sql(f", {_NEAR} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, distance, _id) AS INT) AS rank, _id, round(importance, 6) AS score FROM near JOIN segments USING (segment) WHERE layer = 'venue' QUALIFY rank <= 10", "segments", "asks", "places")),
     "r13_nearby_hybrid": (nearby_hybrid, base.sql(f", {_NEAR}, h AS (SELECT *, importance + 2 * exp(-pow(greatest(0.0, distance - 100), 2) * ln(2) / pow(1000, 2)) AS score FROM near JOIN segments USING (segment) WHERE layer = 'venue') SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS INT) AS rank, _id, round(score, 6) AS score FROM h QUALIFY rank <= 10", "segments", "asks", "places")),
     "r10_reverse_geocode": (reverse, base.sql(f", {_NEAR} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, _id) AS INT) AS rank, _id, round(distance, 6) AS distance FROM near WHERE distance <= 1000 QUALIFY rank <= 1", "asks", "places")),
-    "j4_closest_point": (closest, base.sql(f"SELECT road_id, query_id, round(x1 + {_T.format(px='q_lon', py='q_lat')} * (x2 - x1), 6) AS x, round(y1 + {_T.format(px='q_lon', py='q_lat')} * (y2 - y1), 6) AS y FROM roads, asks WHERE seg = 0 AND query_id <= 20", "roads", "asks")),
+    "j4_closest_point": (closest, base.sql(f", {_SNAP} SELECT p._id, r.road_id, r.seg, round(x1 + {_T.format(px='p.lon', py='p.lat')} * (x2 - x1), 6) AS x, round(y1 + {_T.format(px='p.lon', py='p.lat')} * (y2 - y1), 6) AS y FROM snap JOIN places p ON p._id = snap._id JOIN roads r ON r.road_id = snap.road_id", "roads", "places")),
     "j3_nearest_road": (nearest_road, base.sql(f", {_SNAP} SELECT _id, road_id, round(sx, 6) AS snap_lon, round(sy, 6) AS snap_lat, round(dist, 6) AS snap_distance FROM snap", "roads", "places")),
     "p18_routable_point": (routable, base.sql(f""", {_SNAP} SELECT p._id,
  CASE WHEN p.layer NOT IN ('venue', 'address') THEN 'not_applicable' WHEN s._id IS NOT NULL THEN 'snapped' ELSE 'centroid_fallback' END AS routable_status,
@@ -160,8 +167,8 @@ QUERIES = {
  round(CASE WHEN p.layer IN ('venue', 'address') THEN coalesce(sx, p.lon) ELSE p.lon END, 6) AS routable_lon, round(CASE WHEN p.layer IN ('venue', 'address') THEN coalesce(sy, p.lat) ELSE p.lat END, 6) AS routable_lat,
  round(CASE WHEN p.layer IN ('venue', 'address') THEN dist END, 6) AS routable_distance FROM places p LEFT JOIN snap s ON p._id = s._id""", "roads", "places")),
     "f10_snap_eligible": (snap_eligible, base.sql("SELECT layer, count(*) FILTER (layer IN ('venue', 'address')) AS eligible, count(*) AS places FROM places GROUP BY layer", "places")),
-    "a9_snap_stats": (snap_stats, base.sql(f""", {_SNAP}, r AS (SELECT CASE WHEN p.layer NOT IN ('venue', 'address') THEN 'not_applicable' WHEN s._id IS NOT NULL THEN 'snapped' ELSE 'centroid_fallback' END AS routable_status, CASE WHEN p.layer IN ('venue', 'address') THEN dist END AS dist FROM places p LEFT JOIN snap s ON p._id = s._id)
- SELECT routable_status, count(*) AS documents, floor(avg(dist) * 100 + 0.5) / 100 AS avg_distance, floor(max(dist) * 100 + 0.5) / 100 AS max_distance FROM r GROUP BY 1""", "roads", "places")),
+    "a9_snap_stats": (snap_stats, base.sql(f""", {_SNAP}, r AS (SELECT CASE WHEN p.layer NOT IN ('venue', 'address') THEN 'not_applicable' WHEN s._id IS NOT NULL THEN 'snapped' ELSE 'centroid_fallback' END AS routable_status, CASE WHEN p.layer IN ('venue', 'address') THEN dist END AS dist, (p.key * 37 % 1009)::DOUBLE AS took FROM places p LEFT JOIN snap s ON p._id = s._id)
+ SELECT routable_status, quantile_disc(took, 0.95) AS p95_duration, count(*) AS documents, floor(avg(dist) * 100 + 0.5) / 100 AS avg_distance, floor(max(dist) * 100 + 0.5) / 100 AS max_distance FROM r GROUP BY 1""", "roads", "places")),
     "j2_point_in_polygon": (in_polygon, base.sql(f", {_IN} SELECT area_id, count(*) AS points, sum(substr(_id, 18)::BIGINT)::BIGINT AS keys FROM cover GROUP BY 1", "places")),
     "f8_boundary_prefilter": (boundary_prefilter, "SELECT n_nationkey + 100 AS area_id, 4 AS admin_level, n_name AS name FROM nation UNION ALL SELECT r_regionkey, 2, r_name FROM region"),
     "a6_admin_fold": (admin_fold, base.sql(f", {_IN}, {_FOLD} SELECT * FROM fold", "places")),
@@ -170,5 +177,5 @@ QUERIES = {
  CASE WHEN f._id IS NULL THEN 'no_covering_admin_boundary' WHEN coalesce(p.country_a, f.country_a) IS NULL THEN 'country_code_not_found' END AS admin_enrichment_reason FROM places p LEFT JOIN fold f ON p._id = f._id""", "places")),
     "p17_representative_point": (representative, "SELECT n_nationkey + 100 AS area_id, round(44 + (n_nationkey % 5) / 5.0 + 0.1, 6)::DOUBLE AS x, round(33 + (n_nationkey // 5) / 5.0 + 0.1, 6)::DOUBLE AS y FROM nation UNION ALL SELECT r_regionkey, 44.5, round(33 + r_regionkey / 5.0 + 0.1, 6)::DOUBLE FROM region UNION ALL SELECT 900, 44.25, 33.4 UNION ALL SELECT 901, 44.85, 33.7"),
     "p19_feature_standard": (feature_standard, base.sql(f", {_NEAR} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, _id) AS INT) AS rank, gid, name, name || ', ' || locality || ', ' || region AS label, floor(distance * 100 + 0.5) / 100 AS distance_meters FROM near WHERE layer = 'venue' QUALIFY rank <= 5", "asks", "places")),
-    "k9_export_features": (collections, base.sql(f", {_NEAR}, r AS (SELECT query_id FROM near WHERE layer = 'venue' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, _id) <= 5) SELECT query_id, count(*)::INT AS n_features FROM r GROUP BY 1", "asks", "places")),
+    "k9_export_features": (collections, base.sql(f", {_NEAR}, r AS (SELECT query_id, gid, row_number() OVER (PARTITION BY query_id ORDER BY distance, _id) AS n FROM near WHERE layer = 'venue' QUALIFY n <= 5) SELECT 'FeatureCollection' AS type, count(*)::INT AS n_features, min_by(gid, n) AS first FROM r GROUP BY query_id", "asks", "places")),
 }

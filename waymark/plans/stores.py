@@ -26,7 +26,7 @@ def k8_rollback(spark, d):
     t = docs(spark, d).select("_id", "name", "layer")
     for n, rows in enumerate((t.where("layer = 'venue'"), t)):
         v.publish(v.write(rows), 1, 0, f"2024-01-0{n + 1}T00:00:00")
-    v.rollback("2024-01-03T00:00:00")
+    v.rollback("2024-01-03T00:00:00", sample=F.col("name").isNotNull())
     return spark.table("waymark_rolled_back").groupBy("layer").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -49,10 +49,9 @@ def s9(spark, d):
     """A taxonomy file made of the parts' nouns, loaded into its dimensions."""
     cat = docs(spark, d).groupBy("category").agg(F.collect_set("grp").alias("g"), F.round(F.max("importance"), 3).alias("i"))
     one = F.struct(F.col("category").alias("id"), F.col("g").alias("intent_groups"), F.col("i").alias("importance"), F.struct(F.initcap("category").alias("en")).alias("names"), F.struct(F.array(F.concat("category", F.lit(" shop"))).alias("en")).alias("aliases"), F.array(F.struct(F.lit("noun").alias("key"), F.col("category").alias("value"))).alias("osm_tags"))
-    file = cat.agg(F.to_json(F.struct(F.collect_list(one).alias("categories"))).alias("value"))
     path = place(spark, "taxonomy")
-    file.write.text(path)
-    dims = intent.load_taxonomy(spark, path)
+    cat.select(F.to_json(F.struct(F.array(one).alias("categories"))).alias("value")).write.text(path)
+    dims = intent.load_taxonomy(spark, path, lines=True)
     return dims["dim_term"].where("type = 'category'").select("id", "term")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sync
-from ..sources.store import written
+from ..sources.store import place, written
 from ..streaming import streams
 from . import base
 
@@ -37,25 +37,20 @@ def _stream(spark, table):
 
 
 def t1(spark, d):
-    """Incremental sync: micro-batches of orders are upserted into a table; what is left is the last row of each id."""
+    """Incremental sync: micro-batches of orders are upserted into a table in parts by id, of which each batch rewrites
+    those that it touches; what is left is the last row of each id."""
     rows = base.read(spark, d, "lineitem").select(F.concat(F.lit("postgis:lines:"), "l_orderkey").alias("_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    state = {"table": written(rows.limit(0))}
-
-    def apply(batch, _):
-        # Rows of any batch order: the target's row takes part, so that the last by order wins.
-        mine = state["table"].join(batch.select("_id").distinct(), "_id", "left_semi")
-        state["table"] = written(sync.upsert(state["table"], batch.unionByName(mine), order))
-
-    streams.sync(_stream(spark, rows), apply, written(rows.limit(0).select("_id")).inputFiles()[0].rpartition("/")[0] + "/checkpoint")
-    return state["table"].select("_id", "l_linenumber", "l_partkey")
+    path = place(spark, "synced")
+    streams.sync(_stream(spark, rows), lambda batch, _: sync.upsert_parts(batch, path, order, parts=8), place(spark, "checkpoint"))
+    return spark.read.parquet(path).select("_id", "l_linenumber", "l_partkey")
 
 
 def t2(spark, d):
     """Orders twice over as a stream, each id kept once."""
     rows = base.read(spark, d, "orders").select(F.col("o_orderkey").alias("_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
     kept = []
-    streams.sync(streams.seen_ids(_stream(spark, rows.unionByName(rows))), lambda batch, _: kept.append(written(batch)), written(rows.limit(0)).inputFiles()[0].rpartition("/")[0] + "/checkpoint")
+    streams.sync(streams.seen_ids(_stream(spark, rows.unionByName(rows))), lambda batch, _: kept.append(written(batch)), place(spark, "checkpoint"))
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
@@ -68,7 +63,7 @@ def t6(spark, d):
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        query = streams.freshness(_stream(spark, rows), 86400.0).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", written(rows.limit(0)).inputFiles()[0].rpartition("/")[0] + "/checkpoint").foreachBatch(lambda b, n: kept.append(written(b.withColumn("n", F.lit(n))))).start()
+        query = streams.freshness(_stream(spark, rows), 86400.0, timers=False).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", place(spark, "checkpoint")).foreachBatch(lambda b, n: kept.append(written(b.withColumn("n", F.lit(n))))).start()
         query.awaitTermination()
     finally:
         spark.conf.set(key, before)
@@ -85,5 +80,5 @@ QUERIES = {
     "t3_request_counts": (t3, _E + "SELECT date_trunc('hour', ts) AS start, endpoint, CASE k % 10 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END AS status, count(*) AS requests FROM e GROUP BY 1, 2, 3"),
     "t4_duration_histogram": (t4, _E + "SELECT date_trunc('day', ts)::TIMESTAMP AS start, endpoint, le, count(*) FILTER (value / 100 <= le) AS requests FROM e, unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]::DOUBLE[]) AS b(le) GROUP BY 1, 2, 3"),
     "t5_gauges": (t5, _E + "SELECT endpoint AS source, max(ts) FILTER (k % 4 <> 0) AS last_success, max(ts) FILTER (k % 4 = 0) AS last_error, 160::INT AS n FROM e GROUP BY 1"),
-    "t6_freshness_stream": t6,
+    "t6_freshness_stream": (t6, _E + "SELECT endpoint AS source, 1706659200 - max(epoch_us(ts) // 1000000) > 86400 AS stale FROM e WHERE k % 4 <> 0 GROUP BY 1"),
 }

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset."""
+    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset and
+    tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/waymark/{name}-{uuid.uuid4().hex}"
@@ -19,6 +22,16 @@ def place(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Write a table there and read it back."""
-    path = place(df.sparkSession, "round")
+    path = place(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that is sent to all tasks at most.
+SMALL = 200_000
+
+
+def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A table to be joined by broadcast if it has `most` rows or fewer, else by shuffle: the size is counted, never
+    estimated. Counting makes the table once more, so what is long in the making should be written first."""
+    return df.hint("broadcast" if df.limit(most + 1).count() <= most else "merge")

@@ -51,12 +51,15 @@ def sync(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint:
 
 
 class Freshness(StatefulProcessor):
-    """Keeps each source's latest success; emits its age against `as_of` and whether it is over the threshold."""
+    """Keeps each source's latest success; emits its age against `as_of` and whether it is over the threshold. Each
+    report sets a timer to the moment at which the source will be stale if it stays silent; a timer that comes due
+    without a newer report tells so."""
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, threshold: float, timers: bool = True):
+        self.threshold, self.timers = threshold, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "at double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -66,15 +69,26 @@ class Freshness(StatefulProcessor):
             as_of = max(as_of, float(part["as_of"].max()))
         self.last.update((newest,))
         age = as_of - newest
+        if self.timers:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
+            # The source's own clock is `as_of`: what is left until it is stale counts from now.
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, int(1000 * (self.threshold - age)) + 1))
         yield pd.DataFrame({"source": [key[0]], "age_seconds": [age], "stale": [bool(age > self.threshold)]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            yield pd.DataFrame({"source": [key[0]], "age_seconds": [float(self.threshold)], "stale": [True]})
+
     def close(self) -> None:
         pass
 
 
-def freshness(runs: DataFrame, threshold: float) -> DataFrame:
-    """source, age_seconds, stale after each micro-batch; `runs` has source, at (seconds), as_of (seconds). Needs the
-    RocksDB state store."""
+def freshness(runs: DataFrame, threshold: float, timers: bool = True) -> DataFrame:
+    """source, age_seconds, stale after each micro-batch, and stale at the threshold when a source has been silent that
+    long; `runs` has source, at (seconds), as_of (seconds). Needs the RocksDB state store; a stream that stays up
+    needs a processing-time trigger, since timers come due in micro-batches. Without timers a run over what is there
+    ends by itself and reports each source as of its latest row."""
     # The worker that reads the state's schema runs on the driver, where shipped packages are not on the path.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return runs.groupBy("source").transformWithStateInPandas(statefulProcessor=Freshness(threshold), outputStructType="source string, age_seconds double, stale boolean", outputMode="Update", timeMode="None")
+    return runs.groupBy("source").transformWithStateInPandas(statefulProcessor=Freshness(threshold, timers), outputStructType="source string, age_seconds double, stale boolean", outputMode="Update", timeMode="ProcessingTime" if timers else "None")
