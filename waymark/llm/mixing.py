@@ -2,8 +2,10 @@
 
 Targets. Sources sorted by code point, null last, weigh WEIGHTS in turn and share all words of the corpus.
 A source's target stops at MAX_EPOCHS times its size; what it gives up goes to the others by weight, until
-none is above its cap. That is one water level: with sources sorted by cap / weight, the level is the first
-at which the sources below it are full and the rest still fit, found by one window over the sources.
+none is above its cap. That is one water level: it begins as if no source were full and rises with the words that
+full sources give up, a sum over the sources for each rise, until no further source is full. Each rise fills a
+source at least, and few are needed in practice. Ranks of sources come from ranges of names, so that no step has
+all sources in one task.
 
 Sampling. Each document of a source is taken floor(target / size) times whole. What is then missing is taken
 once more in the order of a seeded hash: documents whole while they fit, the one on the edge by the words
@@ -36,24 +38,36 @@ RANGE_ROWS = 4000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size, source_rows, target for a table of (source, size): one row per source.
-
-    The windows run over one row per source, never over documents.
-    """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(epochs))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = (
-        per.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.col("full")) / F.col("open"))
-    )
-    fits = F.col("level") * F.col("weight") <= F.col("cap")
-    level = F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)["level"]
-    return per.withColumn("water", level).select("source", "source_size", "source_rows", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
+    """source, source_size, source_rows, target for a table of (source, size): one row per source."""
+    per = work.written(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = placed(per, "source").withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(epochs))
+    per = work.written(per.drop("place"), "weights")
+    total, level = per.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    full = F.col("cap") < F.col("weight") * F.lit(level)
+    while True:
+        kept, room = per.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        higher = (total - kept) / room if room else level
+        if higher <= level:
+            break
+        level, full = higher, F.col("cap") < F.col("weight") * F.lit(higher)
+    return per.select("source", "source_size", "source_rows", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
+
+
+def placed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `place`: their number in the order of `column`, null last, from 0. Ranges of the column are numbered
+    each by itself, and begin where those before them end."""
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    dealt = rows.repartitionByRange(ranges, F.col(column).asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    dealt = work.written(dealt, "ranges")
+    sizes, before = dealt.groupBy("range").count().orderBy("range").collect(), 0  # a row for each RANGE_ROWS rows
+    begins = []
+    for r in sizes:
+        begins.append((r["range"], before))
+        before += r["count"]
+    base = rows.sparkSession.createDataFrame(begins, "range int, begin long")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col(column).asc_nulls_last())) - 1
+    return dealt.withColumn("inside", inside).join(base.hint("shuffle_hash"), "range").withColumn("place", F.col("begin") + F.col("inside")).drop("range", "begin", "inside")
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,13 +106,14 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of `docs`: each document as often as it is taken, the part on a source's
     edge as the first words that are still missing."""
     columns = docs.columns
-    kept = work.written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs", compression="zstd")
-    how = plan(kept, seed, "__row").select(*[F.col(c).alias(f"__{c}") for c in ("row", "whole", "size", "taken")])
-    rows = kept.join(how.hint("merge"), "__row", "left")
-    part = F.col("__taken") - F.col("__whole") * F.col("__size")
-    times = F.when(F.coalesce(part, F.lit(0)) > 0, F.col("__whole") + 1).otherwise(F.coalesce(F.col("__whole"), F.lit(0)))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col("__copy") <= times)
-    cut = (F.col("__copy") > F.col("__whole")) & (part < F.col("__size"))
+    row, whole, size, taken, copy = (work.unused(docs, c) for c in ("row", "whole", "size", "taken", "copy"))
+    kept = work.written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs", compression="zstd")
+    how = plan(kept, seed, row).select(*[F.col(c).alias(to) for c, to in (("row", row), ("whole", whole), ("size", size), ("taken", taken))])
+    rows = kept.join(how.hint("merge"), row, "left")
+    part = F.col(taken) - F.col(whole) * F.col(size)
+    times = F.when(F.coalesce(part, F.lit(0)) > 0, F.col(whole) + 1).otherwise(F.coalesce(F.col(whole), F.lit(0)))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col(copy) <= times)
+    cut = (F.col(copy) > F.col(whole)) & (part < F.col(size))
     first = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
     words = F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, (part + (F.length(first) > 0).cast("int")).cast("int"))
     text = F.when(cut, F.array_join(words, " ")).otherwise(F.col("text"))

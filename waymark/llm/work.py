@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
@@ -40,6 +41,12 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{base(spark)}/waymark/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it. Spark's names of S3 are names of Hadoop's clients alone."""
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri("s3://" + rest if sep and scheme in ("s3a", "s3n") else uri)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
