@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +33,7 @@ SEPARATOR, ESCAPED = 50256, 65535
 WIDTH = np.dtype("<u2")
 #: Ids of a block.
 BLOCK = 1 << 20
+BLOCKS_PER_TASK = 16
 
 
 def write(docs: DataFrame, vocabulary: str = encoding.VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
@@ -46,7 +46,7 @@ def write(docs: DataFrame, vocabulary: str = encoding.VOCABULARY, separator: int
 
         task, done = TaskContext.get(), 0
         uri = f"{root}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
-        system, place = fs.FileSystem.from_uri(uri)
+        system, place = work.filesystem(uri)
         system.create_dir(place.rpartition("/")[0], recursive=True)
         with system.open_output_stream(place) as out:
             for batch in batches:
@@ -67,7 +67,7 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: np.dtype = WIDTH,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                system, place = fs.FileSystem.from_uri(uri)
+                system, place = work.filesystem(uri)
                 n = system.get_file_info(place).size // width.itemsize
                 first = np.arange(0, n, block)
                 for k in range(0, len(first), 8192):
@@ -77,7 +77,7 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: np.dtype = WIDTH,
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, first, n in zip(*(batch.column(c).to_pylist() for c in ("uri", "first", "n"))):
-                system, place = fs.FileSystem.from_uri(uri)
+                system, place = work.filesystem(uri)
                 with system.open_input_file(place) as f:
                     ids = np.frombuffer(f.read_at(n * width.itemsize, first * width.itemsize), width)
                 at = np.flatnonzero(ids == separator) + first
@@ -86,16 +86,22 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: np.dtype = WIDTH,
     # Blocks are dealt by their place, so that a long file's blocks go to many tasks.
     spread = files.select("uri").distinct().mapInArrow(cut, "uri string, first long, n long").repartition("uri", "first")
     blocks = work.written(spread.mapInArrow(find, "uri string, first long, n long, ends array<long>"), "separators")
+    # The running aggregates see a row of sums for each block, never the separators themselves.
+    sums = blocks.select("uri", "first", F.size("ends").alias("n_ends"), F.array_max("ends").alias("last_end"))
     before = Window.partitionBy("uri").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        blocks.withColumn("docs_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-        .withColumn("end_before", F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1)))
-        .withColumn("is_last", F.lead("first").over(Window.partitionBy("uri").orderBy("first")).isNull())
-    )
+    sums = sums.select(
+        "uri", "first", "n_ends",
+        F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("docs_before"),
+        F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("end_before"),
+        F.lead("first").over(Window.partitionBy("uri").orderBy("first")).isNull().alias("is_last"),
+    )
+    # Tasks are dealt by number of blocks: a block is a few bytes here and thousands of documents below.
+    tasks = max(1, -(-blocks.count() // BLOCKS_PER_TASK))
+    blocks = blocks.repartition(tasks, "uri", "first").join(work.written(sums, "block-sums").repartition(tasks, "uri", "first").hint("merge"), ["uri", "first"])
     begins = F.concat(F.array("end_before"), F.col("ends"))
     tail = F.col("is_last") & (F.element_at(begins, -1) < F.col("first") + F.col("n") - 1)
     ends = F.when(tail, F.concat("ends", F.array(F.col("first") + F.col("n")))).otherwise(F.col("ends"))
-    found = blocks.select("uri", "docs_before", F.size("ends").alias("n_ends"), begins.alias("begins"), F.posexplode(ends).alias("k", "end"))
+    found = blocks.select("uri", "docs_before", "n_ends", begins.alias("begins"), F.posexplode(ends).alias("k", "end"))
     start = F.element_at("begins", F.col("k") + 1) + 1
     return found.select("uri", (F.col("docs_before") + F.col("k")).alias("doc_no"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("k") < F.col("n_ends")).alias("terminated"))
 
