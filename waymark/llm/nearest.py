@@ -2,17 +2,21 @@
 
 Largest inner product is brought to least distance: each vector gets one more component, the root of what its
 squared norm lacks to the largest one; queries get 0. A tree of k-means splits is fitted on a bounded sample
-on the driver; then every vector of the table is dealt to its leaf. A search descends to the nearest child and
-keeps the others in a priority queue, so leaves come in the order of their bins' distances; it takes as many
-as were needed, on a bounded set of calibration queries searched exhaustively, for RECALL of their true
-neighbours. Exact scores in double precision on the original vectors decide among what the leaves hold.
+on the driver; then every vector of the table is dealt to its leaf. Leaves of a large table hold more than SPLIT
+vectors: each of them gets a subtree, fitted in Spark on a bounded sample of its own members, and so on, so that
+leaves stay small at any size of the table. A search descends to the nearest child and keeps the others in a
+priority queue, so leaves come in the order of their bins' distances; of each level it takes as many as were
+needed, on a bounded set of calibration queries searched exhaustively, for RECALL of their true neighbours, and
+goes on until the leaves taken hold k + 1 vectors. Exact scores in double precision on the original vectors decide
+among what the leaves hold.
 
 Equal vectors are one vector in the tree, known by its k + 1 smallest ids: more can't be among k neighbours,
 so nothing is lost and a group of equal vectors, however large, is one row. Leaves are cut into packs of
 bounded size, and the queries that visit a leaf into groups, so no leaf's members meet in one task.
 
-Defined cases: a vector that is null, zero, of another length than most (the smallest length among equals), or
-that holds null or non-finite components takes no part, as query or candidate; a null id takes no part; with
+Defined cases: a vector that is null, zero, or that holds null or non-finite components takes no part, as query or
+candidate; vectors of one length are a table of their own, since others have no inner product with them (the
+lengths are few: each is searched in turn); a null id takes no part; with
 fewer than k candidates all are returned; ties go to the smaller id; rows with one id and vector count once,
 rows with one id and several vectors as several candidates; an empty table gives no rows; other columns are
 ignored.
@@ -21,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +45,10 @@ BRANCH, LEAF = 16, 24
 LEAVES = 0.5
 #: Vectors of a pack and queries of a group.
 PACK, GROUP = 1024, 256
+#: Vectors that a leaf holds without a subtree; sample of a leaf on which that is fitted; levels of subtrees at most.
+SPLIT, SUB_FIT, LEVELS = 8192, 4096, 4
+#: Leaves have numbers from FIRST_LEAF on, those of a leaf's subtree from FAN times its number.
+FIRST_LEAF, FAN = 1 << 20, 4096
 FOUND = "query long, vec_id long, score double"
 
 
@@ -87,11 +96,12 @@ class Tree:
                 todo += [(child, rows[part == k]) for k, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves in best-bin-first order."""
-        queue, out, tie = [(0.0, 0, self.root)], [], 0
-        while queue and len(out) < most:
-            _, _, node = heapq.heappop(queue)
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> tuple[list[int], list[float]]:
+        """The first `most` leaves in best-bin-first order and their bins' distances, more of them while those taken
+        hold under `least` vectors."""
+        queue, out, far_of, tie, held = [(0.0, 0, self.root)], [], [], 0, 0
+        while queue and (len(out) < most or held < least):
+            near, _, node = heapq.heappop(queue)
             while node >= 0:
                 gap = self.centers[node] - q
                 far = np.einsum("ij,ij->i", gap, gap)
@@ -100,9 +110,11 @@ class Tree:
                     if k != best:
                         tie += 1
                         heapq.heappush(queue, (d, tie, child))
-                node = self.children[node][best]
+                near, node = float(far[best]), self.children[node][best]
             out.append(-1 - node)
-        return out
+            far_of.append(near)
+            held += int(sizes[-1 - node]) if sizes is not None else 0
+        return out, far_of
 
 
 def _closest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -122,9 +134,7 @@ def usable(vectors: DataFrame, vector: str = "embedding", id_: str = "vec_id") -
     """vec_id, v of the rows that take part, v as doubles."""
     rows = vectors.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    good = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
-    common = good.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    return good.where(F.size("v") == (common["width"] if common else 0))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
 def distinct(rows: DataFrame, k: int) -> DataFrame:
@@ -158,10 +168,12 @@ def _rows(ids: np.ndarray, uid: np.ndarray, score: np.ndarray, k: int) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(uid[at]), pa.array(score[row, at])], names=["query", "vec_id", "score"])
 
 
-def packs(index: DataFrame, many: DataFrame) -> DataFrame:
-    """leaf, pack, uids, data: the vectors of a leaf in packs of about PACK, dealt by a hash of the uid."""
-    dealt = index.join(many.hint("shuffle_hash"), "leaf").withColumn("pack", F.pmod(F.xxhash64("uid"), "packs").cast("int"))
-    return dealt.groupBy("leaf", "pack").agg(F.collect_list(F.struct("uid", "v")).alias("m")).select("leaf", "pack", F.col("m.uid").alias("uids"), F.flatten("m.v").alias("data"))
+def grouped(rows: DataFrame, counts: DataFrame, size: int, number: str, ids: str, data: str) -> DataFrame:
+    """node, `number`, `ids`, `data`: the (uid, v) of a node in lists of about `size`, dealt by a hash of the uid."""
+    parts = counts.select("node", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    dealt = rows.join(parts.hint("merge"), "node").withColumn(number, F.pmod(F.xxhash64("uid"), "parts").cast("int"))
+    lists = dealt.groupBy("node", number).agg(F.collect_list(F.struct("uid", "v")).alias("m"))
+    return lists.select("node", number, F.col("m.uid").alias(ids), F.flatten("m.v").alias(data))
 
 
 def exhaustive(unique: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> dict[int, list[int]]:
@@ -182,22 +194,83 @@ def exhaustive(unique: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> dic
     return out
 
 
-def calibrated(tree: Tree, leaf_of: dict[int, int], truth: dict[int, list[int]], queries: dict[int, np.ndarray], recall: float) -> int:
-    """The least number of leaf visits, doubled and then halved between, that finds `recall` of the true neighbours."""
-    ranks: list[int] = []
-    for id_, own in truth.items():
-        order = {leaf: n for n, leaf in enumerate(tree.visits(queries[id_], tree.leaves))}
-        ranks += [order[leaf_of[u]] for u in own]
-    if not ranks:
-        return tree.leaves
-    # Each true neighbour is found once its leaf is visited: the visits needed are a quantile of the leaves' places.
+def quantile(ranks: list[int], recall: float) -> int:
+    """Visits that find `recall` of the true neighbours: each is found once its leaf is visited, so they are a
+    quantile of the places of these leaves."""
     return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1
 
 
+def sized(index: DataFrame) -> DataFrame:
+    return work.written(index.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "leaf-sizes")
+
+
+def subtrees(index: DataFrame, sizes: DataFrame, top: float, width: int) -> DataFrame:
+    """node, tree for the leaves of more than SPLIT vectors: fitted on about SUB_FIT members of each."""
+    big = sizes.where(F.col("n") > SPLIT)
+    draw = F.pmod(F.xxhash64("uid", F.lit(23)), F.lit(1 << 30)) * F.col("n") < F.lit(float(SUB_FIT << 30))
+    some = index.join(big.hint("merge"), "node").where(draw).select("node", "n", "v")
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("v").combine_chunks(), width)
+        # Leaves of about a quarter of SPLIT, if the sample has LEAF vectors for each.
+        leaf = max(LEAF, int(len(x) * SPLIT / 4 / table.column("n")[0].as_py()))
+        return pa.table({"node": table.column("node").slice(0, 1), "tree": pa.array([pickle.dumps(Tree(_extended(x, top), leaf=leaf))], pa.binary())})
+
+    return work.written(some.groupBy("node").applyInArrow(fit, "node long, tree binary"), "subtrees")
+
+
+def split(index: DataFrame, sizes: DataFrame, trees: DataFrame, top: float, width: int) -> DataFrame:
+    """index with the members of nodes that have a subtree dealt to its leaves."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                uid, data = (batch.column(c)[n].values for c in ("uids", "data"))
+                x = data.to_numpy().reshape(-1, width)
+                leaf = batch.column("node")[n].as_py() * FAN + pickle.loads(batch.column("tree")[n].as_py()).assign(_extended(x, top))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), data)
+                yield pa.RecordBatch.from_arrays([uid, lists, pa.array(leaf)], names=["uid", "v", "node"])
+
+    lists = grouped(index, sizes.where(F.col("n") > SPLIT), PACK, "pack", "uids", "data").join(trees.hint("merge"), "node")
+    dealt = lists.select("node", "uids", "data", "tree").mapInArrow(deal, "uid long, v array<double>, node long")
+    return work.written(index.join(trees.select("node").hint("merge"), "node", "left_anti").select("uid", "v", "node").unionByName(dealt), "leaves")
+
+
+def descended(asked: DataFrame, wanted: DataFrame, trees: DataFrame, width: int) -> DataFrame:
+    """asked (uid, node, far) with the leaves of subtrees in place of their nodes."""
+    below = asked.join(trees.select("node").hint("merge"), "node", "left_semi")
+    counts = work.written(below.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "asked-sizes")
+    lists = grouped(below.join(wanted.hint("merge"), "uid"), counts, GROUP, "part", "q_ids", "q").join(trees.hint("merge"), "node")
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                tree, node = pickle.loads(batch.column("tree")[n].as_py()), batch.column("node")[n].as_py()
+                q = batch.column("q")[n].values.to_numpy().reshape(-1, width)
+                found = [tree.visits(np.append(x, 0.0), tree.leaves) for x in q]
+                ids = np.repeat(batch.column("q_ids")[n].values.to_numpy(), [len(leaf) for leaf, _ in found])
+                leaf, far = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(node * FAN + leaf.astype(np.int64)), pa.array(far.astype(np.float64))], names=["uid", "node", "far"])
+
+    down = lists.select("node", "q_ids", "q", "tree").mapInArrow(visit, "uid long, node long, far double")
+    return asked.join(trees.select("node").hint("merge"), "node", "left_anti").select("uid", "node", "far").unionByName(down)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query with other rows, nearest first."""
     spark = vectors.sparkSession
+    work.prepare(spark)
     rows = work.written(usable(vectors), "vectors")
+    widths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
+    found = [_search(rows.where(F.size("v") == w), w, is_query, k, recall) for w in widths]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if not found else found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _search(rows: DataFrame, width: int, is_query: Column, k: int, recall: float) -> DataFrame:
+    spark = rows.sparkSession
     # Vectors are few bytes and much work: tasks are dealt by number, so that Spark does not merge them by size.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     unique = work.written(distinct(rows, k).repartition(tasks, "uid"), "vectors-distinct")
@@ -206,9 +279,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     sources = work.written(sources, "query-vectors")
     wanted = work.written(unique.select("uid", "v").join(sources.select("uid").distinct().hint("merge"), "uid", "left_semi"), "query-distinct")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    top, width, count = unique.agg(F.max(square), F.max(F.size("v")), F.count(F.lit(1))).first()
-    if top is None:
-        return sources.select("query_id", F.lit(1).alias("rank"), F.col("uid").alias("vec_id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    top, count = unique.agg(F.max(square), F.count(F.lit(1))).first()
     draw = F.xxhash64("uid", F.lit(11))
     fit = unique.orderBy(draw, "uid").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
     leaf = max(LEAF, int(min(count, FIT_ROWS) / (LEAVES * count**0.5)))
@@ -218,35 +289,59 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, top = shared.value
         for batch in batches:
-            leaf = tree.assign(_extended(_matrix(batch.column("v"), width), top))
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("v"), pa.array(leaf)], names=["uid", "v", "leaf"])
-
-    index = work.written(unique.select("uid", "v").mapInArrow(deal, "uid long, v array<double>, leaf long"), "leaves")
-    # Calibration: a bounded set of queries, their true neighbours by a scan of all rows, and these rows' leaves.
+            node = tree.assign(_extended(_matrix(batch.column("v"), width), top)) + FIRST_LEAF
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("v"), pa.array(node)], names=["uid", "v", "node"])
+
+    index = work.written(unique.select("uid", "v").mapInArrow(deal, "uid long, v array<double>, node long"), "leaves")
+    sizes = sized(index)
+    held = np.zeros(tree.leaves, np.int64)
+    for node, n in sizes.collect():  # a row for each leaf of the tree of the sample
+        held[node - FIRST_LEAF] = n
+    levels = 1
+    while levels <= LEVELS and held.max(initial=0) > SPLIT * (SUB_FIT / LEAF) ** (levels - 1):
+        levels += 1
+    share = 1 - (1 - recall) / levels
+    # Calibration: a bounded set of queries and their true neighbours, themselves left out, by a scan of all rows.
     probe = wanted.orderBy(draw, "uid").limit(CALIBRATION).toArrow()
     ids, q = probe.column("uid").to_numpy(), _matrix(probe.column("v").combine_chunks(), width)
-    truth = exhaustive(unique, ids, q, k + 1)
-    near = spark.createDataFrame([(u,) for u in sorted({u for own in truth.values() for u in own})], "uid long")
-    leaf_of = dict(index.select("uid", "leaf").join(F.broadcast(near), "uid").collect())  # CALIBRATION * (k + 1) rows at most
-    visits = calibrated(tree, leaf_of, truth, dict(zip(ids.tolist(), np.concatenate([q, np.zeros((len(q), 1))], 1))), recall)
+    truth = [(query, u) for query, own in exhaustive(unique, ids, q, k + 1).items() for u in [u for u in own if u != query][:k]]
+    true = work.written(spark.createDataFrame(truth, "asked long, uid long"), "true-neighbours")  # CALIBRATION * k rows at most
+
+    def placed() -> DataFrame:
+        """asked, node of each true neighbour."""
+        return true.join(index.select("uid", "node").hint("merge"), "uid").select("asked", "node")
+
+    order = {i: {leaf: n for n, leaf in enumerate(tree.visits(np.append(x, 0.0), tree.leaves)[0])} for i, x in zip(ids.tolist(), q)}
+    ranks = [order[query][node - FIRST_LEAF] for query, node in placed().collect()]
+    visits = quantile(ranks, share) if ranks else tree.leaves
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, _ = shared.value
         for batch in batches:
-            q = np.concatenate([_matrix(batch.column("v"), width), np.zeros((batch.num_rows, 1))], 1)
-            for lo in range(0, len(q), GROUP):
-                leaves = [tree.visits(x, visits) for x in q[lo : lo + GROUP]]
-                each, row = np.concatenate(leaves), np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-                order = np.argsort(each, kind="stable")
-                each, row = each[order], row[order]
-                for part in np.split(np.arange(len(each)), np.flatnonzero(np.diff(each)) + 1):
-                    own = batch.take(pa.array(lo + row[part]))
-                    yield pa.RecordBatch.from_arrays([pa.array([each[part[0]]]), pa.array([own.column("uid").to_pylist()], pa.list_(pa.int64())), pa.array([own.column("v").flatten()], pa.list_(pa.float64()))], names=["leaf", "q_ids", "q"])
-
-    many = work.written(index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("packs")), "leaf-packs")
-    asked_leaves = wanted.repartition(tasks, "uid").mapInArrow(visit, "leaf long, q_ids array<long>, q array<double>")
-    asked_packs = asked_leaves.join(many.hint("shuffle_hash"), "leaf").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).drop("packs")
-    met = asked_packs.repartition(4 * tasks, "leaf", "pack").join(packs(index, many).repartition(4 * tasks, "leaf", "pack").hint("merge"), ["leaf", "pack"])
+            found = [tree.visits(np.append(x, 0.0), visits, held, k + 1) for x in _matrix(batch.column("v"), width)]
+            ids = np.repeat(batch.column("uid").to_numpy(), [len(leaf) for leaf, _ in found])
+            leaf, far = (np.concatenate([np.zeros(0), *x]) for x in zip(*found)) if found else (np.zeros(0),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(leaf.astype(np.int64) + FIRST_LEAF), pa.array(far)], names=["uid", "node", "far"])
+
+    met = work.written(wanted.repartition(tasks, "uid").mapInArrow(visit, "uid long, node long, far double"), "visits")
+    for _ in range(levels - 1):
+        trees = subtrees(index, sizes, top, width)
+        index = split(index, sizes, trees, top, width)
+        sizes = sized(index)
+        place = Window.partitionBy("uid").orderBy("far", "node")
+        met = descended(met, wanted, trees, width).join(sizes.hint("merge"), "node")
+        met = met.withColumn("place", F.row_number().over(place)).withColumn("before", F.coalesce(F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        met = work.written(met, "visits")
+        ranks = [r[0] - 1 for r in placed().join(met.withColumnRenamed("uid", "asked").hint("merge"), ["asked", "node"]).select("place").collect()]
+        visits = quantile(ranks, share) if ranks else 1
+        met = met.where((F.col("place") <= visits) | (F.col("before") < k + 1)).select("uid", "node", "far")
+    # Lists of queries and of vectors of each leaf meet, so that no leaf's members and no leaf's queries are in one task.
+    met = met.select("uid", "node")
+    counts = work.written(met.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "asked-sizes")
+    asked = grouped(met.join(wanted.hint("merge"), "uid"), counts, GROUP, "part", "q_ids", "q")
+    parts = sizes.select("node", F.sequence(F.lit(0), F.ceil(F.col("n") / PACK).cast("int") - 1).alias("packs"))
+    asked = asked.join(parts.hint("merge"), "node").select("node", F.explode("packs").alias("pack"), "q_ids", "q")
+    pairs = asked.repartition(4 * tasks, "node", "pack").join(grouped(index, sizes, PACK, "pack", "uids", "data").repartition(4 * tasks, "node", "pack").hint("merge"), ["node", "pack"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +350,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
                 q, x = (batch.column(c)[n].values.to_numpy().reshape(-1, width) for c in ("q", "data"))
                 yield _rows(ids, uid, _score(q, x), k + 1)
 
-    found = met.mapInArrow(compare, FOUND)
+    found = pairs.mapInArrow(compare, FOUND)
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     found = work.written(found.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("query", F.col("vec_id").alias("uid"), "score"), "found")
     # Back from distinct vectors to rows: a vector's ids all have its score, and a query is no candidate of its own.
