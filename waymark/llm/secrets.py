@@ -5,14 +5,17 @@ what stands before it; running sums of their lengths are the places, in code poi
 
 The battery takes runs of 20 or more characters of [A-Za-z0-9+/_=-] and infers their encoding (hex, base 32,
 base 36, base 62, base 64 and its URL form; decimal numbers are none). Under randomness in that encoding three
-tests give p-values: chi-squared uniformity over the alphabet, runs about the alphabet's middle, and serial
-correlation of neighbours; Fisher's method combines them. A token is a candidate finding if randomness is not
-rejected at ALPHA. How far it is from ordinary text is measured by the likelihood ratio of the uniform
-alphabet against the corpus's own character distribution (counted over all tokens that are not random): under
-"ordinary text" 1 / ratio is a valid p-value by Markov's inequality, and longer tokens can reach smaller ones.
-The Benjamini-Hochberg procedure over all candidates, weighted by length, keeps the rate of false findings
-under FDR. Its step needs ranks over all candidates: they are taken from a histogram of p-values (rounded up),
-which has a bounded number of bins at any size of the corpus.
+tests give p-values: chi-squared uniformity over the alphabet (with the statistic's exact first three moments, since
+tokens are shorter than their alphabets), runs about the alphabet's middle, and serial correlation of neighbours.
+The last two look at the same order of characters, so the smaller of them, doubled, stands for both, and Fisher's
+method combines it with the first. The Benjamini-Hochberg procedure over the combined p-values of all tokens, weighted by
+length, tells which tokens are not random: of those that it rejects at most FDR are random after all. A longer token
+has a larger weight, since the tests see more of it. What it leaves is random, or too short to tell, so a second
+control decides what is reported: how far a token is from ordinary text is the likelihood ratio of the uniform
+alphabet against the character distribution of the rejected tokens; under "ordinary text" 1 / ratio is a valid
+p-value by Markov's inequality, and longer tokens can reach smaller ones. The same procedure over the tokens left,
+weighted by length, keeps the rate of false findings under FDR. Its step needs ranks over all tokens: both times they
+are taken from a histogram of p-values, which has a bounded number of bins at any size of the corpus.
 
 Defined cases: a null or empty text has no spans; findings that overlap a pattern's span are not added; rows
 are told apart by a row number, so repeated documents keep a row each; an empty table gives no rows; other
@@ -29,7 +32,7 @@ from pyspark.sql.window import Window
 
 from . import work
 
-ALPHA, FDR = 1e-3, 1e-3
+FDR = 1e-3
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Pattern, a cheap test for texts that can't match, and the least length of the match or of its group 1.
@@ -95,6 +98,13 @@ def _upper_tail(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-300))
 
 
+def _gamma_tail(y: Column, skew: Column) -> Column:
+    """Upper tail of a gamma distribution with mean 0, variance 1 and this skewness: Wilson and Hilferty's cube root."""
+    a = 4 / (skew * skew)
+    root = F.cbrt(F.greatest(F.lit(0.0), 1 + y / F.sqrt(a)))
+    return _upper_tail((root - (1 - 1 / (9 * a))) * 3 * F.sqrt(a))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds size (of the alphabet, null if no encoding fits), n, chi, runs, serial (p-values) and random (combined)."""
     body = F.regexp_replace("value", "=+$", "")
@@ -114,24 +124,48 @@ def battery(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("spread", F.expr("aggregate(codes, 0D, (a, c) -> a + (c - mean) * (c - mean))"))
     t = t.withColumn("product", F.expr("aggregate(pairs, 0D, (a, p) -> a + (p['0'] - mean) * (p['1'] - mean))"))
     n, k = F.col("n"), F.col("size")
-    chi = k / n * F.col("squares") - n
-    z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    # The statistic counts pairs of equal characters, each pair of places equal with chance 1 / k: their number's
+    # mean, variance and third moment are known, and it moves by whole numbers.
+    equal, share = (F.col("squares") - n) / 2, 1 / k
+    places = n * (n - 1) / 2
+    variance = places * share * (1 - share)
+    third = variance * (1 - 2 * share) + n * (n - 1) * (n - 2) * share * share * (1 - share)
+    chi = _gamma_tail((equal - 0.5 - places * share) / F.sqrt(variance), third / F.pow(variance, 1.5))
     below = n - F.col("above")
     mean_runs = 1 + 2 * F.col("above") * below / n
     var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
     # All on one side: as many runs too few as there can be.
     z_runs = F.when(var_runs > 0, (F.col("turns") + 1 - mean_runs) / F.sqrt(var_runs)).otherwise(-F.sqrt(n))
     z_serial = F.when(F.col("spread") > 0, (F.col("product") / F.col("spread") + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-    t = t.withColumn("chi", _upper_tail(z_chi)).withColumn("runs", F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z_runs)))).withColumn("serial", F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z_serial))))
-    half = -(F.log("chi") + F.log("runs") + F.log("serial"))
-    t = t.withColumn("random", F.when(F.col("alphabet").isNotNull(), F.exp(-half) * (1 + half + half * half / 2)))
+    t = t.withColumn("chi", chi).withColumn("runs", F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z_runs)))).withColumn("serial", F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z_serial))))
+    order = F.least(F.lit(1.0), 2 * F.least("runs", "serial"))
+    half = -(F.log("chi") + F.log(order))
+    t = t.withColumn("random", F.when(F.col("alphabet").isNotNull(), F.exp(-half) * (1 + half)))
     return t.drop("alphabet", "codes", "squares", "mean", "pairs", "above", "turns", "spread", "product")
 
 
-def ordinary(tested: DataFrame) -> dict[str, float]:
+def rejected(tested: DataFrame, log10_p: Column, rate: float = FDR) -> tuple[DataFrame, int]:
+    """tested with `bin` (of its p-value, null where there is none), and the least bin that the weighted
+    Benjamini-Hochberg procedure rejects at `rate`. Weights are lengths, with mean 1, so that it keeps its bound;
+    p-values are rounded up to their bin's edge."""
+    mean = tested.where(log10_p.isNotNull()).agg(F.avg("n")).first()[0]
+    if mean is None:
+        return tested.withColumn("bin", F.lit(None).cast("int")), _LAST + 1
+    scaled = F.least(F.lit(0.0), log10_p - F.log10(F.col("n") / mean))
+    binned = tested.withColumn("bin", F.least(F.lit(_LAST), F.floor(-scaled * _PER_TEN)).cast("int"))
+    counts = dict(binned.where("bin is not null").groupBy("bin").count().collect())  # at most _LAST + 1 rows, whatever the input
+    many, rank, least = sum(counts.values()), 0, _LAST + 1
+    for edge in sorted(counts, reverse=True):
+        rank += counts[edge]
+        if 10 ** (-edge / _PER_TEN) * many <= rate * rank:
+            least = edge
+    return binned, least
+
+
+def ordinary(plain: DataFrame) -> dict[str, float]:
     """Character frequencies of tokens that are not random: one row per symbol returns. A prior that expects
     letters stands in for what a small corpus does not show."""
-    each = tested.where("random is null or random <= %r" % ALPHA).select(F.explode(F.split("value", "")).alias("c"))
+    each = plain.select(F.explode(F.split("value", "")).alias("c"))
     seen = {c: n for c, n in each.where(F.col("c").isin(list(_SYMBOLS))).groupBy("c").count().collect()}
     prior = {c: 50.0 if c in _LOWER else 2.0 for c in _SYMBOLS}
     total = sum(seen.values()) + sum(prior.values())
@@ -139,21 +173,14 @@ def ordinary(tested: DataFrame) -> dict[str, float]:
 
 
 def findings(tested: DataFrame) -> DataFrame:
-    """The rows of `battery` that are found to be secrets, under the bound on false findings."""
-    logs = F.create_map(*[x for c, q in ordinary(tested).items() for x in (F.lit(c), F.lit(math.log(q)))])
-    own = tested.where(F.col("random") > ALPHA)
-    own = own.withColumn("log_ratio", -F.col("n") * F.log("size") - F.aggregate(F.split("body", ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(logs, c), F.lit(0.0))))
-    total = own.agg(F.count(F.lit(1)).alias("m"), F.avg("n").alias("n")).first()
-    if not total["m"]:
-        return own.where(F.lit(False))
-    # Weights by length have mean 1, so the weighted procedure keeps its bound.
-    log10_p = F.least(F.lit(0.0), -F.col("log_ratio") / math.log(10) - F.log10(F.col("n") / total["n"]))
-    own = own.withColumn("bin", F.least(F.lit(_LAST), F.floor(-log10_p * _PER_TEN)).cast("int"))
-    counts = own.groupBy("bin").agg(F.count(F.lit(1)).alias("many"))  # at most _LAST + 1 rows, whatever the input
-    rank = F.sum("many").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("rank", rank).where(F.pow(F.lit(10.0), -F.col("bin") / _PER_TEN) * total["m"] <= FDR * F.col("rank"))
-    least = ranked.agg(F.min("bin")).first()[0]
-    return own.where(F.col("bin") >= least) if least is not None else own.where(F.lit(False))
+    """The rows of `battery` that are found to be secrets: not rejected as random, and far from ordinary text."""
+    binned, least = rejected(tested, F.log10("random"))
+    plain = binned.where(F.col("bin").isNull() | (F.col("bin") >= least))
+    logs = F.create_map(*[x for c, q in ordinary(plain).items() for x in (F.lit(c), F.lit(math.log(q)))])
+    own = binned.where(F.col("bin") < least).drop("bin")
+    log_ratio = -F.col("n") * F.log("size") - F.aggregate(F.split("body", ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(logs, c), F.lit(0.0)))
+    binned, least = rejected(own, -log_ratio / math.log(10))
+    return binned.where(F.col("bin") >= least).drop("bin")
 
 
 def scan(docs: DataFrame) -> DataFrame:
