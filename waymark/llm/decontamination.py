@@ -180,10 +180,11 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def blocks(made: DataFrame, most: int = MAX_PATTERN_BYTES) -> list[DataFrame]:
-    """The windows, cut by hash into as many parts as keep each under `most` bytes; a part's size is checked."""
+    """The windows with their items, cut by a hash of both into as many parts as keep each under `most` bytes, so that
+    a window of very many items is cut, too; a part's size is checked."""
     total = made.agg(F.sum(F.length("window") + 64)).first()[0] or 0
     parts = max(1, -(-2 * total // most)) if total > most else 1
-    return [made.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k) if parts > 1 else made for k in range(parts)]
+    return [made.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)) == k) if parts > 1 else made for k in range(parts)]
 
 
 def held(part: DataFrame, most: int = MAX_PATTERN_BYTES) -> Patterns:
@@ -204,6 +205,7 @@ def digest(items: set[int]) -> str:
 def search(docs: DataFrame, items: DataFrame, width: int = WINDOW, most: int = MAX_PATTERN_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
     spark = docs.sparkSession
+    work.prepare(spark)
     parts = blocks(windows(items, width), most)
     if len(parts) == 1:
         patterns = spark.sparkContext.broadcast(held(parts[0], most))
@@ -280,6 +282,7 @@ def _united(numbered: DataFrame, spans: list[DataFrame]) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, in which no window of any item occurs. One block: one pass over the texts."""
     spark = docs.sparkSession
+    work.prepare(spark)
     for part in blocks(windows(items, width)):
         patterns = spark.sparkContext.broadcast(held(part))
 

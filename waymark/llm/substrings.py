@@ -345,6 +345,7 @@ def removed(cut: DataFrame, found: DataFrame, diverse) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (removed spans, in bytes) of every row."""
     spark = docs.sparkSession
+    work.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     doubled = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if doubled:

@@ -39,6 +39,7 @@ BLOCKS_PER_TASK = 16
 def write(docs: DataFrame, vocabulary: str = encoding.VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
     """Encode `docs` into flat files, one for each task. Returns uri, file_no, doc_no, doc_id: which document was
     written where, as a check on the scan; the files themselves hold ids alone."""
+    work.prepare(docs.sparkSession)
     path, root = encoding.vocabulary(vocabulary), work.place(docs.sparkSession, "flat")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +64,7 @@ def write(docs: DataFrame, vocabulary: str = encoding.VOCABULARY, separator: int
 
 def scan(files: DataFrame, separator: int = SEPARATOR, width: np.dtype = WIDTH, block: int = BLOCK) -> DataFrame:
     """uri, doc_no, start, n_tokens, terminated for every document of the files in `files.uri`; start counts ids."""
+    work.prepare(files.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
