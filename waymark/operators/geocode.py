@@ -88,8 +88,9 @@ def matches(terms: DataFrame, index: Index, fields: dict[str, float], fuzzy: boo
     known = written(known.where("sure > 0"))
     boost = F.create_map(*[x for f, b in fields.items() for x in (F.lit(f), F.lit(b))])
     own = index.weights.where(F.col("field").isin(*fields)).withColumnRenamed("token", "match")
-    own = own.join(sized(known.select("match").distinct()), "match", "left_semi")
-    met = terms.join(known.hint("merge"), "token").join(own.hint("merge"), "match")
+    # Queries are few beside postings: where their number allows it, postings are not moved to meet them, and what
+    # they leave is dealt once, for all sums that follow.
+    met = own.join(sized(terms.join(known.hint("merge"), "token")), "match").repartition("query_id", "_id")
     each = F.max(F.col("weight") * F.col("sure") * F.element_at(boost, F.col("field")))
     return met.groupBy("query_id", "_id", "term", "n", "field", "token").agg(each.alias("weight"))
 
@@ -114,8 +115,7 @@ def prefix_clause(queries: DataFrame, tokens: str, index: Index, fields: dict[st
     known = written(search.prefix_tokens(last, index.tokens))
     boost = F.create_map(*[x for f, b in fields.items() for x in (F.lit(f), F.lit(b))])
     own = index.weights.where(F.col("field").isin(*fields)).select("_id", "field", F.col("token").alias("match"))
-    own = own.join(sized(known.select("match").distinct()), "match", "left_semi")
-    ends = last.join(known.hint("merge"), "token").select("query_id", "term", "match").join(own.hint("merge"), "match")
+    ends = own.join(sized(last.join(known.hint("merge"), "token").select("query_id", "term", "match")), "match").repartition("query_id", "_id")
     ends = ends.select("query_id", "_id", "term", "field").distinct().withColumn("weight", F.element_at(boost, F.col("field")))
     return met.unionByName(ends).groupBy("query_id", "_id").agg(F.sum("weight").alias("score"))
 
@@ -158,7 +158,7 @@ def by_category(queries: DataFrame, index: Index, mode: str) -> DataFrame:
     right = F.concat(tag("c:", every), tag("g:", _held("intent_groups")), tag("t:", _held("tags")), tag("w:", F.concat(own("category_aliases"), own("category_terms"))))
     asked = queries.select("query_id", F.explode(F.array_distinct(left)).alias("value"))
     known = index.docs.select("_id", F.explode(F.array_distinct(right)).alias("value"))
-    return asked.join(known.hint("merge"), "value").select("query_id", "_id").distinct()
+    return known.join(sized(asked), "value").select("query_id", "_id").distinct()
 
 
 def _filtered(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _hits(q: DataFrame, index: Index, mode: str) -> DataFrame:
     met = search.conjunction(q, [(has_place, place), (has_text, words)])
     alone = by_category(q.where(has_category & ~has_place & ~has_text), index, mode).withColumn("score", F.lit(0.0))
     met = written(met.unionByName(alone.select(*met.columns)))
-    hits = met.join(index.docs.withColumnsRenamed(_OF_DOCUMENT).hint("merge"), "_id").join(q.hint("merge"), "query_id")
+    hits = met.join(sized(index.docs.withColumnsRenamed(_OF_DOCUMENT)), "_id").join(sized(q), "query_id")
     hits = _filtered(hits, q).withColumn("category_score", F.when(has_category, category_score(mode)).otherwise(0.0))
     hits = hits.where(~has_category | (F.col("category_score") > 0)).withColumn("text_score", F.col("score") + F.col("category_score"))
     if mode == "search":
@@ -276,7 +276,7 @@ def structured(queries: DataFrame, index: Index, size: int | Column = 10) -> Dat
         for c in names:
             bare = bare & ~has(c)
         musts.append((bare, text_clause(one(queries.where(bare), "other"), "ts", index, PLAIN_FIELDS, fuzzy=False)))
-    hits = search.conjunction(queries, musts).join(index.docs.hint("merge"), "_id").join(queries.drop(*[c for c in queries.columns if c in DOCUMENT]).hint("merge"), "query_id")
+    hits = search.conjunction(queries, musts).join(sized(index.docs), "_id").join(sized(queries.drop(*[c for c in queries.columns if c in DOCUMENT])), "query_id")
     kind = F.when(has("housenumber") & has("street") & has("locality"), "exact_address").when(has("street"), "street_only").when(has("locality"), "locality_match").otherwise("partial_match")
     flags = written(queries.select("query_id", kind.alias("match_type")))
     hits = _filtered(hits, queries).join(flags.hint("merge"), "query_id").withColumn("confidence", scalars.match_confidence(F.col("match_type")))

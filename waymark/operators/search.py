@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.store import sized
 
 K1, B = 1.2, 0.75
 LATER_TERMS = 0.65
@@ -166,10 +167,10 @@ def conjunction(queries: DataFrame, musts: list[tuple[Column, DataFrame]], id_:
     need = queries.select("query_id", reduce(lambda a, b: a + b, flags).alias("need"), *[has.alias(f"has{k}") for k, (has, _) in enumerate(musts)])
     out = None
     for k, (_, scores) in enumerate(musts):
-        one = scores.join(need.where(F.col(f"has{k}")).select("query_id").hint("merge"), "query_id", "left_semi").select("query_id", id_, "score")
+        one = scores.join(sized(need.where(F.col(f"has{k}")).select("query_id")), "query_id", "left_semi").select("query_id", id_, "score")
         out = one if out is None else out.unionByName(one)
     summed = out.groupBy("query_id", id_).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("met"))
-    return summed.join(need.select("query_id", "need").hint("merge"), "query_id").where(F.col("met") == F.col("need")).drop("met", "need")
+    return summed.join(sized(need.select("query_id", "need")), "query_id").where(F.col("met") == F.col("need")).drop("met", "need")
 
 
 def list_filter(column: Column, values: str, is_array: bool = False) -> Column:
