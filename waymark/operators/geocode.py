@@ -98,10 +98,14 @@ def matches(terms: DataFrame, index: Index, fields: dict[str, float], fuzzy: boo
 def text_clause(queries: DataFrame, tokens: str, index: Index, fields: dict[str, float], operator: str = "or", later: float = search.LATER_TERMS, fuzzy: bool = True) -> DataFrame:
     """query_id, _id, score: of each term the best field's sum of tokens, later terms by `later`; with "and" a field
     holds all tokens of a term, in some spelling."""
-    met = matches(search.terms(queries, tokens), index, fields, fuzzy)
+    # Equal terms of several queries are looked up once.
+    each = queries.select("query_id", F.posexplode(tokens).alias("term", "ts")).withColumn("key", F.array_join("ts", " "))
+    once = each.groupBy(F.col("key").alias("query_id")).agg(F.array(F.first("ts")).alias("tt"))
+    met = matches(search.terms(once, "tt"), index, fields, fuzzy)
     per = met.groupBy("query_id", "_id", "term", "n", "field").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("found"))
     per = per.where(F.col("found") == F.col("n")) if operator == "and" else per
-    best = per.groupBy("query_id", "_id", "term").agg(F.max("s").alias("s"))
+    best = per.groupBy("query_id", "_id").agg(F.max("s").alias("s")).withColumnRenamed("query_id", "key")
+    best = best.join(sized(each.select("query_id", "term", "key")), "key")
     return best.groupBy("query_id", "_id").agg(F.sum(F.col("s") * F.when(F.col("term") == 0, 1.0).otherwise(later)).alias("score"))
 
 
