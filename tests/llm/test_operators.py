@@ -277,6 +277,7 @@ def test_classifiers_without_labels(spark, docs, empty):
     for module in (toxicity, quality):
         assert len({r.score for r in module.score(docs, module.fitted(docs, none)).collect()}) == 1
         assert module.score(empty, module.fitted(empty, none)).count() == 0
+    assert toxicity.clean(docs, toxicity.fitted(docs, none)).count() == docs.count()
 
 
 def test_held_out_rows_teach_nothing(spark):
