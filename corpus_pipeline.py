@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of documents.
+
+Defined cases are those of the operators: a null or empty text passes toxicity by its score, is no near copy, leaks
+nothing and is mixed with 0 words; rows of one doc_id are one document after near-duplicates, null doc_ids stay; empty
+tables give empty results; without labels no document is rejected unless most are toxic; extra columns pass through.
 """
 
 from __future__ import annotations
