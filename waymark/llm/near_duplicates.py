@@ -262,7 +262,8 @@ def candidates(open_: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     # In a task of two blocks the second one is the right side; in one of a block with itself it is both.
     right = F.when(F.col("main"), F.lit(True)).otherwise((F.col("block") == F.col("task.x")) & (F.col("task.r") != F.col("task.x")))
     member = F.struct("node", "label", right.alias("right"), "digest", "mass")
-    tasks = rows.groupBy("key", "task").agg(F.collect_list(member).alias("m"))
+    # Dealt anew: rows lie by key after the join, and all tasks of a large group would stay in one place.
+    tasks = rows.repartition("key", "task").groupBy("key", "task").agg(F.collect_list(member).alias("m"))
     tasks = tasks.select("key", F.col("task.r").alias("r"), F.col("task.x").alias("x"), *[F.col(f"m.{c}").alias(c) for c in ("node", "label", "right", "digest", "mass")])
     names = ["key", "r", "x", "node", "label", "right", "other"]
 
