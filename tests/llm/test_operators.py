@@ -350,6 +350,57 @@ def test_pipeline(spark, tmp_path):
     assert {tuple(r) for r in now.collect()} == {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
 
+def _stages(spark, docs, folder):
+    """The rows that each stage keeps, by name; columns of documents are kept until the last one."""
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = work.written(stage(spark, docs, str(folder)), name)
+        assert name == "token_files" or docs.columns == columns
+        kept[name] = docs.collect()
+    return kept
+
+
+def test_pipeline_of_repeated_rows_and_clashing_columns(spark, doubled, tmp_path):
+    """Without labels all pass toxicity; one of each class and rows without doc_id stay; item 1's documents go."""
+    names = ["__row", "__copy", "__keep", "__nth", "class_id"]
+    docs = doubled.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, OTHER), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = _stages(spark, docs, tmp_path)
+    count = Counter(r.doc_id for r in docs.collect())
+    assert Counter(r.doc_id for r in kept["toxicity"]) == count
+    near = Counter(r.doc_id for r in kept["near_duplicates"])
+    assert near[None] == count[None] and max(n for i, n in near.items() if i is not None) == 1
+    assert {1, 4, 5, 6, 8, 10} <= set(near) and not {2, 3} & set(near)
+    clean = kept["decontamination"]
+    assert not any(OTHER in (r.text or "") for r in clean) and {1, 5, 6, 8, 10} <= {r.doc_id for r in clean}
+    for r in kept["mixing"]:
+        assert tuple(r[n] for n in names) == tuple(range(len(names)))
+    assert len(kept["token_files"]) == len(kept["mixing"])
+
+
+def test_pipeline_of_empty_tables(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert all(rows == [] for rows in _stages(spark, empty, tmp_path).values())
+
+
+def test_substrings_of_long_texts(spark, monkeypatch):
+    """Texts of more than a block, one in another; passages that many texts hold; anchors dealt window by window."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 1 << 14)
+    monkeypatch.setattr(substrings, "FREQUENT", 3)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), 6))
+    long = " ".join(word() for _ in range(6000))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(1, long), (2, "before " + long[5000:25000] + " after"), (3, "ab" * 20_000), (4, "x" + "ab" * 300 + "y")]
+    rows += [(10 + i, f"{word()} {word()} {passage} {word()} {passage[i:]}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert _sorted(got) == _sorted(brute_removed(rows))
+
+
 @pytest.mark.parametrize("block, named", [(2048, 4), (7, 0)])
 def test_near_duplicates_of_a_template_family(spark, monkeypatch, block, named):
     """Pages of one template about 0.74 alike, some pairs of them at or over the threshold; copies and null ids beside
