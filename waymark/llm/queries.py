@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, near_duplicates, nearest, quality, secrets, substrings, token_counts, token_files, toxicity
+from . import decontamination, mixing, near_duplicates, nearest, packing, quality, secrets, substrings, token_counts, token_files, toxicity
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
         "op10_nearest": nearest.query,
+        "op13_packing": packing.query,
     }
 
 
