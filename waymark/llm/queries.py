@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lexical, mixing, near_duplicates, nearest, packing, quality, secrets, substrings, token_counts, token_files, toxicity
+from . import decontamination, lexical, mixing, near_duplicates, nearest, packing, quality, secrets, spelling, substrings, token_counts, token_files, toxicity
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": toxicity.query,
         "op9_mixing": mixing.query,
         "op10_nearest": nearest.query,
+        "op11_spelling": spelling.query,
         "op12_lexical": lexical.query,
         "op13_packing": packing.query,
     }
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_decontamination": sql.DECONTAMINATION,
         "op9_mixing": sql.MIXING,
+        "op11_spelling": sql.SPELLING,
         "op12_lexical": sql.LEXICAL,
     }

@@ -63,3 +63,34 @@ s AS (
 o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT * FROM o WHERE rank <= 50
 """
+
+SPELLING = r"""
+WITH t AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)::BIGINT ORDER BY i) AS crc
+  FROM range(256) AS r(i)),
+run AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)),
+d AS (SELECT doc_id, run, count(*)::BIGINT AS n FROM run WHERE length(run) >= 7 GROUP BY ALL),
+b AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS bytes FROM d),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(crc[xor(c, x) % 256 + 1], c // 256)), 4294967295) AS h FROM b, t),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INTEGER) || substring(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, k, substring(word, 1, k - 1) || substring(word, k + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS k FROM w)),
+pair AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT w.word, cut.word, cut.n FROM w JOIN cut ON cut.rest = w.word
+  UNION SELECT cut.word, w.word, w.n FROM w JOIN cut ON cut.rest = w.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, min({'n': -near_n, 'near': near}) AS best FROM pair GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.n >= 10 * w.n THEN best.near END AS form, CASE WHEN -best.n >= 10 * w.n THEN -best.n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+r AS (
+  WITH RECURSIVE c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+  SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN r ON r.word = f.word
+"""
