@@ -74,3 +74,14 @@ def lon_cells(lat: Column, radius_m: float, size: float) -> Column:
     """Cells to either side that a radius reaches at a latitude; a circle near a pole reaches all."""
     width = radius_m / (111000.0 * F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.9), F.abs(lat) + radius_m / 111000.0)))))
     return F.least(F.lit(math.ceil(360 / size)), F.ceil(width / size)).cast("long")
+
+
+def z_order(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """A number that is near for places near each other: the bits of both coordinates in turn."""
+    y = F.least(F.lit(2**bits - 1), F.floor((lat + 90) / 180 * 2**bits)).cast("long")
+    x = F.least(F.lit(2**bits - 1), F.floor((lon + 180) / 360 * 2**bits)).cast("long")
+    bit = lambda v, k: F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1).cast("long")), 2 * k)
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out + 2 * bit(y, k) + bit(x, k)
+    return out

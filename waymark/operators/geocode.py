@@ -7,6 +7,11 @@ q_lat, q_lon (focus), layers, sources, categories (arrays of strings), country,
 Clauses of a query that name tokens are joins on tokens. What only compares a document with its query (categories,
 boosts, filters) is computed on the hits that these leave; documents are looked up by category alone for queries that
 ask for nothing else.
+
+The best hits come in two steps. An index keeps documents in blocks of neighbours (by name, then by place), and for each block the largest weight of every token in every field and
+what its documents hold together. The same clauses on blocks instead of documents give upper bounds of scores. Each
+query's best blocks are scored first, document by document; then only those other blocks whose bound reaches the
+last of the hits found so far. Results are those of scoring every hit.
 """
 
 from __future__ import annotations
@@ -16,16 +21,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo, scalars
-from ..sources.store import sized, written
+from ..sources.store import sent, settled, written
 from . import intent, quality, rank, search, spatial
 
 # Fields of documents and their boosts, by clause.
 SEARCH_FIELDS = {
     "name.default": 5.0, "label": 4.0, "name.ar": 3.0, "name.en": 3.0, "name.ku": 2.0, "name.ckb": 2.0, "phrase.default": 3.0, "phrase.ar": 2.0, "phrase.en": 2.0,
     "parent.locality": 2.0, "locality": 2.0, "parent.region": 1.5, "region": 1.5, "country": 1.0, "category": 2.0, "categories": 2.0, "category_ids": 2.0,
-    "category_terms": 4.0, "intent_groups": 2.0, "category_aliases": 3.0, "source_tags.amenity": 2.0, "source_tags.shop": 2.0, "source_tags.tourism": 2.0, "source_tags.leisure": 2.0, "source_tags.office": 2.0,
+    "names.*": 3.0, "category_terms": 4.0, "intent_groups": 2.0, "category_aliases": 3.0, "source_tags.amenity": 2.0, "source_tags.shop": 2.0, "source_tags.tourism": 2.0, "source_tags.leisure": 2.0, "source_tags.office": 2.0,
 }
 PLACE_FIELDS = {
     "parent.locality": 4.0, "locality": 4.0, "parent.localadmin": 3.0, "localadmin": 3.0, "parent.region": 3.0, "region": 3.0, "parent.county": 2.0, "county": 2.0,
@@ -55,73 +61,178 @@ DOCUMENT = {
 }
 
 
+#: Documents of a block; blocks that are scored first, beside those that the hits fill; documents that are sent to all
+#: tasks at most.
+BLOCK, LEAD, DOCS = 32, 7, 50_000
+#: What documents and blocks hold alike, so that clauses, filters and tests are the same expressions on both: arrays of a
+#: document's own values, or of all values in a block. `phrase_sets` are the token arrays of each phrase field.
+HELD = {
+    "names": "array<string>", "layers_held": "array<string>", "sources_held": "array<string>", "own_category": "array<string>", "doc_categories": "array<string>", "doc_category_ids": "array<string>", "doc_intent_groups": "array<string>",
+    "tags": "array<string>", "countries": "array<string>", "alias_tokens": "array<string>", "term_tokens": "array<string>",
+}
+
 @dataclass(frozen=True)
 class Index:
-    """docs: DOCUMENT, and `phrases`, a map of fields to their tokens in order; weights: _id, field, token, weight (BM25
-    without boosts); tokens: the distinct tokens."""
+    """docs: DOCUMENT, HELD, their box, `block` and `phrase_sets`; weights: _id, block, field, token, weight (BM25 without
+    boosts); tokens: the distinct tokens; blocks and tops: the same of blocks, with the block as _id."""
 
     docs: DataFrame
     weights: DataFrame
     tokens: DataFrame
+    blocks: DataFrame
+    tops: DataFrame
+    size: int
+
+    def upper(self) -> Index:
+        """The index of blocks: what is scored on it bounds the scores of the documents."""
+        return Index(self.blocks, self.tops, self.tokens, self.blocks, self.tops, self.size // BLOCK + 1)
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
 
+def _one(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.array(value)).otherwise(_none())
 
-def build(docs: DataFrame, fields: dict[str, Column]) -> Index:
+
+def build(docs: DataFrame, fields: dict[str, Column], block: int = BLOCK) -> Index:
     """An index of `docs`; `fields` are arrays of tokens under the names of the fields above. Written once."""
     own = [F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in DOCUMENT.items()]
-    phrases = [x for name, tokens in fields.items() if name in PHRASE_FIELDS for x in (F.lit(name), tokens)]
-    phrases += [F.lit("category_terms"), fields["category_terms"]] if "category_terms" in fields else []
-    none = F.create_map().cast("map<string,array<string>>")
-    kept = written(docs.select(*own, (F.create_map(*phrases) if phrases else none).alias("phrases")))
-    weights = written(search.weighted(search.postings(docs, fields), search.field_statistics(docs, fields)).select("_id", "field", "token", "weight"))
-    return Index(kept, weights, written(weights.select("token").distinct()))
-
-
-def matches(terms: DataFrame, index: Index, fields: dict[str, float], fuzzy: bool = True) -> DataFrame:
-    """terms (query_id, term, n, token) with _id, field and weight: each document's best spelling of the token in the
-    field, boosted; a spelling counts less by its edits' share of the shorter word."""
-    asked = terms.select("token").distinct()
-    if fuzzy:
-        known = search.fuzzy_tokens(asked, index.tokens)
-        known = known.select("token", "match", (1 - F.col("edits") / F.least(F.length("token"), F.length("match"))).alias("sure"))
+    phrases = [x for name, tokens in fields.items() if name in PHRASE_FIELDS for x in (F.lit(name), F.array(tokens))]
+    sets = F.create_map(*phrases) if phrases else F.create_map().cast("map<string,array<array<string>>>")
+    kept = docs.select(*own, sets.alias("phrase_sets"), *[tokens.alias(f"__f{k}") for k, tokens in enumerate(fields.values())])
+    at = {name: F.col(f"__f{k}") for k, name in enumerate(fields)}
+    word = lambda f: F.coalesce(at[f], _none()) if f in at else _none()
+    fixed = rank.factor(F.col("popularity"), rank.POPULARITY_FACTOR) + rank.factor(F.col("importance"), rank.IMPORTANCE_FACTOR) + rank.layer_boost(F.col("layer"))
+    held = {
+        "names": _one(F.lower("name")), "layers_held": _one(F.col("layer")), "sources_held": _one(F.col("source")), "own_category": _one(F.col("category")), "doc_categories": _held("categories"), "doc_category_ids": _held("category_ids"), "doc_intent_groups": _held("intent_groups"),
+        "tags": _held("tags"), "countries": F.array_union(_one(F.col("country_a")), _held("parent_codes")), "alias_tokens": word("category_aliases"), "term_tokens": word("category_terms"),
+    }
+    placed = geo.finite(F.col("lat"), F.col("lon"))
+    kept = kept.withColumns(held).withColumns({"fixed": fixed, "has_place": placed, "no_place": ~placed, "middle_lat": F.when(placed, F.col("lat")), "middle_lon": F.when(placed, F.col("lon")), "reach": F.lit(0.0)})
+    # Neighbours: equal names, near each other on a curve that fills the map.
+    order = [F.array_join(word("name.default"), " "), geo.z_order(F.col("middle_lat"), F.col("middle_lon")), F.desc("fixed"), F.col("_id")]
+    dealt = kept.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(dealt.withColumn("block", F.expr(f"monotonically_increasing_id() div {block}")))  # numbers go on inside a partition
+    post = search.postings(kept.withColumn("_id", F.struct("_id", "block")), at)
+    weights = search.weighted(post, search.field_statistics(kept, at)).select("_id._id", "_id.block", "field", "token", "weight")
+    weights = written(weights.repartitionByRange("block"))
+    tops = written(weights.groupBy("block", "field", "token").agg(F.max("weight").alias("weight")).withColumn("_id", F.col("block")))
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    low, high = [(F.min(c), F.max(c)) for c in ("middle_lat", "middle_lon")]
+    middle = [(a + b) / 2 for a, b in (low, high)]
+    # Far corners of a small box; a box of more than ten degrees reaches everywhere.
+    corner = lambda lat, lon: geo.haversine(F.col("middle_lat"), F.col("middle_lon"), lat, lon)
+    boxes = kept.groupBy("block").agg(
+        *[every(c) for c in HELD], F.max("fixed").alias("fixed"), F.max("has_place").alias("has_place"), F.max("no_place").alias("no_place"), middle[0].alias("middle_lat"), middle[1].alias("middle_lon"), low[0].alias("lat_low"), low[1].alias("lat_high"), high[0].alias("lon_low"), high[1].alias("lon_high"),
+        *[F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.try_element_at("phrase_sets", F.lit(f)), F.array().cast("array<array<string>>"))))).alias(f"__p{k}") for k, f in enumerate(PHRASE_FIELDS)],
+    )
+    far = F.greatest(*[corner(F.col(a), F.col(b)) for a in ("lat_low", "lat_high") for b in ("lon_low", "lon_high")]) * 1.01 + 1.0
+    small = (F.col("lat_high") - F.col("lat_low") <= 10) & (F.col("lon_high") - F.col("lon_low") <= 10) & (F.abs("middle_lat") < 80)
+    boxes = boxes.withColumn("reach", F.when(small, far).otherwise(float("inf"))).withColumn("phrase_sets", F.create_map(*[x for k, f in enumerate(PHRASE_FIELDS) for x in (F.lit(f), F.col(f"__p{k}"))]))
+    boxes = written(boxes.withColumn("_id", F.col("block")).drop(*[f"__p{k}" for k in range(len(PHRASE_FIELDS))]))
+    kept = kept.drop(*[c for c in kept.columns if c.startswith("__f")]).withColumns({"lat_low": F.col("middle_lat"), "lat_high": F.col("middle_lat"), "lon_low": F.col("middle_lon"), "lon_high": F.col("middle_lon")})
+    return Index(kept, weights, written(weights.select("token").distinct()), boxes, tops, kept.count())
+
+
+def spellings(tokens: DataFrame, index: Index, fuzzy: bool = True) -> DataFrame:
+    """token, match, sure: the index's tokens within the edits that each distinct token allows; a spelling counts less by
+    its edits' share of the shorter word."""
+    if not fuzzy:
+        return tokens.select("token", F.col("token").alias("match"), F.lit(1.0).alias("sure"))
+    known = search.fuzzy_tokens(tokens, index.tokens)
+    return known.select("token", "match", (1 - F.col("edits") / F.least(F.length("token"), F.length("match"))).alias("sure")).where("sure > 0")
+
+
+@dataclass(frozen=True)
+class _Terms:
+    """What queries ask for by tokens, written once. given: query_id, clause, key, factor (equal terms have one key and are
+    looked up once); words: clause, key, n, token, match, sure; ends: clause, key, match of terms whose last token is
+    a prefix; most: rows of words and ends that a query has at most."""
+
+    given: DataFrame
+    words: DataFrame
+    ends: DataFrame | None
+    counts: tuple[int, int, int]
+    most: int
+    fields: dict[str, dict[str, float]]
+    operator: str
+
+
+def _terms(given: DataFrame, index: Index, fields: dict[str, dict[str, float]], operator: str, fuzzy: bool = True) -> _Terms:
+    """The lookups for given terms (query_id, clause, ts, factor). operator: "and", "or" or "prefix"."""
+    given = written(given.where(F.size("ts") > 0).withColumn("key", F.array_join("ts", " ")))
+    prefix = operator == "prefix"
+    ts = F.array_distinct(F.slice("ts", 1, F.size("ts") - 1) if prefix else F.col("ts"))
+    once = given.groupBy("clause", "key").agg(F.first("ts").alias("ts"))
+    each = once.select("clause", "key", F.size(ts).alias("n"), F.explode(ts).alias("token"))
+    known = settled(spellings(settled(each.select("token").distinct()), index, fuzzy))
+    words = written(each.join(known, "token"))
+    ends = None
+    if prefix:
+        last = once.select("clause", "key", F.element_at("ts", -1).alias("token"))
+        begun = settled(search.prefix_tokens(settled(last.select("token").distinct()), index.tokens))
+        ends = written(last.join(begun, "token").select("clause", "key", "match"))
+    per = words.groupBy("clause", "key").count() if ends is None else words.select("clause", "key").unionByName(ends.select("clause", "key")).groupBy("clause", "key").count()
+    n, most = per.agg(F.sum("count"), F.max("count")).first()
+    counts = (given.count(), n or 0, n or 0)
+    return _Terms(given, words, ends, counts, most or 0, fields, operator)
+
+
+def _boost(fields: dict[str, dict[str, float]]) -> Column:
+    """A field's boost in a clause, null where it is none of its fields; `names.*` stands for the names in all languages
+    that have no entry of their own."""
+    entries = [x for clause, own in fields.items() for f, b in own.items() for x in (F.lit(f"{clause}/{f}"), F.lit(b))]
+    boost = F.try_element_at(F.create_map(*entries), F.concat("clause", F.lit("/"), "field"))
+    for clause, own in fields.items():
+        if "names.*" in own:
+            boost = F.coalesce(boost, F.when((F.col("clause") == clause) & F.startswith("field", F.lit("names.")), own["names.*"]))
+    return boost
+
+
+def _clauses(terms: _Terms, index: Index, within: DataFrame | None = None, rows: int = 0) -> DataFrame:
+    """query_id, _id, clause, score (and block): what each clause of each query is worth to the documents that meet it;
+    `within` (query_id, block) are the only blocks in which they are looked for, `rows` of them."""
+    at = [] if within is None else ["block"]
+    key, names = ["clause", "key", *at], {f for own in terms.fields.values() for f in own}
+    given, own = terms.given.drop("ts"), index.weights.withColumnRenamed("token", "match")
+    wild = F.startswith("field", F.lit("names.")) if "names.*" in names else F.lit(False)
+    own = own.where(F.col("field").isin(*names) | wild)
+    given = sent(given, terms.counts[0])
+    words, ends = terms.words, terms.ends
+    # Terms are few beside postings: where their number allows it, postings are not moved to meet them.
+    if within is None:
+        words, ends = sent(words, terms.counts[1]), None if ends is None else sent(ends, terms.counts[2])
+    else:
+        given = written(within.join(given, "query_id"))
+        there = given.select(*key).distinct()
+        words, ends = (None if t is None else sent(there.join(sent(t, terms.counts[1]), ["clause", "key"]), rows * terms.most) for t in (words, ends))
+        given = sent(given, rows * 8)
+    boost = _boost(terms.fields)
+    on = ["match", *at]
+    met = own.join(words, on).select(*key, "n", "_id", "field", "token", (F.col("weight") * F.col("sure") * boost).alias("weight")).where("weight IS NOT NULL")
+    # One exchange serves all the sums that follow.
+    met = met.repartition("key", "_id").groupBy(*key, "n", "_id", "field", "token").agg(F.max("weight").alias("weight"))
+    if terms.operator == "prefix":
+        begun = own.select("_id", "field", *on).join(ends, on).select(*key, "_id", "field").repartition("key", "_id").distinct()
+        begun = begun.withColumn("weight", boost).where("weight IS NOT NULL")
+        best = met.select(*key, "_id", "weight").unionByName(begun.select(*key, "_id", "weight")).groupBy(*key, "_id").agg(F.sum("weight").alias("s"))
     else:
-        known = asked.select("token", F.col("token").alias("match"), F.lit(1.0).alias("sure"))
-    known = written(known.where("sure > 0"))
-    boost = F.create_map(*[x for f, b in fields.items() for x in (F.lit(f), F.lit(b))])
-    own = index.weights.where(F.col("field").isin(*fields)).withColumnRenamed("token", "match")
-    # Queries are few beside postings: where their number allows it, postings are not moved to meet them, and what
-    # they leave is dealt once, for all sums that follow.
-    met = own.join(sized(terms.join(known.hint("merge"), "token")), "match").repartition("query_id", "_id")
-    each = F.max(F.col("weight") * F.col("sure") * F.element_at(boost, F.col("field")))
-    return met.groupBy("query_id", "_id", "term", "n", "field", "token").agg(each.alias("weight"))
+        per = met.groupBy(*key, "n", "_id", "field").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("found"))
+        per = per.where(F.col("found") == F.col("n")) if terms.operator == "and" else per
+        best = per.groupBy(*key, "_id").agg(F.max("s").alias("s"))
+    return best.join(given, key).select("query_id", *at, "clause", "_id", (F.col("s") * F.col("factor")).alias("score"))
 
 
 def text_clause(queries: DataFrame, tokens: str, index: Index, fields: dict[str, float], operator: str = "or", later: float = search.LATER_TERMS, fuzzy: bool = True) -> DataFrame:
     """query_id, _id, score: of each term the best field's sum of tokens, later terms by `later`; with "and" a field
-    holds all tokens of a term, in some spelling."""
-    # Equal terms of several queries are looked up once.
-    each = queries.select("query_id", F.posexplode(tokens).alias("term", "ts")).withColumn("key", F.array_join("ts", " "))
-    once = each.groupBy(F.col("key").alias("query_id")).agg(F.array(F.first("ts")).alias("tt"))
-    met = matches(search.terms(once, "tt"), index, fields, fuzzy)
-    per = met.groupBy("query_id", "_id", "term", "n", "field").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("found"))
-    per = per.where(F.col("found") == F.col("n")) if operator == "and" else per
-    best = per.groupBy("query_id", "_id").agg(F.max("s").alias("s")).withColumnRenamed("query_id", "key")
-    best = best.join(sized(each.select("query_id", "term", "key")), "key")
-    return best.groupBy("query_id", "_id").agg(F.sum(F.col("s") * F.when(F.col("term") == 0, 1.0).otherwise(later)).alias("score"))
-
-
-def prefix_clause(queries: DataFrame, tokens: str, index: Index, fields: dict[str, float]) -> DataFrame:
-    """query_id, _id, score for an array of terms: tokens but the last in any spelling, the last as a prefix, one of
-    them at least; a prefix is worth its field's boost. Fields and terms add up."""
-    all_terms = queries.select("query_id", F.posexplode(tokens).alias("term", "ts")).where(F.size("ts") > 0)
-    whole = all_terms.select("query_id", "term", F.lit(0).alias("n"), F.explode(F.array_distinct(F.slice("ts", 1, F.size("ts") - 1))).alias("token"))
-    met = matches(whole, index, fields).select("query_id", "_id", "term", "field", "weight")
-    last = all_terms.select("query_id", "term", F.element_at("ts", -1).alias("token"))
-    known = written(search.prefix_tokens(last, index.tokens))
-    boost = F.create_map(*[x for f, b in fields.items() for x in (F.lit(f), F.lit(b))])
-    own = index.weights.where(F.col("field").isin(*fields)).select("_id", "field", F.col("token").alias("match"))
-    ends = own.join(sized(last.join(known.hint("merge"), "token").select("query_id", "term", "match")), "match").repartition("query_id", "_id")
-    ends = ends.select("query_id", "_id", "term", "field").distinct().withColumn("weight", F.element_at(boost, F.col("field")))
-    return met.unionByName(ends).groupBy("query_id", "_id").agg(F.sum("weight").alias("score"))
+    holds all tokens of a term, in some spelling; with "prefix" tokens but the last in any spelling, the last as a prefix,
+    one of them at least, and a prefix is worth its field's boost, fields and terms add up."""
+    factor = F.when(F.col("term") == 0, 1.0).otherwise(1.0 if operator == "prefix" else later)
+    given = queries.select("query_id", F.posexplode(tokens).alias("term", "ts")).select("query_id", F.lit("text").alias("clause"), "ts", factor.alias("factor"))
+    found = _clauses(_terms(given, index, {"text": fields}, operator, fuzzy), index)
+    return found.groupBy("query_id", "_id").agg(F.sum("score").alias("score"))
 
 
 def phrase_prefix(field: Column, tokens: Column) -> Column:
@@ -143,100 +254,192 @@ def _shared(a: Column, b: Column) -> Column:
 def category_score(mode: str) -> Column:
     """What a hit's categories are worth to its query, on columns of both: 0 where none of the clause's parts is met."""
     ids, other, groups, tags, aliases, terms, most = CATEGORY_WEIGHTS[mode]
-    own = lambda f: F.coalesce(F.try_element_at("phrases", F.lit(f)), F.array().cast("array<string>"))
     words = _held("query_terms") if most is None else F.slice(_held("query_terms"), 1, most)
     words = F.array_distinct(F.flatten(F.transform(words, lambda t: F.split(t, " "))))
     return (
-        ids * _shared(_held("category_ids"), _held("doc_category_ids")) + other * _shared(_held("category_ids"), _held("doc_categories")) + other * F.array_contains(_held("category_ids"), F.coalesce("category", F.lit(""))).cast("double")
-        + groups * _shared(_held("intent_groups"), _held("doc_intent_groups")) + tags * _shared(_held("source_tags"), _held("tags")) + aliases * _shared(words, own("category_aliases")) + terms * _shared(words, own("category_terms"))
+        ids * _shared(_held("category_ids"), F.col("doc_category_ids")) + other * _shared(_held("category_ids"), F.col("doc_categories")) + other * _shared(_held("category_ids"), F.col("own_category"))
+        + groups * _shared(_held("intent_groups"), F.col("doc_intent_groups")) + tags * _shared(_held("source_tags"), F.col("tags")) + aliases * _shared(words, F.col("alias_tokens")) + terms * _shared(words, F.col("term_tokens"))
     )
 
 
-def by_category(queries: DataFrame, index: Index, mode: str) -> DataFrame:
-    """query_id, _id of the documents that meet some part of the category clause."""
+def by_category(queries: DataFrame, index: Index, mode: str, within: DataFrame | None = None) -> DataFrame:
+    """query_id, _id (and block) of the documents that meet some part of the category clause."""
     words = _held("query_terms") if CATEGORY_WEIGHTS[mode][-1] is None else F.slice(_held("query_terms"), 1, CATEGORY_WEIGHTS[mode][-1])
     tag = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
     left = F.concat(tag("c:", _held("category_ids")), tag("g:", _held("intent_groups")), tag("t:", _held("source_tags")), tag("w:", F.flatten(F.transform(words, lambda t: F.split(t, " ")))))
-    own = lambda f: F.coalesce(F.try_element_at("phrases", F.lit(f)), F.array().cast("array<string>"))
-    every = F.concat(_held("category_ids"), _held("categories"), F.when(F.col("category").isNotNull(), F.array("category")).otherwise(F.array().cast("array<string>")))
-    right = F.concat(tag("c:", every), tag("g:", _held("intent_groups")), tag("t:", _held("tags")), tag("w:", F.concat(own("category_aliases"), own("category_terms"))))
+    every = F.concat(F.col("doc_category_ids"), F.col("doc_categories"), F.col("own_category"))
+    right = F.concat(tag("c:", every), tag("g:", F.col("doc_intent_groups")), tag("t:", F.col("tags")), tag("w:", F.concat("alias_tokens", "term_tokens")))
+    on = [] if within is None else ["block"]
     asked = queries.select("query_id", F.explode(F.array_distinct(left)).alias("value"))
-    known = index.docs.select("_id", F.explode(F.array_distinct(right)).alias("value"))
-    return known.join(sized(asked), "value").select("query_id", "_id").distinct()
+    asked = asked if within is None else asked.join(within, "query_id")
+    known = index.docs.select("_id", *on, F.explode(F.array_distinct(right)).alias("value"))
+    return known.join(settled(asked), ["value", *on]).select("query_id", *on, "_id").distinct()
 
 
 def _filtered(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits that pass the filters which their queries have."""
+    """Hits that pass the filters which their queries have; of blocks, those of which a document may pass."""
     has = set(queries.columns)
-    for c, held in (("layers", F.col("layer")), ("sources", F.col("source")), ("wanted_categories", F.col("category"))):
+    for c, held in (("layers", "layers_held"), ("sources", "sources_held"), ("wanted_categories", "own_category")):
         if c in has:
-            hits = hits.where(F.col(c).isNull() | (F.size(c) == 0) | F.coalesce(F.array_contains(c, F.coalesce(held, F.lit(""))), F.lit(False)))
+            hits = hits.where(F.col(c).isNull() | (F.size(c) == 0) | F.coalesce(F.arrays_overlap(c, held), F.lit(False)))
     if "rect" in has:
-        hits = hits.where(F.col("rect").isNull() | F.coalesce(search.in_rect(F.col("lat"), F.col("lon"), F.col("rect")), F.lit(False)))
+        low_lon, low_lat, high_lon, high_lat = (F.col("rect")[c] for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
+        meets = (F.col("lon_high") >= low_lon) & (F.col("lon_low") <= high_lon) & (F.col("lat_high") >= low_lat) & (F.col("lat_low") <= high_lat)
+        hits = hits.where(F.col("rect").isNull() | ~geo.finite(low_lon, low_lat, high_lon, high_lat) | F.coalesce(meets, F.lit(False)))
     if "circle" in has:
-        hits = hits.where(F.col("circle").isNull() | F.coalesce(search.in_circle(F.col("lat"), F.col("lon"), F.col("circle")), F.lit(False)))
+        lat, lon, radius = (F.col("circle")[c] for c in ("lat", "lon", "radius"))
+        meets = geo.haversine(F.col("middle_lat"), F.col("middle_lon"), lat, lon) - F.col("reach") <= radius
+        hits = hits.where(F.col("circle").isNull() | ~geo.finite(lat, lon, radius) | F.coalesce(meets, F.lit(False)))
     if "country" in has:
-        hits = hits.where(F.col("country").isNull() | search.in_country(F.col("country_a"), _held("parent_codes"), F.col("country")))
+        wanted = F.upper(F.trim("country"))
+        hits = hits.where(F.col("country").isNull() | (wanted == "") | F.array_contains("countries", F.coalesce(wanted, F.lit(""))))
     return hits
 
 
-_OF_DOCUMENT = {"categories": "doc_categories", "category_ids": "doc_category_ids", "intent_groups": "doc_intent_groups"}
+_OF_DOCUMENT = ("categories", "category_ids", "intent_groups")
 
 
-def _hits(q: DataFrame, index: Index, mode: str) -> DataFrame:
-    """The hits of resolved queries with the columns of query and document, and text_score."""
-    has_category = (F.size("category_ids") > 0) | (F.size("intent_groups") > 0)
-    has_place, has_text = F.size("place_terms") > 0, F.size("texts") > 0
-    placed = q.where(has_place).withColumn("ts", F.transform("place_terms", lambda p: F.split(p, " ")))
-    worded = q.where(has_text).withColumn("ts", F.col("texts"))
-    if mode == "search":
-        place = text_clause(placed, "ts", index, PLACE_FIELDS, "and", later=1.0)
-        words = text_clause(worded, "ts", index, SEARCH_FIELDS, "and")
-    else:
-        place = prefix_clause(placed, "ts", index, PLACE_FIELDS)
-        words = prefix_clause(worded, "ts", index, AUTOCOMPLETE_FIELDS)
-    met = search.conjunction(q, [(has_place, place), (has_text, words)])
-    alone = by_category(q.where(has_category & ~has_place & ~has_text), index, mode).withColumn("score", F.lit(0.0))
-    met = written(met.unionByName(alone.select(*met.columns)))
-    hits = met.join(sized(index.docs.withColumnsRenamed(_OF_DOCUMENT)), "_id").join(sized(q), "query_id")
+@dataclass(frozen=True)
+class _Asked:
+    """Resolved queries, their number, their tokens, whether some ask for categories alone, and columns of their own."""
+
+    queries: DataFrame
+    n: int
+    terms: _Terms
+    alone: bool
+    extra: tuple[str, ...]
+
+
+def _unrepeated(queries: DataFrame) -> tuple[DataFrame, int]:
+    """Queries, written once, and their number; a null or repeated query_id is an error."""
+    queries = written(queries)
+    n, different = queries.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    if n != different:
+        raise ValueError(f"query_id: {n} queries have {different} different ids")
+    return queries, n
+
+
+def _has() -> tuple[Column, Column, Column]:
+    """Whether a resolved query asks for categories, a place, words."""
+    return (F.size("category_ids") > 0) | (F.size("intent_groups") > 0), F.size("place_terms") > 0, F.size("texts") > 0
+
+
+def _prepared(queries: DataFrame, index: Index, dims: tuple, mode: str) -> _Asked:
+    """Queries with what they ask for, written once."""
+    queries, n = _unrepeated(queries)
+    dim_term, dim_category, dim_place, *more = dims
+    found = intent.resolve(queries, dim_term, dim_category, dim_place, autocomplete=mode == "autocomplete", dim_tag=more[0] if more else None)
+    rest = F.filter(F.split("unmatched", " "), lambda t: t != "")
+    nothing = (F.size("category_ids") == 0) & (F.size("intent_groups") == 0) & (F.size("place_terms") == 0)
+    own = F.when(F.size(rest) > 0, F.array(rest))
+    whole = F.when(F.size("tokens") > 0, F.array("tokens")).otherwise(F.array().cast("array<array<string>>"))
+    own = F.coalesce(own, whole if mode == "autocomplete" else F.when(nothing, whole).otherwise(F.array().cast("array<array<string>>")))
+    renamed = queries.withColumnRenamed("categories", "wanted_categories") if "categories" in queries.columns else queries
+    extra = tuple(c for c in ("q_lat", "q_lon", "layers", "sources", "wanted_categories", "country", "rect", "circle", "size") if c in renamed.columns)
+    q = written(found.withColumn("texts", own).join(sent(renamed.select("query_id", *extra), n), "query_id"))
+    clause = lambda name, values, split: F.transform(values, lambda t: F.struct(F.lit(name).alias("clause"), (F.split(t, " ") if split else t).alias("ts")))
+    given = q.select("query_id", F.explode(F.concat(clause("place", F.col("place_terms"), True), clause("words", F.col("texts"), False))).alias("t"))
+    fields, operator = ({"place": PLACE_FIELDS, "words": SEARCH_FIELDS}, "and") if mode == "search" else ({"place": PLACE_FIELDS, "words": AUTOCOMPLETE_FIELDS}, "prefix")
+    terms = _terms(given.select("query_id", "t.*", F.lit(1.0).alias("factor")), index, fields, operator)
+    category, place, text = _has()
+    return _Asked(q, n, terms, not q.where(category & ~place & ~text).isEmpty(), extra)
+
+
+def _hits(asked: _Asked, index: Index, mode: str, within: DataFrame | None = None, rows: int = 0) -> DataFrame:
+    """The hits of resolved queries with the columns of query and document, and text_score; `within` (query_id, block) names
+    the blocks in which hits are looked for."""
+    q = asked.queries
+    on = ["query_id"] if within is None else ["query_id", "block"]
+    has_category, has_place, has_text = _has()
+    bit = F.when(F.col("clause") == "place", 1).otherwise(2)
+    met = _clauses(asked.terms, index, within, rows).select(*on, "_id", "score", bit.alias("met"))
+    if asked.alone:
+        alone = by_category(q.where(has_category & ~has_place & ~has_text), index, mode, within)
+        met = met.unionByName(alone.withColumns({"score": F.lit(0.0), "met": F.lit(0)}))
+    met = met.groupBy(*on, "_id").agg(F.sum("score").alias("score"), F.bit_or("met").alias("met"))
+    # Each query's clauses must all be met; most rows go here.
+    need = q.select("query_id", F.when(has_place, 1).otherwise(0).bitwiseOR(F.when(has_text, 2).otherwise(0)).alias("need"))
+    met = met.join(sent(need, asked.n), "query_id").where(F.col("met") == F.col("need")).drop("met", "need")
+    docs = index.docs.drop(*_OF_DOCUMENT)
+    hits = (met if within is None else met.drop("block")).join(sent(docs, index.size, DOCS), "_id").join(sent(q, asked.n), "query_id")
     hits = _filtered(hits, q).withColumn("category_score", F.when(has_category, category_score(mode)).otherwise(0.0))
     hits = hits.where(~has_category | (F.col("category_score") > 0)).withColumn("text_score", F.col("score") + F.col("category_score"))
     if mode == "search":
-        asked = _held("wanted_categories") if "wanted_categories" in q.columns else F.array().cast("array<string>")
-        extra = F.when(F.col("normalized") == F.lower("name"), EXACT_NAME).otherwise(0.0) + REQUESTED * F.array_contains(asked, F.coalesce("category", F.lit(""))).cast("double")
-        extra = extra + RESOLVED * _shared(_held("category_ids"), _held("doc_category_ids")) + GROUP * _shared(_held("intent_groups"), _held("doc_intent_groups"))
+        wanted = _held("wanted_categories") if "wanted_categories" in q.columns else _none()
+        extra = F.when(F.array_contains("names", F.col("normalized")), EXACT_NAME).otherwise(0.0) + REQUESTED * _shared(wanted, F.col("own_category"))
+        extra = extra + RESOLVED * _shared(_held("category_ids"), F.col("doc_category_ids")) + GROUP * _shared(_held("intent_groups"), F.col("doc_intent_groups"))
     else:
-        extra = F.lit(0.0)
-        for field, boost in PHRASE_FIELDS.items():
-            own = F.try_element_at("phrases", F.lit(field))
-            extra = extra + F.aggregate("texts", F.lit(0.0), lambda a, t: a + F.when(phrase_prefix(own, t), boost).otherwise(0.0))
-        label = F.try_element_at("phrases", F.lit("label"))
-        extra = extra + F.aggregate("place_terms", F.lit(0.0), lambda a, p: a + F.when(phrase_prefix(label, F.split(p, " ")), LABEL_PREFIX).otherwise(0.0))
+        # Boosts of the phrase fields that hold a text; the map is walked once for each text.
+        boosts = F.create_map(*[x for f, b in PHRASE_FIELDS.items() for x in (F.lit(f), F.lit(b))])
+        some = lambda sets, t: F.exists(sets, lambda p: phrase_prefix(p, t))
+        worth = lambda t: F.aggregate(F.map_entries("phrase_sets"), F.lit(0.0), lambda a, e: a + F.when(some(e["value"], t), F.coalesce(F.try_element_at(boosts, e["key"]), F.lit(0.0))).otherwise(0.0))
+        extra = F.aggregate("texts", F.lit(0.0), lambda a, t: a + worth(t))
+        label = F.coalesce(F.try_element_at("phrase_sets", F.lit("label")), F.array().cast("array<array<string>>"))
+        extra = extra + F.aggregate("place_terms", F.lit(0.0), lambda a, p: a + F.when(some(label, F.split(p, " ")), LABEL_PREFIX).otherwise(0.0))
     return hits.withColumn("text_score", F.col("text_score") + extra)
 
 
+def _resolved_hits(asked: _Asked) -> tuple[Column, Column]:
+    """Whether a hit has a category or a group that its query resolves to."""
+    resolved = F.array_union(_held("category_ids"), _held("wanted_categories")) if "wanted_categories" in asked.extra else _held("category_ids")
+    return F.arrays_overlap(resolved, "doc_category_ids"), F.arrays_overlap(_held("intent_groups"), F.col("doc_intent_groups"))
+
+
+def _with_scores(hits: DataFrame, asked: _Asked) -> DataFrame:
+    """Hits with distance, the parts of the score and score."""
+    distance = geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")) if "q_lat" in asked.extra else F.lit(None).cast("double")
+    hits = hits.withColumn("distance", distance)
+    parts = rank.components(F.col("distance"), F.col("popularity"), F.col("importance"), F.col("layer"), *_resolved_hits(asked))
+    hits = hits.withColumns(parts)
+    return hits.withColumn("score", rank.final_score(F.col("text_score"), [F.col(c) for c in parts], F.col("distance")))
+
+
+def _bounds(asked: _Asked, index: Index, mode: str) -> DataFrame:
+    """query_id, block, bound, and the queries' size: no document of the block has a higher score."""
+    hits = _hits(asked, index.upper(), mode)
+    category, group = _resolved_hits(asked)
+    away = geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("middle_lat"), F.col("middle_lon"))
+    nearest = F.when(away.isNotNull(), F.greatest(F.lit(0.0), away - F.col("reach"))) if "q_lat" in asked.extra else F.lit(None).cast("double")
+    hits = hits.withColumn("nearest", nearest)
+    bound = F.lit(None).cast("double")
+    for distance, some in ((F.col("nearest"), "has_place"), (F.lit(None).cast("double"), "no_place")):
+        parts = rank.components(distance, F.lit(None), F.lit(None), F.lit(None).cast("string"), category, group)
+        total = [parts[c] for c in ("focus_decay", "proximity", "category_boost", "intent_boost")] + [F.col("fixed")]
+        bound = F.greatest(bound, F.when(F.col(some), rank.final_score(F.col("text_score"), total, distance)))
+    more = ["size"] if "size" in asked.extra else []
+    return hits.select("query_id", "block", (bound * (1 + 1e-9) + 2e-6).alias("bound"), *more)
+
+
+def _best(queries: DataFrame, index: Index, dims: tuple, size: int | Column, mode: str) -> DataFrame:
+    """The best hits of each query, ranked: its blocks of highest bounds first, then those that may still matter."""
+    asked = _prepared(queries, index, dims, mode)
+    lead = LEAD + F.ceil((F.lit(size) if isinstance(size, int) else size) / BLOCK)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+    bounds = written(_bounds(asked, index, mode).withColumn("nth", nth).withColumn("leads", F.col("nth") <= lead))
+
+    def scored_in(blocks: DataFrame) -> DataFrame | None:
+        blocks = written(blocks.select("query_id", "block"))
+        rows = blocks.count()
+        return ranked(_with_scores(_hits(asked, index, mode, sent(blocks, rows), rows), asked), size) if rows else None
+
+    found = scored_in(bounds.where("leads"))
+    if found is None:  # no block has a hit
+        return ranked(_with_scores(_hits(asked, index, mode, bounds.select("query_id", "block")), asked), size)
+    found = written(found)
+    least = found.where(F.col("rank") == size).select("query_id", F.round("score", 6).alias("least"))
+    rest = bounds.where("NOT leads").join(sent(least, asked.n), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    more = scored_in(rest)
+    return found if more is None else ranked(found.drop("rank").unionByName(more.drop("rank")), size)
+
+
 def scored(queries: DataFrame, index: Index, dim_term: DataFrame, dim_category: DataFrame, dim_place: DataFrame, dim_tag: DataFrame | None = None, mode: str = "search") -> DataFrame:
     """All hits with query columns, document columns, text_score, the parts of the score, distance and score.
 
     Every part of a query's intent that it has must be met: categories, a place, and the text that neither explains
     (in a search all its words, in autocomplete one of them, the last as a prefix).
     """
-    found = intent.resolve(queries, dim_term, dim_category, dim_place, autocomplete=mode == "autocomplete", dim_tag=dim_tag)
-    rest = F.filter(F.split("unmatched", " "), lambda t: t != "")
-    nothing = (F.size("category_ids") == 0) & (F.size("intent_groups") == 0) & (F.size("place_terms") == 0)
-    own = F.when(F.size(rest) > 0, F.array(rest))
-    whole = F.when(F.size("tokens") > 0, F.array("tokens")).otherwise(F.array().cast("array<array<string>>"))
-    own = F.coalesce(own, whole if mode == "autocomplete" else F.when(nothing, whole).otherwise(F.array().cast("array<array<string>>")))
-    renamed = queries.withColumnRenamed("categories", "wanted_categories") if "categories" in queries.columns else queries
-    more = [c for c in ("q_lat", "q_lon", "layers", "sources", "wanted_categories", "country", "rect", "circle") if c in renamed.columns]
-    q = written(found.withColumn("texts", own).join(renamed.select("query_id", *more).hint("merge"), "query_id"))
-    hits = _hits(q, index, mode)
-    distance = geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")) if "q_lat" in more else F.lit(None).cast("double")
-    hits = hits.withColumn("distance", distance)
-    resolved = F.array_union(_held("category_ids"), _held("wanted_categories")) if "wanted_categories" in more else _held("category_ids")
-    parts = rank.components(F.col("distance"), F.col("popularity"), F.col("importance"), F.col("layer"), F.arrays_overlap(resolved, _held("doc_category_ids")), F.arrays_overlap(_held("intent_groups"), _held("doc_intent_groups")))
-    hits = hits.withColumns(parts)
-    return hits.withColumn("score", rank.final_score(F.col("text_score"), [F.col(c) for c in parts], F.col("distance")))
+    asked = _prepared(queries, index, (dim_term, dim_category, dim_place) + (() if dim_tag is None else (dim_tag,)), mode)
+    return _with_scores(_hits(asked, index, mode), asked)
 
 
 def ranked(hits: DataFrame, size: int | Column) -> DataFrame:
@@ -245,17 +448,18 @@ def ranked(hits: DataFrame, size: int | Column) -> DataFrame:
 
 
 def find(queries: DataFrame, index: Index, dims: tuple, size: int | Column = 10) -> DataFrame:
-    return ranked(scored(queries, index, *dims, mode="search"), size)
+    return _best(queries, index, dims, size, "search")
 
 
 def complete(queries: DataFrame, index: Index, dims: tuple, size: int | Column = 5) -> DataFrame:
-    return ranked(scored(queries, index, *dims, mode="autocomplete"), size)
+    return _best(queries, index, dims, size, "autocomplete")
 
 
 def structured(queries: DataFrame, index: Index, size: int | Column = 10) -> DataFrame:
     """Ranked hits, match_type and confidence for queries with arrays of tokens under the names of STRUCTURED_FIELDS and
     `address` (those that exist). One field at least is met; an address is met by fields together, a street by one
     field; a query with none of these searches for the words of its `other` column."""
+    queries, n = _unrepeated(queries)
     names = [c for c in STRUCTURED_FIELDS if c in queries.columns]
     one = lambda df, c: df.where(F.size(c) > 0).withColumn("ts", F.array(c))
     has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False)) if c in queries.columns else F.lit(False)
@@ -270,9 +474,10 @@ def structured(queries: DataFrame, index: Index, size: int | Column = 10) -> Dat
             any_field = any_field | has(c)
         musts.append((any_field, some.groupBy("query_id", "_id").agg(F.sum("score").alias("score"))))
     if "address" in queries.columns:
-        met = matches(search.terms(one(queries, "address"), "ts"), index, ADDRESS_FIELDS, fuzzy=False)
-        best = met.groupBy("query_id", "_id", "token").agg(F.max("weight").alias("w"))
-        musts.append((has("address"), best.groupBy("query_id", "_id").agg(F.sum("w").alias("score"))))
+        # Each token by itself, in its best field.
+        each = queries.where(F.size("address") > 0).withColumn("ts", F.transform(F.array_distinct("address"), lambda t: F.array(t)))
+        best = text_clause(each, "ts", index, ADDRESS_FIELDS, later=1.0, fuzzy=False)
+        musts.append((has("address"), best))
     if "street" in queries.columns:
         musts.append((has("street"), text_clause(one(queries, "street"), "ts", index, STREET_FIELDS, fuzzy=False)))
     if "other" in queries.columns:
@@ -280,7 +485,7 @@ def structured(queries: DataFrame, index: Index, size: int | Column = 10) -> Dat
         for c in names:
             bare = bare & ~has(c)
         musts.append((bare, text_clause(one(queries.where(bare), "other"), "ts", index, PLAIN_FIELDS, fuzzy=False)))
-    hits = search.conjunction(queries, musts).join(sized(index.docs), "_id").join(sized(queries.drop(*[c for c in queries.columns if c in DOCUMENT])), "query_id")
+    hits = search.conjunction(queries, musts).join(sent(index.docs, index.size), "_id").join(sent(queries.drop(*[c for c in queries.columns if c in index.docs.columns]), n), "query_id")
     kind = F.when(has("housenumber") & has("street") & has("locality"), "exact_address").when(has("street"), "street_only").when(has("locality"), "locality_match").otherwise("partial_match")
     flags = written(queries.select("query_id", kind.alias("match_type")))
     hits = _filtered(hits, queries).join(flags.hint("merge"), "query_id").withColumn("confidence", scalars.match_confidence(F.col("match_type")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..sources.store import sized, written
+from ..sources.store import sent, sized
 
 # Words too broad to name a category, as terms of a taxonomy and as aliases of labels.
 BROAD = ("place", "point", "service", "building", "office")
@@ -80,61 +80,77 @@ def enrich_categories(docs: DataFrame, dim_tag: DataFrame, dim_category: DataFra
     return docs.join(arrays.hint("merge"), id_, "left")
 
 
-def _held(queries: DataFrame, dim: DataFrame, normalized: str, tokens: str) -> DataFrame:
+def _counted(dim: DataFrame) -> tuple[int, int | None]:
+    """Rows of a dimension with a column term, and the longest second word of its terms (None: all are single words)."""
+    second = F.when(F.instr("term", " ") > 0, F.length(F.split_part("term", F.lit(" "), F.lit(2))))
+    n, longest = dim.agg(F.count(F.lit(1)), F.max(second)).first()
+    return n, longest
+
+
+def _held(queries: DataFrame, dim: DataFrame, longest: int | None, normalized: str, tokens: str) -> DataFrame | None:
     """query_id and the rows of dim (with a column term of several words) whose term is held in the text, wherever it
     begins and ends. The second word of such a term begins a word of the text, and is one if the term goes on: text
     and term meet on that word, or what a word of the text begins with, and are compared afterwards."""
-    several = dim.withColumn("second", F.split_part("term", F.lit(" "), F.lit(2))).where("instr(term, ' ') > 0")
-    longest = several.agg(F.max(F.length("second"))).first()[0]
     if longest is None:
-        return queries.select("query_id").join(dim.limit(0), F.lit(False))
+        return None
+    several = dim.where("instr(term, ' ') > 0").withColumn("second", F.split_part("term", F.lit(" "), F.lit(2)))
     parts = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("t"))), lambda k: F.substring(F.col("t"), F.lit(1), k))
     each = queries.select("query_id", F.col(normalized).alias("held_in"), F.explode(F.array_distinct(tokens)).alias("t")).where("t <> ''")
     each = each.select("query_id", "held_in", F.explode(parts).alias("second")).distinct()
-    return each.join(sized(several), "second").where(F.contains("held_in", "term")).drop("second", "held_in").distinct()
+    return each.join(several, "second").where(F.contains("held_in", "term")).drop("second", "held_in").distinct()
 
 
 def matched_terms(queries: DataFrame, dim_term: DataFrame, normalized: str = "normalized", tokens: str = "tokens") -> DataFrame:
     """query_id, type, id, term: equal to the text, equal to a token, begun by a token of 3 characters or more, or of
     several words and held in the text. All are equi-joins."""
-    dim = sized(dim_term)
+    n, longest = _counted(dim_term)
+    dim = sent(dim_term, n)
     q = queries.select("query_id", F.col(normalized).alias("n"), F.col(tokens).alias("ts"))
-    whole = q.select("query_id", F.col("n").alias("term")).join(dim, "term")
-    one = q.select("query_id", F.explode("ts").alias("token")).distinct()
-    equal = one.withColumnRenamed("token", "term").join(dim, "term")
+    named = q.select("query_id", F.explode(F.array_union(F.coalesce("ts", F.array().cast("array<string>")), F.array("n"))).alias("term"))
+    equal = named.join(dim, "term")
     edges = dim_term.withColumn("token", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.lit(LONGEST), F.length("term")))), lambda k: F.substring(F.col("term"), F.lit(1), k))))
-    begun = one.where(F.length("token") >= 3).join(sized(edges), "token").drop("token")
-    several = _held(q, dim_term, "n", "ts")
+    one = q.select("query_id", F.explode("ts").alias("token")).distinct()
+    begun = one.where(F.length("token") >= 3).join(sent(edges, n * LONGEST), "token").drop("token")
+    several = _held(q, dim, longest, "n", "ts")
     columns = ["query_id", "type", "id", "term"]
-    return whole.select(*columns).unionByName(equal.select(*columns)).unionByName(begun.select(*columns)).unionByName(several.select(*columns)).distinct()
+    found = equal.select(*columns).unionByName(begun.select(*columns))
+    return (found if several is None else found.unionByName(several.select(*columns))).distinct()
 
 
 def place_terms(queries: DataFrame, dim_place: DataFrame, tokens: str = "tokens", normalized: str = "normalized") -> DataFrame:
     """query_id, variant, term: all spellings of the places of which a query names one: a spelling of one word is a
     token of the text, one of several words is held in the text, any is the text."""
-    dim = sized(dim_place)
+    n, longest = _counted(dim_place)
+    dim = sent(dim_place, n)
     named = [F.explode(F.array_union(F.coalesce(tokens, F.array().cast("array<string>")), F.array(normalized))).alias("term")]
-    one = queries.select("query_id", *named).join(dim, "term").select("query_id", "variant")
-    held = _held(queries, dim_place, normalized, tokens).select("query_id", "variant")
-    return one.unionByName(held).distinct().join(dim, "variant").select("query_id", "variant", "term").distinct()
+    found = queries.select("query_id", *named).join(dim, "term").select("query_id", "variant")
+    held = _held(queries, dim, longest, normalized, tokens)
+    found = found if held is None else found.unionByName(held.select("query_id", "variant"))
+    return found.distinct().join(dim, "variant").select("query_id", "variant", "term").distinct()
 
 
 def resolve(queries: DataFrame, dim_term: DataFrame, dim_category: DataFrame, dim_place: DataFrame, autocomplete: bool = False, dim_tag: DataFrame | None = None) -> DataFrame:
     """query_id, category_ids, intent_groups, query_terms, place_terms, source_tags (key:value), unmatched, confidence:
-    arrays are sorted; without dim_tag there are no tags."""
-    met = written(matched_terms(queries, dim_term))
-    places = written(place_terms(queries, dim_place))
-    cats = met.where("type = 'category'").select("query_id", F.col("id").alias("category_id")).distinct()
-    groups = cats.join(sized(dim_category), "category_id").select("query_id", F.explode("intent_groups").alias("g")).unionByName(met.where("type = 'intent_group'").select("query_id", F.col("id").alias("g")))
-    gather = lambda df, c, name: df.groupBy("query_id").agg(F.array_sort(F.collect_set(c)).alias(name))
-    words = met.select("query_id", F.explode(F.split("term", " ")).alias("w")).unionByName(places.select("query_id", F.explode(F.split("term", " ")).alias("w")))
-    tags = cats.select("query_id", F.col("category_id").alias("t")).limit(0) if dim_tag is None else cats.join(sized(dim_tag), "category_id").select("query_id", F.concat_ws(":", "key", "value").alias("t"))
-    out = queries.select("query_id", "normalized", "tokens")
-    for df in (gather(tags, "t", "source_tags"), gather(cats, "category_id", "category_ids"), gather(groups, "g", "intent_groups"), gather(met.select("query_id", F.explode(F.array("term", "id")).alias("t")), "t", "query_terms"), gather(places, "term", "place_terms"), gather(words, "w", "__words")):
-        out = out.join(df.hint("merge"), "query_id", "left")
+    arrays are sorted; without dim_tag there are no tags. What is found is gathered in one grouping."""
     none = F.array().cast("array<string>")
-    for c in ("category_ids", "intent_groups", "query_terms", "place_terms", "source_tags", "__words"):
-        out = out.withColumn(c, F.coalesce(c, none))
+    category = dim_category.select(F.lit("category").alias("type"), F.col("category_id").alias("id"), F.col("intent_groups").alias("groups"))
+    met = matched_terms(queries, dim_term).join(sized(category), ["type", "id"], "left")
+    if dim_tag is not None:
+        tags = dim_tag.groupBy(F.lit("category").alias("type"), F.col("category_id").alias("id")).agg(F.collect_set(F.concat_ws(":", "key", "value")).alias("tags"))
+        met = met.join(sized(tags), ["type", "id"], "left")
+    as_kind = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    is_category, is_group = F.col("type") == "category", F.col("type") == "intent_group"
+    values = [
+        as_kind("category_ids", F.when(is_category, F.array("id")).otherwise(none)), as_kind("intent_groups", F.when(is_category, F.coalesce("groups", none)).when(is_group, F.array("id")).otherwise(none)),
+        as_kind("query_terms", F.array("term", "id")), as_kind("words", F.split("term", " ")), as_kind("source_tags", F.coalesce("tags", none) if dim_tag is not None else none),
+    ]
+    found = met.select("query_id", F.explode(F.concat(*values)).alias("v"))
+    named = F.concat(as_kind("place_terms", F.array("term")), as_kind("words", F.split("term", " ")))
+    found = found.unionByName(place_terms(queries, dim_place).select("query_id", F.explode(named).alias("v")))
+    kinds = ("category_ids", "intent_groups", "query_terms", "place_terms", "source_tags", "words")
+    gathered = found.groupBy("query_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("v.kind") == k, F.col("v.value")))).alias(f"__{k}") for k in kinds])
+    out = queries.select("query_id", "normalized", "tokens").join(gathered.hint("merge"), "query_id", "left")
+    out = out.select("query_id", "normalized", "tokens", *[F.coalesce(f"__{k}", none).alias(k if k != "words" else "__words") for k in kinds])
     rest = F.filter("tokens", lambda t: ~F.array_contains(F.col("__words"), t))
     sure = scalars.confidence(F.size("category_ids") > 0, F.size("intent_groups") > 0, F.size("query_terms") > 0, F.lit(autocomplete))
     return out.withColumn("unmatched", F.array_join(rest, " ")).withColumn("confidence", sure).drop("__words")

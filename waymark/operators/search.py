@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..sources.store import sized
+from ..sources.store import sent, sized
 
 K1, B = 1.2, 0.75
 LATER_TERMS = 0.65
@@ -115,12 +115,13 @@ def fuzzy_tokens(asked: DataFrame, known: DataFrame) -> DataFrame:
     left = some.where(F.length("token") <= CUT).withColumn("key", F.explode(deletions(F.col("token"))))
     # A known token may be the longer one: it is always cut twice.
     right = every.where(F.length("match") <= CUT + 2).withColumn("key", F.explode(F.array_distinct(F.concat(F.array("match"), _cut_twice(F.col("match"))))))
-    met = left.join(right.hint("merge"), "key").select("token", "match")
+    n = some.count()
+    met = right.join(sent(left, 80 * n), "key").select("token", "match")  # deletions of a token of CUT characters
     part = "substring(%s, n * k div 3 + 1 + s, n * (k + 1) div 3 - n * k div 3)"
     long = some.where(F.length("token") > CUT).selectExpr("token", "length(token) AS n", "explode(sequence(0, 2)) AS k").selectExpr("token", "n", "k", (part % "token").replace(" + s", "") + " AS key")
     other = every.where(F.length("match") > CUT - 2).selectExpr("match", f"explode(sequence(greatest({CUT + 1}, length(match) - 2), length(match) + 2)) AS n")
     other = other.selectExpr("match", "n", "explode(sequence(0, 2)) AS k").selectExpr("match", "n", "k", "explode(sequence(-2, 2)) AS s").where("n * k div 3 + s >= 0").selectExpr("match", "n", "k", part % "match" + " AS key")
-    met = met.unionByName(long.join(other.hint("merge"), ["n", "k", "key"]).select("token", "match")).distinct()
+    met = met.unionByName(other.join(sent(long, 3 * n), ["n", "k", "key"]).select("token", "match")).distinct()
     met = met.withColumn("edits", F.levenshtein("token", "match"))
     return met.where(F.col("edits") <= allowed_edits(F.col("token")))
 
@@ -136,7 +137,7 @@ def prefix_tokens(asked: DataFrame, known: DataFrame) -> DataFrame:
     edge = known.select(F.col("token").alias("match")).distinct()
     edge = edge.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PREFIX), F.length("match"))), lambda k: F.substring(F.col("match"), F.lit(1), k))))
     some = asked.select("token").distinct().withColumn("key", F.substring("token", 1, MAX_PREFIX))
-    return some.join(edge.hint("merge"), "key").where(F.startswith("match", "token")).select("token", "match")
+    return edge.join(sized(some), "key").where(F.startswith("match", "token")).select("token", "match")
 
 
 def prefix_match(queries: DataFrame, weights: DataFrame, tokens: str = "tokens", id_: str = "_id") -> DataFrame:

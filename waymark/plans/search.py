@@ -100,7 +100,7 @@ def r4(spark, d):
     q, i = resolved(spark, d), index(spark, d)
     out = None
     for mode in ("search", "autocomplete"):
-        hits = geocode.by_category(q, i, mode).join(i.docs.withColumnsRenamed(geocode._OF_DOCUMENT).hint("merge"), "_id").join(q.hint("merge"), "query_id")
+        hits = geocode.by_category(q, i, mode).join(i.docs.drop(*geocode._OF_DOCUMENT).hint("merge"), "_id").join(q.hint("merge"), "query_id")
         one = hits.select("query_id", "_id", F.lit(mode).alias("mode"), geocode.category_score(mode).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -266,7 +266,7 @@ _SCORED = _scored("search")
 
 
 def r7(spark, d, made=None):
-    return top_k(scored(spark, d, made), 10, F.desc(F.round("score", 6)), F.col("_id")).select("query_id", "rank", "_id", F.round("score", 5).alias("score"))
+    return geocode.find(_focused(spark, d), made or index(spark, d), dims(spark, d), 10).select("query_id", "rank", "_id", F.round("score", 5).alias("score"))
 
 
 def r7_filtered(spark, d):
@@ -289,8 +289,7 @@ def r21(spark, d):
 def r8(spark, d, made=None):
     q = _typed(spark, d).withColumn("normalized", F.array_join("tokens", " "))
     q = q.select("query_id", "normalized", "tokens", F.when(F.col("focused"), F.col("q_lat")).alias("q_lat"), F.when(F.col("focused"), F.col("q_lon")).alias("q_lon"))
-    hits = geocode.scored(q, made or index(spark, d), *dims(spark, d), mode="autocomplete")
-    return top_k(hits, 5, F.desc(F.round("score", 6)), F.col("_id")).select("query_id", "rank", "_id", F.round("score", 5).alias("score"))
+    return geocode.complete(q, made or index(spark, d), dims(spark, d), 5).select("query_id", "rank", "_id", F.round("score", 5).alias("score"))
 
 
 def r9(spark, d):

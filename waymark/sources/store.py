@@ -35,3 +35,14 @@ def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
     """A table to be joined by broadcast if it has `most` rows or fewer, else by shuffle: the size is counted, never
     estimated. Counting makes the table once more, so what is long in the making should be written first."""
     return df.hint("broadcast" if df.limit(most + 1).count() <= most else "merge")
+
+
+def sent(df: DataFrame, rows: int, most: int = SMALL) -> DataFrame:
+    """As `sized`, for a table whose rows are counted or bounded already."""
+    return df.hint("broadcast" if rows <= most else "merge")
+
+
+def settled(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A table that is written first and counted as written, so that it is made once."""
+    kept = written(df)
+    return sent(kept, kept.count(), most)
