@@ -140,6 +140,9 @@ def test_word_hashes_do_not_depend_on_place():
 def test_best_bin_first_visits_every_leaf_once():
     x = np.random.default_rng(4).normal(size=(400, 6))
     tree = nearest.Tree(x)
-    order = tree.visits(x[0], tree.leaves)
+    order, far = tree.visits(x[0], tree.leaves)
     assert sorted(order) == list(range(tree.leaves))
     assert order[0] == tree.assign(x[:1])[0]
+    # A leaf's distance is that of its own center, whatever way led to it.
+    center = {-1 - child: c for node in range(len(tree.children)) for child, c in zip(tree.children[node], tree.centers[node]) if child < 0}
+    assert far == pytest.approx([float(((center[leaf] - x[0]) ** 2).sum()) for leaf in order])
