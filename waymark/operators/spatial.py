@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..sources.store import sent, written
+
+
+#: Rows of a cell's large side in one part, at most on average.
+DENSE = 50_000
+
+
+def spread(large: DataFrame, small: DataFrame, keys: list[str], id_: str, most: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on `keys` with a further key `part`: rows of the large side that share a key with more than
+    `most` others are dealt to parts by their ids, as many as their counted rows need, and the small side's rows
+    are copied into all parts of their keys. Everything meets that met before."""
+    dense = written(large.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    n = dense.count()
+    if not n:
+        return large.withColumn("part", F.lit(0)), small.withColumn("part", F.lit(0))
+    number = F.coalesce(F.pmod(F.xxhash64(id_), F.col("parts")), F.lit(0)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    dealt = large.join(sent(dense, n), keys, "left").withColumn("part", number).drop("parts")
+    return dealt, small.join(sent(dense, n), keys, "left").withColumn("part", copies).drop("parts")
 
 
 def radius_join(queries: DataFrame, places: DataFrame, most: float = 50_000.0, cell_m: float | None = None) -> DataFrame:
@@ -46,7 +65,8 @@ def _radius_join(q: DataFrame, places: DataFrame, most: float, cell_m: float) ->
     q = q.withColumn("cx", F.when(F.col("cx") < low, F.col("cx") + around).when(F.col("cx") > high, F.col("cx") - around).otherwise(F.col("cx"))).dropDuplicates(["query_id", "cx", "cy"])
     p = places.where(geo.valid_point(F.col("lat"), F.col("lon"))).withColumn("cy", geo.cell(F.col("lat"), size)).withColumn("cx", geo.cell(F.col("lon"), size))
     distance = geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
-    return p.join(q.hint("shuffle_hash"), ["cx", "cy"]).drop("cx", "cy").withColumn("distance", distance).where(F.col("distance") <= F.col("radius"))
+    p, q = spread(p, q, ["cx", "cy"], "_id" if "_id" in p.columns else "lat")
+    return p.join(q.hint("shuffle_hash"), ["cx", "cy", "part"]).drop("cx", "cy", "part").withColumn("distance", distance).where(F.col("distance") <= F.col("radius"))
 
 
 def top_k(hits: DataFrame, k: int | Column, *order: Column, by: str = "query_id", name: str = "rank") -> DataFrame:
@@ -85,7 +105,8 @@ def nearest_line(points: DataFrame, segs: DataFrame, radius_m: float, id_: str =
     high = lambda a, b, w: geo.cell(F.greatest(a, b) + w, size)
     s = segs.withColumn("cx", F.explode(F.sequence(low("x1", "x2", wide), high("x1", "x2", wide)))).withColumn("cy", F.explode(F.sequence(low("y1", "y2", F.lit(reach)), high("y1", "y2", F.lit(reach)))))
     p = points.where(geo.valid_point(F.col("lat"), F.col("lon"))).select(id_, "lat", "lon", geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
-    met = p.join(s.hint("shuffle_hash"), ["cx", "cy"])
+    p, s = spread(p, s, ["cx", "cy"], id_)
+    met = p.join(s.hint("shuffle_hash"), ["cx", "cy", "part"])
     sx, sy = closest_point(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     met = met.withColumn("snap_lon", sx).withColumn("snap_lat", sy)
     met = met.withColumn("snap_distance", geo.haversine(F.col("lat"), F.col("lon"), F.col("snap_lat"), F.col("snap_lon")))
@@ -106,28 +127,64 @@ def edges(polygons: DataFrame, id_: str = "area_id", rings: str = "rings") -> Da
     return out.select(id_, *[F.col(f"e.{e}.{c}").alias(f"{c}{n}") for n, e in ((1, "a"), (2, "b")) for c in ("x", "y")])
 
 
+#: The grid of boundaries is moved by this much, so that round coordinates are on none of its lines.
+SHIFT = 0.0013793471839
+#: Edges are put into cells that they come this close to.
+MARGIN = 1e-9
+
+
+def cover(polygons: DataFrame, size: float, area: str = "area_id", rings: str = "rings") -> tuple[DataFrame, DataFrame]:
+    """Grid cells of polygons. border: area, cx, cy, x1, y1, x2, y2, odd, a row for each edge in each cell that it touches;
+    full: area, cx, cy of the cells that no edge touches and that are inside.
+
+    `odd` says whether a cell's upper right corner is inside: a ray from there along the upper line to the east is cut
+    an odd number of times, which is a running sum over the border cells of one row of the grid. Cells between two
+    border cells of a row are all inside or all outside, as the corner of the left one is.
+    """
+    at = lambda v: geo.cell(v + SHIFT, size)
+    line = lambda c: c * F.lit(size) - SHIFT
+    e = edges(polygons, area, rings)
+    e = e.withColumn("cy", F.explode(F.sequence(at(F.least("y1", "y2") - MARGIN), at(F.greatest("y1", "y2") + MARGIN))))
+    low, high, top = F.greatest(F.least("y1", "y2"), line(F.col("cy"))), F.least(F.greatest("y1", "y2"), line(F.col("cy") + 1)), line(F.col("cy") + 1)
+    where = lambda y: F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    inside = lambda x: F.least(F.greatest(x, F.least("x1", "x2")), F.greatest("x1", "x2"))
+    level = F.col("y1") == F.col("y2")
+    ends = [F.when(level, F.col("x1")).otherwise(inside(where(low))), F.when(level, F.col("x2")).otherwise(inside(where(high)))]
+    e = e.withColumn("cx", F.explode(F.sequence(at(F.least(*ends) - MARGIN), at(F.greatest(*ends) + MARGIN))))
+    cut = (F.col("y1") > top) != (F.col("y2") > top)
+    e = e.withColumn("cuts", F.coalesce((cut & (at(where(top)) == F.col("cx"))).cast("int"), F.lit(0)))
+    cells = e.groupBy(area, "cy", "cx").agg(F.sum("cuts").alias("cuts"))
+    row = Window.partitionBy(area, "cy").orderBy("cx")
+    east = F.sum("cuts").over(Window.partitionBy(area, "cy").orderBy(F.desc("cx")).rowsBetween(Window.unboundedPreceding, -1))
+    cells = written(cells.select(area, "cy", "cx", (F.coalesce(east, F.lit(0)) % 2 == 1).alias("odd"), F.lead("cx").over(row).alias("next")))
+    between = cells.where(F.col("odd") & (F.col("next") > F.col("cx") + 1))
+    full = between.select(area, F.explode(F.sequence(F.col("cx") + 1, F.col("next") - 1)).alias("cx"), "cy")
+    return e.drop("cuts").join(cells.drop("next").hint("merge"), [area, "cy", "cx"]), full
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float, id_: str = "_id", area: str = "area_id", rings: str = "rings") -> DataFrame:
     """(id, area id) of points inside or on the edge of polygons.
 
-    A ray to the east is cut by edges: a point and an edge meet if their grid rows do and the edge is not all to
-    the west. Edges are put into the cells of their boxes and, to the west, into those up to the polygon's box,
-    so that the join key is a cell and a polygon of many edges does not meet points far from it. Counting and the
+    A point in a full cell is inside. In a border cell a path leads from the point east to the cell's side and up to its
+    corner, of which it is known whether it is inside: only edges in the cell can cut the path. Counting and the
     edge test are sums, so no point's or polygon's edges have to meet in one row.
     """
-    e = edges(polygons, area, rings)
-    box = e.groupBy(area).agg(F.min(F.least("x1", "x2")).alias("west"))
-    e = e.join(box.hint("shuffle_hash"), area)
-    e = e.withColumn("cy", F.explode(F.sequence(geo.cell(F.least("y1", "y2"), size), geo.cell(F.greatest("y1", "y2"), size))))
-    e = e.withColumn("cx", F.explode(F.sequence(geo.cell(F.col("west"), size), geo.cell(F.greatest("x1", "x2"), size)))).drop("west")
-    p = points.where(geo.finite(F.col("lat"), F.col("lon"))).select(id_, F.col("lon").alias("px"), F.col("lat").alias("py"), geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
-    met = p.join(e.hint("shuffle_hash"), ["cx", "cy"])
+    border, full = cover(polygons, size, area, rings)
+    at = lambda v: geo.cell(v + SHIFT, size)
+    p = points.where(geo.finite(F.col("lat"), F.col("lon"))).select(id_, F.col("lon").alias("px"), F.col("lat").alias("py"), at(F.col("lon")).alias("cx"), at(F.col("lat")).alias("cy"))
+    within = p.join(full.hint("shuffle_hash"), ["cx", "cy"]).select(id_, area)
+    met = p.join(border.hint("shuffle_hash"), ["cx", "cy"])
+    side, top = (F.col("cx") + 1) * F.lit(size) - SHIFT, (F.col("cy") + 1) * F.lit(size) - SHIFT
     cross = (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) - (F.col("px") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     inside_box = F.col("px").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("py").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     on_edge = (F.abs(cross) <= 1e-12) & inside_box
-    spans = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
-    east = F.when(spans, F.col("px") < F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)))
-    found = met.groupBy(id_, area).agg(F.count_if(F.coalesce(east, F.lit(False))).alias("crossings"), F.max(on_edge).alias("touches"))
-    return found.where(F.col("touches") | (F.col("crossings") % 2 == 1)).select(id_, area)
+    x = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    y = F.col("y1") + (side - F.col("x1")) * (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
+    east = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (x > F.col("px")) & (x <= side)
+    up = ((F.col("x1") > side) != (F.col("x2") > side)) & (y > F.col("py")) & (y <= top)
+    cuts = F.coalesce(east, F.lit(False)).cast("int") + F.coalesce(up, F.lit(False)).cast("int")
+    found = met.groupBy(id_, area).agg((F.sum(cuts) + F.max(F.col("odd").cast("int"))).alias("cuts"), F.max(on_edge).alias("touches"))
+    return within.unionByName(found.where(F.col("touches") | (F.col("cuts") % 2 == 1)).select(id_, area))
 
 
 def representative_point(kind: Column, rings: Column) -> Column:
