@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import spatial
+from .quality import percentiles
 
 LEVELS = {2: ("country", "country_a"), 4: ("region", "region_a"), 6: ("county", None), 8: ("locality", None), 9: ("localadmin", None), 10: ("neighbourhood", None)}
 
@@ -82,5 +83,8 @@ def routable(docs: DataFrame, snapped: DataFrame | None, layers: tuple[str, ...]
 def snap_stats(docs: DataFrame, duration: str | None = None) -> DataFrame:
     """Documents, mean and largest distance by status; with a column of lookup durations also their 95th percentile
     by nearest rank."""
-    more = [F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{duration}`)").alias("p95_duration")] if duration else []
-    return docs.groupBy("routable_status").agg(F.count(F.lit(1)).alias("documents"), geo.round2(F.avg("routable_distance")).alias("avg_distance"), geo.round2(F.max("routable_distance")).alias("max_distance"), *more)
+    out = docs.groupBy("routable_status").agg(F.count(F.lit(1)).alias("documents"), geo.round2(F.avg("routable_distance")).alias("avg_distance"), geo.round2(F.max("routable_distance")).alias("max_distance"))
+    if duration is None:
+        return out
+    found = percentiles(docs, ["routable_status"], duration, {"p95_duration": 0.95}).withColumnRenamed("routable_status", "status")
+    return out.join(found.hint("merge"), F.col("routable_status").eqNullSafe(F.col("status")), "left").drop("status")

@@ -41,12 +41,49 @@ def sample(docs: DataFrame, by: str, n: int, order: str = "_id") -> DataFrame:
     return docs.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("nth") <= n)
 
 
+#: Bins of one round of a selection.
+BINS = 1024
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """by and one column for each quantile: nearest-rank percentiles of the finite values of each group that has some.
+
+    Found by selection, without a group's values in one place: a group's range is cut into bins that are counted where
+    the rows are; the bin with the wanted rank gives the next range, from its least to its largest value, until these
+    are equal. A round's state is a row for each group and bin that it has values in.
+    """
+    finite = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf"))
+    key = F.to_json(F.struct(*by)).alias("g")  # one key that is never null
+    each = written(rows.where(finite).select(key, F.col(value).cast("double").alias("v")))
+    ranges = each.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    names = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in quantiles.items()]))
+    ranges = ranges.select("g", "low", "high", "n", names.alias("t")).select("g", "t.name", "low", "high", F.greatest(F.lit(1), F.ceil(F.col("t.q") * F.col("n"))).cast("long").alias("nth"))
+    ranges = written(ranges)
+    while not ranges.where("low < high").isEmpty():
+        # Quantiles of a group that have one range still are counted together.
+        open_ = ranges.where("low < high").select("g", "low", "high").distinct()
+        met = each.join(sized(open_), "g").where(F.col("v").between(F.col("low"), F.col("high")))
+        at = F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BINS)).cast("int")
+        bins = met.groupBy("g", "low", "high", at.alias("bin")).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("g", "low", "high").orderBy("bin"))
+        bins = bins.withColumn("upto", upto)
+        found = ranges.join(bins.hint("merge"), ["g", "low", "high"]).where((F.col("nth") <= F.col("upto")) & (F.col("nth") > F.col("upto") - F.col("n")))
+        found = found.select("g", "name", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("nth") - F.col("upto") + F.col("n")).alias("nth"))
+        ranges = written(ranges.where("low >= high").unionByName(found))
+    out = ranges.groupBy("g").agg(*[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in quantiles])
+    groups = rows.select(*by, key).distinct()
+    return groups.join(out.hint("merge"), "g").drop("g")
+
+
 def latency(requests: DataFrame, by: list[str], value: str = "latency_ms", where: Column | None = None) -> DataFrame:
     """count, p50, p95, p99, max: nearest-rank percentiles, 0 for an empty group."""
     on = F.lit(True) if where is None else where
     r = requests.withColumn("__v", F.when(on, F.col(value)))
-    p = lambda q, n: F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY __v)"), F.lit(0.0)).alias(n)
-    return r.groupBy(*by).agg(F.count("__v").alias("count"), p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), F.coalesce(F.max("__v"), F.lit(0.0)).alias("max"))
+    all_ = r.groupBy(*by).agg(F.count("__v").alias("count"), F.max("__v").alias("max"))
+    found = percentiles(r, by, "__v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select(*[F.col(c).alias(f"__{c}") for c in by], "p50", "p95", "p99")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return all_.join(found.hint("merge"), same, "left").select(*by, "count", zero("p50"), zero("p95"), zero("p99"), zero("max"))
 
 
 def phases(requests: DataFrame) -> DataFrame:
