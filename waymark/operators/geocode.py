@@ -46,6 +46,8 @@ STRUCTURED_FIELDS = {
     "housenumber": "address_parts.number", "street": "address_parts.street", "postalcode": "address_parts.zip", "locality": "parent.locality", "region": "parent.region",
     "country": "parent.country", "country_a": "parent.country_a", "region_a": "parent.region_a", "county": "parent.county", "neighbourhood": "parent.neighbourhood",
 }
+#: The order in which a structured query's fields become one text.
+TEXT_ORDER = ("address", "street", "housenumber", "neighbourhood", "locality", "county", "region", "region_a", "postalcode", "country", "country_a")
 ADDRESS_FIELDS = {"name.default": 3.0, "address_parts.street": 2.0, "address_parts.number": 1.0}
 STREET_FIELDS = {"name.default": 2.0, "address_parts.street": 3.0}
 PLAIN_FIELDS = {"name.default": 4.0, "phrase.default": 3.0, "name.ar": 3.0, "name.en": 3.0}
@@ -495,6 +497,21 @@ def structured(queries: DataFrame, index: Index, size: int | Column = 10) -> Dat
     return ranked(hits, size)
 
 
+def structured_or_text(queries: DataFrame, index: Index, dims: tuple, size: int | Column = 10) -> DataFrame:
+    """query_id, mode, rank, _id, score, match_type, confidence: structured results, and for queries that have none the
+    search for the words of all their fields as one text."""
+    queries = written(queries)
+    found = written(structured(queries, index, size))
+    rest = queries.join(found.select("query_id").distinct().hint("merge"), "query_id", "left_anti")
+    given = [c for c in TEXT_ORDER if c in queries.columns]
+    words = F.flatten(F.array(*[_held(c) for c in given]))
+    rest = rest.withColumns({"tokens": words, "normalized": F.array_join(words, " ")}).where(F.size("tokens") > 0)
+    again = find(rest.drop(*given, "other"), index, dims, size)
+    columns = ("query_id", "mode", "rank", "_id", "score", "match_type", "confidence")
+    found = found.withColumn("mode", F.lit("structured")).select(*columns)
+    return found.unionByName(again.withColumns({"mode": F.lit("text"), "match_type": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")}).select(*columns))
+
+
 def reverse(queries: DataFrame, docs: DataFrame, radius: float = 1000.0, size: int | Column = 1, layers: tuple[str, ...] = ("venue", "address", "street")) -> DataFrame:
     """The nearest documents of each query's (q_lat, q_lon), within its `radius` where it has one."""
     own = F.coalesce("radius", F.lit(radius)) if "radius" in queries.columns else F.lit(radius)

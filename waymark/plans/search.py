@@ -313,6 +313,13 @@ _STRUCTURED = f"""sq AS (SELECT query_id, q_lat, q_lon, focused, query_id % 5 AS
    sh.s * CASE WHEN focused THEN exp(-pow(greatest(0.0, {base.sql_haversine('q_lat', 'q_lon', 'lat', 'lon')} - 500), 2) * ln(2) / pow(5000, 2)) ELSE 1 END AS score FROM sh JOIN sq USING (query_id) JOIN s ON s._id = sh._id WHERE c = CASE WHEN sq.kind IN (0, 1) THEN 2 ELSE 1 END)"""
 
 
+def r23_structured(spark, d):
+    """Streets of some queries; the others give their whole text as a postal code, which nothing has."""
+    street = (F.col("query_id") % 10 == 6)
+    q = asked(spark, d).select("query_id", F.when(street, F.slice("tokens", 1, 2)).alias("street"), F.when(~street, F.col("tokens")).alias("postalcode"), F.when(F.col("focused"), F.col("q_lat")).alias("q_lat"), F.when(F.col("focused"), F.col("q_lon")).alias("q_lon"))
+    return geocode.structured_or_text(q, index(spark, d), dims(spark, d), 5).select("query_id", "mode", "rank", "_id", "match_type")
+
+
 def r14(spark, d):
     k = F.col("query_id")
     ids = asked(spark, d).select("query_id", F.explode(F.array(F.concat(F.lit("postgis:part:"), k), F.concat(F.lit("osm:street:"), k), F.concat(F.lit("osm:venue:"), k + 2), F.lit("nothing"))).alias("id"))
@@ -453,6 +460,8 @@ QUERIES = {
     "r20_batch_reverse": (r20_reverse, _w(f"SELECT query_id, CASE WHEN p IS NULL THEN 'ok' ELSE 'error' END AS status, p AS parameter, CASE WHEN p IS NULL THEN coalesce(ids, '') ELSE '' END AS ids FROM (SELECT query_id, CASE WHEN query_id % 6 = 0 THEN 'point.lat' WHEN query_id % 9 = 0 THEN 'radius' END AS p FROM q) LEFT JOIN (SELECT query_id, string_agg(_id, '|' ORDER BY r) AS ids FROM (SELECT query_id, _id, row_number() OVER (PARTITION BY query_id ORDER BY dist, _id) AS r FROM (SELECT query_id, _id, layer, {base.sql_haversine('q_lat', 'q_lon', 'lat', 'lon')} AS dist FROM q, s) WHERE dist <= 3000 AND layer IN ('venue', 'address', 'street')) WHERE r <= 2 GROUP BY 1) USING (query_id)", _QN)),
     "a17_batch_summary": (a17, _w(f"SELECT count(*) AS total, count(*) FILTER (p IS NULL) AS ok, count(*) FILTER (p IS NOT NULL) AS error FROM (SELECT {_BAD} AS p FROM q)", _QN)),
     "r23_reconcile_modes": (r23, _w(f"SELECT query_id, 'primary' AS mode, count(*) AS hits FROM a GROUP BY 1 UNION ALL SELECT query_id, 'fallback', count(*) FROM tm WHERE query_id NOT IN (SELECT query_id FROM a) GROUP BY 1", _QN, _P, _QT, _TEXT, f"a AS {_AND}")),
+    "r23_structured_fallback": (r23_structured, _w("""SELECT query_id, 'structured' AS mode, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, match_type FROM so WHERE query_id % 10 = 6 QUALIFY rank <= 5
+ UNION ALL SELECT query_id, 'text', CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id) AS INT) AS rank, _id, NULL FROM sco WHERE query_id % 10 <> 6 QUALIFY rank <= 5""", _QN, _I, _STRUCTURED, _INTENT + _RES + _SCORED)),
     "r24_distinct_queries": (r24, _w("SELECT k AS query_id, min(k) OVER (PARTITION BY name, layer) AS shared, count(*) OVER (PARTITION BY name) AS hits FROM s")),
     "f2_list_filter": (f2, _w("SELECT _id FROM s WHERE layer IN ('venue', 'street') AND (category IN ('bolt', 'small') OR kind IN ('bolt', 'small'))")),
     "f3_bbox_filter": (f3, _w("SELECT _id FROM s WHERE k % 2 = 1 OR (lon BETWEEN 44.2 AND 44.6 AND lat BETWEEN 33.1 AND 33.7)")),
