@@ -60,25 +60,28 @@ class Freshness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at double")
+        self.last = handle.getValueState("last", "at double, as_of double, seen long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, as_of = (self.last.get()[0] if self.last.exists() else float("-inf")), float("-inf")
+        newest, as_of, now = (self.last.get()[0] if self.last.exists() else float("-inf")), float("-inf"), timerValues.getCurrentProcessingTimeInMs()
         for part in rows:
             newest = max(newest, float(part["at"].max()))
             as_of = max(as_of, float(part["as_of"].max()))
-        self.last.update((newest,))
+        self.last.update((newest, as_of, now))
         age = as_of - newest
         if self.timers:
             for due in list(self.handle.listTimers()):
                 self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
             # The source's own clock is `as_of`: what is left until it is stale counts from now.
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, int(1000 * (self.threshold - age)) + 1))
+            self.handle.registerTimer(now + max(1, int(1000 * (self.threshold - age)) + 1))
         yield pd.DataFrame({"source": [key[0]], "age_seconds": [age], "stale": [bool(age > self.threshold)]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
-            yield pd.DataFrame({"source": [key[0]], "age_seconds": [float(self.threshold)], "stale": [True]})
+            # The source's clock has gone on since its last row, as ours has.
+            newest, as_of, seen = self.last.get()
+            age = as_of - newest + (timerValues.getCurrentProcessingTimeInMs() - seen) / 1000.0
+            yield pd.DataFrame({"source": [key[0]], "age_seconds": [age], "stale": [bool(age > self.threshold)]})
 
     def close(self) -> None:
         pass
