@@ -9,7 +9,8 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +39,24 @@ SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 
 
+def _normal(column: pa.Array) -> pa.Array:
+    """NFKC of strings, each distinct word of a batch once. A blank is a character that no other one composes with, so a
+    text's normal form is that of its words."""
+    split = pc.split_pattern(column, " ")
+    words = split.flatten().dictionary_encode()
+    known = pa.array([w if w.isascii() else unicodedata.normalize("NFKC", w) for w in words.dictionary.to_pylist()], pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(split.offsets, known.take(words.indices), mask=split.is_null()), " ")
+
+
 def nfkc(df: DataFrame, column: str) -> DataFrame:
-    """Bring a column to NFKC. Plain ASCII rows stay in the JVM; the others form the other half of a union."""
+    """Bring a column to NFKC, in one pass: plain ASCII texts stay in the JVM, the others go by as Arrow batches."""
 
-    @F.pandas_udf("string")
-    def normal(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+    @F.arrow_udf("string")
+    def normal(texts: pa.Array) -> pa.Array:
+        return _normal(texts)
 
-    beyond = F.coalesce(F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    return df.where(~beyond).unionByName(df.where(beyond).withColumn(column, normal(F.col(column))))
+    beyond = F.col(column).rlike(r"[^\x00-\x7F]")
+    return df.withColumn(column, F.coalesce(normal(F.when(beyond, F.col(column))), F.col(column)))
 
 
 def _folded(c: Column, table: dict[str, str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, text
 from ..sources.store import written
+from .spatial import DENSE, spread
 
 
 def is_duplicate(a: Column, b: Column, meters: float) -> Column:
@@ -52,7 +53,8 @@ def pairs(docs: DataFrame, meters: float = 30.0) -> DataFrame:
     here = firsts.select(F.struct(*cols).alias("r"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     reach = geo.lon_cells(F.col("r.lat"), meters, size)
     near = here.select(F.col("r").alias("l"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx", reach.alias("reach")).withColumn("cx", F.explode(F.sequence(F.col("cx") - F.col("reach"), F.col("cx") + F.col("reach"))))
-    met = near.join(here.hint("shuffle_hash"), ["cy", "cx"]).where(F.col("l._id") < F.col("r._id")).where(is_duplicate(F.col("l"), F.col("r"), meters))
+    here, near = spread(here, near, ["cy", "cx"], "r._id", DENSE)
+    met = near.join(here.hint("shuffle_hash"), ["cy", "cx", "part"]).where(F.col("l._id") < F.col("r._id")).where(is_duplicate(F.col("l"), F.col("r"), meters))
     return out.unionByName(met.select(F.col("l._id").alias("a"), F.col("r._id").alias("b"))).distinct()
 
 
