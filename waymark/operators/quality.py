@@ -42,7 +42,7 @@ def sample(docs: DataFrame, by: str, n: int, order: str = "_id") -> DataFrame:
 
 
 #: Bins of one round of a selection.
-BINS = 1024
+BINS = 1 << 14
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
@@ -54,25 +54,24 @@ def percentiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[str,
     """
     finite = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf"))
     key = F.to_json(F.struct(*by)).alias("g")  # one key that is never null
-    each = written(rows.where(finite).select(key, F.col(value).cast("double").alias("v")))
-    ranges = each.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    each = written(rows.where(finite).select(F.struct(*by).alias("by"), key, F.col(value).cast("double").alias("v")))
+    ranges = each.groupBy("g").agg(F.first("by").alias("by"), F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     names = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in quantiles.items()]))
-    ranges = ranges.select("g", "low", "high", "n", names.alias("t")).select("g", "t.name", "low", "high", F.greatest(F.lit(1), F.ceil(F.col("t.q") * F.col("n"))).cast("long").alias("nth"))
+    ranges = ranges.select("g", "by", "low", "high", "n", names.alias("t")).select("g", "by", "t.name", "low", "high", F.greatest(F.lit(1), F.ceil(F.col("t.q") * F.col("n"))).cast("long").alias("nth"))
     ranges = written(ranges)
     while not ranges.where("low < high").isEmpty():
         # Quantiles of a group that have one range still are counted together.
         open_ = ranges.where("low < high").select("g", "low", "high").distinct()
-        met = each.join(sized(open_), "g").where(F.col("v").between(F.col("low"), F.col("high")))
+        met = each.drop("by").join(sized(open_), "g").where(F.col("v").between(F.col("low"), F.col("high")))
         at = F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BINS)).cast("int")
         bins = met.groupBy("g", "low", "high", at.alias("bin")).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("g", "low", "high").orderBy("bin"))
         bins = bins.withColumn("upto", upto)
         found = ranges.join(bins.hint("merge"), ["g", "low", "high"]).where((F.col("nth") <= F.col("upto")) & (F.col("nth") > F.col("upto") - F.col("n")))
-        found = found.select("g", "name", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("nth") - F.col("upto") + F.col("n")).alias("nth"))
+        found = found.select("g", "by", "name", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("nth") - F.col("upto") + F.col("n")).alias("nth"))
         ranges = written(ranges.where("low >= high").unionByName(found))
-    out = ranges.groupBy("g").agg(*[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in quantiles])
-    groups = rows.select(*by, key).distinct()
-    return groups.join(out.hint("merge"), "g").drop("g")
+    out = ranges.groupBy("g").agg(F.first("by").alias("by"), *[F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in quantiles])
+    return out.select("by.*", *quantiles)
 
 
 def latency(requests: DataFrame, by: list[str], value: str = "latency_ms", where: Column | None = None) -> DataFrame:
