@@ -1,5 +1,7 @@
 """The numpy parts, against plain Python."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -146,3 +148,39 @@ def test_best_bin_first_visits_every_leaf_once():
     # A leaf's distance is that of its own center, whatever way led to it.
     center = {-1 - child: c for node in range(len(tree.children)) for child, c in zip(tree.children[node], tree.centers[node]) if child < 0}
     assert far == pytest.approx([float(((center[leaf] - x[0]) ** 2).sum()) for leaf in order])
+
+
+def _jaccard(a: str, b: str) -> float:
+    bags = []
+    for t in (a, b):
+        w = t.split()
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    return sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+
+
+@pytest.mark.parametrize("bits", [5, 32])
+def test_links_of_dense_groups_are_confirmed_on_texts(spark, bits):
+    """Texts from far under 0.8 to just over it, with hashes of few bits, so that nearly all of them seem alike."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    made = []
+    for changed in (0, 1, 2, 3, 4, 5, 5, 6, 9, 60):
+        words = list(base)
+        for k, at in enumerate(rng.choice(np.arange(6, 114), changed, replace=False)):
+            words[at] = f"x{changed}y{k}"
+        made.append(" ".join(words))
+    want = {(j, i) for i in range(len(made)) for j in range(i + 1, len(made)) if _jaccard(made[i], made[j]) >= near_duplicates.THRESHOLD}
+    sims = [_jaccard(made[i], made[j]) for i in range(len(made)) for j in range(i)]
+    assert any(0.72 < s < 0.8 for s in sims)  # pairs just under the threshold
+    texts_of = spark.createDataFrame(list(enumerate(made)), "node long, text string")
+    dense = spark.createDataFrame([(7, 0, 0, i, i, False) for i in range(len(made))], "key long, r int, x int, node long, label long, right boolean")
+    got = {(r.a, r.b) for r in near_duplicates.compared(dense, texts_of, near_duplicates.THRESHOLD, bits).collect()}
+    assert got <= want
+
+    def parts(links):
+        own = list(range(len(made)))
+        for a, b in links:
+            own = [own[b] if v == own[a] else v for v in own]
+        return [own.index(v) for v in own]
+
+    assert parts(sorted(got)) == parts(sorted(want))

@@ -17,7 +17,8 @@ task gets two blocks of signatures. A pair is a candidate if one text is not muc
 in so many components that fewer have a chance under 1e-6 at the threshold. Where a task has few candidates for its
 members, it names them, and they are compared as in the first step. Where it has many (texts around one template),
 it names the members alone: their shingles go to a task that compares them in place and returns links that join what
-was not joined yet, less than one for each member. So no pair that meets in a band is left out but by that chance, no
+was not joined yet, less than one for each member. These links are checked on the texts as all others are, and a task
+with a link that they refuse is done again without it, so what is linked does not depend on how full a group is. So no pair that meets in a band is left out but by that chance, no
 group is in one task, and no list of all its pairs is made; arithmetic alone is quadratic, in members of different
 classes. Links join classes by min-label propagation in Spark.
 
@@ -293,9 +294,9 @@ def candidates(open_: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     return pairs, found.where("other is null").drop("other")
 
 
-def shingled(texts_of: DataFrame) -> DataFrame:
-    """node, shingles of (node, text): the multiset as a set, each shingle hashed with its number among equal ones. The
-    hash has 32 bits: by chance two texts of a thousand shingles share one in four thousand times."""
+def shingled(texts_of: DataFrame, bits: int = 32) -> DataFrame:
+    """node, shingles of (node, text): the multiset as a set, each shingle hashed with its number among equal ones. Equal
+    hashes of different shingles (`bits` wide) can only make two texts look more alike."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,15 +304,16 @@ def shingled(texts_of: DataFrame) -> DataFrame:
                 nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
                 own, where = texts.mixed(np.repeat(shingle, weight) + nth.astype(U) * U(0x9E3779B97F4A7C15)), np.repeat(doc, weight)
                 cut = np.searchsorted(where, np.arange(n + 1))
-                raw = pa.array([(own[a:z] >> U(32)).astype("<u4").tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())
+                raw = pa.array([(own[a:z] >> U(64 - bits)).astype("<u4").tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, n), raw], names=["node", "shingles"])
 
     return texts_of.select("node", "text").mapInArrow(make, "node long, shingles binary")
 
 
-def joins(node: np.ndarray, label: np.ndarray, right: np.ndarray, shingles: list[bytes], threshold: float) -> list[tuple[int, int]]:
+def joins(node: np.ndarray, label: np.ndarray, right: np.ndarray, shingles: list[bytes], threshold: float, refused: frozenset = frozenset()) -> list[tuple[int, int]]:
     """Links (a, b) among members of one task that join classes which are not joined yet: members of the left side are
-    compared with all of the right side (with each other if there is none), similarity from counts of shared shingles."""
+    compared with all of the right side (with each other if there is none), similarity from counts of shared shingles.
+    Pairs in `refused` join nothing."""
     size = np.array([len(x) // 4 for x in shingles])
     _, feature = np.unique(np.frombuffer(b"".join(shingles), "<u4"), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(size)])
@@ -328,28 +330,44 @@ def joins(node: np.ndarray, label: np.ndarray, right: np.ndarray, shingles: list
         shared = np.add.reduceat(mark[flat], starts)
         mark[own] = 0
         for j in y[shared >= threshold * (size[i] + size[y] - shared) - 1e-9]:
-            if group[i] != group[j]:
+            pair = (max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j])))
+            if group[i] != group[j] and pair not in refused:
                 group[group == group[j]] = group[i]
-                out.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+                out.append(pair)
     return out
 
 
-def compared(dense: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of the tasks in `dense`."""
+def compared(dense: DataFrame, texts_of: DataFrame, threshold: float, bits: int = 32) -> DataFrame:
+    """Links (a, b) of the tasks (key, r, x) in `dense`, each confirmed on the texts."""
+    place = ["key", "r", "x"]
     needed = work.written(dense.select("node").distinct(), "dense-nodes")
-    own = work.written(shingled(texts_of.join(needed.hint("merge"), "node", "left_semi")), "dense-shingles")
-    rows = dense.join(own.hint("merge"), "node")
-    tasks = rows.groupBy("key", "r", "x").agg(F.collect_list(F.struct("node", "label", "right", "shingles")).alias("m"))
-    tasks = tasks.select(*[F.col(f"m.{c}").alias(c) for c in ("node", "label", "right", "shingles")])
+    own = work.written(shingled(texts_of.join(needed.hint("merge"), "node", "left_semi"), bits), "dense-shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 node, label, right = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("node", "label", "right"))
-                found = joins(node, label, right, batch.column("shingles")[k].values.to_pylist(), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+                refused = frozenset((p["a"], p["b"]) for p in batch.column("refused")[k].as_py() or ())
+                found = joins(node, label, right, batch.column("shingles")[k].values.to_pylist(), threshold, refused)
+                at = [pa.array([batch.column(c)[k].as_py()] * len(found), t) for c, t in zip(place, (pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*at, pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=[*place, "a", "b"])
 
-    return tasks.mapInArrow(compare, "a long, b long").distinct()
+    refused = work.written(dense.limit(0).select(*place, F.col("node").alias("a"), F.col("node").alias("b")), "refused")
+    todo, out = dense, None
+    while True:
+        tasks = todo.join(own.hint("merge"), "node").groupBy(*place).agg(F.collect_list(F.struct("node", "label", "right", "shingles")).alias("m"))
+        known = refused.groupBy(*place).agg(F.collect_list(F.struct("a", "b")).alias("refused"))
+        tasks = tasks.join(known.hint("merge"), place, "left")
+        tasks = tasks.select(*place, *[F.col(f"m.{c}").alias(c) for c in ("node", "label", "right", "shingles")], "refused")
+        found = work.written(tasks.mapInArrow(compare, "key long, r int, x int, a long, b long"), "dense-links")
+        good = work.written(checked(found.select("a", "b").distinct(), texts_of, threshold), "dense-good")
+        out = good if out is None else out.unionByName(good)
+        wrong = work.written(found.join(good.hint("merge"), ["a", "b"], "left_anti").select(*place, "a", "b"), "wrong")
+        if wrong.isEmpty():
+            return out.distinct()
+        # Once more without these, and only where they were met: what they seemed to join may be joined by others.
+        refused = work.written(refused.unionByName(wrong), "refused")
+        todo = dense.join(wrong.select(*place).distinct().hint("merge"), place, "left_semi")
 
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
