@@ -1,7 +1,10 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import math
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
@@ -505,3 +508,34 @@ def test_battery_is_calibrated(spark):
     for r in out:
         assert r.chi0 <= 0.075 and r.chi1 <= 0.02 and r.random0 <= 0.08 and r.random1 <= 0.022, r
     assert sum(r.chi0 for r in out) / len(out) > 0.02
+
+
+def test_secrets_of_a_token_of_megabytes(spark):
+    """A blob of ten megabytes beside short texts: found whole, in bounded time, its counts right."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer((string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/").encode(), np.uint8)
+    blob = letters[rng.integers(0, 64, 10_000_000)].tobytes().decode()
+    df = spark.createDataFrame([(1, f"see {blob} end"), (2, "a few plain words"), (3, "x" * 3_000_000)], "doc_id long, text string")
+    secrets.scan(df.where("doc_id = 2")).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(df).collect()}
+    assert time.perf_counter() - began < 60  # about 15 on an idle machine
+    assert got == {1: [(4, 3, 4 + len(blob))], 2: [], 3: []}
+
+
+def test_battery_sums_go_on_over_pieces(spark):
+    """p-values of a token of several pieces equal those from numpy's sums; places of pieces don't matter."""
+    rng = np.random.default_rng(4)
+    tokens = ["".join(rng.choice(list("0123456789abcdef"), n)) for n in (20, 4096, 4097, 9000)]
+    df = spark.createDataFrame([(i, 3, 0, len(t), t) for i, t in enumerate(tokens)], "row long, kind int, start long, end long, value string")
+    for r in secrets.battery(df).collect():
+        c = np.array([int(x, 16) for x in tokens[r.row]], float)
+        d = c - c.mean()
+        z = ((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / len(c)) * math.sqrt(len(c))
+        assert r.serial == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-5)
+        high = c >= 8
+        turns, up = (high[1:] != high[:-1]).sum(), high.sum()
+        mean = 1 + 2 * up * (len(c) - up) / len(c)
+        z = (turns + 1 - mean) / math.sqrt((mean - 1) * (mean - 2) / (len(c) - 1))
+        assert r.runs == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-5)
+        assert {s: k for s, k in zip(secrets._SYMBOLS, r.counts) if k} == dict(Counter(tokens[r.row]))

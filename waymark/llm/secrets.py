@@ -56,6 +56,32 @@ _ENCODINGS = (
     ("[A-Za-z0-9_-]+", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 _SYMBOLS = _UPPER + _LOWER + _DIGITS + "+/_-="
+#: Characters of a token that are taken apart at once.
+_PIECE = 4096
+#: Sums over a token's codes and over pairs of neighbours, in one pass that goes on from piece to piece.
+_SUMS = f"""
+aggregate(
+  regexp_extract_all(body, '(?s).{{1,{_PIECE}}}', 0),
+  named_struct('last', -1D, 'total', 0D, 'square', 0D, 'product', 0D, 'turns', 0D, 'above', 0D),
+  (so_far, piece) -> aggregate(
+    transform(filter(split(piece, ''), c -> c <> ''), c -> cast(instr(alphabet, c) - 1 as double)),
+    so_far,
+    (a, c) -> named_struct(
+      'last', c,
+      'total', a.total + c,
+      'square', a.square + c * c,
+      'product', a.product + if(a.last < 0, 0D, a.last * c),
+      'turns', a.turns + if(a.last >= 0 and (a.last >= size / 2) <> (c >= size / 2), 1D, 0D),
+      'above', a.above + if(c >= size / 2, 1D, 0D))))
+"""
+#: Bytes of a token while one symbol after the other is taken out of it: before each, and at the end.
+_LENGTHS = f"""
+aggregate(
+  filter(split('{_SYMBOLS}', ''), c -> c <> ''),
+  named_struct('rest', value, 'sizes', cast(array() as array<int>)),
+  (a, c) -> named_struct('rest', replace(a.rest, c), 'sizes', concat(a.sizes, array(octet_length(a.rest)))),
+  a -> concat(a.sizes, array(octet_length(a.rest))))
+"""
 #: Histogram of p-values: bins for each power of ten, and the last bin.
 _PER_TEN, _LAST = 20, 20 * 300
 
@@ -106,23 +132,19 @@ def _gamma_tail(y: Column, skew: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds size (of the alphabet, null if no encoding fits), n, chi, runs, serial (p-values) and random (combined)."""
+    """Adds size (of the alphabet, null if no encoding fits), n, counts (of each of _SYMBOLS), chi, runs, serial
+    (p-values) and random (combined). Tokens are read in pieces, so one of many megabytes is never an array of characters."""
     body = F.regexp_replace("value", "=+$", "")
     alphabet = F.lit(None).cast("string")
     for pattern, letters in reversed(_ENCODINGS):
         alphabet = F.when(F.col("body").rlike(f"^(?:{pattern})$"), F.lit(letters).cast("string")).otherwise(alphabet)
     t = tokens.withColumn("body", body).withColumn("alphabet", alphabet)
     t = t.withColumn("size", F.length("alphabet").cast("double")).withColumn("n", F.length("body").cast("double"))
-    t = t.withColumn("codes", F.expr("transform(filter(split(body, ''), c -> c <> ''), c -> cast(instr(alphabet, c) - 1 as double))"))
-    # Sum of squared counts over the distinct characters.
-    t = t.withColumn("squares", F.expr("aggregate(array_distinct(codes), 0D, (a, c) -> a + pow(size(filter(codes, x -> x = c)), 2))"))
-    t = t.withColumn("mean", F.expr("aggregate(codes, 0D, (a, c) -> a + c) / n"))
-    pairs = "arrays_zip(slice(codes, 1, greatest(1, size(codes) - 1)), slice(codes, 2, greatest(1, size(codes) - 1)))"
-    t = t.withColumn("pairs", F.expr(pairs))
-    t = t.withColumn("above", F.expr("cast(size(filter(codes, c -> c >= size / 2)) as double)"))
-    t = t.withColumn("turns", F.expr("cast(size(filter(pairs, p -> (p['0'] >= size / 2) <> (p['1'] >= size / 2))) as double)"))
-    t = t.withColumn("spread", F.expr("aggregate(codes, 0D, (a, c) -> a + (c - mean) * (c - mean))"))
-    t = t.withColumn("product", F.expr("aggregate(pairs, 0D, (a, p) -> a + (p['0'] - mean) * (p['1'] - mean))"))
+    t = t.withColumn("counts", F.expr(_LENGTHS)).withColumn("counts", F.expr("zip_with(slice(counts, 1, size(counts) - 1), slice(counts, 2, size(counts) - 1), (a, b) -> a - b)"))
+    # A body holds no "=", the last of the symbols.
+    t = t.withColumn("squares", F.aggregate(F.slice("counts", 1, len(_SYMBOLS) - 1), F.lit(0.0), lambda a, c: a + F.pow(c, F.lit(2))))
+    t = t.withColumn("sums", F.when(F.col("alphabet").isNotNull(), F.expr(_SUMS))).withColumn("first", F.expr("cast(instr(alphabet, left(body, 1)) - 1 as double)"))
+    t = t.select("*", *[F.col(f"sums.{c}").alias(c) for c in ("last", "total", "square", "product", "turns", "above")])
     n, k = F.col("n"), F.col("size")
     # The statistic counts pairs of equal characters, each pair of places equal with chance 1 / k: their number's
     # mean, variance and third moment are known, and it moves by whole numbers.
@@ -136,12 +158,16 @@ def battery(tokens: DataFrame) -> DataFrame:
     var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
     # All on one side: as many runs too few as there can be.
     z_runs = F.when(var_runs > 0, (F.col("turns") + 1 - mean_runs) / F.sqrt(var_runs)).otherwise(-F.sqrt(n))
-    z_serial = F.when(F.col("spread") > 0, (F.col("product") / F.col("spread") + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+    # Sums about the mean, times n, from plain sums of whole numbers.
+    total = F.col("total")
+    spread = n * F.col("square") - total * total
+    product = n * F.col("product") - total * (2 * total - F.col("first") - F.col("last")) + (n - 1) / n * total * total
+    z_serial = F.when(spread > 0, (product / spread + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
     t = t.withColumn("chi", chi).withColumn("runs", F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z_runs)))).withColumn("serial", F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z_serial))))
     order = F.least(F.lit(1.0), 2 * F.least("runs", "serial"))
     half = -(F.log("chi") + F.log(order))
     t = t.withColumn("random", F.when(F.col("alphabet").isNotNull(), F.exp(-half) * (1 + half)))
-    return t.drop("alphabet", "codes", "squares", "mean", "pairs", "above", "turns", "spread", "product")
+    return t.drop("alphabet", "squares", "sums", "first", "last", "total", "square", "product", "turns", "above")
 
 
 def rejected(tested: DataFrame, log10_p: Column, rate: float = FDR) -> tuple[DataFrame, int]:
@@ -165,20 +191,20 @@ def rejected(tested: DataFrame, log10_p: Column, rate: float = FDR) -> tuple[Dat
 def ordinary(plain: DataFrame) -> dict[str, float]:
     """Character frequencies of tokens that are not random: one row per symbol returns. A prior that expects
     letters stands in for what a small corpus does not show."""
-    each = plain.select(F.explode(F.split("value", "")).alias("c"))
-    seen = {c: n for c, n in each.where(F.col("c").isin(list(_SYMBOLS))).groupBy("c").count().collect()}
+    sums = plain.agg(*[F.sum(F.element_at("counts", k + 1).cast("long")).alias(f"c{k}") for k in range(len(_SYMBOLS))]).first()
+    seen = {c: n or 0 for c, n in zip(_SYMBOLS, sums)}
     prior = {c: 50.0 if c in _LOWER else 2.0 for c in _SYMBOLS}
     total = sum(seen.values()) + sum(prior.values())
-    return {c: (seen.get(c, 0) + prior[c]) / total for c in _SYMBOLS}
+    return {c: (seen[c] + prior[c]) / total for c in _SYMBOLS}
 
 
 def findings(tested: DataFrame) -> DataFrame:
     """The rows of `battery` that are found to be secrets: not rejected as random, and far from ordinary text."""
     binned, least = rejected(tested, F.log10("random"))
     plain = binned.where(F.col("bin").isNull() | (F.col("bin") >= least))
-    logs = F.create_map(*[x for c, q in ordinary(plain).items() for x in (F.lit(c), F.lit(math.log(q)))])
+    logs = F.array(*[F.lit(math.log(q) if c != "=" else 0.0) for c, q in ordinary(plain).items()])
     own = binned.where(F.col("bin") < least).drop("bin")
-    log_ratio = -F.col("n") * F.log("size") - F.aggregate(F.split("body", ""), F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(logs, c), F.lit(0.0)))
+    log_ratio = -F.col("n") * F.log("size") - F.aggregate(F.zip_with("counts", logs, lambda c, q: c * q), F.lit(0.0), lambda a, x: a + x)
     binned, least = rejected(own, -log_ratio / math.log(10))
     return binned.where(F.col("bin") >= least).drop("bin")
 
