@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import work
+
 #: Bounds of the sample on which classifiers are fitted: rows, and bytes of text.
 MAX_ROWS, MAX_BYTES = 3_000, 10 << 20
 #: Of either label a tenth of the rows and bytes is drawn first; texts over this part of the bytes are drawn last.
@@ -29,6 +33,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = MAX_ROWS,
     own = own.withColumn("draw", F.xxhash64("doc_id"))
     sizes = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     sizes = own.join(sizes, "doc_id").where((F.col("n") <= most) & (F.col("rows") <= rows)).withColumn("long", F.col("n") > most // LONG)
+    sizes = _first_draws(work.written(sizes, "sample-sizes"), rows)
     nth = F.row_number().over(Window.partitionBy("label").orderBy("long", "draw", "doc_id"))
     drawn = sizes.withColumn("nth", nth).where(F.col("nth") <= rows).select("doc_id", "label", "draw", "long", "n", "rows").toPandas()
     chosen = _chosen(drawn.sort_values(["long", "draw", "doc_id"]), rows, most)
@@ -39,6 +44,25 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = MAX_ROWS,
     return found.sort_values(["draw", "text"], kind="stable", na_position="first")[["text", "label"]].reset_index(drop=True)
 
 
+def _first_draws(sizes: DataFrame, rows: int) -> DataFrame:
+    """The rows with the least draws of each (label, long): `rows` at least, or all, and few more, whatever the number of
+    rows or tasks. Draws are uniform, so a bound on them comes from counts; it is raised where it left too few."""
+    count = lambda df: {(r.label, r.long): r.n for r in df.groupBy("label", "long").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = count(sizes)
+    share = {k: (rows + 8 * math.sqrt(rows) + 64) / n for k, n in many.items()}
+    while True:
+        keep = F.lit(False)
+        for (label, long), part in share.items():
+            most = F.lit(-(1 << 63) + int(part * (1 << 64))) if part < 1 else F.lit((1 << 63) - 1)
+            keep = keep | ((F.col("label") == label) & (F.col("long") == long) & (F.col("draw") <= most))
+        near = sizes.where(keep)
+        kept = count(near)
+        few = [k for k, n in many.items() if kept.get(k, 0) < min(rows, n)]
+        if not few:
+            return near
+        share |= {k: 2 * share[k] for k in few}
+
+
 def _chosen(drawn: pd.DataFrame, rows: int, most: int) -> list[int]:
     """doc_ids in the order given that fit, those that don't left out: first some of each label, then of all."""
     out: dict[int, None] = {}

@@ -340,6 +340,8 @@ def joins(node: np.ndarray, label: np.ndarray, right: np.ndarray, shingles: list
 def compared(dense: DataFrame, texts_of: DataFrame, threshold: float, bits: int = 32) -> DataFrame:
     """Links (a, b) of the tasks (key, r, x) in `dense`, each confirmed on the texts."""
     place = ["key", "r", "x"]
+    if dense.isEmpty():
+        return dense.select(F.col("node").alias("a"), F.col("node").alias("b"))
     needed = work.written(dense.select("node").distinct(), "dense-nodes")
     own = work.written(shingled(texts_of.join(needed.hint("merge"), "node", "left_semi"), bits), "dense-shingles")
 
