@@ -7,16 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, text
-from ..sources.store import written
-from .spatial import DENSE, spread
+from ..sources.store import sent, written
+from .spatial import spread
 
+#: Places of different names, layers or coordinates in one cell that are still compared pair by pair.
+CROWDED = 128
+#: Characters of a gram: names of fewer are alike only if equal.
+GRAM = 4
 
-def is_duplicate(a: Column, b: Column, meters: float) -> Column:
-    """Same gid; same source and id; or similar names no farther than `meters` in one layer, nearer than half of it in two."""
+
+def _near(a: Column, b: Column, meters: float) -> Column:
+    """No farther than `meters` in one layer, nearer than half of it in two."""
     d = geo.haversine(a["lat"], a["lon"], b["lat"], b["lon"])
-    near = F.when(a["layer"] == b["layer"], d <= meters).otherwise(d < meters / 2)
+    return F.when(a["layer"] == b["layer"], d <= meters).otherwise(d < meters / 2)
+
+
+def is_duplicate(a: Column, b: Column, meters: float) -> Column:
+    """Same gid; same source and id; or similar names that are near."""
     same = (a["gid"] == b["gid"]) | ((a["source"] == b["source"]) & (a["source_id"] == b["source_id"]))
-    return F.coalesce(same, F.lit(False)) | F.coalesce(text.names_similar(a["normal"], b["normal"]) & near, F.lit(False))
+    return F.coalesce(same, F.lit(False)) | F.coalesce(text.names_similar(a["normal"], b["normal"]) & _near(a, b, meters), F.lit(False))
+
+
+def _grams(name: Column) -> Column:
+    """The distinct grams of a name; the name itself, marked, if it is too short to be held in another."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - GRAM + 1)), lambda k: F.substring(name, k, F.lit(GRAM)))
+    return F.when(F.length(name) < GRAM, F.array(F.concat(F.lit("="), name))).otherwise(F.array_distinct(each))
+
+
+def _contained(near: DataFrame, here: DataFrame, meters: float) -> DataFrame:
+    """a, b: places l of `near` (cy, cx, l) whose name is held in that of a place r of `here` (cy, cx, r) of the same cell,
+    and which are near each other. A name that holds l's holds all its grams, so l asks for the one that the fewest
+    names of the cell hold, and asks nothing where one of its grams is held by none: rows follow true pairs."""
+    cell = ["cy", "cx"]
+    held = written(here.select(*cell, "r", F.explode(_grams(F.col("r.normal"))).alias("gram")))
+    counts = held.groupBy(*cell, "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = near.withColumn("grams", _grams(F.col("l.normal")))
+    asked = asked.select(*cell, "l", F.size("grams").alias("many"), F.explode("grams").alias("gram")).join(counts.hint("shuffle_hash"), [*cell, "gram"])
+    asked = asked.groupBy(*cell, "l").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.lit(1)).alias("found"), F.first("many").alias("many"))
+    asked = written(asked.where("found = many").drop("found", "many"))
+    held, asked = spread(held, asked, [*cell, "gram"], "r._id")
+    met = asked.join(held.hint("shuffle_hash"), [*cell, "gram", "part"])
+    inside = F.when(F.length("l.normal") < GRAM, F.col("l.normal") == F.col("r.normal")).otherwise(F.contains("r.normal", "l.normal"))
+    met = met.where((F.col("l._id") != F.col("r._id")) & inside).where(_near(F.col("l"), F.col("r"), meters))
+    return met.select(F.least("l._id", "r._id").alias("a"), F.greatest("l._id", "r._id").alias("b"))
 
 
 def results(hits: DataFrame, meters: float = 30.0, by: str = "query_id") -> DataFrame:
@@ -29,10 +62,11 @@ def results(hits: DataFrame, meters: float = 30.0, by: str = "query_id") -> Data
     return out.select(by, (F.size("all") - F.size("kept")).alias("deduped_count"), F.posexplode("kept").alias("at", "k")).select(by, (F.col("at") + 1).alias("rank"), F.col("k._id").alias("_id"), "deduped_count")
 
 
-def pairs(docs: DataFrame, meters: float = 30.0) -> DataFrame:
+def pairs(docs: DataFrame, meters: float = 30.0, crowded: int = CROWDED) -> DataFrame:
     """a, b (a < b): duplicates over a table. Equal gids and source ids are linked to their group's smallest; similar
-    names meet in grid cells, of which each document has one and is looked for in nine. Documents of one name, layer,
-    source and place are one there: the smallest is compared, and the others are linked to it."""
+    names meet in grid cells, of which each document has one and is looked for in nine. Documents of one name, layer
+    and place are one there: the smallest is compared, and the others are linked to it. In a cell of more than `crowded`
+    of them names meet on their rarest grams."""
     d = docs.withColumn("normal", text.clean(F.lower("name")))
     out = None
     for keys in (["gid"], ["source", "source_id"]):
@@ -41,20 +75,26 @@ def pairs(docs: DataFrame, meters: float = 30.0) -> DataFrame:
         one = known.select("_id", *keys).join(least.hint("merge"), keys).where("_id > a").select("a", F.col("_id").alias("b"))
         out = one if out is None else out.unionByName(one)
     size = geo.lat_rows(meters)
-    cols = ("_id", "gid", "source", "source_id", "layer", "lat", "lon", "normal")
+    cols = ("_id", "layer", "lat", "lon", "normal")
     same = ["normal", "layer", "lat", "lon"]
     valid = d.where(geo.valid_point(F.col("lat"), F.col("lon")))
-    one = valid.groupBy(*same).agg(F.min(F.struct("_id", "gid", "source", "source_id")).alias("r"), F.max("_id").alias("last"))
-    firsts = written(one.select("r.*", *same, "last"))
+    firsts = written(valid.groupBy(*same).agg(F.min("_id").alias("_id"), F.max("_id").alias("last")))
     # Equal places are duplicates whatever their ids; null and blank names are alike to nothing.
     behind = firsts.where((F.col("_id") < F.col("last")) & F.coalesce(text.names_similar(F.col("normal"), F.col("normal")), F.lit(False))).select(F.col("_id").alias("a"), *same)
     equal = valid.select("_id", *same).join(behind.hint("merge"), same).where("_id > a").select("a", F.col("_id").alias("b"))
     out = out.unionByName(equal)
-    here = firsts.select(F.struct(*cols).alias("r"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
+    # A name that is null or blank meets nothing.
+    here = firsts.where(F.coalesce(F.col("normal") != "", F.lit(False))).select(F.struct(*cols).alias("r"), geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx"))
     reach = geo.lon_cells(F.col("r.lat"), meters, size)
-    near = here.select(F.col("r").alias("l"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx", reach.alias("reach")).withColumn("cx", F.explode(F.sequence(F.col("cx") - F.col("reach"), F.col("cx") + F.col("reach"))))
-    here, near = spread(here, near, ["cy", "cx"], "r._id", DENSE)
-    met = near.join(here.hint("shuffle_hash"), ["cy", "cx", "part"]).where(F.col("l._id") < F.col("r._id")).where(is_duplicate(F.col("l"), F.col("r"), meters))
+    near = here.select(F.col("r").alias("l"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx", reach.alias("reach")).withColumn("cx", F.explode(F.sequence(F.col("cx") - F.col("reach"), F.col("cx") + F.col("reach")))).drop("reach")
+    full = written(here.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("cy", "cx"))
+    n = full.count()
+    if n:
+        split = lambda df, how: df.join(sent(full, n), ["cy", "cx"], how)
+        out = out.unionByName(_contained(split(near, "left_semi"), split(here, "left_semi"), meters))
+        near, here = split(near, "left_anti"), split(here, "left_anti")
+    met = near.join(here.hint("shuffle_hash"), ["cy", "cx"]).where(F.col("l._id") < F.col("r._id"))
+    met = met.where(text.names_similar(F.col("l.normal"), F.col("r.normal"))).where(_near(F.col("l"), F.col("r"), meters))
     return out.unionByName(met.select(F.col("l._id").alias("a"), F.col("r._id").alias("b"))).distinct()
 
 

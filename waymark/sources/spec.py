@@ -54,13 +54,14 @@ def located(rows: DataFrame, geometry: tuple[str, str] | None, limit: int | None
     return rows
 
 
-def scan_jdbc(spark: SparkSession, spec: SourceSpec, url: str, partition: tuple[str, int, int, int] | None = None, fetch: int = 10_000, **options: str) -> DataFrame:
-    """The same over JDBC: the whole SELECT is pushed into the database; `partition` is (column, low, high, tasks)."""
+def scan_jdbc(spark: SparkSession, spec: SourceSpec, url: str, partition: tuple[str, int, int, int] | None = None, fetch: int = 10_000, limit: int | None = None, geometry: tuple[str, str] | None = ("lon", "lat"), **options: str) -> DataFrame:
+    """The same over JDBC: the whole SELECT is pushed into the database, and so are the geometry's null tests, later
+    filters and a limit; `partition` is (column, low, high, tasks)."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=f"({spec.sql}) q", fetchsize=str(fetch), **options)
     if partition:
         column, low, high, tasks = partition
         reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(tasks))
-    return reader.load()
+    return located(reader.load(), geometry, limit if limit is not None else spec.test_limit)
 
 
 def lookup(spark: SparkSession, sql: str, **parameters) -> DataFrame:
