@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import scalars
@@ -27,22 +30,91 @@ def upsert(target: DataFrame, new: DataFrame, order: Column, id_: str = "_id") -
     return target.join(last.select(id_), id_, "left_anti").unionByName(last.select(*target.columns))
 
 
-#: Parts of a table that upserts in place rewrite one by one.
-PARTS = 64
+#: Parts of a table that upserts rewrite one by one, and states of it that stay readable.
+PARTS, STATES = 64, 3
 
 
-def upsert_parts(new: DataFrame, path: str, order: Column, parts: int = PARTS, id_: str = "_id") -> None:
-    """As upsert, on a table stored in `parts` folders by a hash of the id (made at the first call): only the parts
-    that have new rows are read and written again. The target's rows take part in the order."""
-    spark = new.sparkSession
-    last = keep_last(new, order, id_).withColumn("part", F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int"))
-    touched = sorted(r[0] for r in last.select("part").distinct().collect())  # at most `parts`
-    try:
-        old = spark.read.schema(last.schema).parquet(path).where(F.col("part").isin(touched))
-        last = written(keep_last(last.unionByName(old), order, id_))  # before the folders it comes from are replaced
-    except AnalysisException:
-        pass
-    last.repartition(max(1, len(touched)), "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+class PartTable:
+    """A table in `parts` by a hash of the id, of which an upsert writes only those anew that have new rows.
+
+    A state of the table is a manifest, a small file that names each part's folder. New folders are written first and
+    the next manifest last, so a reader sees the table before an upsert or after it, and a crash between leaves a
+    folder that nothing names. Manifests are numbered and never replaced: of two upserts at once the second finds
+    its number taken and does its work again on the first one's state. The last STATES states keep their folders for
+    readers that are under way. Defined cases: an upsert without rows makes no state; a table never written is None.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS, id_: str = "_id"):
+        self.spark, self.root, self.parts, self.id_ = spark, root.rstrip("/"), parts, id_
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        folder = self.path(f"{self.root}/manifests")
+        if not self.fs.exists(folder):
+            return []
+        return sorted(int(m[1]) for s in self.fs.listStatus(folder) if (m := re.fullmatch(r"(\d+)\.json", s.getPath().getName())))
+
+    def _manifest(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{number}.json", wholetext=True).first()[0])
+
+    def state(self) -> tuple[int, dict]:
+        """Number and content of the newest state; 0 and no folders before the first."""
+        numbers = self.numbers()
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {"schema": None, "folders": {}})
+
+    def _folders(self, state: dict, parts: list[int] | None = None) -> DataFrame | None:
+        """Rows of a state, or of some of its parts."""
+        chosen = [f for p, f in state["folders"].items() if parts is None or int(p) in parts]
+        return self.spark.read.schema(StructType.fromJson(state["schema"])).parquet(*[f"{self.root}/{f}" for f in chosen]) if chosen else None
+
+    def read(self) -> DataFrame | None:
+        return self._folders(self.state()[1])
+
+    def upsert(self, new: DataFrame, order: Column) -> None:
+        """Put new rows in by id; of several rows of an id, those of the table included, the last by `order` counts."""
+        last = written(keep_last(new, order, self.id_).withColumn("part", F.pmod(F.xxhash64(self.id_), F.lit(self.parts)).cast("int")))
+        touched = sorted(r[0] for r in last.select("part").distinct().collect())  # at most `parts`
+        while touched:
+            number, state = self.state()
+            rows, old = last, self._folders(state, touched)
+            if old is not None:
+                old = old.withColumn("part", F.pmod(F.xxhash64(self.id_), F.lit(self.parts)).cast("int"))
+                rows = keep_last(last.unionByName(old), order, self.id_)
+            folder = f"data-{uuid.uuid4().hex}"
+            rows.repartition(len(touched), "part").write.partitionBy("part").parquet(f"{self.root}/{folder}")
+            folders = state["folders"] | {str(p): f"{folder}/part={p}" for p in touched}
+            if self._commit(number + 1, {"schema": json.loads(new.schema.json()), "folders": folders}):
+                return self._forget()
+            self.fs.delete(self.path(f"{self.root}/{folder}"), True)
+
+    def _commit(self, number: int, state: dict) -> bool:
+        """Whether the state could be made the one with this number: written under another name, then renamed, which
+        fails where the name is taken."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        draft = self.path(f"{self.root}/drafts/{uuid.uuid4().hex}.json")
+        out = self.fs.create(draft, False)
+        out.writeBytes(json.dumps(state))
+        out.close()
+        self.fs.mkdirs(self.path(f"{self.root}/manifests"))
+        never = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self.fs.getUri(), conf).rename(draft, self.path(f"{self.root}/manifests/{number}.json"), never)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self.fs.delete(draft, False)
+            return False
+        return True
+
+    def _forget(self) -> None:
+        """Remove states before the last STATES, and folders that only they name."""
+        numbers = self.numbers()
+        kept = {f for n in numbers[-STATES:] for f in self._manifest(n)["folders"].values()}
+        for n in numbers[:-STATES]:
+            for f in set(self._manifest(n)["folders"].values()) - kept:
+                self.fs.delete(self.path(f"{self.root}/{f}"), True)
+            self.fs.delete(self.path(f"{self.root}/manifests/{n}.json"), False)
 
 
 def delete(target: DataFrame, ids: DataFrame, source: str, id_: str = "_id") -> tuple[DataFrame, DataFrame]:
