@@ -364,7 +364,7 @@ QUERIES = {
     "k4_write_seen_ids": (k4, _q("SELECT source AS source_name, count(*) AS ids, min(_id) AS first FROM o WHERE source >= '3' OR k % 3 = 0 GROUP BY 1", _O)),
     "k5_append_run_history": (k5, _q("SELECT event_id::VARCHAR AS run_id, endpoint AS source, CASE WHEN event_id % 9 = 0 THEN 'running' WHEN k % 4 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN event_id % 9 <> 0 AND k % 4 = 0 THEN 'lost' END AS error FROM e ORDER BY ts DESC, event_id::VARCHAR LIMIT 200", _E)),
     "k6_publish_history": (k6, _q("SELECT switch_id, target_index FROM sw WHERE status = 'success' AND type = 'view' ORDER BY ts DESC, switch_id LIMIT 1", _E, _SW)),
-    "k8_rollback_candidates": (k8, _q("SELECT previous_read_index AS target, max(rtrim(rtrim(ts::VARCHAR, '0'), '.')) AS last_used FROM sw WHERE status = 'success' AND previous_read_index IS NOT NULL AND previous_read_index <> (SELECT max_by(target_index, (ts, switch_id)) FROM sw WHERE status = 'success') GROUP BY 1", _E, _SW)),
+    "k8_rollback_candidates": (k8, _q("SELECT previous_read_index AS target, max(CASE WHEN contains(ts::VARCHAR, '.') THEN rtrim(rtrim(ts::VARCHAR, '0'), '.') ELSE ts::VARCHAR END) AS last_used FROM sw WHERE status = 'success' AND previous_read_index IS NOT NULL AND previous_read_index <> (SELECT max_by(target_index, (ts, switch_id)) FROM sw WHERE status = 'success') GROUP BY 1", _E, _SW)),
     "w8_newest_n_history": (w8, _q("SELECT switch_id FROM sw ORDER BY ts DESC, switch_id LIMIT 200", _E, _SW)),
     "a1_terms_count": (a1, _q("SELECT category AS value, count(*) AS count FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", _S)),
     "a2_missing_country_breakdown": (a2, base.sql("SELECT * FROM (SELECT 'layer' AS field, layer AS value, count(*) AS count FROM places WHERE country_a IS NULL GROUP BY 2 UNION ALL SELECT 'source_config', source_config, count(*) FROM places WHERE country_a IS NULL GROUP BY 2 UNION ALL SELECT 'segment', segment, count(*) FROM places WHERE country_a IS NULL GROUP BY 2)", "places")),
