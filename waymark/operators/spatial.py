@@ -83,37 +83,95 @@ def segments(lines: DataFrame, id_: str = "road_id", line: str = "line") -> Data
     return out.select(id_, "seg", *[F.col(f"s.{e}.{c}").alias(f"{c}{n}") for n, e in ((1, "a"), (2, "b")) for c in ("x", "y")])
 
 
-def closest_point(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
-    """The point of a segment that is nearest in the plane of its coordinates."""
+def along(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The share of a segment, from its first end, at which it is nearest in the plane of its coordinates."""
     dx, dy = x2 - x1, y2 - y1
     square = dx * dx + dy * dy
-    t = F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - x1) * dx + (py - y1) * dy) / square))).otherwise(F.lit(0.0))
-    return x1 + t * dx, y1 + t * dy
+    return F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - x1) * dx + (py - y1) * dy) / square))).otherwise(F.lit(0.0))
+
+
+def closest_point(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """The point of a segment that is nearest in the plane of its coordinates."""
+    t = along(px, py, x1, y1, x2, y2)
+    return x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+
+
+#: Pairs of points and segments in shared cells, up to which a nearest-line join is made in one step.
+PAIRS = 20_000_000
 
 
 def nearest_line(points: DataFrame, segs: DataFrame, radius_m: float, id_: str = "_id", line_id: str = "road_id", radius_mode: str = "meters", srid: int = 4326) -> DataFrame:
     """For each point the nearest line within a radius: id, line id, snap_lon, snap_lat, snap_distance (metres).
 
     radius_mode "source_units" bounds the distance in coordinate units, "meters" the distance on the ground.
-    Segments are put into the cells of their boxes, widened by the radius; min_by keeps one row per point.
+    Segments are put into the cells of their boxes, widened by the radius; min_by keeps one row per point. Where that
+    lets too many meet, a quarter of the radius is tried first, and a quarter of that: a line found within a smaller
+    radius is the nearest of all, and only points without one go on to the next larger radius.
     """
+    segs = segs.where(geo.finite(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    points = points.where(geo.valid_point(F.col("lat"), F.col("lon"))).select(id_, "lat", "lon")
+    within = F.lit(None).cast("double") if radius_mode != "source_units" else geo.meters_to_units(F.lit(radius_m), srid)
+    extent = None
+    stages = [radius_m]
+    while True:
+        size = 2 * stages[0] / 111000.0 if extent is None else max(2 * stages[0] / 111000.0, extent)
+        p, s = _in_cells(points, segs, stages[0], size)
+        cells = [t.groupBy("cx", "cy").agg(F.count(F.lit(1)).cast("double").alias(n)) for t, n in ((p, "a"), (s, "b"))]
+        pairs = cells[0].join(cells[1].hint("merge"), ["cx", "cy"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
+        if extent is None and pairs > PAIRS:  # cells no smaller than segments: they would be copied into many
+            extent = segs.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).first()[0] or 0.0
+        # A radius that leaves cells no smaller leaves about as many pairs.
+        if pairs <= PAIRS or stages[0] / 111000.0 * 4 < extent or stages[0] < 1.0:
+            break
+        stages.insert(0, stages[0] / 4)
+    if len(stages) > 1:
+        points, segs = written(points), written(segs)
+    found = None
+    for k, bound in enumerate(stages):
+        size = 2 * bound / 111000.0 if extent is None else max(2 * bound / 111000.0, extent)
+        last = bound == radius_m
+        best = _nearest_line(points, segs, bound, size, id_, line_id, within, radius_mode == "source_units", last)
+        if len(stages) == 1:
+            return best
+        best = written(best)
+        found = best if found is None else found.unionByName(best)
+        if not last:
+            points = written(points.join(best.select(id_).hint("merge"), id_, "left_anti"))
+            if points.isEmpty():
+                break
+    return found
+
+
+def _widths(radius_m: float) -> tuple[float, Column]:
+    """A radius in degrees of latitude, and of longitude at the latitude of a segment: a metre is more degrees away from
+    the equator."""
     reach = radius_m / 111000.0
-    size = 2 * reach
-    # Widened in longitude for the latitude of the segment: a metre is more degrees away from the equator.
-    wide = reach / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y1"), F.abs("y2"))))))
+    return reach, reach / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y1"), F.abs("y2"))))))
+
+
+def _in_cells(points: DataFrame, segs: DataFrame, radius_m: float, size: float) -> tuple[DataFrame, DataFrame]:
+    """Points with their cell, segments with all cells that their boxes, widened by the radius, touch."""
+    reach, wide = _widths(radius_m)
     low = lambda a, b, w: geo.cell(F.least(a, b) - w, size)
     high = lambda a, b, w: geo.cell(F.greatest(a, b) + w, size)
     s = segs.withColumn("cx", F.explode(F.sequence(low("x1", "x2", wide), high("x1", "x2", wide)))).withColumn("cy", F.explode(F.sequence(low("y1", "y2", F.lit(reach)), high("y1", "y2", F.lit(reach)))))
-    p = points.where(geo.valid_point(F.col("lat"), F.col("lon"))).select(id_, "lat", "lon", geo.cell(F.col("lon"), size).alias("cx"), geo.cell(F.col("lat"), size).alias("cy"))
+    return points.withColumns({"cx": geo.cell(F.col("lon"), size), "cy": geo.cell(F.col("lat"), size)}), s
+
+
+def _nearest_line(points: DataFrame, segs: DataFrame, radius_m: float, size: float, id_: str, line_id: str, within: Column, units: bool, last: bool) -> DataFrame:
+    """The nearest line within `radius_m`; with `units` also within that many coordinate units, and at last in them alone."""
+    p, s = _in_cells(points, segs, radius_m, size)
     p, s = spread(p, s, ["cx", "cy"], id_)
     met = p.join(s.hint("shuffle_hash"), ["cx", "cy", "part"])
-    sx, sy = closest_point(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    met = met.withColumn("snap_lon", sx).withColumn("snap_lat", sy)
+    # Most pairs fail on the widened box; the share is exploded so that it is computed once and not inside each use.
+    reach, wide = _widths(radius_m)
+    near = F.col("lon").between(F.least("x1", "x2") - wide, F.greatest("x1", "x2") + wide) & F.col("lat").between(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach)
+    met = met.where(near).withColumn("t", F.explode(F.array(along(F.col("lon"), F.col("lat"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))))
+    met = met.withColumn("snap_lon", F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).withColumn("snap_lat", F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1")))
     met = met.withColumn("snap_distance", geo.haversine(F.col("lat"), F.col("lon"), F.col("snap_lat"), F.col("snap_lon")))
-    if radius_mode == "source_units":
-        units = geo.meters_to_units(F.lit(radius_m), srid)
-        met = met.where(F.sqrt(F.pow(F.col("lon") - F.col("snap_lon"), 2) + F.pow(F.col("lat") - F.col("snap_lat"), 2)) <= units)
-    else:
+    if units:
+        met = met.where(F.sqrt(F.pow(F.col("lon") - F.col("snap_lon"), 2) + F.pow(F.col("lat") - F.col("snap_lat"), 2)) <= within)
+    if not (units and last):
         met = met.where(F.col("snap_distance") <= radius_m)
     best = F.min_by(F.struct(line_id, "seg", "snap_lon", "snap_lat", "snap_distance"), F.struct("snap_distance", line_id, "seg"))
     return met.groupBy(id_).agg(best.alias("s")).select(id_, "s.*")
