@@ -53,6 +53,41 @@ def radius_join(queries: DataFrame, places: DataFrame, most: float = 50_000.0, c
     return out
 
 
+#: Hits of a radius join for each query, up to which its nearest are chosen from all of them.
+HITS = 500
+
+
+def nearest_join(queries: DataFrame, places: DataFrame, k: int, most: float = 50_000.0) -> DataFrame:
+    """Of the radius join, at least the k nearest places of each query and all that are as near as its k-th.
+
+    Where more than HITS places a query are near on average, half of the radius is tried first, and half of that: a
+    query with k places nearer than a smaller radius needs no others, and the rest go on to the next larger one.
+    """
+    queries, stages = written(queries), [most]
+    n = queries.count()
+    if n:
+        size = most / 111000.0
+        cells = lambda t, lat, lon, c: t.where(geo.valid_point(F.col(lat), F.col(lon))).groupBy(geo.cell(F.col(lat), size).alias("cy"), geo.cell(F.col(lon), size).alias("cx")).agg(F.count(F.lit(1)).cast("double").alias(c))
+        met = cells(queries, "q_lat", "q_lon", "a").join(cells(places, "lat", "lon", "b").hint("merge"), ["cy", "cx"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
+        while 3 * met / n > HITS and stages[0] > 1.0:  # a circle has the area of some three such cells
+            stages.insert(0, stages[0] / 2)
+            met /= 4
+    out = None
+    for bound in stages:
+        if bound == most:
+            hits = radius_join(queries, places, most)
+            return hits if out is None else out.unionByName(hits)
+        own = F.col("radius")
+        hits = written(radius_join(queries.withColumns({"whole": own, "radius": F.least(own, F.lit(bound))}), places, bound).withColumn("radius", F.col("whole")).drop("whole"))
+        # Strictly nearer: places at the bound itself may tie with others beyond rounding. Short radii are done as they are.
+        done = hits.where(F.col("distance") < bound).groupBy("query_id").count().where(F.col("count") >= k).select("query_id").unionByName(queries.where(own < bound).select("query_id")).distinct()
+        done = written(done)
+        one = hits.join(done.hint("merge"), "query_id", "left_semi")
+        out = one if out is None else out.unionByName(one)
+        queries = written(queries.join(done.hint("merge"), "query_id", "left_anti"))
+    return out
+
+
 def _radius_join(q: DataFrame, places: DataFrame, most: float, cell_m: float) -> DataFrame:
     size = geo.lat_rows(cell_m)
     reach = geo.lon_cells(F.col("q_lat"), most, size)

@@ -18,12 +18,17 @@ def _near(spark, d):
     return spatial.radius_join(base.asks(spark, d), base.places(spark, d), most=3000.0)
 
 
+def _nearest(spark, d, k):
+    """What the k nearest venues of each query are chosen from."""
+    return spatial.nearest_join(base.asks(spark, d), base.places(spark, d).where("layer = 'venue'"), k, most=3000.0)
+
+
 def radius(spark, d):
     return _near(spark, d).select("query_id", "_id", R6("distance").alias("distance"))
 
 
 def nearby_distance(spark, d):
-    hits = rank.nearby(_near(spark, d), "distance", layers=("venue",), size=10)
+    hits = rank.nearby(_nearest(spark, d, 10), "distance", layers=("venue",), size=10)
     return hits.select("query_id", "rank", "_id", geo.round2(F.col("distance")).alias("distance_meters"))
 
 
@@ -139,13 +144,13 @@ def representative(spark, d):
 
 
 def feature_standard(spark, d):
-    hits = rank.nearby(_near(spark, d), "distance", layers=("venue",), size=5)
+    hits = rank.nearby(_nearest(spark, d, 5), "distance", layers=("venue",), size=5)
     return features.standard(hits).select("query_id", "rank", F.col("feature.gid").alias("gid"), F.col("feature.name").alias("name"), F.col("feature.label").alias("label"), F.col("feature.distance_meters").alias("distance_meters"))
 
 
 def collections(spark, d):
     """FeatureCollections are written as text, one line for each query, and read back."""
-    hits = features.standard(rank.nearby(_near(spark, d), "distance", layers=("venue",), size=5))
+    hits = features.standard(rank.nearby(_nearest(spark, d, 5), "distance", layers=("venue",), size=5))
     path = place(spark, "features")
     features.export(hits, path)
     told = spark.read.text(path).select(F.from_json("value", "type string, features array<struct<type:string,properties:struct<gid:string>>>").alias("c"))
