@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import search
-from .spatial import top_k
+from .spatial import nearest_join, radius_join, top_k
 
 # Weights of the published scoring formula.
 LAYER_WEIGHTS = {"street": 0.8, "locality": 0.6, "localadmin": 0.5, "neighbourhood": 0.5, "county": 0.4, "region": 0.4, "country": 0.2}
@@ -70,6 +70,23 @@ def nearby(hits: DataFrame, sort: str = "distance", layers: tuple[str, ...] | No
     raise ValueError(f"no sort {sort!r}")
 
 
+def nearby_join(queries: DataFrame, places: DataFrame, sort: str = "distance", layers: tuple[str, ...] | None = ("venue",), size: int = 10, relevance: Column | None = None, most: float = 50_000.0) -> DataFrame:
+    """What `nearby` does to a radius join, for a relevance that depends on the place alone: smaller radii first, which
+    are enough where `size` hits come before all that a farther place can be."""
+    places = places.where(F.col("layer").isin(*layers)) if layers else places
+    relevance = F.lit(0.0) if relevance is None else relevance
+    top = None if sort == "distance" else places.agg(F.max(F.when(~F.isnan(relevance), relevance)), F.max(F.isnan(relevance))).first()
+    first = None
+    if top is not None and (top[0] is None or top[1]):  # no largest relevance to bound by
+        return nearby(radius_join(queries, places, most), sort, layers, size, relevance)
+    if sort == "relevance":
+        first = lambda _: relevance >= top[0]
+    elif sort == "hybrid":
+        # Orders are those of scores rounded to nine digits.
+        first = lambda bound: relevance + 2 * geo.gauss(F.col("distance"), 1000.0, 100.0) > top[0] + 2 * geo.gauss(F.lit(bound), 1000.0, 100.0) + 1e-8
+    return nearby(nearest_join(queries, places, size, most, first), sort, layers, size, relevance)
+
+
 def reverse(hits: DataFrame, radius: float = 1000.0, size: int | Column = 1, layers: tuple[str, ...] = ("venue", "address", "street")) -> DataFrame:
     near = hits.where((F.col("distance") <= radius) & F.col("layer").isin(*layers))
     return top_k(near, size, F.col("distance"), F.col("_id"))

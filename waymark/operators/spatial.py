@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,11 +59,12 @@ def radius_join(queries: DataFrame, places: DataFrame, most: float = 50_000.0, c
 HITS = 500
 
 
-def nearest_join(queries: DataFrame, places: DataFrame, k: int, most: float = 50_000.0) -> DataFrame:
+def nearest_join(queries: DataFrame, places: DataFrame, k: int, most: float = 50_000.0, first: Callable[[float], Column] | None = None) -> DataFrame:
     """Of the radius join, at least the k nearest places of each query and all that are as near as its k-th.
 
     Where more than HITS places a query are near on average, half of the radius is tried first, and half of that: a
-    query with k places nearer than a smaller radius needs no others, and the rest go on to the next larger one.
+    query with k places nearer than a smaller radius needs no others, and the rest go on to the next larger one. For
+    another order than distance, `first(bound)` says of a hit that no place farther than `bound` comes before it.
     """
     queries, stages = written(queries), [most]
     n = queries.count()
@@ -80,7 +83,8 @@ def nearest_join(queries: DataFrame, places: DataFrame, k: int, most: float = 50
         own = F.col("radius")
         hits = written(radius_join(queries.withColumns({"whole": own, "radius": F.least(own, F.lit(bound))}), places, bound).withColumn("radius", F.col("whole")).drop("whole"))
         # Strictly nearer: places at the bound itself may tie with others beyond rounding. Short radii are done as they are.
-        done = hits.where(F.col("distance") < bound).groupBy("query_id").count().where(F.col("count") >= k).select("query_id").unionByName(queries.where(own < bound).select("query_id")).distinct()
+        sure = F.col("distance") < bound if first is None else (F.col("distance") < bound) & first(bound)
+        done = hits.where(sure).groupBy("query_id").count().where(F.col("count") >= k).select("query_id").unionByName(queries.where(own < bound).select("query_id")).distinct()
         done = written(done)
         one = hits.join(done.hint("merge"), "query_id", "left_semi")
         out = one if out is None else out.unionByName(one)

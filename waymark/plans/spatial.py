@@ -32,13 +32,18 @@ def nearby_distance(spark, d):
     return hits.select("query_id", "rank", "_id", geo.round2(F.col("distance")).alias("distance_meters"))
 
 
+def _rated(spark, d):
+    """Places, and how important their segments are."""
+    return base.places(spark, d).select("_id", "layer", "lat", "lon", "segment").join(F.broadcast(base.segments(spark)), "segment")
+
+
 def nearby_relevance(spark, d):
-    hits = rank.nearby(_near(spark, d).join(F.broadcast(base.segments(spark)), "segment"), "relevance", layers=("venue",), size=10, relevance=F.col("importance"))
+    hits = rank.nearby_join(base.asks(spark, d), _rated(spark, d), "relevance", layers=("venue",), size=10, relevance=F.col("importance"), most=3000.0)
     return hits.select("query_id", "rank", "_id", R6("importance").alias("score"))
 
 
 def nearby_hybrid(spark, d):
-    hits = rank.nearby(_near(spark, d).join(F.broadcast(base.segments(spark)), "segment"), "hybrid", layers=("venue",), size=10, relevance=F.col("importance"))
+    hits = rank.nearby_join(base.asks(spark, d), _rated(spark, d), "hybrid", layers=("venue",), size=10, relevance=F.col("importance"), most=3000.0)
     return hits.select("query_id", "rank", "_id", R6("score").alias("score"))
 
 
