@@ -1,7 +1,7 @@
 """Multilingual text columns: three normal forms, script detection, tokens.
 
 All steps are JVM expressions but NFKC, which Spark lacks: `nfkc` sends only the rows that hold a character
-beyond ASCII to an Arrow function.
+which a normal form may change to an Arrow function.
 """
 
 from __future__ import annotations
@@ -39,9 +39,25 @@ SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 
 
+#: Characters that no normal form changes and that compose with nothing before them: a text of these alone is in NFKC.
+STABLE = r"\x00-\x7F\x{00BF}-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}\x{0391}-\x{03A1}\x{03A3}-\x{03CE}\x{0400}-\x{0482}\x{060C}\x{061B}\x{061F}-\x{064A}\x{0660}-\x{066F}\x{0671}-\x{0674}\x{0679}-\x{06D3}\x{06F0}-\x{06F9}\x{2018}-\x{201D}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+#: Bytes of texts that a Python task takes apart at once.
+PIECE = 1 << 20
+
+
 def _normal(column: pa.Array) -> pa.Array:
-    """NFKC of strings, each distinct word of a batch once. A blank is a character that no other one composes with, so a
-    text's normal form is that of its words."""
+    """NFKC of strings, each distinct word of a piece of PIECE bytes once, so that memory follows the batch and not its
+    words. A blank is a character that no other one composes with, so a text's normal form is that of its words."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())).to_numpy()
+    parts, start = [], 0
+    while start < len(column):
+        stop = max(start + 1, int(ends.searchsorted((ends[start - 1] if start else 0) + PIECE, "right")))
+        parts.append(_normal_words(column.slice(start, stop - start)))
+        start = stop
+    return pa.concat_arrays(parts) if parts else column
+
+
+def _normal_words(column: pa.Array) -> pa.Array:
     split = pc.split_pattern(column, " ")
     words = split.flatten().dictionary_encode()
     known = pa.array([w if w.isascii() else unicodedata.normalize("NFKC", w) for w in words.dictionary.to_pylist()], pa.string())
@@ -49,13 +65,13 @@ def _normal(column: pa.Array) -> pa.Array:
 
 
 def nfkc(df: DataFrame, column: str) -> DataFrame:
-    """Bring a column to NFKC, in one pass: plain ASCII texts stay in the JVM, the others go by as Arrow batches."""
+    """Bring a column to NFKC, in one pass: texts of stable characters stay in the JVM, the others go by as Arrow batches."""
 
     @F.arrow_udf("string")
     def normal(texts: pa.Array) -> pa.Array:
         return _normal(texts)
 
-    beyond = F.col(column).rlike(r"[^\x00-\x7F]")
+    beyond = F.col(column).rlike(rf"(?=[^\x00-\x7F])[^{STABLE}]")  # most characters are passed over by the first class
     return df.withColumn(column, F.coalesce(normal(F.when(beyond, F.col(column))), F.col(column)))
 
 
@@ -64,7 +80,9 @@ def _folded(c: Column, table: dict[str, str]) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without spaces at its ends. Only a text that has one there is searched; a line's end may follow the last one."""
+    at_end = F.substring(c, 1, 1).rlike(SPACE) | F.substring(c, -1, 1).rlike(f"{SPACE}|\\x{{0085}}")
+    return F.when(at_end, F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def strip_diacritics(c: Column) -> Column:
@@ -113,26 +131,49 @@ def detect_script(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Letters, digits, spaces and . , ; ? ! _ - stay; the rest becomes a space; spaces are single."""
-    kept = F.regexp_replace(c, r"[^\p{L}\p{N}\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}.,;?!_-]+", " ")
-    return trim_space(F.regexp_replace(kept, f"{SPACE}+", " "))
-
-
-ARABIC_STEPS = (
-    ("remove_diacritics", strip_diacritics),
-    ("remove_tatweel", strip_tatweel),
-    ("normalize_alef", fold_alef),
-    ("normalize_alef_maqsura", fold_alef_maqsura),
-    ("normalize_hamza_carriers", fold_hamza),
-    ("normalize_persian_chars", fold_persian),
-    ("normalize_kurdish_kaf_yaa", fold_kurdish),
-    ("normalize_iraqi_spellings", fix_spellings),
+    """Letters, digits, spaces and . , ; ? ! _ - stay; the rest becomes a space; spaces are single. So a run of anything
+    else, spaces included, becomes one blank, and a run that is one blank is passed over."""
+    kept = r"\p{L}\p{N}.,;?!_-"
+    return F.trim(F.regexp_replace(c, f"(?![a-z])[^ {kept}][^{kept}]*| [^{kept}]+", " "))
+
+
+#: Steps that replace or drop single characters, in order: rule, and what becomes of each character.
+ARABIC_FOLDS = (
+    ("remove_diacritics", {chr(k): "" for k in (*range(0x064B, 0x0660), 0x0670)}),
+    ("remove_tatweel", {"ـ": ""}),
+    ("normalize_alef", dict.fromkeys(ALEF, "ا")),
+    ("normalize_alef_maqsura", {"ى": "ي"}),
+    ("normalize_hamza_carriers", {"ؤ": "و", "ئ": "ي"}),
+    ("normalize_persian_chars", PERSIAN),
+    ("normalize_kurdish_kaf_yaa", KURDISH),
 )
-LATIN_STEPS = (("arabic_digits_to_latin", latin_digits), ("arabic_punctuation", latin_punctuation))
+LATIN_FOLDS = (("arabic_digits_to_latin", dict(zip(DIGITS, LATIN_DIGITS))), ("arabic_punctuation", PUNCTUATION))
+
+
+def _composed(steps: tuple[tuple[str, dict[str, str]], ...]) -> tuple[dict[str, str], dict[str, str]]:
+    """What all steps together make of each character, and the characters of a text that make each step change it."""
+    now, changed = {c: c for _, table in steps for c in table}, {}
+    for rule, table in steps:
+        changed[rule] = "".join(c for c, v in now.items() if table.get(v, v) != v)
+        now = {c: table.get(v, v) for c, v in now.items()}
+    return now, changed
+
+
+def _in_one(c: Column, steps: tuple[tuple[str, dict[str, str]], ...]) -> Column:
+    """A text after all steps, in one pass: characters that are dropped stand last, where translate has nothing for them."""
+    table, _ = _composed(steps)
+    kept = {k: v for k, v in table.items() if v}
+    return F.translate(c, "".join(kept) + "".join(k for k, v in table.items() if not v), "".join(kept.values()))
+
+
+def _rules(c: Column, steps: tuple[tuple[str, dict[str, str]], ...]) -> list[Column]:
+    """Each step's rule where it changes the text, else null."""
+    return [F.when(c.rlike(f"[{chars}]"), rule) for rule, chars in _composed(steps)[1].items()]
 
 
 def normalize(df: DataFrame, text: str = "text", lang: str | None = None, to_nfkc: bool = True) -> DataFrame:
-    """Adds normalized, tokens, detected_script, applied_rules for a text column (and a language column)."""
+    """Adds normalized, tokens, detected_script, applied_rules for a text column (and a language column). Steps that
+    change single characters are one pass; a rule is noted where the text has a character that its step changes."""
     source = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("detected_script", detect_script(source)).withColumn("__now", source)
     if to_nfkc:
@@ -140,22 +181,21 @@ def normalize(df: DataFrame, text: str = "text", lang: str | None = None, to_nfk
     out = out.withColumn("__now", trim_space(F.col("__now")))
     code = F.lower(F.coalesce(F.col(lang), F.lit(""))) if lang else F.lit("")
     is_arabic = code.startswith("ar") | code.startswith("ku") | (code == "ckb") | F.col("detected_script").isin("arabic", "mixed")
-    out = out.withColumn("__arabic", is_arabic).withColumn("__rules", F.array().cast("array<string>"))
-    for rule, step in ARABIC_STEPS:
-        # Each step is its own projection, so that the next one does not repeat its expression.
-        out = out.withColumn("__next", F.when(F.col("__arabic"), step(F.col("__now"))).otherwise(F.col("__now")))
-        out = _noted(out, rule)
-    out = out.withColumn("__now", F.lower("__now")).withColumn("__rules", F.array_append("__rules", F.lit("lowercase")))
-    for rule, step in LATIN_STEPS:
-        out = _noted(out.withColumn("__next", step(F.col("__now"))), rule)
-    out = out.withColumn("normalized", clean(F.col("__now"))).withColumnRenamed("__rules", "applied_rules")
-    return out.withColumn("tokens", tokenize(F.col("normalized"))).drop("__now", "__arabic")
-
-
-def _noted(df: DataFrame, rule: str) -> DataFrame:
-    changed = F.col("__next") != F.col("__now")
-    df = df.withColumn("__rules", F.when(changed, F.array_append("__rules", F.lit(rule))).otherwise(F.col("__rules")))
-    return df.withColumn("__now", F.col("__next")).drop("__next")
+    # Texts without any character of the folds' block are passed over.
+    out = out.withColumn("__block", F.col("__now").rlike(r"[\x{0600}-\x{06FF}]")).withColumn("__arabic", is_arabic & F.col("__block"))
+    none = F.lit(None).cast("string")
+    when = lambda flag, found, steps: [F.when(F.col(flag), r).otherwise(none) for r in _rules(found, steps)]
+    # Each step is its own projection, so that the next one does not repeat its expression.
+    out = out.withColumn("__first", F.array(*when("__arabic", F.col("__now"), ARABIC_FOLDS)))
+    out = out.withColumn("__now", F.when(F.col("__arabic"), _in_one(F.col("__now"), ARABIC_FOLDS)).otherwise(F.col("__now")))
+    out = out.withColumn("__next", F.when(F.col("__arabic"), fix_spellings(F.col("__now"))).otherwise(F.col("__now")))
+    out = out.withColumn("__first", F.array_append("__first", F.when(F.col("__next") != F.col("__now"), "normalize_iraqi_spellings").otherwise(none)))
+    out = out.withColumn("__now", F.lower("__next"))
+    noted = F.concat("__first", F.array(F.lit("lowercase"), *when("__block", F.col("__now"), LATIN_FOLDS)))
+    out = out.withColumn("applied_rules", F.array_compact(noted))
+    out = out.withColumn("__now", F.when(F.col("__block"), _in_one(F.col("__now"), LATIN_FOLDS)).otherwise(F.col("__now")))
+    out = out.withColumn("normalized", clean(F.col("__now")))
+    return out.withColumn("tokens", tokenize(F.col("normalized"))).drop("__now", "__next", "__first", "__block", "__arabic")
 
 
 def tokenize(c: Column) -> Column:
