@@ -32,6 +32,13 @@ def upsert(target: DataFrame, new: DataFrame, order: Column, id_: str = "_id") -
 
 #: Parts of a table that upserts rewrite one by one, and states of it that stay readable.
 PARTS, STATES = 64, 3
+#: Rows that a part should hold: a part is written by one task, which sorts it.
+PART_ROWS = 500_000
+
+
+def parts_for(rows: int, least: int = 8) -> int:
+    """Parts of a table of so many rows: their number grows with it, and a part does not."""
+    return max(least, -(-rows // PART_ROWS))
 
 
 class PartTable:
@@ -82,7 +89,7 @@ class PartTable:
                 old = old.withColumn("part", F.pmod(F.xxhash64(self.id_), F.lit(self.parts)).cast("int"))
                 rows = keep_last(last.unionByName(old), order, self.id_)
             folder = f"data-{uuid.uuid4().hex}"
-            rows.repartition(len(touched), "part").write.partitionBy("part").parquet(f"{self.root}/{folder}")
+            rows.repartitionById(len(touched), _nth(touched)).write.partitionBy("part").parquet(f"{self.root}/{folder}")
             folders = state["folders"] | {str(p): f"{folder}/part={p}" for p in touched}
             if self._commit(number + 1, {"schema": json.loads(new.schema.json()), "folders": folders}):
                 return self._forget()
@@ -117,6 +124,11 @@ class PartTable:
             self.fs.delete(self.path(f"{self.root}/manifests/{n}.json"), False)
 
 
+def _nth(parts: list[int]) -> Column:
+    """The place of a row's part among these, so that each has a task of its own."""
+    return F.array_position(F.lit(parts), F.col("part")).cast("int") - 1
+
+
 def delete(target: DataFrame, ids: DataFrame, source: str, id_: str = "_id") -> tuple[DataFrame, DataFrame]:
     """Target without the ids, and a report. Ids of other sources are refused; ids that are not there count as done."""
     own = F.col(id_).startswith(f"postgis:{source}:")

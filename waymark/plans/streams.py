@@ -41,7 +41,7 @@ def t1(spark, d):
     those that it touches; what is left is the last row of each id."""
     rows = base.read(spark, d, "lineitem").select(F.concat(F.lit("postgis:lines:"), "l_orderkey").alias("_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    table = sync.PartTable(spark, place(spark, "synced"), parts=8)
+    table = sync.PartTable(spark, place(spark, "synced"), parts=sync.parts_for(rows.count()))
     streams.sync(_stream(spark, rows), lambda batch, _: table.upsert(batch, order), place(spark, "checkpoint"))
     return table.read().select("_id", "l_linenumber", "l_partkey")
 
